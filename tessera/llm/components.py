@@ -1,0 +1,40 @@
+"""Connected components of an edge table, by labels that sink to the smallest member."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tessera.llm.common import materialize
+
+
+def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+    """edges: u, v (long) -> node, root for every node that has an edge; root is the component's smallest node.
+
+    Each round points every node to the smallest label among its neighbours, follows pointers once, and contracts
+    the edges to labels; edges within one label go.  The table shrinks every round, and each round is written to the
+    shared folder, so that no lineage builds up.
+    """
+    both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).filter("u <> v").distinct()
+    both = materialize(both, "edges")
+    labels = None
+    for _ in range(most_rounds):
+        # every node hooks to its smallest neighbour if that is smaller, and takes over where that one hooks
+        hook = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), F.least("u", "m").alias("root"))
+        hook = materialize(hook, "hooks")
+        up = hook.select(F.col("node").alias("root"), F.col("root").alias("above"))
+        step = hook.join(up, "root", "left").select("node", F.coalesce("above", "root").alias("root"))
+        up = step.select(F.col("node").alias("root"), F.col("root").alias("above"))
+        step = materialize(step.join(up, "root", "left").select("node", F.coalesce("above", "root").alias("root")), "steps")
+        if labels is None:
+            labels = step
+        else:
+            up = step.select(F.col("node").alias("root"), F.col("root").alias("above"))
+            labels = materialize(labels.join(up, "root", "left").select("node", F.coalesce("above", "root").alias("root")), "labels")
+        a = step.select(F.col("node").alias("u"), F.col("root").alias("a"))
+        b = step.select(F.col("node").alias("v"), F.col("root").alias("b"))
+        both = both.join(a, "u").join(b, "v").filter("a <> b").select(F.col("a").alias("u"), F.col("b").alias("v")).distinct()
+        both = materialize(both, "edges")
+        if not both.limit(1).count():
+            return labels
+    raise RuntimeError("components did not settle")
