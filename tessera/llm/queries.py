@@ -48,7 +48,7 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan.find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
-    n = [F.size(F.filter("base", lambda s, r=r: s["rank"] == r)).cast("long").alias(f"n_{k}") for r, k in enumerate(secret_scan.KINDS[:3])]
+    n = [secret_scan.count_kind(F.col("base"), k).alias(f"n_{k}") for k in secret_scan.KINDS[:3]]
     live = F.size(F.filter("spans", lambda s: s["live"])).cast("long").alias("n_live")
     return found.select("doc_id", *n, F.sha2(secret_scan.listed(F.col("base")), 256).alias("base_sha256"), secret_scan.listed(F.col("spans")).alias("spans"), live)
 

@@ -90,6 +90,10 @@ def find_secrets(docs: DataFrame, text_col: str = "text", owner_col: str = "sour
     return out.select("doc_id", "text_hash", "base", F.filter(F.coalesce("spans", empty), lambda s: (s["rank"] < 3) | s["live"]).alias("spans"))
 
 
+def count_kind(spans: Column, kind: str) -> Column:
+    return F.size(F.filter(spans, lambda s: s["rank"] == KINDS.index(kind))).cast("long")
+
+
 def listed(spans: Column) -> Column:
     """kind:start:end, comma-joined."""
     kind = F.array(*[F.lit(k) for k in KINDS])
