@@ -5,11 +5,12 @@ so pivots alone can't divide it: triangle windows around a distance of 1 replica
 Documents are therefore first dealt into regions that no link can cross, and pivots divide the regions:
 
 1. Equal sets become one class; only the class's smallest id goes on.
-2. A set's prefix is its first n - ceil(t n) + 1 shingles in one global order.  Two sets that link share a prefix
-   shingle.  The order is by hash, with the shingles that are found most often in the corpus last.
-3. Per prefix shingle, classes sorted by size fall apart where sizes are too far apart to link; within such a run every
-   class points to the first.  Connected components of these pointers are the regions: rows stay linear in the input
-   and a link never leaves its region.
+2. A set's prefix is its first n - ceil(t n) + m shingles in one global order, m = 1 + n / 50.  Two sets that link share
+   m prefix shingles of the smaller one's m.  The order is by hash, with the shingles found most often in the corpus last.
+3. Of the classes with a prefix shingle, ordered by size, up to NEIGHBOURS are each compared by sizes; of more, every
+   class points to the first of its run, which ends where sizes are too far apart to link.  A pair known from small
+   groups alone that shares under m shingles can't link and goes.  Connected components of what stays are the regions:
+   rows stay linear in the input, and a link never leaves its region.
 4. Within a region a pivot meets all members; |d(x, p) - d(y, p)| <= 1 - t is the window outside which two members
    can't link.  The pivot's ball is grown member by member, each compared with the members still outside within its
    window; what no ball takes in is a region again, with a pivot of its own.
@@ -36,6 +37,12 @@ from tessera.llm.components import components
 from tessera.llm.wordhash import each_slice, mix, window_hashes
 
 _U = np.uint64
+#: Groups of a shingle up to this size are looked at member by member.
+NEIGHBOURS = 4
+#: Shingles that a prefix is longer than needed: one in so many of a set's.
+SPARE = 50
+#: Document ids that are sent to every executor at most, as a filter of the second read; more are joined by a shuffle.
+SENT_IDS = 1_000_000
 
 
 def shingle_sets(col: pa.Array, k: int) -> Iterator[np.ndarray]:
@@ -111,7 +118,7 @@ def _prefixes(docs: DataFrame, k: int, percent: int, common: np.ndarray) -> Data
                 a, c = fingerprint(s)
                 f1.append(a)
                 f2.append(c)
-                most = len(s) - (percent * len(s) + 99) // 100 + 1 if len(s) else 0
+                most = len(s) - (percent * len(s) + 99) // 100 + 1 + len(s) // SPARE if len(s) else 0
                 if len(often) and len(s):
                     at = np.minimum(np.searchsorted(often, s), len(often) - 1)
                     late = often[at] == s
@@ -249,6 +256,22 @@ def _join_blocks(pool: DataFrame, percent: int, region_shingles: int) -> DataFra
     return _join_regions(named, percent)
 
 
+def _pointers(dealt: DataFrame, percent: int) -> DataFrame:
+    """rep, n, s (a row per prefix shingle) -> u, v: pairs whose components hold every link."""
+    by_size = Window.partitionBy("s").orderBy("n", "rep")
+    whole = by_size.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    fits = lambda small, large: 100 * small >= percent * large
+    before = [F.struct(F.lag("rep", k).over(by_size).alias("v"), F.lag("n", k).over(by_size).alias("m")) for k in range(1, NEIGHBOURS)]
+    torn = F.when(F.coalesce(fits(F.lag("n").over(by_size), F.col("n")), F.lit(False)), F.lit(None)).otherwise(F.struct(F.col("rep").alias("v"), F.col("n").alias("m")))
+    shared = dealt.withColumn("c", F.count("*").over(whole)).withColumn("before", F.array(*before)).withColumn("torn", torn)
+    shared = shared.withColumn("head", F.last("torn", ignorenulls=True).over(by_size.rowsBetween(Window.unboundedPreceding, 0))).filter("c > 1")
+    near = F.filter("before", lambda b: b["v"].isNotNull() & fits(b["m"], F.col("n")))
+    first = F.filter(F.array("head"), lambda h: h["v"] != F.col("rep"))
+    pairs = shared.select("rep", "n", (F.col("c") > NEIGHBOURS).alias("many"), F.explode(F.when(F.col("c") > NEIGHBOURS, first).otherwise(near)).alias("b"))
+    met = pairs.groupBy(F.col("rep").alias("u"), F.col("b.v").alias("v"), F.least("n", "b.m").alias("n")).agg(F.count("*").alias("k"), F.max("many").alias("many"))
+    return met.filter(F.col("many") | (F.col("k") >= 1 + F.floor(F.col("n") / SPARE))).select("u", "v")
+
+
 def similar_groups(docs: DataFrame, k: int = 4, percent: int = 85, text_col: str = "text", common: int = 200_000, region_shingles: int = 4_000_000, pivot_rounds: int = 4) -> DataFrame:
     """doc_id, n_shingles, component_id of every row; documents link at Jaccard >= percent / 100."""
     spark = docs.sparkSession
@@ -258,15 +281,12 @@ def similar_groups(docs: DataFrame, k: int = 4, percent: int = 85, text_col: str
     classes = rows.filter("n > 0").groupBy(*key).agg(F.min("doc_id").alias("rep"))
     heads = rows.filter("n > 0 AND doc_id IS NOT NULL").groupBy(*key).agg(F.min(F.struct("doc_id", "prefix")).alias("m")).select(F.col("m.doc_id").alias("rep"), "n", F.col("m.prefix").alias("prefix"))
     dealt = heads.select("rep", "n", F.explode("prefix").alias("s"))
-    by_size = Window.partitionBy("s").orderBy("n", "rep")
-    torn = 100 * F.lag("n").over(by_size) < percent * F.col("n")
-    firsts = dealt.withColumn("head", F.when(F.coalesce(torn, F.lit(True)), F.col("rep")))
-    firsts = firsts.withColumn("head", F.last("head", ignorenulls=True).over(by_size.rowsBetween(Window.unboundedPreceding, 0)))
-    pointers = materialize(firsts.filter("head <> rep").select(F.col("rep").alias("u"), F.col("head").alias("v")).distinct(), "pointers")
+    pointers = materialize(_pointers(dealt, percent), "pointers")
     regions = materialize(components(pointers).select(F.col("node").alias("rep"), F.col("root").alias("region")), "regions")
 
     wanted = regions.select(F.col("rep").alias("doc_id"), "region")
-    some = texts.join(wanted.hint("shuffle_hash"), "doc_id").select("doc_id", "text", "region")
+    wanted = F.broadcast(wanted) if regions.count() <= SENT_IDS else wanted.hint("shuffle_hash")
+    some = texts.join(wanted, "doc_id").select("doc_id", "text", "region")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
