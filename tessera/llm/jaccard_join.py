@@ -38,7 +38,7 @@ from tessera.llm.wordhash import each_slice, mix, window_hashes
 
 _U = np.uint64
 #: Groups of a shingle up to this size are looked at member by member.
-NEIGHBOURS = 4
+NEIGHBOURS = 8
 #: Shingles that a prefix is longer than needed: one in so many of a set's.
 SPARE = 50
 #: Document ids that are sent to every executor at most, as a filter of the second read; more are joined by a shuffle.
@@ -73,7 +73,7 @@ def _long(x: np.ndarray) -> np.ndarray:
 def common_shingles(docs: DataFrame, k: int, keep: int, flush: int = 1 << 22) -> np.ndarray:
     """Up to `keep` of the most frequent shingles (sorted); texts with equal sets count once in a task's run.
 
-    Tasks send what they meet in three sets or more of a run of `flush` shingles; the sums only shape the prefix order,
+    Tasks send what they meet in two sets or more of a run of `flush` shingles; the sums only shape the prefix order,
     any order gives the same result.
     """
 
@@ -83,7 +83,7 @@ def common_shingles(docs: DataFrame, k: int, keep: int, flush: int = 1 << 22) ->
         def counted() -> pa.RecordBatch:
             if held:
                 u, n = np.unique(np.concatenate(held), return_counts=True)
-                u, n = u[n > 2], n[n > 2]
+                u, n = u[n > 1], n[n > 1]
             else:
                 u, n = np.zeros(0, _U), np.zeros(0, np.int64)
             return pa.RecordBatch.from_arrays([pa.array(_long(u), pa.int64()), pa.array(n, pa.int64())], names=["s", "n"])
@@ -272,7 +272,7 @@ def _pointers(dealt: DataFrame, percent: int) -> DataFrame:
     return met.filter(F.col("many") | (F.col("k") >= 1 + F.floor(F.col("n") / SPARE))).select("u", "v")
 
 
-def similar_groups(docs: DataFrame, k: int = 4, percent: int = 85, text_col: str = "text", common: int = 200_000, region_shingles: int = 4_000_000, pivot_rounds: int = 4) -> DataFrame:
+def similar_groups(docs: DataFrame, k: int = 4, percent: int = 85, text_col: str = "text", common: int = 1_000_000, region_shingles: int = 4_000_000, pivot_rounds: int = 4) -> DataFrame:
     """doc_id, n_shingles, component_id of every row; documents link at Jaccard >= percent / 100."""
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
