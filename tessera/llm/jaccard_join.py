@@ -71,7 +71,7 @@ def _long(x: np.ndarray) -> np.ndarray:
 
 
 def common_shingles(docs: DataFrame, k: int, keep: int, flush: int = 1 << 22) -> np.ndarray:
-    """Up to `keep` of the most frequent shingles (sorted); texts with equal sets count once in a task's run.
+    """The most frequent shingles, at most `keep` (sorted); texts with equal sets count once in a task's run.
 
     Tasks send what they meet in two sets or more of a run of `flush` shingles; the sums only shape the prefix order,
     any order gives the same result.
@@ -100,9 +100,21 @@ def common_shingles(docs: DataFrame, k: int, keep: int, flush: int = 1 << 22) ->
                     held, size, seen = [], 0, set()
         yield counted()
 
-    counts = docs.select("text").mapInArrow(run, "s long, n long").groupBy("s").agg(F.sum("n").alias("n"))
-    top = counts.orderBy(F.desc("n"), "s").limit(keep).select("s").toPandas()["s"].to_numpy(np.int64)  # bounded by keep
-    return np.sort(top.view(_U))
+    counts = materialize(docs.select("text").mapInArrow(run, "s long, n long").groupBy("s").agg(F.least(F.sum("n"), F.lit(1 << 16)).alias("n")), "common")
+    held = least = 0
+    for n, some in sorted(((r["n"], r["c"]) for r in counts.groupBy("n").agg(F.count("*").alias("c")).collect()), reverse=True):
+        if held + some > keep:
+            break
+        held, least = held + some, n
+    if not held:
+        return np.zeros(0, _U)
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.column(0).to_numpy().tobytes()], pa.binary())], names=["b"])
+
+    rows = counts.filter(F.col("n") >= least).select("s").mapInArrow(packed, "b binary").collect()  # 8 bytes each of at most `keep`
+    return np.sort(np.frombuffer(b"".join(r["b"] for r in rows), _U))
 
 
 def _prefixes(docs: DataFrame, k: int, percent: int, common: np.ndarray) -> DataFrame:
