@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -75,7 +76,15 @@ _KEPT: dict[str, tuple[object, object]] = {}
 
 
 def kept(kind: str, key: object, make):
-    """One object of a kind per Python worker, so that the tasks of a worker share models and tables."""
+    """The model and table of the operator that a Python worker runs, shared by its tasks; a next operator's replaces it."""
     if kind not in _KEPT or _KEPT[kind][0] != key:
+        release()
         _KEPT[kind] = (key, make())
     return _KEPT[kind][1]
+
+
+def release() -> None:
+    """Give a worker's kept model and table back."""
+    if _KEPT:
+        _KEPT.clear()
+        gc.collect()

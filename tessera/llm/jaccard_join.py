@@ -32,13 +32,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import bytes_of, materialize, shuffle_parts
+from tessera.llm.common import bytes_of, materialize, release, shuffle_parts
 from tessera.llm.components import components
 from tessera.llm.wordhash import each_slice, mix, window_hashes
 
 _U = np.uint64
 #: Groups of a shingle up to this size are looked at member by member.
-NEIGHBOURS = 8
+NEIGHBOURS = 16
 #: Shingles that a prefix is longer than needed: one in so many of a set's.
 SPARE = 50
 #: Document ids that are sent to every executor at most, as a filter of the second read; more are joined by a shuffle.
@@ -70,7 +70,7 @@ def _long(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
-def common_shingles(docs: DataFrame, k: int, keep: int, flush: int = 1 << 22) -> np.ndarray:
+def common_shingles(docs: DataFrame, k: int, keep: int, flush: int = 1 << 21) -> np.ndarray:
     """The most frequent shingles, at most `keep` (sorted); texts with equal sets count once in a task's run.
 
     Tasks send what they meet in two sets or more of a run of `flush` shingles; the sums only shape the prefix order,
@@ -79,6 +79,7 @@ def common_shingles(docs: DataFrame, k: int, keep: int, flush: int = 1 << 22) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size, seen = [], 0, set()
+        release()
 
         def counted() -> pa.RecordBatch:
             if held:
@@ -123,6 +124,7 @@ def _prefixes(docs: DataFrame, k: int, percent: int, common: np.ndarray) -> Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often = held.value
+        release()
         for b in batches:
             n, f1, f2, prefix = [], [], [], []
             for s in shingle_sets(b.column(1), k):
@@ -275,8 +277,8 @@ def _pointers(dealt: DataFrame, percent: int) -> DataFrame:
     fits = lambda small, large: 100 * small >= percent * large
     before = [F.struct(F.lag("rep", k).over(by_size).alias("v"), F.lag("n", k).over(by_size).alias("m")) for k in range(1, NEIGHBOURS)]
     torn = F.when(F.coalesce(fits(F.lag("n").over(by_size), F.col("n")), F.lit(False)), F.lit(None)).otherwise(F.struct(F.col("rep").alias("v"), F.col("n").alias("m")))
-    shared = dealt.withColumn("c", F.count("*").over(whole)).withColumn("before", F.array(*before)).withColumn("torn", torn)
-    shared = shared.withColumn("head", F.last("torn", ignorenulls=True).over(by_size.rowsBetween(Window.unboundedPreceding, 0))).filter("c > 1")
+    shared = dealt.withColumn("c", F.count("*").over(whole)).filter("c > 1").withColumn("before", F.array(*before)).withColumn("torn", torn)
+    shared = shared.withColumn("head", F.last("torn", ignorenulls=True).over(by_size.rowsBetween(Window.unboundedPreceding, 0)))
     near = F.filter("before", lambda b: b["v"].isNotNull() & fits(b["m"], F.col("n")))
     first = F.filter(F.array("head"), lambda h: h["v"] != F.col("rep"))
     pairs = shared.select("rep", "n", (F.col("c") > NEIGHBOURS).alias("many"), F.explode(F.when(F.col("c") > NEIGHBOURS, first).otherwise(near)).alias("b"))
@@ -284,7 +286,7 @@ def _pointers(dealt: DataFrame, percent: int) -> DataFrame:
     return met.filter(F.col("many") | (F.col("k") >= 1 + F.floor(F.col("n") / SPARE))).select("u", "v")
 
 
-def similar_groups(docs: DataFrame, k: int = 4, percent: int = 85, text_col: str = "text", common: int = 1_000_000, region_shingles: int = 4_000_000, pivot_rounds: int = 4) -> DataFrame:
+def similar_groups(docs: DataFrame, k: int = 4, percent: int = 85, text_col: str = "text", common: int = 2_000_000, region_shingles: int = 4_000_000, pivot_rounds: int = 2) -> DataFrame:
     """doc_id, n_shingles, component_id of every row; documents link at Jaccard >= percent / 100."""
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))

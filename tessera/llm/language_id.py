@@ -189,7 +189,7 @@ def fit(docs: DataFrame, fit_docs: int = 2000, fit_words: int = 12000, steps: in
 class Predictor:
     """Documents' languages by a bounded table of words already read."""
 
-    def __init__(self, net: ByteGru, table_size: int = 400_000):
+    def __init__(self, net: ByteGru, table_size: int = 250_000):
         self.net, self.size = net, table_size
         self.table: dict[bytes, int] = {}
         self.rows = np.zeros((1 << 14, len(net.langs) + 1), np.float32)
@@ -223,7 +223,7 @@ class Predictor:
         return out
 
 
-def predict(docs: DataFrame, net: ByteGru | None, text_col: str = "text", keep_text: bool = False, table_size: int = 400_000) -> DataFrame:
+def predict(docs: DataFrame, net: ByteGru | None, text_col: str = "text", keep_text: bool = False, table_size: int = 250_000) -> DataFrame:
     """docs with lang_pred and score."""
     keep = [f for f in docs.schema.fields if f.name not in {"lang_pred", "score"} and (keep_text or f.name != text_col)]
     names = [f.name for f in keep]

@@ -44,7 +44,7 @@ class ByteBpe:
     and kept in a table of at most `table_size` words.
     """
 
-    def __init__(self, path: str, ranks: str | None = None, table_size: int = 400_000):
+    def __init__(self, path: str, ranks: str | None = None, table_size: int = 250_000):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)

@@ -30,7 +30,7 @@ _CHUNK = re.compile(r"[ ▁]*[^ ▁\n]+|[ ▁]+|\n")
 class Codec:
     """encode(texts) -> [(ids as decimal strings, decoded text)] with a bounded table of chunks."""
 
-    def __init__(self, model_path: str, table_size: int = 400_000, add_eos: bool = True):
+    def __init__(self, model_path: str, table_size: int = 250_000, add_eos: bool = True):
         import sentencepiece
 
         self.whole = sentencepiece.SentencePieceProcessor(model_file=model_path)
@@ -94,7 +94,7 @@ class Codec:
         return out
 
 
-def encode_decode(docs: DataFrame, model_path: str, text_col: str = "text", with_text: bool = False, table_size: int = 400_000, add_eos: bool = True) -> DataFrame:
+def encode_decode(docs: DataFrame, model_path: str, text_col: str = "text", with_text: bool = False, table_size: int = 250_000, add_eos: bool = True) -> DataFrame:
     """Adds n_tokens, ids_sha256 and decoded_sha256, and with with_text also ids (array<int>) and decoded."""
     keep = [f for f in docs.schema.fields if f.name not in {"n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded"} and (with_text or f.name != text_col)]
     schema = T.StructType([*keep, T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
