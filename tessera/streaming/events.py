@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-EVENTS = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
+EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
 
 def read_events(spark: SparkSession, folder: str) -> DataFrame:
