@@ -604,7 +604,7 @@ def activity_spans(t, spark):
     return st.activity_spans(t("events"), ["user_id"], "30 minutes")
 
 
-@query("WITH m AS (SELECT user_id, event_id % 20 AS day, epoch_us(ts) AS at, event_type <> 'error' AS done FROM events) SELECT user_id, CAST(sum(CAST(d AS INT)) AS BIGINT) AS n_done FROM (SELECT user_id, day, arg_max(done, at) AS d FROM m GROUP BY ALL) GROUP BY user_id")
+@query("WITH m AS (SELECT user_id, event_id % 20 AS day, ts, event_type <> 'error' AS done FROM events), l AS (SELECT user_id, day, arg_max(done, ts) AS last_done FROM m GROUP BY user_id, day) SELECT user_id, CAST(sum(CAST(last_done AS INTEGER)) AS BIGINT) AS n_done FROM l GROUP BY user_id")
 def stream_plan_progress(t, spark):
     e = st.read_events(spark, t.dir).select("user_id", (F.col("event_id") % 20).cast("int").alias("day"), F.expr("timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', ts)").alias("at"), (F.col("event_type") != "error").alias("done"))
     out = st.drain(st.plan_progress(e), _scratch(spark), "update")
