@@ -61,7 +61,9 @@ def _micros(t) -> DataFrame:
 
 # ---- linking -----------------------------------------------------------------------------------------------
 
-_LEVELS = [("exact", F.col("word")), ("case", F.lower("word")), ("folded", tx.fold_latin(F.col("word"))), ("loose", F.regexp_replace(tx.fold_latin(F.col("word")), "s$", ""))]
+def _levels() -> list:
+    folded = tx.fold_latin(F.col("word"))
+    return [("exact", F.col("word")), ("case", F.lower("word")), ("folded", folded), ("loose", F.regexp_replace(folded, "s$", ""))]
 
 
 def _level_sql(name: str, key: str, once: bool) -> str:
@@ -78,7 +80,7 @@ def flagship_coverage(t, spark):
     w = _words(t)
     entries = w.filter("source = 'src1'").select(F.col("word").alias("entry")).distinct()
     asked = w.filter("source <> 'src1'").groupBy("lang", "word").agg(F.count("*").alias("n"))
-    linked = li.cascade(asked, entries, _LEVELS)
+    linked = li.cascade(asked, entries, _levels())
     return asked.join(linked, "word").groupBy("lang", "method").agg(F.sum("n").alias("tokens"), F.count("*").alias("forms"))
 
 
