@@ -17,13 +17,13 @@ def longest_runs(a: DataFrame, b: DataFrame, group: str, key: str, rounds: int =
     done = None
     for _ in range(rounds):
         diagonal = Window.partitionBy(group, (F.col("a") - F.col("b"))).orderBy("a")
-        runs = cand.withColumn("g", F.col("a") - F.row_number().over(diagonal)).withColumn("d", F.col("a") - F.col("b"))
-        runs = runs.groupBy(group, "d", "g").agg(F.min("a").alias("a0"), F.max("a").alias("a1"), F.min("b").alias("b0"), F.max("b").alias("b1"))
+        runs = cand.withColumn("__g", F.col("a") - F.row_number().over(diagonal)).withColumn("__d", F.col("a") - F.col("b"))
+        runs = runs.groupBy(group, "__d", "__g").agg(F.min("a").alias("a0"), F.max("a").alias("a1"), F.min("b").alias("b0"), F.max("b").alias("b1"))
         runs = runs.withColumn("rank", F.struct((F.col("a1") - F.col("a0")).alias("len"), (-F.col("a0")).alias("na"), (-F.col("b0")).alias("nb")))
         x, y = runs.alias("x"), runs.alias("y")
         apart = ((F.col("y.a1") < F.col("x.a0")) & (F.col("y.b1") < F.col("x.b0"))) | ((F.col("y.a0") > F.col("x.a1")) & (F.col("y.b0") > F.col("x.b1")))
         won = x.join(y, (F.col(f"x.{group}") == F.col(f"y.{group}")) & ~apart & (F.col("y.rank") > F.col("x.rank")), "left_anti")
-        kept = won.select(group, F.explode(F.sequence("a0", "a1")).alias("a"), "d").select(group, "a", (F.col("a") - F.col("d")).alias("b"))
+        kept = won.select(group, F.explode(F.sequence("a0", "a1")).alias("a"), "__d").select(group, "a", (F.col("a") - F.col("__d")).alias("b"))
         done = kept if done is None else done.unionByName(kept)
         p, c = kept.alias("p"), cand.alias("c")
         clash = ~(((F.col("p.a") < F.col("c.a")) & (F.col("p.b") < F.col("c.b"))) | ((F.col("p.a") > F.col("c.a")) & (F.col("p.b") > F.col("c.b"))))

@@ -99,7 +99,11 @@ def portions(units: DataFrame, key: str, order: list[str], weight: str, days: in
     d/days of the total (the first of equals); every portion has a unit where there are enough."""
     w = Window.partitionBy(key).orderBy(*order)
     run = units.withColumn("cum", F.sum(weight).over(w)).withColumn("i", F.row_number().over(w)).withColumn("total", F.sum(weight).over(Window.partitionBy(key))).withColumn("n", F.count("*").over(Window.partitionBy(key)))
-    ideal = F.least(F.lit(days), F.greatest(F.lit(1), F.ceil(F.col("cum") * days / F.greatest(F.col("total"), F.lit(1))))).cast("int")
-    near = run.select(key, "i", "n", "cum", "total", F.explode(F.array_distinct(F.array(ideal - 1, ideal))).alias("day")).filter((F.col("day") >= 1) & (F.col("day") < days))
+    # a unit may be the nearest of the days whose marks lie between the unit before it and the unit after it
+    at = lambda c: c * days / F.greatest(F.col("total"), F.lit(1))
+    low = F.greatest(F.lit(1), F.floor(at(F.col("cum") - F.col(weight)))).cast("int")
+    high = F.least(F.lit(days - 1), F.ceil(at(F.coalesce(F.lead("cum").over(w), F.col("total"))))).cast("int")
+    near = run.withColumn("__low", low).withColumn("__high", high).filter("__low <= __high")
+    near = near.select(key, "i", "n", "cum", "total", F.explode(F.sequence("__low", "__high")).alias("day"))
     far = F.abs(F.col("cum") * days - F.col("day") * F.col("total"))
     return near.groupBy(key, "day").agg(F.min(F.struct(far.alias("far"), F.col("i").alias("cut"))).alias("m")).select(key, "day", F.col("m.cut").alias("cut"))
