@@ -547,7 +547,7 @@ def numbered_notes(t, spark):
 @query("SELECT conv_id, turn AS pair, 0 AS crossings FROM conversations WHERE false")
 def alignment_crossings(t, spark):
     """Aligned neighbour turns never cross: the result is empty."""
-    w = _turn_words(t).withColumn("grp", F.concat_ws("/", "conv_id", "turn")).withColumn("key", tx.fold_latin(F.col("word"))).filter("key <> '' AND i <= 60")
+    w = _turn_words(t).withColumn("grp", F.concat_ws("/", "conv_id", "turn")).withColumn("key", tx.fold_latin(F.col("word"))).filter("key <> ''")
     nxt = w.withColumn("grp", F.concat_ws("/", "conv_id", (F.col("turn") - 1).cast("string")))
     pairs = al.longest_runs(w, nxt, "grp", "key", 2)
     x = pairs.withColumn("last_b", F.max("b").over(Window.partitionBy("grp").orderBy("a").rowsBetween(Window.unboundedPreceding, -1))).filter("b <= last_b")
