@@ -81,3 +81,109 @@ def sharing_groups(links: DataFrame, rounds: int = 30) -> DataFrame:
         if not changed:
             break
     return labels
+
+
+def align_words(a: DataFrame, b: DataFrame, group: str, rounds: int = 3) -> DataFrame:
+    """a, b: group, i, word, key.  Every word of a: its word of b (null: none) and the class of the match: exact (same word),
+    orthographic (same key), variant (same place in a stretch of equal length between kept pairs) or none."""
+    pairs = longest_runs(a, b, group, "key", rounds)
+    ends = a.groupBy(group).agg((F.max("i") + 1).alias("a")).join(b.groupBy(group).agg((F.max("i") + 1).alias("b")), group)
+    marks = pairs.select(group, "a", "b").unionByName(ends.select(group, "a", "b")).unionByName(ends.select(group, F.lit(-1).alias("a"), F.lit(-1).alias("b")))
+    w = Window.partitionBy(group).orderBy("a")
+    gaps = marks.withColumn("na", F.lead("a").over(w)).withColumn("nb", F.lead("b").over(w))
+    even = gaps.filter((F.col("na") - F.col("a") > 1) & (F.col("na") - F.col("a") == F.col("nb") - F.col("b")))
+    placed = even.select(group, F.explode(F.sequence(F.col("a") + 1, F.col("na") - 1)).alias("i"), (F.col("b") - F.col("a")).alias("d")).select(group, F.col("i").alias("a"), (F.col("i") + F.col("d")).alias("b"))
+    edges = pairs.withColumn("same_key", F.lit(True)).unionByName(placed.withColumn("same_key", F.lit(False)))
+    left = a.select(group, F.col("i").alias("a"), F.col("word").alias("a_word")).join(edges, [group, "a"], "left")
+    met = left.join(b.select(group, F.col("i").alias("b"), F.col("word").alias("b_word")), [group, "b"], "left")
+    kind = F.when(F.col("b_word").isNull(), "none").when(F.col("a_word") == F.col("b_word"), "exact").when(F.col("same_key"), "orthographic").otherwise("variant")
+    return met.select(group, "a", "b", kind.alias("match"))
+
+
+def transfer(edges: DataFrame, words: DataFrame, attributes: DataFrame, group: str) -> DataFrame:
+    """edges: group, a, b; words: group, a; attributes: group, b, value.  Every word with the value of the word it is aligned to."""
+    return words.join(edges.select(group, "a", "b"), [group, "a"], "left").join(attributes, [group, "b"], "left").drop("b")
+
+
+def reindex(annotations: DataFrame, edges: DataFrame, group: str) -> DataFrame:
+    """annotations: group, i.  Old places to new ones by unchanged words (edges: a old, b new); those of changed words go."""
+    return annotations.join(edges.select(group, F.col("a").alias("i"), F.col("b").alias("new_i")), [group, "i"])
+
+
+def reflow(owned: DataFrame, group: str, owner: str, order: str, stop: str) -> DataFrame:
+    """Words of another edition spread over our verses.  owned: the verse where known (null: not aligned).  A word without one goes
+    with the last before it, else the first after; words of a verse up to a sentence's end go to the verse before, when that end comes
+    within the verse and the verse before was left open.  Adds verse."""
+    w = Window.partitionBy(group).orderBy(order)
+    back = F.last(owner, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    ahead = F.first(owner, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
+    filled = owned.withColumn("__v", F.coalesce(back, ahead)).withColumn("__end", F.coalesce(F.col(stop), F.lit(False)))
+    inside = Window.partitionBy(group, "__v").orderBy(order)
+    upto = filled.withColumn("__before", F.coalesce(F.sum(F.col("__end").cast("int")).over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    upto = upto.withColumn("__ends", F.sum(F.col("__end").cast("int")).over(Window.partitionBy(group, "__v")))
+    prev_end = F.lag("__end").over(w)
+    fresh = F.lag("__v").over(w) != F.col("__v")
+    verse_start = upto.withColumn("__fresh", F.when(fresh, F.struct(F.lag("__v").over(w).alias("pv"), prev_end.alias("pe"))))
+    start = F.last("__fresh", ignorenulls=True).over(inside.rowsBetween(Window.unboundedPreceding, 0))
+    s = verse_start.withColumn("__s", start)
+    moves = F.col("__s").isNotNull() & ~F.col("__s.pe") & (F.col("__before") == 0) & (F.col("__ends") > 1)
+    return s.withColumn("verse", F.when(F.coalesce(moves, F.lit(False)), F.col("__s.pv")).otherwise(F.col("__v"))).drop("__v", "__end", "__before", "__ends", "__fresh", "__s")
+
+
+def cursor_lines(cited: DataFrame, words: DataFrame, group: str) -> DataFrame:
+    """cited: group, pos, key, lines (array of candidate lines); words: group, line, key.  Each cited word goes to the first
+    candidate line that has it at or past the line reached before; one without goes with the word before, else after.  A group
+    is a sentence: its words are folded in order in one row."""
+    cand = cited.select(group, "pos", "key", F.explode("lines").alias("line")).join(words.select(group, "line", "key").distinct(), [group, "line", "key"], "left_semi")
+    rows = cand.groupBy(group, "pos").agg(F.array_sort(F.collect_set("line")).alias("c"))
+    whole = rows.groupBy(group).agg(F.array_sort(F.collect_list(F.struct("pos", "c"))).alias("x"))
+
+    def step(acc, x):
+        line = F.get(F.filter(x["c"], lambda y: y >= acc["at"]), F.lit(0)).cast("long")
+        return F.struct(F.coalesce(line, acc["at"]).alias("at"), F.concat(acc["out"], F.array(F.struct(x["pos"].cast("long").alias("pos"), line.alias("line")))).alias("out"))
+
+    start = F.struct(F.lit(-(2**62)).cast("long").alias("at"), F.array().cast("array<struct<pos:bigint,line:bigint>>").alias("out"))
+    own = whole.select(group, F.inline(F.aggregate("x", start, step, lambda a: a["out"])))
+    w = Window.partitionBy(group).orderBy("pos")
+    all_ = cited.select(group, "pos").join(own, [group, "pos"], "left")
+    back = F.last("line", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    ahead = F.first("line", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
+    return all_.withColumn("line", F.coalesce(back, ahead))
+
+
+def split_run_ons(notes: DataFrame, text: str, line: str, reach: int = 30) -> DataFrame:
+    """An entry of a later line inside a paragraph ("... 17 word") moves to its own line: a number above the one reached by at most
+    `reach`, at the start of a sentence.  part, line, text."""
+    parts = F.split(text, r"(?<=[.;·!?]) +(?=\d+ \p{L})")
+
+    def step(acc, x):
+        n = F.nullif(F.regexp_extract(x, r"^(\d+) ", 1), F.lit("")).cast("int")
+        moves = F.coalesce((n > acc["at"]) & (n <= acc["at"] + reach), F.lit(False))
+        joined = F.concat(F.element_at(acc["out"], -1)["text"], F.lit(" "), x)
+        out = F.when(moves, F.concat(acc["out"], F.array(F.struct(n.alias("line"), F.regexp_replace(x, r"^\d+ ", "").alias("text"))))).otherwise(
+            F.concat(F.slice(acc["out"], 1, F.size(acc["out"]) - 1), F.array(F.struct(F.element_at(acc["out"], -1)["line"].alias("line"), joined.alias("text")))))
+        return F.struct(F.when(moves, n).otherwise(acc["at"]).alias("at"), out.alias("out"))
+
+    first = F.struct(F.col(line).cast("int").alias("at"), F.array(F.struct(F.col(line).cast("int").alias("line"), F.element_at("__p", 1).alias("text"))).alias("out"))
+    folded = notes.withColumn("__p", parts).withColumn("__o", F.aggregate(F.slice("__p", 2, 1_000_000_000), first, step, lambda a: a["out"]))
+    return folded.select(*[c for c in notes.columns if c not in (text, line)], F.posexplode("__o").alias("part", "o")).select("*", F.col("o.line").alias(line), F.col("o.text").alias(text)).drop("o")
+
+
+def correction_map(lines: DataFrame, corrections: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """corrections: keys, line, sources (array).  Each line's text is its sources' in order; the second table names source lines that
+    are used twice or not at all."""
+    used = corrections.select(*keys, "line", F.posexplode("sources").alias("i", "source"))
+    met = used.join(lines.select(*keys, F.col("line").alias("source"), "text"), [*keys, "source"])
+    made = met.groupBy(*keys, "line").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "text"))), lambda x: x["text"]), " ").alias("text"))
+    n = lines.select(*keys, F.col("line").alias("source")).join(used.groupBy(*keys, "source").agg(F.count("*").alias("n")), [*keys, "source"], "left")
+    return made, n.select(*keys, "source", F.when(F.col("n").isNull(), "unused").when(F.col("n") > 1, "repeated").alias("problem")).filter("problem IS NOT NULL")
+
+
+def choose_reading(options: DataFrame, keys: list[str], base: str, gain: float) -> DataFrame:
+    """options: reading, score.  The base reading stays unless the best other one gains more than `gain`; ties to the smaller name."""
+    w = Window.partitionBy(*keys)
+    own = F.max(F.when(F.col("reading") == base, F.col("score"))).over(w)
+    better = (F.col("reading") != base) & (F.coalesce(F.col("score") - F.col("__own") > gain, F.lit(True)))
+    order = w.orderBy(F.desc("__take"), F.desc("score"), "reading")
+    ranked = options.withColumn("__own", own).withColumn("__take", F.when(better, 2).when(F.col("reading") == base, 1).otherwise(0))
+    return ranked.withColumn("__k", F.row_number().over(order)).filter("__k = 1").drop("__own", "__take", "__k")

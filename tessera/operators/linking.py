@@ -118,3 +118,30 @@ def place_notes(notes: DataFrame, segs: DataFrame, keys: list[str]) -> tuple[Dat
     spans = segs.groupBy(*keys, "ref").agg(F.min("seq").alias("seq_from"), F.max("seq").alias("seq_to"))
     met = notes.join(spans, [*keys, "ref"], "left")
     return met.filter("seq_from IS NOT NULL"), met.filter("seq_from IS NULL").drop("seq_from", "seq_to")
+
+
+def remap_refs(rows: DataFrame, moved: DataFrame, explicit: DataFrame) -> DataFrame:
+    """rows: book, line.  explicit: book, line, to_book, to_line, drop; else moved runs: book, line_from, line_to, to_book, shift.
+    An explicit reference wins; one marked drop goes; rows without a rule stay."""
+    runs = moved.select("book", F.explode(F.sequence("line_from", "line_to")).alias("line"), F.col("to_book").alias("m_book"), "shift")
+    met = rows.join(explicit, ["book", "line"], "left").join(runs, ["book", "line"], "left").filter("drop IS NULL OR NOT drop")
+    out = met.withColumn("new_book", F.coalesce("to_book", "m_book", "book")).withColumn("new_line", F.coalesce("to_line", F.col("line") + F.col("shift"), "line"))
+    return out.drop("to_book", "to_line", "drop", "m_book", "shift")
+
+
+def spare_suffixes(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """rows: num, suffix.  A suffixed place is kept only if its plain number is not there."""
+    plain = rows.filter("suffix = ''").select(*keys, "num").distinct()
+    return rows.filter("suffix = ''").unionByName(rows.filter("suffix <> ''").join(plain, [*keys, "num"], "left_anti"))
+
+
+def pair_similar(left: DataFrame, right: DataFrame, keys: list[str], own: int = 600, least: int = 500) -> DataFrame:
+    """left, right: num, words (arrays).  The right row of the same number if their similarity (2 x shared distinct words over all,
+    in thousandths) is at least `own`, else the most similar one of `least` or more; ties to the smaller number."""
+    size = lambda df, n: df.select(*keys, F.col("num").alias(n), F.array_distinct("words").alias("w")).withColumn(f"{n}_n", F.size("w"))
+    a, b = size(left, "l"), size(right, "r")
+    cells = a.select(*keys, "l", "l_n", F.explode("w").alias("w")).join(b.select(*keys, "r", "r_n", F.explode("w").alias("w")), [*keys, "w"])
+    scored = cells.groupBy(*keys, "l", "r").agg(F.floor(2000 * F.count("*") / F.first(F.col("l_n") + F.col("r_n"))).cast("long").alias("score"))
+    good = scored.filter((F.col("score") >= least) | ((F.col("l") == F.col("r")) & (F.col("score") >= own)))
+    first = Window.partitionBy(*keys, "l").orderBy(F.desc((F.col("l") == F.col("r")) & (F.col("score") >= own)), F.desc("score"), "r")
+    return good.withColumn("__k", F.row_number().over(first)).filter("__k = 1").drop("__k")

@@ -107,3 +107,82 @@ def portions(units: DataFrame, key: str, order: list[str], weight: str, days: in
     near = near.select(key, "i", "n", "cum", "total", F.explode(F.sequence("__low", "__high")).alias("day"))
     far = F.abs(F.col("cum") * days - F.col("day") * F.col("total"))
     return near.groupBy(key, "day").agg(F.min(F.struct(far.alias("far"), F.col("i").alias("cut"))).alias("m")).select(key, "day", F.col("m.cut").alias("cut"))
+
+
+def drop_stray_anchors(df: DataFrame, keys: list[str], pos: str, target: str) -> DataFrame:
+    """Anchors (pos, target) whose offset differs from both neighbours' while theirs agree go; of the rest, those not above the
+    candidate before go too."""
+    w = Window.partitionBy(*keys).orderBy(pos)
+    off = F.col(target) - F.col(pos)
+    seen = df.withColumn("__p", F.lag(off).over(w)).withColumn("__n", F.lead(off).over(w)).withColumn("__o", off)
+    stray = F.coalesce((F.col("__p") == F.col("__n")) & (F.col("__o") != F.col("__p")), F.lit(False))
+    kept = seen.filter(~stray).drop("__p", "__n", "__o")
+    return kept.withColumn("__b", F.lag(target).over(w)).filter(F.col("__b").isNull() | (F.col(target) > F.col("__b"))).drop("__b")
+
+
+def regroup_from(rows: DataFrame, rules: DataFrame, keys: list[str], pos: str, out: str) -> DataFrame:
+    """rules: keys, pos, out.  From a rule's position on, rows belong to its group until the next rule."""
+    met = rows.join(rules.select(*keys, pos, F.col(out).alias("__rule")), [*keys, pos], "left")
+    w = Window.partitionBy(*keys).orderBy(pos).rowsBetween(Window.unboundedPreceding, 0)
+    return met.withColumn(out, F.coalesce(F.last("__rule", ignorenulls=True).over(w), F.col(out) if out in rows.columns else F.lit(None))).drop("__rule")
+
+
+def gap_classes(units: DataFrame, heard: DataFrame, keys: list[str], least: float, lead_in: float, symbols: int = 3) -> DataFrame:
+    """units: start, speech_end; heard: at.  gap to the next unit, how many symbols are heard in it, and its class: speech, pause
+    or last.  Symbols meet their gap by one window over both, not by pairs."""
+    w = Window.partitionBy(*keys).orderBy("start")
+    gaps = units.withColumn("until", F.lead("start").over(w)).withColumn("gap", F.col("until") - F.col("speech_end") - lead_in)
+    both = gaps.select(*keys, F.col("start").alias("at"), F.struct("start", "speech_end", "until").alias("u")).unionByName(heard.select(*keys, "at"), allowMissingColumns=True)
+    order = Window.partitionBy(*keys).orderBy("at", F.col("u").isNull()).rowsBetween(Window.unboundedPreceding, 0)
+    placed = both.withColumn("of", F.last("u", ignorenulls=True).over(order)).filter("u IS NULL AND at >= of.speech_end AND at < of.until")
+    n = placed.groupBy(*keys, F.col("of.start").alias("start")).agg(F.count("*").alias("heard"))
+    met = gaps.join(n, [*keys, "start"], "left").withColumn("heard", F.coalesce("heard", F.lit(0)))
+    kind = F.when(F.col("until").isNull(), "last").when((F.col("gap") >= least) & (F.col("heard") >= symbols), "speech").otherwise("pause")
+    return met.withColumn("kind", kind)
+
+
+def continued_groups(units: DataFrame, keys: list[str], group: str, within: float) -> DataFrame:
+    """Does the next group of the key start where this one ends?  group, start, end, continues."""
+    spans = units.groupBy(*keys, group).agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    nxt = F.lead("start").over(Window.partitionBy(*keys).orderBy(group))
+    return spans.withColumn("continues", F.coalesce(F.abs(nxt - F.col("end")) < within, F.lit(False)))
+
+
+def trim_strays(letters: DataFrame, keys: list[str], at: str, gap: float) -> DataFrame:
+    """Letters of a unit, in order: those before the last wide gap within its first quarter and after the first wide gap within
+    its last quarter go."""
+    w = Window.partitionBy(*keys).orderBy(at)
+    whole = Window.partitionBy(*keys)
+    seen = letters.withColumn("__i", F.row_number().over(w)).withColumn("__n", F.count("*").over(whole)).withColumn("__wide", F.coalesce(F.col(at) - F.lag(at).over(w) > gap, F.lit(False)))
+    low = F.max(F.when(F.col("__wide") & (F.col("__i") - 1 <= F.col("__n") / 4), F.col("__i"))).over(whole)
+    high = F.min(F.when(F.col("__wide") & (F.col("__i") - 1 >= F.col("__n") * 3 / 4), F.col("__i"))).over(whole)
+    cut = seen.withColumn("__low", low).withColumn("__high", high)
+    inside = (F.col("__i") >= F.coalesce("__low", F.lit(1))) & (F.col("__i") < F.coalesce("__high", F.col("__n") + 1))
+    return cut.filter(inside).drop("__i", "__n", "__wide", "__low", "__high")
+
+
+def lead_ins(units: DataFrame, announced: DataFrame, keys: list[str], longest: float, before: float, slack: float) -> DataFrame:
+    """announced: from, to (spans).  A unit starts at the last announced span that begins after the unit before it ends, is no longer
+    than `longest` and no earlier than `before`; never sooner than the end of the unit before plus slack."""
+    w = Window.partitionBy(*keys).orderBy("start")
+    prev = units.withColumn("__prev", F.lag("end").over(w))
+    both = announced.select(*keys, F.col("from").alias("start"), F.struct("from", "to").alias("s")).unionByName(prev.select(*keys, "start", F.struct("end", "__prev").alias("__u")), allowMissingColumns=True)
+    order = Window.partitionBy(*keys).orderBy("start", F.col("__u").isNotNull()).rowsBetween(Window.unboundedPreceding, -1)
+    met = both.withColumn("s", F.last("s", ignorenulls=True).over(order)).filter("__u IS NOT NULL")
+    fits = (F.col("s.to") - F.col("s.from") <= longest) & (F.col("start") - F.col("s.from") <= before) & (F.col("s.from") >= F.coalesce(F.col("__u.__prev"), F.col("s.from")))
+    moved = F.greatest(F.col("s.from"), F.coalesce(F.col("__u.__prev") + slack, F.col("s.from")))
+    return met.select(*keys, "start", F.col("__u.end").alias("end"), F.when(fits, F.least("start", moved)).otherwise(F.col("start")).alias("lead_start"))
+
+
+def recording_plan(files: DataFrame, key: str, name: str, rules: DataFrame) -> DataFrame:
+    """rules: key, div_from, div_to, first: divs div_from..div_to are read in files first, first+1, ... by name."""
+    numbered = files.withColumn("nth", F.row_number().over(Window.partitionBy(key).orderBy(name)))
+    divs = rules.select(key, "div_from", "first", F.explode(F.sequence("div_from", "div_to")).alias("div"))
+    return divs.withColumn("nth", F.col("div") - F.col("div_from") + F.col("first")).join(numbered, [key, "nth"]).select(key, "div", name)
+
+
+def within_span(df: DataFrame, first: tuple[int, int], last: tuple[int, int], chapter: str = "c", verse: str = "v") -> DataFrame:
+    """Rows from c:v up to c:v, both included."""
+    at = F.struct(F.col(chapter).cast("long").alias("c"), F.col(verse).cast("long").alias("v"))
+    end = lambda p: F.struct(F.lit(p[0]).cast("long").alias("c"), F.lit(p[1]).cast("long").alias("v"))
+    return df.filter((at >= end(first)) & (at <= end(last)))

@@ -39,7 +39,7 @@ def split_sections(df: DataFrame, key: str, text: str, heading: str = r"(?m)^==
     extra = F.coalesce(~F.col("marker").rlike(r"^\d"), F.lit(False))
     w = Window.partitionBy(key).orderBy("i")
     no = F.when(F.col("marker").isNull(), 0).when(extra, 999 + F.sum(extra.cast("int")).over(w)).otherwise(F.regexp_extract("marker", r"^(\d+)", 1).cast("int"))
-    return parts.select(key, no.alias("section_no"), F.col("marker").alias("heading"), F.trim("passage").alias("body"))
+    return parts.select(key, no.alias("section_no"), F.col("marker").alias("heading"), F.regexp_replace("passage", r"^\s+|\s+$", "").alias("body"))
 
 
 def resolve_redirects(pages: DataFrame, key: str, text: str, depth: int = 10) -> DataFrame:
@@ -56,7 +56,11 @@ def read_lexicon(spark: SparkSession, path: str, sep: str = "\t", comment: str =
     """key, value: the first definition of a key wins; comment lines and short rows are tolerated."""
     lines = spark.read.text(path).withColumn("n", F.monotonically_increasing_id())
     rows = lines.filter(~F.col("value").startswith(comment) & (F.trim("value") != "")).withColumn("f", F.split("value", sep))
-    return rows.groupBy(F.trim(F.col("f")[0]).alias("key")).agg(F.min_by(F.trim(F.coalesce(F.get("f", F.lit(1)), F.lit(""))), "n").alias("value"))
+    return first_definitions(rows.select(F.trim(F.col("f")[0]).alias("key"), F.trim(F.coalesce(F.get("f", F.lit(1)), F.lit(""))).alias("value"), "n"), "key", "value", "n")
+
+
+def first_definitions(rows: DataFrame, key: str, value: str, order: str) -> DataFrame:
+    return rows.groupBy(key).agg(F.min_by(value, order).alias(value))
 
 
 def read_vpl(spark: SparkSession, path: str) -> DataFrame:
@@ -79,8 +83,8 @@ def zip_by_position(first: DataFrame, *more: DataFrame) -> DataFrame:
 
 
 def slice_by_offsets(words: DataFrame, starts: DataFrame) -> DataFrame:
-    """words: pos; starts: ref, start.  Every word with the ref whose start is the last at or before it."""
-    both = words.select("pos", "word").withColumn("__k", F.lit(1)).unionByName(starts.select(F.col("start").alias("pos"), "ref", "grp").withColumn("__k", F.lit(0)), allowMissingColumns=True)
+    """words: grp, pos, word; starts: grp, ref, start.  Every word with the ref whose start is the last at or before it."""
+    both = words.select("grp", "pos", "word").withColumn("__k", F.lit(1)).unionByName(starts.select(F.col("start").alias("pos"), "ref", "grp").withColumn("__k", F.lit(0)), allowMissingColumns=True)
     w = Window.partitionBy("grp").orderBy("pos", "__k")
     return both.withColumn("ref", F.last("ref", ignorenulls=True).over(w)).filter("__k = 1").drop("__k")
 

@@ -78,3 +78,40 @@ def test_lexicon(spark, tmp_path):
     f = tmp_path / "lex.tsv"
     f.write_text("# note\nlogos\tword\nlogos\treason\nshort\n")
     assert {tuple(r) for r in rd.read_lexicon(spark, str(f)).collect()} == {("logos", "word"), ("short", "")}
+
+
+def test_ordinals(spark):
+    got = dict(tx.ordinal_dim(spark).collect())
+    assert (got[2], got[11], got[20], got[21]) == ("Δεύτερον", "Ἑνδέκατον", "Εἰκοστόν", "Εἰκοστὸν Πρῶτον")
+    assert got[112] == "Ἑκατοστὸν Δωδέκατον" and len(got) == 199
+
+
+def test_reflow(spark):
+    rows = [(0, 1, False), (1, 1, False), (2, 2, True), (3, 2, False), (4, None, True), (5, 3, True), (6, None, False)]
+    df = spark.createDataFrame([(1, *r) for r in rows], "g int, pos int, own int, stop boolean")
+    got = [r.verse for r in al.reflow(df, "g", "own", "pos", "stop").orderBy("pos").collect()]
+    assert got == [1, 1, 1, 2, 2, 3, 3]  # the sentence left open in verse 1 takes its last word from verse 2
+
+
+def test_corrections_and_choices(spark):
+    lines = spark.createDataFrame([(1, k, x) for k, x in enumerate("abcd")], "g int, line int, text string")
+    fixes = spark.createDataFrame([(1, 10, [1, 0]), (1, 11, [1, 2])], "g int, line int, sources array<int>")
+    made, wrong = al.correction_map(lines, fixes, ["g"])
+    assert {tuple(r) for r in made.collect()} == {(1, 10, "b a"), (1, 11, "b c")}
+    assert {tuple(r) for r in wrong.collect()} == {(1, 1, "repeated"), (1, 3, "unused")}
+    o = spark.createDataFrame([(1, "x", 5.0), (1, "y", 7.0), (2, "x", 5.0), (2, "y", 9.0), (3, "y", 1.0)], "k int, reading string, score double")
+    assert {(r.k, r.reading) for r in al.choose_reading(o, ["k"], "x", 3.0).collect()} == {(1, "x"), (2, "y"), (3, "y")}
+
+
+def test_cursor_is_kept_in_order(spark):
+    words = spark.createDataFrame([(1, n, k) for n, k in ((1, "a"), (2, "b"), (2, "a"), (3, "b"))], "g int, line int, key string")
+    cited = spark.createDataFrame([(1, 0, "b", [2, 3]), (1, 1, "a", [1, 2]), (1, 2, ",", [9]), (1, 3, "b", [1, 3])], "g int, pos int, key string, lines array<int>")
+    assert [r.line for r in al.cursor_lines(cited, words, "g").orderBy("pos").collect()] == [2, 2, 2, 3]
+
+
+def test_strays_and_anchors(spark):
+    at = [0, 500, 510, 520, 530, 540, 550, 900]
+    df = spark.createDataFrame([(1, x) for x in at], "g int, at int")
+    assert sorted(r.at for r in sq.trim_strays(df, ["g"], "at", 100).collect()) == at[1:-1]
+    a = spark.createDataFrame([(1, p, q) for p, q in ((1, 1), (2, 9), (3, 3), (4, 4))], "g int, p int, q int")
+    assert sorted(r.q for r in sq.drop_stray_anchors(a, ["g"], "p", "q").collect()) == [1, 3, 4]
