@@ -1,0 +1,36 @@
+"""Stages of the pipeline on repeated and missing ids."""
+
+import corpus_pipeline
+
+
+def words(first, n=60, changed=()):
+    return " ".join(f"x{k}" if k in changed else f"{first}{k}" for k in range(n))
+
+
+def near(spark, rows):
+    docs = spark.createDataFrame([(*r, "en", "s", 0) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.near_duplicates(spark, docs, "")
+    assert got.columns == docs.columns
+    return sorted(((r.doc_id, r.text) for r in got.collect()), key=repr)
+
+
+def test_near_duplicates_by_text(spark):
+    a, b, c, d = words("a"), words("b"), words("c"), words("d")
+    late = words("b", changed=[59])
+    nulls = [(None, a), (None, "other words"), (None, None)]
+    # 5: its b is a copy of 3's, its a is its own; 7: two texts of its own, one of them repeated; 8: a near copy of 3's and c
+    rows = [(3, b), (5, a), (5, b), (7, c), (7, c), (7, d), (8, late), (8, c), (9, ""), (9, None), (9, None), *nulls]
+    want = [(3, b), (5, a), (7, c), (7, d), (9, ""), (9, None), *nulls]
+    assert near(spark, rows) == sorted(want, key=repr)
+
+
+def test_near_duplicates_keep_null_ids_without_repeats(spark):
+    a, b = words("a"), words("b")
+    rows = [(1, a), (2, a), (3, b), (None, a), (None, a)]
+    assert near(spark, rows) == sorted([(1, a), (3, b), (None, a), (None, a)], key=repr)
+
+
+def test_near_duplicates_of_one_id(spark):
+    a, late = words("a"), words("a", changed=[59])
+    got = near(spark, [(4, a), (4, late), (6, a), (6, words("z"))])
+    assert len(got) == 2 and got[0][0] == 4 and got[1] == (6, words("z"))
