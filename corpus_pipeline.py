@@ -15,6 +15,8 @@ from tessera.llm.queries import BYTES, RANKS, table
 
 #: A text is turned away by the language stage if it has no letter or no language reaches this share.
 LEAST_SCORE = 0.3
+#: Near copies share this percentage of their shingles, of so many words.
+SHINGLE_WORDS, PERCENT = 5, 80
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,16 +33,17 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of every group of near copies one text stays, once: that of the smallest id, and of an id's own texts the one with
-    the smallest SHA-256.  Texts are judged one by one: an id's other texts stay.  Documents without an id all stay."""
+    the smallest SHA-256.  Texts are judged one by one: an id's other texts stay.  Documents without an id all stay.
+    Near copies link at a Jaccard similarity of 0.8 over five words (op7 alone: 0.85 over four)."""
     known = docs.filter("doc_id IS NOT NULL")
     if not known.groupBy("doc_id").count().filter("count > 1").limit(1).count():
-        groups = jaccard_join.similar_groups(known)
+        groups = jaccard_join.similar_groups(known, SHINGLE_WORDS, PERCENT)
         gone = groups.filter("doc_id <> component_id").select("doc_id")
         return docs.join(gone.hint("shuffle_hash"), "doc_id", "left_anti").select(*docs.columns)
     # an id may have several texts: each is a node of its own
     marked = known.withColumn("__mark", F.coalesce(F.sha2("text", 256), F.lit("")))
     texts = materialize(marked.select("doc_id", "text", "__mark").dropDuplicates(["doc_id", "__mark"]).withColumn("__node", F.monotonically_increasing_id()), "texts")
-    groups = jaccard_join.similar_groups(texts.select(F.col("__node").alias("doc_id"), "text")).select(F.col("doc_id").alias("__node"), "component_id")
+    groups = jaccard_join.similar_groups(texts.select(F.col("__node").alias("doc_id"), "text"), SHINGLE_WORDS, PERCENT).select(F.col("doc_id").alias("__node"), "component_id")
     stays = texts.select("__node", "doc_id", "__mark").join(groups, "__node").groupBy("component_id").agg(F.min(F.struct("doc_id", "__mark")).alias("m")).select("m.*")
     kept = marked.join(stays.hint("shuffle_hash"), ["doc_id", "__mark"], "left_semi").dropDuplicates(["doc_id", "__mark"])
     return kept.select(*docs.columns).unionByName(docs.filter("doc_id IS NULL"))

@@ -34,3 +34,9 @@ def test_near_duplicates_of_one_id(spark):
     a, late = words("a"), words("a", changed=[59])
     got = near(spark, [(4, a), (4, late), (6, a), (6, words("z"))])
     assert len(got) == 2 and got[0][0] == 4 and got[1] == (6, words("z"))
+
+
+def test_near_duplicates_at_five_words_and_80_percent(spark):
+    a, b = words("a", 100), words("b", 100)
+    rows = [(1, a), (2, words("a", 100, [30, 60])), (3, b), (4, words("b", 100, [30, 50, 70]))]  # 0.811 and 0.729 on five words
+    assert near(spark, rows) == [rows[0], *rows[2:]]
