@@ -5,17 +5,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.llm.common import materialize
 
-def longest_runs(a: DataFrame, b: DataFrame, group: str, key: str, rounds: int = 3) -> DataFrame:
+
+def _checkpoint(df: DataFrame) -> DataFrame:
+    spark = df.sparkSession
+    if not (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext._jsc.sc().getCheckpointDir().isDefined()):
+        import tempfile
+
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tessera-"))
+    return df.checkpoint()
+
+
+def longest_runs(a: DataFrame, b: DataFrame, group: str, key: str) -> DataFrame:
     """a, b: group, key, i -> group, a, b: matched positions.
 
     Candidate pairs share group and key.  Pairs on one diagonal with consecutive positions are a run; a run is kept if no run that crosses or
-    overlaps it in the group is longer (ties: the earlier a, then b).  Later rounds look between kept pairs.  Cost is bounded by repeated
-    keys within a group: groups are lines or short passages.
+    overlaps it in the group is longer (ties: the earlier a, then b).  Later rounds look between kept pairs, until no candidate is left:
+    every round keeps the longest run of each group at least, and is written to the shared folder.  Cost is bounded by repeated keys within a group: groups
+    are lines or short passages.
     """
     cand = a.select(group, key, F.col("i").alias("a")).join(b.select(group, key, F.col("i").alias("b")), [group, key]).select(group, "a", "b")
-    done = None
-    for _ in range(rounds):
+    cand, done = materialize(cand, "candidates"), None
+    while True:
         diagonal = Window.partitionBy(group, (F.col("a") - F.col("b"))).orderBy("a")
         runs = cand.withColumn("__g", F.col("a") - F.row_number().over(diagonal)).withColumn("__d", F.col("a") - F.col("b"))
         runs = runs.groupBy(group, "__d", "__g").agg(F.min("a").alias("a0"), F.max("a").alias("a1"), F.min("b").alias("b0"), F.max("b").alias("b1"))
@@ -24,11 +36,13 @@ def longest_runs(a: DataFrame, b: DataFrame, group: str, key: str, rounds: int =
         apart = ((F.col("y.a1") < F.col("x.a0")) & (F.col("y.b1") < F.col("x.b0"))) | ((F.col("y.a0") > F.col("x.a1")) & (F.col("y.b0") > F.col("x.b1")))
         won = x.join(y, (F.col(f"x.{group}") == F.col(f"y.{group}")) & ~apart & (F.col("y.rank") > F.col("x.rank")), "left_anti")
         kept = won.select(group, F.explode(F.sequence("a0", "a1")).alias("a"), "__d").select(group, "a", (F.col("a") - F.col("__d")).alias("b"))
+        kept = materialize(kept, "kept")
         done = kept if done is None else done.unionByName(kept)
         p, c = kept.alias("p"), cand.alias("c")
         clash = ~(((F.col("p.a") < F.col("c.a")) & (F.col("p.b") < F.col("c.b"))) | ((F.col("p.a") > F.col("c.a")) & (F.col("p.b") > F.col("c.b"))))
-        cand = c.join(p, (F.col(f"c.{group}") == F.col(f"p.{group}")) & clash, "left_anti")
-    return done
+        cand = materialize(c.join(p, (F.col(f"c.{group}") == F.col(f"p.{group}")) & clash, "left_anti"), "candidates")
+        if not cand.limit(1).count():
+            return done
 
 
 def regroup(a: DataFrame, b: DataFrame, group: str) -> DataFrame:
@@ -62,31 +76,27 @@ def similarity(pairs: DataFrame, sizes_a: DataFrame, sizes_b: DataFrame, group:
     return all_.withColumn("ratio", F.floor(2000 * F.col("matched") / (F.col("n_a") + F.col("n_b"))).cast("long"))
 
 
-def sharing_groups(links: DataFrame, rounds: int = 30) -> DataFrame:
+def sharing_groups(links: DataFrame) -> DataFrame:
     """links: member, target -> member, group_id: members that share targets, however far apart; the id is the smallest member.
 
-    Labels sink through targets until none changes; every round is checkpointed."""
-    spark = links.sparkSession
-    if not (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext._jsc.sc().getCheckpointDir().isDefined()):
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tessera-"))
-    edges = links.select("member", "target").distinct().checkpoint()
-    labels = edges.select("member").distinct().withColumn("group_id", F.col("member")).checkpoint()
-    for _ in range(rounds):
+    Labels sink through targets, and on to their own member's label, until none changes; every round is checkpointed."""
+    edges = _checkpoint(links.select("member", "target").distinct())
+    labels = _checkpoint(edges.select("member").distinct().withColumn("group_id", F.col("member")))
+    while True:
         low = edges.join(labels, "member").groupBy("target").agg(F.min("group_id").alias("group_id"))
-        new = edges.join(low, "target").groupBy("member").agg(F.min("group_id").alias("group_id")).checkpoint()
+        new = _checkpoint(edges.join(low, "target").groupBy("member").agg(F.min("group_id").alias("group_id")))
+        up = new.select(F.col("member").alias("group_id"), F.col("group_id").alias("above"))
+        new = _checkpoint(new.join(up, "group_id").select("member", F.col("above").alias("group_id")))
         changed = new.join(labels.withColumnRenamed("group_id", "old"), "member").filter("group_id <> old").limit(1).count()
         labels = new
         if not changed:
-            break
-    return labels
+            return labels
 
 
-def align_words(a: DataFrame, b: DataFrame, group: str, rounds: int = 3) -> DataFrame:
+def align_words(a: DataFrame, b: DataFrame, group: str) -> DataFrame:
     """a, b: group, i, word, key.  Every word of a: its word of b (null: none) and the class of the match: exact (same word),
     orthographic (same key), variant (same place in a stretch of equal length between kept pairs) or none."""
-    pairs = longest_runs(a, b, group, "key", rounds)
+    pairs = longest_runs(a, b, group, "key")
     ends = a.groupBy(group).agg((F.max("i") + 1).alias("a")).join(b.groupBy(group).agg((F.max("i") + 1).alias("b")), group)
     marks = pairs.select(group, "a", "b").unionByName(ends.select(group, "a", "b")).unionByName(ends.select(group, F.lit(-1).alias("a"), F.lit(-1).alias("b")))
     w = Window.partitionBy(group).orderBy("a")

@@ -549,7 +549,7 @@ def alignment_crossings(t, spark):
     """Aligned neighbour turns never cross: the result is empty."""
     w = _turn_words(t).withColumn("grp", F.concat_ws("/", "conv_id", "turn")).withColumn("key", tx.fold_latin(F.col("word"))).filter("key <> ''")
     nxt = w.withColumn("grp", F.concat_ws("/", "conv_id", (F.col("turn") - 1).cast("string")))
-    pairs = al.longest_runs(w, nxt, "grp", "key", 2)
+    pairs = al.longest_runs(w, nxt, "grp", "key")
     x = pairs.withColumn("last_b", F.max("b").over(Window.partitionBy("grp").orderBy("a").rowsBetween(Window.unboundedPreceding, -1))).filter("b <= last_b")
     return x.groupBy("grp").agg(F.count("*").alias("crossings")).select(F.split("grp", "/")[0].cast("long").alias("conv_id"), F.split("grp", "/")[1].cast("long").alias("pair"), F.col("crossings").cast("int"))
 

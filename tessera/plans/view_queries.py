@@ -34,19 +34,19 @@ def _edited(t):
 @query(f"WITH {_FIRST} SELECT doc_id, i AS a, i AS b, CASE WHEN i % 5 = 2 THEN CASE WHEN word = '#' THEN 'exact' ELSE 'variant' END WHEN i % 7 <> 3 OR word = upper(word) THEN 'exact' ELSE 'orthographic' END AS match FROM one")
 def aligned_words(t, spark):
     """Keys hold the place, so the right alignment is known: changed words are variants within their stretch."""
-    return al.align_words(_first_line(t), _edited(t), "doc_id", 2)
+    return al.align_words(_first_line(t), _edited(t), "doc_id")
 
 
 @query(f"WITH {_FIRST} SELECT doc_id, i AS a, CASE WHEN i % 5 <> 2 THEN length(word) END AS value FROM one")
 def transferred_attributes(t, spark):
-    edges = al.longest_runs(_first_line(t), _edited(t), "doc_id", "key", 2)
+    edges = al.longest_runs(_first_line(t), _edited(t), "doc_id", "key")
     values = _first_line(t).select("doc_id", F.col("i").alias("b"), F.length("word").alias("value"))
     return al.transfer(edges, _first_line(t).select("doc_id", F.col("i").alias("a")), values, "doc_id")
 
 
 @query(f"WITH {_FIRST} SELECT doc_id, i, i AS new_i FROM one WHERE i % 5 <> 2")
 def reindexed(t, spark):
-    edges = al.longest_runs(_first_line(t), _edited(t), "doc_id", "key", 2)
+    edges = al.longest_runs(_first_line(t), _edited(t), "doc_id", "key")
     return al.reindex(_first_line(t).select("doc_id", "i"), edges, "doc_id")
 
 

@@ -115,3 +115,15 @@ def test_strays_and_anchors(spark):
     assert sorted(r.at for r in sq.trim_strays(df, ["g"], "at", 100).collect()) == at[1:-1]
     a = spark.createDataFrame([(1, p, q) for p, q in ((1, 1), (2, 9), (3, 3), (4, 4))], "g int, p int, q int")
     assert sorted(r.q for r in sq.drop_stray_anchors(a, ["g"], "p", "q").collect()) == [1, 3, 4]
+
+
+def test_runs_and_groups_go_on_until_nothing_changes(spark):
+    n = {2: 8, 1: 7, 4: 6, 3: 5, 6: 4, 5: 3, 8: 2, 7: 1}  # blocks of so many words; each crosses only its neighbours in this order
+    said = lambda order: [(1, i, w) for i, w in enumerate(f"{x}w{k}" for x in order for k in range(n[x]))]
+    a, b = said(range(1, 9)), said((2, 4, 1, 6, 3, 8, 5, 7))
+    of = lambda rows: spark.createDataFrame(rows, "g int, i int, key string")
+    at = {w: i for _, i, w in b}
+    want = sorted((i, at[w]) for _, i, w in a if w[0] in "2468")
+    assert sorted((r.a, r.b) for r in al.longest_runs(of(a), of(b), "g", "key").collect()) == want
+    chain = spark.createDataFrame([(m, t) for m in range(80) for t in (m, m + 1)], "member long, target long")
+    assert {r.group_id for r in al.sharing_groups(chain).collect()} == {0}
