@@ -341,7 +341,7 @@ def compact_round_trip(t, spark):
 @query("SELECT count(*) AS rows_changed FROM (SELECT source FROM documents GROUP BY source HAVING bool_or(lang = 'es'))")
 def incremental_changes(t, spark):
     d = t("documents").select("source", "text", "lang")
-    built = d.filter("lang <> 'es'").groupBy("source").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("text")), "\x1e"), 256).alias("hash"))
+    built = d.filter("lang <> 'es'").groupBy("source").agg(st.content_hash("text").alias("hash"))
     return st.rebuild_changed(d, built, "source", "text").agg(F.count("*").alias("rows_changed"))
 
 

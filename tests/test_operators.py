@@ -9,6 +9,7 @@ from tessera.operators import reports as rp
 from tessera.operators import sequence as sq
 from tessera.sources import readers as rd
 from tessera.sources import sinks
+from tessera.streaming import events as st
 
 
 def col(spark, expr, *values):
@@ -127,3 +128,11 @@ def test_runs_and_groups_go_on_until_nothing_changes(spark):
     assert sorted((r.a, r.b) for r in al.longest_runs(of(a), of(b), "g", "key").collect()) == want
     chain = spark.createDataFrame([(m, t) for m in range(80) for t in (m, m + 1)], "member long, target long")
     assert {r.group_id for r in al.sharing_groups(chain).collect()} == {0}
+
+
+def test_rebuild_changed_collects_no_group(spark):
+    now = spark.createDataFrame([("a", "x"), ("a", "y"), ("b", "x"), ("b", "x"), ("c", None)], "k string, v string")
+    was = spark.createDataFrame([("a", "y"), ("a", "x"), ("b", "x"), ("c", None)], "k string, v string").groupBy("k").agg(st.content_hash("v").alias("hash"))
+    got = st.rebuild_changed(now, was, "k", "v")
+    assert [r.k for r in got.collect()] == ["b"]
+    assert "collect_list" not in got._jdf.queryExecution().toString()
