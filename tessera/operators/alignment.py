@@ -5,16 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialize
-
-
-def _checkpoint(df: DataFrame) -> DataFrame:
-    spark = df.sparkSession
-    if not (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext._jsc.sc().getCheckpointDir().isDefined()):
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tessera-"))
-    return df.checkpoint()
+from tessera.operators.graph import components
+from tessera.store import materialize
 
 
 def longest_runs(a: DataFrame, b: DataFrame, group: str, key: str) -> DataFrame:
@@ -78,19 +70,11 @@ def similarity(pairs: DataFrame, sizes_a: DataFrame, sizes_b: DataFrame, group:
 
 def sharing_groups(links: DataFrame) -> DataFrame:
     """links: member, target -> member, group_id: members that share targets, however far apart; the id is the smallest member.
-
-    Labels sink through targets, and on to their own member's label, until none changes; every round is checkpointed."""
-    edges = _checkpoint(links.select("member", "target").distinct())
-    labels = _checkpoint(edges.select("member").distinct().withColumn("group_id", F.col("member")))
-    while True:
-        low = edges.join(labels, "member").groupBy("target").agg(F.min("group_id").alias("group_id"))
-        new = _checkpoint(edges.join(low, "target").groupBy("member").agg(F.min("group_id").alias("group_id")))
-        up = new.select(F.col("member").alias("group_id"), F.col("group_id").alias("above"))
-        new = _checkpoint(new.join(up, "group_id").select("member", F.col("above").alias("group_id")))
-        changed = new.join(labels.withColumnRenamed("group_id", "old"), "member").filter("group_id <> old").limit(1).count()
-        labels = new
-        if not changed:
-            return labels
+    A member that shares with no other is in no group.  Every target points its members to its smallest one: rows stay linear."""
+    pairs = links.select("member", "target").filter("member IS NOT NULL AND target IS NOT NULL").distinct()
+    first = pairs.groupBy("target").agg(F.min("member").alias("u"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    edges = pairs.join(first, "target").select("u", F.col("member").alias("v")).filter("u <> v")
+    return components(edges).select(F.col("node").alias("member"), F.col("root").alias("group_id"))
 
 
 def align_words(a: DataFrame, b: DataFrame, group: str) -> DataFrame:

@@ -14,6 +14,7 @@ from tessera.operators import linking as li
 from tessera.operators import reports as rp
 from tessera.operators import sequence as sq
 from tessera.sources import readers as rd
+from tessera.store import new_path
 from tessera.streaming import events as st
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -204,10 +205,10 @@ def fallback_sources(t, spark):
     return li.coalesce_sources(t("customer").select("c_custkey"), ["c_custkey"], ("urgent", first("o_orderpriority = '1-URGENT'")), ("any", first("true")))
 
 
-@query(f"""WITH RECURSIVE {SEG}, e AS (SELECT DISTINCT doc_id AS m, md5(content) AS h FROM seg WHERE length(content) > 200), p AS (SELECT DISTINCT a.m AS a, b.m AS b FROM e a JOIN e b ON a.h = b.h),
-r(a, b) AS (SELECT a, b FROM p UNION SELECT r.a, p.b FROM r JOIN p ON r.b = p.a) SELECT a AS member, min(b) AS group_id FROM r GROUP BY a""")
+@query(f"""WITH RECURSIVE {SEG}, e AS (SELECT DISTINCT doc_id AS m, md5(content) AS h FROM seg WHERE length(content) > 0), p AS (SELECT DISTINCT a.m AS a, b.m AS b FROM e a JOIN e b ON a.h = b.h),
+r(a, b) AS (SELECT a, b FROM p UNION SELECT r.a, p.b FROM r JOIN p ON r.b = p.a) SELECT a AS member, min(b) AS group_id FROM r GROUP BY a HAVING count(*) > 1""")
 def sharing_groups(t, spark):
-    links = _segs(t).filter(F.length("content") > 200).select(F.col("doc_id").alias("member"), F.md5("content").alias("target"))
+    links = _segs(t).filter(F.length("content") > 0).select(F.col("doc_id").alias("member"), F.md5("content").alias("target"))
     return al.sharing_groups(links)
 
 
@@ -586,17 +587,9 @@ def book_page(t, spark):
 
 # ---- streams ------------------------------------------------------------------------------------------------------------------
 
-def _scratch(spark: SparkSession) -> str:
-    import tempfile
-    import uuid
-
-    at = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tessera-")
-    return f"{at.rstrip('/')}/stream-{uuid.uuid4().hex}"
-
-
 @query("SELECT user_id, event_type, max(ts) AS ts, arg_max(value, ts) AS value FROM events GROUP BY ALL")
 def stream_latest_place(t, spark):
-    out = st.drain(st.latest_place(st.read_events(spark, t.dir), ["user_id", "event_type"]), _scratch(spark), "update")
+    out = st.drain(st.latest_place(st.read_events(spark, t.dir), ["user_id", "event_type"]), new_path(spark, "stream"), "update")
     last = out.groupBy("user_id", "event_type").agg(F.max_by(F.struct("ts", "value"), "epoch").alias("m"))
     return last.select("user_id", "event_type", "m.ts", "m.value")
 
@@ -609,5 +602,5 @@ def activity_spans(t, spark):
 @query("WITH m AS (SELECT user_id, event_id % 20 AS day, ts, event_type <> 'error' AS done FROM events), l AS (SELECT user_id, day, arg_max(done, ts) AS last_done FROM m GROUP BY user_id, day) SELECT user_id, CAST(sum(CAST(last_done AS INTEGER)) AS BIGINT) AS n_done FROM l GROUP BY user_id")
 def stream_plan_progress(t, spark):
     e = st.read_events(spark, t.dir).select("user_id", (F.col("event_id") % 20).cast("int").alias("day"), F.expr("timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', ts)").alias("at"), (F.col("event_type") != "error").alias("done"))
-    out = st.drain(st.plan_progress(e), _scratch(spark), "update")
+    out = st.drain(st.plan_progress(e), new_path(spark, "stream"), "update")
     return out.groupBy("user_id").agg(F.max_by("n_done", "epoch").alias("n_done"))

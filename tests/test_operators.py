@@ -136,3 +136,20 @@ def test_rebuild_changed_collects_no_group(spark):
     got = st.rebuild_changed(now, was, "k", "v")
     assert [r.k for r in got.collect()] == ["b"]
     assert "collect_list" not in got._jdf.queryExecution().toString()
+
+
+def test_sharing_groups_of_a_long_chain(spark):
+    links = spark.range(1000).selectExpr("id AS member", "explode(array(id, id + 1)) AS target")
+    lone = spark.createDataFrame([(5000, 70000), (5000, 70001), (None, 3), (7, None)], links.schema)
+    got = al.sharing_groups(links.union(lone)).collect()
+    assert len(got) == 1000 and {r.group_id for r in got} == {0}
+
+
+def test_nothing_imports_the_llm_folders():
+    import pathlib
+
+    root = pathlib.Path(__file__).parent.parent
+    for p in root.glob("tessera/**/*.py"):
+        if "llm" not in p.parts:
+            assert "llm" not in p.read_text(), p
+    assert not [p for p in (root / "tests").glob("*.py") if p.name != "test_operators.py" and "corpus_pipeline" in p.read_text()]
