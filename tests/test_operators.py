@@ -140,7 +140,7 @@ def test_rebuild_changed_collects_no_group(spark):
 
 def test_sharing_groups_of_a_long_chain(spark):
     links = spark.range(1000).selectExpr("id AS member", "explode(array(id, id + 1)) AS target")
-    lone = spark.createDataFrame([(5000, 70000), (5000, 70001), (None, 3), (7, None)], links.schema)
+    lone = spark.createDataFrame([(5000, 70000), (5000, 70001), (None, 3), (7, None)], "member long, target long")
     got = al.sharing_groups(links.union(lone)).collect()
     assert len(got) == 1000 and {r.group_id for r in got} == {0}
 
