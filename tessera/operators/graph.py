@@ -1,4 +1,4 @@
-"""Connected components of an edge table, by labels that sink to the smallest member."""
+"""Connected components of an edge table, by hooking to smaller neighbours and contraction."""
 
 from __future__ import annotations
 
@@ -8,33 +8,38 @@ from pyspark.sql import functions as F
 from tessera.store import materialize
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """edges: u, v (of one orderable type) -> node, root for every node that has an edge; root is the component's smallest node.
+def _follow(pointers: DataFrame, by: DataFrame) -> DataFrame:
+    """node, root with every root replaced by where `by` points it, and whether that moved it."""
+    up = by.select(F.col("node").alias("root"), F.col("root").alias("above"))
+    met = pointers.select("node", "root").join(up, "root", "left")
+    return met.select("node", F.coalesce("above", "root").alias("root"), F.coalesce(F.col("above") < F.col("root"), F.lit(False)).alias("moved"))
 
-    Each round points every node to the smallest label among its neighbours, follows pointers twice, and contracts
-    the edges to labels; edges within one label go.  The table shrinks every round, and each round is written to the
-    shared folder, so that no lineage builds up.  A round at least halves the labels that still have an edge, so `most_rounds`
-    is beyond any table; an edge left after it is an error, not a result.
+
+def _any(df: DataFrame) -> bool:
+    return df.limit(1).count() > 0
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """edges: u, v (of one orderable type) -> node, root for every node that has an edge to another; root is the component's smallest node.
+
+    Each round points every node to its smallest neighbour where that is smaller, follows pointers until all end at a node that
+    points nowhere (their distance halves with every step), and contracts the edges to these ends.  An end is smaller than all its
+    neighbours, so at most half of the nodes stay: rounds and steps are logarithmic in the input, whatever the order of ids.
+    Every step is written to the shared folder, so that no lineage builds up.
     """
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).filter("u <> v").distinct()
     both = materialize(both, "edges")
     labels = None
-    for _ in range(most_rounds):
-        hook = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), F.least("u", "m").alias("root"))
-        hook = materialize(hook, "hooks")
-        up = hook.select(F.col("node").alias("root"), F.col("root").alias("above"))
-        step = hook.join(up, "root", "left").select("node", F.coalesce("above", "root").alias("root"))
-        up = step.select(F.col("node").alias("root"), F.col("root").alias("above"))
-        step = materialize(step.join(up, "root", "left").select("node", F.coalesce("above", "root").alias("root")), "steps")
-        if labels is None:
-            labels = step
-        else:
-            up = step.select(F.col("node").alias("root"), F.col("root").alias("above"))
-            labels = materialize(labels.join(up, "root", "left").select("node", F.coalesce("above", "root").alias("root")), "labels")
-        a = step.select(F.col("node").alias("u"), F.col("root").alias("a"))
-        b = step.select(F.col("node").alias("v"), F.col("root").alias("b"))
+    while labels is None or _any(both):
+        tree = materialize(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), F.least("u", "m").alias("root")), "hooks")
+        while True:
+            once = _follow(tree, tree)
+            tree = materialize(_follow(once, once), "steps")
+            if not _any(tree.filter("moved")):
+                break
+        labels = tree.select("node", "root") if labels is None else materialize(_follow(labels, tree).select("node", "root"), "labels")
+        a = tree.select(F.col("node").alias("u"), F.col("root").alias("a"))
+        b = tree.select(F.col("node").alias("v"), F.col("root").alias("b"))
         both = both.join(a, "u").join(b, "v").filter("a <> b").select(F.col("a").alias("u"), F.col("b").alias("v")).distinct()
         both = materialize(both, "edges")
-        if not both.limit(1).count():
-            return labels
-    raise RuntimeError("components did not settle")
+    return labels
