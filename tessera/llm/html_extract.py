@@ -1,191 +1,332 @@
-"""Main text of web pages by template deduction over pages of one host.
+"""Main text of web pages by a template deduced from equivalence classes of tokens.
 
-Tokens are the containers of a page, told apart by their path (tags with classes).  Per host, a token's occurrence
-vector (on which pages it stands) is folded into one number; tokens with equal vectors form an equivalence
-class.  Classes that stand on at least two pages (or on a host's only page) are valid; they nest by their paths and
-make up the host's template.  Its slots are the places between template tokens: slots under a menu, header, footer,
-sidebar, notice, advert, form or comments are the site's, and of the others the one with an article's
-marking, else the one with the most text outside links, holds the main text.  Every page is then cut by its host's
-template; a page without the chosen slot is cut by its own best one.
+Tokens of a page are its elements, told apart by their path (tags with classes), and its text runs, told apart by the
+container they stand in and their text.  A token's occurrence vector says how often it comes on each page of the host; it is
+folded into one sum of hashes (page, count).  Tokens of a host with equal vectors are an equivalence class.
 
-Only per-host token counts are shuffled for the template; pages meet their template by (host, salt), so that a hot
-host is spread over `salts` keys.
+1. A text token in the class of its own container comes just as often and just where the container does: it belongs to the
+   site's template.  Classes count from `least_pages` pages on, and only paths on a hundredth of the host's pages or more
+   enter its template, so that a template holds at most a hundred times the paths of a mean page.
+2. Classes nest as their paths do.  A container of whose text at least SHARE lies in such classes is fixed template, with all
+   that it holds; the others are slots.
+3. The main slot is the article or main element with the most text that varies.  Without one, the way leads down from the root to the
+   slot that holds MOST of what varies outside links; containers in it with hardly any text outside links are menus.
+4. A page's text is that of its host's main slot, without the fixed parts, menus and the site's own elements (nav, footer, aside,
+   form, ...; class words such as "comments" or "advert" mark what tags don't, unless the container holds the article itself or
+   most of the text).  A page without the main slot is cut by its own paths, as a host of one page is.
 
-Nulls: a null page is empty and has an empty text.  Repeated rows give repeated results.  Broken markup (unclosed or
-unopened elements, a page that ends within a tag) is read as far as it goes.
+Order among neighbours plays no part: pages that show two boxes in another order still share them.  Where almost nothing
+varies on a host (copies of one page) there is no telling template from text, and nothing counts as fixed.  An article is
+never fixed, nor is what holds one.
+
+Only token sums are shuffled for the template; templates are sent to all executors if they are small (SENT_BYTES, measured), else
+pages meet them by (host, salt), so that a hot host is spread over `salts` keys.
+
+Nulls: a null page is empty and has an empty text, a null address has the empty host.  Repeated rows give repeated results and leave classes
+as they are.  An empty table gives no rows.  A page of any length is read whole.  Columns named text or n_chars are replaced.  Broken markup
+(unclosed or unopened elements, a page that ends within a tag) is read as far as it goes.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html as _html
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.llm.common import materialize
 from tessera.llm.url_filter import url_parts
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<[!?/][^>]*>""", re.S)
 _LABELS = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 _RAW = {"script", "style", "noscript", "template", "textarea", "iframe", "svg", "title", "select", "object", "canvas", "math"}
-_VOID = {"br", "hr", "img", "input", "meta", "link", "area", "base", "col", "embed", "source", "track", "wbr"}
 _CONTAINERS = {"html", "body", "head", "div", "section", "article", "main", "nav", "header", "footer", "aside", "form", "ul", "ol", "dl", "table", "dialog", "menu", "fieldset", "details", "button", "figure"}
 _BLOCKS = _CONTAINERS | {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "dt", "dd", "tr", "td", "th", "thead", "tbody", "tfoot", "caption", "blockquote", "pre", "address", "figcaption", "summary", "br", "hr", "option", "center", "hgroup", "legend"}
+#: Elements that are the site's by their meaning.
 _SITE = {"nav", "footer", "aside", "form", "head", "dialog", "menu", "button"}
-#: Class, id and role words that mark what belongs to the site and not to the article.
+#: Class, id and role words that mark what belongs to the site where neither tag nor template tells.
 _SITE_WORDS = set("ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments contentinfo cookie cookies consent disclaimer footer gdpr login menu modal nav navbar navigation newsletter notice notices notification overlay pagination popup promo promoted related respond search share sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split())
+#: Of a fixed container's text, this much is the same on all its pages; of a slot's text, this much lies in the slot that the way down takes.
+SHARE, MOST = 0.9, 0.8
+#: Templates of so many bytes in all are sent to every executor; larger ones are joined by a shuffle.
+SENT_BYTES = 8 << 20
 
 
-def _slot(tag: str, attrs: str, inside_article: bool) -> tuple[str, bool]:
-    """A container's name in paths, and whether it is the site's."""
+def _name(tag: str, attrs: str) -> str:
+    """An element's name in paths: tag, classes (digits are one), and "!" if a word marks it as the site's."""
     labels = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _LABELS.finditer(attrs)} if attrs else {}
-    name = tag + "".join("." + c for c in sorted(labels.get("class", "").split()))
-    if tag in ("html", "body", "article", "main"):
-        return name, False
     words = {p.lower() for v in labels.values() for p in _PART.findall(v)}
-    site = tag in _SITE or (tag == "header" and not inside_article) or not words.isdisjoint(_SITE_WORDS)
-    return name, site
-
-
-def runs(page: str) -> Iterator[tuple[str, bool, int, bool, str]]:
-    """(path, the site's, block, within a link, raw text) of every text run."""
-    stack: list[tuple[str, str, bool]] = []  # tag, path, the site's
-    path, site, block, link, at = "", False, 0, 0, 0
-    find = _TOKEN.search
-    while True:
-        m = find(page, at)
-        if m is None:
-            rest = page[at:]
-            cut = re.search(r"<[a-zA-Z/!?][^>]*\Z", rest)  # ends within a tag
-            rest = rest[: cut.start()] if cut else rest
-            if rest:
-                yield path, site, block, link > 0, rest
-            return
-        if m.start() > at:
-            yield path, site, block, link > 0, page[at : m.start()]
-        at = m.end()
-        tag = m[2]
-        if tag is None:
-            continue
-        tag, closing = tag.lower(), m[1] == "/"
-        if tag in _BLOCKS:
-            block += 1
-        if tag in _RAW:
-            if not closing and not m[3].endswith("/"):
-                end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
-                at = end.end() if end else len(page)
-            continue
-        if tag == "a":
-            link = max(0, link + (-1 if closing else 1))
-        elif tag in _CONTAINERS:
-            if closing:
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] == tag:
-                        del stack[k:]
-                        link = 0
-                        break
-            elif not (m[3].endswith("/") and tag not in _CONTAINERS):
-                name, own = _slot(tag, m[3], any(s[0] == "article" for s in stack))
-                stack.append((tag, f"{path}>{name}", site or own))
-            path, site = (stack[-1][1], stack[-1][2]) if stack else ("", False)
-
-
-def rank_of(path: str) -> int:
-    last = path.rpartition(">")[2].partition(".")[0]
-    return {"article": 3, "main": 2}.get(last, 1)
-
-
-def page_tokens(page: str) -> dict[str, tuple[int, int]]:
-    """path -> (runs, characters outside links) of the containers that aren't the site's."""
-    out: dict[str, tuple[int, int]] = {}
-    for path, site, _, linked, text in runs(page):
-        if site:
+    classes = re.sub(r"\d+", "0", "".join("." + c for c in sorted(labels.get("class", "").replace(">", "").replace("!", "").split())))
+    return tag + classes + ("!" if tag not in ("html", "body", "article", "main") and not words.isdisjoint(_SITE_WORDS) else "")
+
+
+def _tag(name: str) -> str:
+    return name.rstrip("!").partition(".")[0]
+
+
+class Reader:
+    """The runs of a page in order; counts element starts by path."""
+
+    def __init__(self, page: str):
+        self.page, self.starts = page, {"": 1}
+
+    def runs(self) -> Iterator[tuple[str, int, bool, str]]:
+        """(container's path, block, within a link, raw text) of every text run."""
+        page, find = self.page, _TOKEN.search
+        stack: list[tuple[str, str]] = []  # tag, path
+        path, block, link, at = "", 0, 0, 0
+        while True:
+            m = find(page, at)
+            if m is None:
+                rest = page[at:]
+                cut = re.search(r"<[a-zA-Z/!?][^>]*\Z", rest)  # ends within a tag
+                rest = rest[: cut.start()] if cut else rest
+                if rest:
+                    yield path, block, link > 0, rest
+                return
+            if m.start() > at:
+                yield path, block, link > 0, page[at : m.start()]
+            at = m.end()
+            tag = m[2]
+            if tag is None:
+                continue
+            tag, closing = tag.lower(), m[1] == "/"
+            if tag in _BLOCKS:
+                block += 1
+            if tag in _RAW:
+                if not closing and not m[3].endswith("/"):
+                    end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
+                    at = end.end() if end else len(page)
+                continue
+            if tag == "a":
+                link = max(0, link + (-1 if closing else 1))
+            elif tag in _CONTAINERS:
+                if closing:
+                    for k in range(len(stack) - 1, -1, -1):
+                        if stack[k][0] == tag:
+                            del stack[k:]
+                            link = 0
+                            break
+                else:
+                    stack.append((tag, f"{path}>{_name(tag, m[3])}"))
+                    self.starts[stack[-1][1]] = self.starts.get(stack[-1][1], 0) + 1
+                path = stack[-1][1] if stack else ""
+
+
+def above(path: str) -> Iterator[str]:
+    """The path and all that hold it, outwards, down to the root ""."""
+    while path:
+        yield path
+        path = path.rpartition(">")[0]
+    yield ""
+
+
+def _by_meaning(path: str) -> bool:
+    """The last element is the site's by its tag."""
+    up, _, name = path.rpartition(">")
+    tag = _tag(name)
+    return tag in _SITE or (tag == "header" and not any(_tag(x) == "article" for x in up.split(">")))
+
+
+def _is_article(path: str) -> bool:
+    return _tag(path.rpartition(">")[2]) in ("article", "main")
+
+
+def page_tokens(page: str) -> list[tuple[str, int | None, int, int, int]]:
+    """(path, text's hash, times, characters outside links, within links): elements have no hash; text runs of the site's own elements
+    and of articles are none, as neither can turn out fixed or not."""
+    read, own, texts = Reader(page), {}, {}
+    silent: dict[str, bool] = {}
+    for path, _, linked, text in read.runs():
+        flat = " ".join(text.split())
+        if not flat:
             continue
-        n, chars = out.get(path, (0, 0))
-        out[path] = (n + 1, chars + (0 if linked else len(text.strip())))
-        while path:  # an article's own text may lie in containers below it
-            path = path.rpartition(">")[0]
-            if rank_of(path) > 1 and path:
-                n, chars = out.get(path, (0, 0))
-                out[path] = (n + 1, chars + (0 if linked else len(text.strip())))
-    return out
+        at = own.setdefault(path, [0, 0])
+        at[linked] += len(flat)
+        if path not in silent:
+            silent[path] = _is_article(path) or any(_by_meaning(p) for p in above(path) if p)
+        if not silent[path]:
+            key = (path, int.from_bytes(hashlib.blake2b(flat.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True))
+            n = texts.setdefault(key, [0, 0, 0])
+            n[0] += 1
+            n[1 + linked] += len(flat)
+    return [*((p, None, n, *own.get(p, (0, 0))) for p, n in read.starts.items()), *((p, h, *n) for (p, h), n in texts.items())]
+
 
+@dataclass
+class Template:
+    """main: the main slot's path (None: no text); fixed: paths that go with all they hold; lifted: marked paths that stay."""
 
-def best_slot(tokens: dict[str, tuple[int, int]]) -> str | None:
-    some = [(rank_of(p), chars, p) for p, (_, chars) in tokens.items() if chars]
-    return max(some)[2] if some else None
+    main: str | None
+    fixed: frozenset[str]
+    lifted: frozenset[str]
 
+    def site(self, path: str) -> bool:
+        return _by_meaning(path) or (path.endswith("!") and path not in self.lifted)
 
-def main_text(page: str, slot: str | None) -> str:
-    """Texts of the runs under the slot, block by block."""
-    under = None if slot is None else slot + ">"
+
+def template(rows: Iterable[tuple[str, int, int, int, int]], least_pages: int = 3) -> Template:
+    """rows: path, pages, characters of its own outside links, within links, and how many of them lie in its class."""
+    own = {path: (pages, chars, linked, const) for path, pages, chars, linked, const in rows}
+    for path in list(own):
+        for p in above(path):
+            own.setdefault(p, (0, 0, 0, 0))
+    total: dict[str, list[int]] = {p: [0, 0, 0] for p in own}  # characters, those in links, those in classes, with all below
+    for path, (_, chars, linked, const) in own.items():
+        for p in above(path):
+            t = total[p]
+            t[0], t[1], t[2] = t[0] + chars + linked, t[1] + linked, t[2] + const
+    articles = [p for p in own if _is_article(p) and not any(_by_meaning(x) for x in above(p) if x)]
+    holds = {x for p in articles for x in above(p)}
+    clear = [p for p in articles if not any(x.endswith("!") for x in above(p))]
+    whole = sum(c + li for p, (_, c, li, _) in own.items() if not any(_by_meaning(x) for x in above(p) if x))
+    lifted = frozenset(p for p in own if p.endswith("!") and (p in holds or (not clear and 2 * total[p][0] > whole)))
+    made = Template(None, frozenset(), lifted)
+    site = {p: any(made.site(x) for x in above(p) if x) for p in own}
+    open_ = [p for p in own if not site[p]]
+    moving = sum(own[p][1] + own[p][2] - own[p][3] for p in open_)
+    varies = moving >= (1 - SHARE) * max(1, sum(own[p][1] + own[p][2] for p in open_))
+    fixed = {p for p in open_ if varies and p not in holds and own[p][0] >= least_pages and total[p][0] and total[p][2] >= SHARE * total[p][0] and 2 * (total[p][0] - total[p][2]) <= moving}
+
+    def gone(path: str) -> bool:
+        return any(x in fixed or (x and made.site(x)) for x in above(path))
+
+    slot: dict[str, int] = dict.fromkeys(own, 0)  # characters outside links in what is neither the site's nor fixed
+    for path in own:
+        if not gone(path):
+            for p in above(path):
+                slot[p] += own[path][1]
+    inner = [p for p in articles if not gone(p) and slot[p]]
+    main: str | None = None
+    if inner:
+        outer = max((p for p in inner if not any(x in inner for x in above(p) if x != p)), key=lambda p: (slot[p], p))
+        deep = [p for p in inner if p != outer and p.startswith(outer + ">") and slot[p] >= MOST * slot[outer]]
+        main = max(deep, key=lambda p: (len(p), p)) if deep else outer
+    elif slot[""] or any(own[p][2] for p in own if not gone(p)):
+        main = ""
+        while True:
+            below = [p for p in own if p and p.rpartition(">")[0] == main and not gone(p)]
+            best = max(below, key=lambda p: (slot[p], p), default=None)
+            if best is None or not slot[best] or slot[best] < MOST * slot[main]:
+                break
+            main = best
+        if slot[main]:  # menus beside the text
+            fixed |= {p for p in own if p != main and p.startswith(main + ">") and total[p][0] and total[p][1] >= SHARE * total[p][0]}
+    return Template(main, frozenset(fixed), lifted)
+
+
+def own_template(page: str) -> Template:
+    return template((path, 1, chars, linked, 0) for path, text, _, chars, linked in page_tokens(page) if text is None)
+
+
+def main_text(page: str, cut: Template | None) -> str:
+    """Texts of the runs in the main slot, block by block."""
+    cut = cut or own_template(page)
+    kept: dict[str, bool] = {}
     got: list[list[str]] = []
     last, seen = -1, False
-    for path, site, block, _, text in runs(page):
-        if slot is None or not (path == slot or path.startswith(under)):
-            continue
-        seen = True
-        if site:
+    for path, block, _, text in Reader(page).runs():
+        if path not in kept:
+            inside = cut.main is not None and (not cut.main or path == cut.main or path.startswith(cut.main + ">"))
+            seen |= inside
+            kept[path] = inside and not any(x in cut.fixed or cut.site(x) for x in above(path) if x and len(x) > len(cut.main))
+        if not kept[path]:
             continue
         if block != last:
             got.append([])
             last = block
         got[-1].append(_html.unescape(text) if "&" in text else text)
-    if not seen:
-        own = best_slot(page_tokens(page))
-        return main_text(page, own) if own is not None and own != slot else ""
+    if not seen and page:
+        own = own_template(page)
+        if own.main is not None and own.main != cut.main:
+            return main_text(page, Template(own.main, own.fixed | cut.fixed, own.lifted | cut.lifted))
     return " ".join(t for t in (" ".join("".join(b).split()) for b in got) if t)
 
 
-def deduce_templates(pages: DataFrame, least_pages: int = 2) -> DataFrame:
-    """pages: host, page_key, html -> host, slot: the main slot of each host's template."""
-    kind = pa.schema([("host", pa.string()), ("page_key", pa.int64()), ("token", pa.string()), ("n", pa.int64()), ("chars", pa.int64())])
+_TOKENS = "host string, page_key long, path string, text long, n long, chars long, linked long"
+
+
+def occurrences(pages: DataFrame) -> DataFrame:
+    """pages: host, page_key, html -> host, path, text (null for elements), vector, pages, chars, linked: a row per token of a host."""
+    types = (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
+    names = [x.split()[0] for x in _TOKENS.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo in range(0, b.num_rows, 256):
                 part = b.slice(lo, 256)
-                rows = []
-                for host, key, page in zip(*(part.column(k).to_pylist() for k in range(3)), strict=True):
-                    rows += [(host, key, path, n, chars) for path, (n, chars) in page_tokens(page or "").items()]
-                cols = zip(*rows, strict=True) if rows else [[]] * 5
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, kind.types, strict=True)], schema=kind)
-
-    tokens = pages.select("host", "page_key", "html").mapInArrow(run, "host string, page_key long, token string, n long, chars long")
-    last = F.element_at(F.split("token", ">"), -1)
-    rank = F.when(last.rlike(r"^article(\.|$)"), 3).when(last.rlike(r"^main(\.|$)"), 2).otherwise(1)
-    # the occurrence vector of a token, folded page by page into one number
-    seen = tokens.groupBy("host", "token").agg(F.expr("bit_xor(xxhash64(page_key))").alias("vector"), F.count("*").alias("pages"), F.sum("chars").alias("chars"))
-    seen = seen.withColumn("rank", rank).filter("chars > 0")
-    classes = seen.groupBy("host", "vector", "pages").agg(F.max(F.struct("rank", "chars", "token")).alias("best"), F.count("*").alias("tokens"))
-    valid = F.when(F.col("pages") >= least_pages, 1).otherwise(0)
-    top = classes.groupBy("host").agg(F.max(F.struct(valid.alias("valid"), F.col("best.rank").alias("rank"), F.col("best.chars").alias("chars"), F.col("best.token").alias("token"))).alias("top"))
-    return top.select("host", F.col("top.token").alias("slot"))
-
-
-def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html", salts: int = 64) -> DataFrame:
+                rows = [(host, key, *t) for host, key, page in zip(*(part.column(k).to_pylist() for k in range(3)), strict=True) for t in page_tokens(page or "")]
+                cols = zip(*rows, strict=True) if rows else [[]] * len(names)
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, types, strict=True)], names=names)
+
+    tokens = pages.select("host", "page_key", "html").mapInArrow(run, _TOKENS)
+    vector = F.sum(F.xxhash64("page_key", "n").cast("decimal(20,0)")).alias("vector")
+    return tokens.groupBy("host", "path", "text").agg(vector, F.count("*").alias("pages"), F.sum("chars").alias("chars"), F.sum("linked").alias("linked"))
+
+
+def deduce_templates(pages: DataFrame, least_pages: int = 3) -> DataFrame:
+    """pages: host, page_key, html -> host, main, fixed, lifted: the template of every host."""
+    element = F.col("text").isNull()
+    seen = occurrences(pages).filter(element | (F.col("pages") >= least_pages))
+    # an element and the text tokens of its container with its vector: one class, as far as it lies at this path
+    classes = seen.groupBy("host", "path", "vector").agg(
+        F.max(F.when(element, F.col("pages"))).alias("pages"), F.sum(F.when(element, F.col("chars")).otherwise(0)).alias("chars"),
+        F.sum(F.when(element, F.col("linked")).otherwise(0)).alias("linked"), F.sum(F.when(element, 0).otherwise(F.col("chars") + F.col("linked"))).alias("const"))
+    paths = materialize(classes.filter("pages IS NOT NULL").drop("vector"), "paths")
+    whole = paths.filter("path = ''").select("host", F.col("pages").alias("all_pages"))
+    frequent = paths.join(whole, "host").filter("100 * pages >= all_pages")
+    held = frequent.groupBy("host").agg(F.collect_list(F.struct("path", "pages", "chars", "linked", "const")).alias("rows"))
+    names = ["host", "main", "fixed", "lifted"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            made = [template([tuple(r.values()) for r in rows], least_pages) for rows in b.column(1).to_pylist()]
+            lists = [pa.array([sorted(getattr(t, k)) for t in made], pa.list_(pa.string())) for k in ("fixed", "lifted")]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([t.main for t in made], pa.string()), *lists], names=names)
+
+    return held.mapInArrow(run, "host string, main string, fixed array<string>, lifted array<string>")
+
+
+def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html", salts: int = 64, least_pages: int = 3, sent_bytes: int = SENT_BYTES) -> DataFrame:
     """pages without the markup, with text and n_chars."""
     keep = [f for f in pages.schema.fields if f.name not in {"text", "n_chars", html_col}]
     names = [f.name for f in keep]
     host = url_parts(F.col(f"`{url_col}`").cast("string"))[0]
     page = F.coalesce(F.col(f"`{html_col}`").cast("string"), F.lit(""))
     key = F.xxhash64(*[F.col(f"`{x}`").cast("string") for x in names], F.length(page))
-    rows = pages.select(*[F.col(f"`{x}`") for x in names], host.alias("__host"), page.alias("__html"), F.pmod(key, F.lit(salts)).cast("int").alias("__salt"))
-    slots = deduce_templates(pages.select(host.alias("host"), key.alias("page_key"), page.alias("html")))
-    slots = slots.select(F.col("host").alias("__host"), F.col("slot").alias("__slot"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("__salt"))
+    cuts = materialize(deduce_templates(pages.select(host.alias("host"), key.alias("page_key"), page.alias("html")), least_pages), "templates")
+    cuts = cuts.select(F.col("host").alias("__host"), F.struct("main", "fixed", "lifted").alias("__cut"))
+    text_bytes = lambda c: F.coalesce(F.aggregate(c, F.lit(0), lambda a, x: a + F.octet_length(x) + 16), F.lit(0))
+    size = cuts.agg(F.sum(64 + F.octet_length("__host") + F.coalesce(F.octet_length("__cut.main"), F.lit(0)) + text_bytes("__cut.fixed") + text_bytes("__cut.lifted"))).first()[0] or 0
+    rows = pages.select(*[F.col(f"`{x}`") for x in names], host.alias("__host"), page.alias("__html"), key.alias("__key"))
+    if size <= sent_bytes:
+        joined = rows.join(F.broadcast(cuts), "__host", "left")  # `size` bytes, as measured
+    else:
+        salted = cuts.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        joined = rows.withColumn("__salt", F.pmod("__key", F.lit(salts)).cast("int")).join(salted.hint("shuffle_hash"), ["__host", "__salt"], "left")
     schema = T.StructType([*keep, T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[tuple, Template] = {}
         for b in batches:
             texts = []
             for lo in range(0, b.num_rows, 256):
                 part = b.slice(lo, 256)
-                texts += [main_text(p, s) for p, s in zip(*(part.column(part.schema.names.index(x)).to_pylist() for x in ("__html", "__slot")), strict=True)]
+                html, cut = (part.column(part.schema.names.index(x)).to_pylist() for x in ("__html", "__cut"))
+                for p, c in zip(html, cut, strict=True):
+                    at = (c["main"], tuple(c["fixed"]), tuple(c["lifted"])) if c else None
+                    if at is not None and at not in known:
+                        if len(known) > 1000:
+                            known.clear()
+                        known[at] = Template(at[0], frozenset(at[1]), frozenset(at[2]))
+                    texts.append(main_text(p, known[at] if at is not None else None))
             yield pa.RecordBatch.from_arrays([*(b.column(b.schema.names.index(x)) for x in names), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=[*names, "text", "n_chars"])
 
-    joined = rows.join(slots.hint("shuffle_hash"), ["__host", "__salt"], "left")
-    return joined.select(*[F.col(f"`{x}`") for x in names], "__html", "__slot").mapInArrow(run, schema)
+    return joined.select(*[F.col(f"`{x}`") for x in names], "__html", "__cut").mapInArrow(run, schema)
