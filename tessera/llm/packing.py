@@ -2,14 +2,16 @@
 
 Whole multiples of the capacity become full sequences.  The rests of a task's documents, in
 bounded groups, go longest first to the sequence with the lowest estimated cost (a * tokens + b * sum of squared piece
-lengths, the attention's linear and quadratic share) that still has room; a rest that fits nowhere whole is cut over
-the cheapest sequences with room.  A group opens just as many sequences as its tokens fill, so at most one
+lengths, the attention's linear and quadratic share) among all that still have room for it; a rest that fits nowhere whole is
+cut over the cheapest sequences with room.  A group opens just as many sequences as its tokens fill, so at most one
 sequence of a group is padded; groups hold `group_tokens` tokens, so padding is under capacity / group_tokens.
 
 No shuffle: groups are runs of rows of a partition.  A sequence's id is the partition's number and a running number.
 
 Nulls: a null text is an empty document (its end id only).  Ties in length keep the order of rows.  A text of any
-length is encoded whole; repeated rows are packed as often as they come.
+length is encoded whole; repeated rows are packed as often as they come; a null id is kept.  An empty table gives no rows.  Further
+columns of the input, whatever their names, play no part.  A text that holds an added token of the vocabulary (as "<|endoftext|>")
+is encoded as the tokenizers library does it: with that token's id, or as ordinary text with `special_as_text`.
 """
 
 from __future__ import annotations
@@ -39,16 +41,18 @@ class ByteBpe:
     """Ids of a text as little-endian uint32 bytes.
 
     With `ranks`, the same vocabulary as a rank file, plain Latin texts are encoded by tiktoken, several times as fast
-    and with the same ids; every other text, and all texts without `ranks`, by the tokenizers library.  In plain texts
+    and with the same ids; every other text, those that hold an added token of the vocabulary, and all texts without `ranks`, by
+    the tokenizers library.  In plain texts
     with single blanks a word with its blank is encoded alone (the word pattern looks ahead over white space only),
     and kept in a table of at most `table_size` words.
     """
 
-    def __init__(self, path: str, ranks: str | None = None, table_size: int = 250_000):
+    def __init__(self, path: str, ranks: str | None = None, table_size: int = 250_000, special_as_text: bool = False):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
+        self.tok.encode_special_tokens = special_as_text
+        self.added = [a.content for a in self.tok.get_added_tokens_decoder().values()]
         self.fast = self._ranked(ranks)._core_bpe.encode_ordinary if ranks else None
         self.table, self.size = {}, table_size
 
@@ -65,7 +69,7 @@ class ByteBpe:
     def __call__(self, text: str) -> bytes:
         if not text:
             return b""
-        if self.fast is None or not (_PLAIN.fullmatch(text) if not text.isascii() else not _CONTROL.search(text)):
+        if self.fast is None or any(a in text for a in self.added) or not (_PLAIN.fullmatch(text) if not text.isascii() else not _CONTROL.search(text)):
             return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         if "  " in text or "\n " in text or " \n" in text or text[0] == " " or text[-1] == " ":
             return array("I", self.fast(text)).tobytes()
@@ -84,54 +88,50 @@ class ByteBpe:
 
 
 def balance(lengths: list[int], capacity: int, linear: float = 1.0, quadratic: float = 1 / 1024) -> list[list[tuple[int, int]]]:
-    """Pieces (sequence, length) of every rest, in order; as few sequences as the tokens need."""
+    """Pieces (sequence, length) of every rest, in order; as few sequences as the tokens need.
+
+    A rest goes whole to the sequence of the lowest cost among all that have room for it, and is cut over the cheapest with
+    any room only if none has.  Equal costs: the lower number."""
     n_seq = -(-sum(lengths) // capacity)
-    room = [capacity] * n_seq
-    heap = [(0.0, s) for s in range(n_seq)]
+    room, cost = np.full(n_seq, capacity), np.zeros(n_seq)
+    heap = [(0.0, s) for s in range(n_seq)]  # the cheapest of all; entries of an earlier cost are stale
     out: list[list[tuple[int, int]]] = [[] for _ in lengths]
+
+    def cheapest(need: int) -> int | None:
+        while heap and (heap[0][0] != cost[heap[0][1]] or not room[heap[0][1]]):
+            heapq.heappop(heap)
+        if not heap:
+            return None
+        if room[heap[0][1]] >= need:
+            return heap[0][1]
+        open_ = np.flatnonzero(room >= need)
+        return int(open_[cost[open_].argmin()]) if len(open_) else None
+
     for k in sorted(range(len(lengths)), key=lambda i: (-lengths[i], i)):
-        left, passed = lengths[k], []
-        # the cheapest sequence with room for all; few are looked at, as cost and fill rise together
-        for _ in range(16):
-            if not heap:
-                break
-            cost, s = heapq.heappop(heap)
-            if room[s] >= left:
-                passed.append((cost, s, left))
-                left = 0
-                break
-            passed.append((cost, s, 0))
-        for cost, s, put in passed:
-            if not put and left:  # no whole place among them: cut over the cheapest
-                put = min(left, room[s])
-                left -= put
-            if put:
-                out[k].append((s, put))
-                room[s] -= put
-                cost += linear * put + quadratic * put * put
-            if room[s]:
-                heapq.heappush(heap, (cost, s))
+        left = lengths[k]
         while left:
-            cost, s = heapq.heappop(heap)
-            put = min(left, room[s])
+            s = cheapest(left)
+            if s is None:  # no room for all of it anywhere
+                s = cheapest(1)
+            put = min(left, int(room[s]))
+            out[k].append((s, put))
             left -= put
             room[s] -= put
-            out[k].append((s, put))
-            if room[s]:
-                heapq.heappush(heap, (cost + linear * put + quadratic * put * put, s))
+            cost[s] += linear * put + quadratic * put * put
+            heapq.heappush(heap, (float(cost[s]), s))
     return out
 
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-def pack(docs: DataFrame, tokenizer: str, ranks: str | None = None, capacity: int = 1024, end_id: int = 0, group_tokens: int = 1 << 20, with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, ranks: str | None = None, capacity: int = 1024, end_id: int = 0, group_tokens: int = 1 << 20, with_ids: bool = False, special_as_text: bool = False) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset (and ids)."""
     end = np.array([end_id], "<u4").tobytes()
     columns = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = kept("bpe", (tokenizer, ranks), lambda: ByteBpe(tokenizer, ranks))
+        bpe = kept("bpe", (tokenizer, ranks, special_as_text), lambda: ByteBpe(tokenizer, ranks, special_as_text=special_as_text))
         context = TaskContext.get()
         next_id = (context.partitionId() if context else 0) << 36
         rows: list[list] = [[] for _ in range(8)]

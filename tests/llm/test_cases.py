@@ -133,7 +133,6 @@ def test_packing(spark, docs):
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(tokenizer_path(BYTES))
-    tok.encode_special_tokens = True
     one = docs.filter("doc_id IS NOT NULL")
     rows = packing.pack(one, tokenizer_path(BYTES), tokenizer_path(RANKS)).collect()
     for i, t in enumerate(TEXTS):
