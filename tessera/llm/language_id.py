@@ -9,8 +9,9 @@ Training is backpropagation through time in numpy on the driver, over at most `f
 with the smallest hashes of their ids), whose words Spark counts by language; at most `fit_words` (language, word)
 counts reach the driver.  Both bounds are parameters.
 
-Nulls: a text that is null or has no letter gets "und" with score 0.  Without labelled rows every text is "und".
-Ties between languages go to the first in alphabetical order.
+Nulls: a text that is null or has no letter (Unicode category L) gets "und" with score 0.  Without labelled rows, as in an empty table,
+every text is "und".  Ties between languages go to the first in alphabetical order.  Rows that repeat an id are judged each, by their
+text alone; columns named lang_pred or score are replaced.
 """
 
 from __future__ import annotations
@@ -28,10 +29,15 @@ from pyspark.sql import types as T
 from tessera.llm.common import kept, texts_of
 
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
+_WORDLIKE = re.compile(r"[^\W\d_]")
 _PAD = 0
 
 
+def has_letter(text: str) -> bool:
+    """A character of the Unicode letter categories; the pattern also takes signs such as fractions and raised figures."""
+    return any(m[0].isalpha() for m in _WORDLIKE.finditer(text))
+
+
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * np.tanh(0.5 * x) + 0.5
 
@@ -196,7 +202,7 @@ class Predictor:
 
     def _learn(self, new: list[bytes]) -> None:
         sums = self.net.word_sums(new)
-        sums[[i for i, w in enumerate(new) if not _LETTER.search(w.decode())]] = 0
+        sums[[i for i, w in enumerate(new) if not has_letter(w.decode())]] = 0
         n = len(self.table)
         while len(self.rows) < n + len(new):
             self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
@@ -204,7 +210,7 @@ class Predictor:
         self.table.update(zip(new, range(n, n + len(new)), strict=True))
 
     def __call__(self, texts: list[str]) -> list[tuple[str, float]]:
-        words = [t.lower().encode().split() if _LETTER.search(t) else [] for t in texts]
+        words = [t.lower().encode().split() if has_letter(t) else [] for t in texts]
         if len(self.table) > self.size:
             self.table.clear()
         table = self.table
