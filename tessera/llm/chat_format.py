@@ -2,28 +2,35 @@
 
 Turns of a conversation stream through one task in turn order (rows shuffled by conversation, sorted within the
 partition), so that memory holds one window, not one conversation.  Prefix sums of turn tokens choose spans of whole
-turns: a window ends before the turn that would pass the budget.  Every window repeats the conversation's system turn
-and up to `history` tokens of the turns before its first new one; repeated turns carry no loss.  A turn longer
-than the budget gets a window of its own, whole.
+turns: a window ends before the turn that would pass the budget.  A turn's tokens are those of its formatted text, marks
+included, by the given tokenizer (byte BPE; without one, words and single signs are counted), so that empty turns fill a window
+too.  Every window repeats the conversation's system turn (its first turn, if it is one) and up to `history` tokens of the turns
+before its first new one; repeated turns carry no loss.  History gives way to a new turn that needs the room.  A system turn is
+whole in the first window; where it takes more than half of the budget, later windows repeat the start of it that fits into
+half.  So a window holds at most `budget` tokens, unless its only new turn is too long for that: such a turn stands alone, whole,
+after the system turn.
 
 Template of a turn: "### Role:\\n" + escaped text + "</turn>\\n".  Inside texts "\\", "### " and "</turn>" become
 "\\\\", "\\#" and "\\t", so that no text can open or close a turn and every text is read back exactly.
 
 Turn order: turn (nulls first), then role, then text.  A null text or role is empty; a null conversation id is a
-conversation of its own.  Repeated rows are repeated turns.
+conversation of its own.  Repeated rows are repeated turns.  An empty table gives no windows.  Only conv_id, turn, role and
+text are read: further columns, whatever their names, play no part.  A text of any length is formatted whole.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections import deque
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import shuffle_parts
+from tessera.llm.common import kept, shuffle_parts
+from tessera.llm.packing import ByteBpe
 
 END = "</turn>"
 _ESCAPES = (("\\", "\\\\"), ("### ", "\\#"), (END, "\\t"))
@@ -55,33 +62,57 @@ def _role(title: str) -> str:
     return re.sub(r"\\[\\#tn]", lambda m: "\n" if m[0] == "\\n" else _BACK[m[0]], title[1:])
 
 
-def count_tokens(text: str) -> int:
-    """An estimate without a vocabulary: words and single signs."""
+def count_signs(text: str) -> int:
+    """Words and single signs: a count for uses without a vocabulary."""
     return len(_TOKEN.findall(text))
 
 
+def token_counter(tokenizer: str | None, ranks: str | None) -> Callable[[str], int]:
+    if tokenizer is None:
+        return count_signs
+    bpe = ByteBpe(tokenizer, ranks)
+    return lambda text: len(bpe(text)) // 4
+
+
+def _formatted(role: str, text: str) -> tuple[str, str]:
+    return f"### {_title(role)}:\n", escape(text)
+
+
 class Formatter:
     """Takes one conversation's turns in order, yields (formatted, loss spans, repeated turns) windows."""
 
-    def __init__(self, budget: int, history: int, target_role: str):
-        self.budget, self.history, self.target = budget, history, target_role
+    def __init__(self, budget: int, history: int, target_role: str, count: Callable[[str], int] = count_signs):
+        self.budget, self.history, self.target, self.count = budget, history, target_role, count
         self.system: tuple[str, str, int] | None = None
-        self.recent: list[tuple[str, str, int]] = []  # the last turns, at most `history` tokens
+        self.recent: deque[tuple[str, str, int]] = deque()  # turns that may be repeated, and their tokens in all
         self.fresh: list[tuple[str, str, int]] = []
-        self.used = 0
+        self.kept = self.used = 0
+        self.first = True
+
+    def _tokens(self, role: str, text: str) -> int:
+        head, body = _formatted(role, text)
+        return self.count(head + body + END + "\n")
+
+    def _start_of(self, role: str, text: str, tokens: int) -> tuple[str, str, int]:
+        """The turn, or as much of its start as half of the budget holds."""
+        half = self.budget // 2
+        while tokens > half and text:
+            text = text[: min(len(text) - 1, len(text) * half // tokens)]
+            tokens = self._tokens(role, text)
+        return role, text, tokens
 
-    def _begin(self) -> None:
-        while self.recent and sum(t[2] for t in self.recent) > self.history:
-            self.recent.pop(0)
-        self.used = (self.system[2] if self.system else 0) + sum(t[2] for t in self.recent)
+    def _give_way(self, room: int) -> None:
+        while self.recent and self.kept > room:
+            self.kept -= self.recent.popleft()[2]
 
     def add(self, role: str, text: str) -> Iterator[tuple[str, list[tuple[int, int]], int]]:
-        turn = (role, text, count_tokens(text))
-        if self.fresh and self.used + turn[2] > self.budget:
+        turn = (role, text, self._tokens(role, text))
+        base = self.system[2] if self.system else 0
+        if self.fresh and base + self.kept + self.used + turn[2] > self.budget:
             yield self._window()
-            self._begin()
-        while not self.fresh and self.recent and self.used + turn[2] > self.budget:
-            self.used -= self.recent.pop(0)[2]  # history gives way to a turn that needs the room
+            base = self.system[2] if self.system else 0
+        if not self.fresh:
+            self._give_way(self.budget - base - turn[2])
         self.fresh.append(turn)
         self.used += turn[2]
 
@@ -90,20 +121,21 @@ class Formatter:
             yield self._window()
 
     def _window(self) -> tuple[str, list[tuple[int, int]], int]:
-        again = ([self.system] if self.system else []) + self.recent
+        again = ([self.system] if self.system else []) + list(self.recent)
         out, at, spans = [], 0, []
         for k, (role, text, _) in enumerate(again + self.fresh):
-            head, body = f"### {_title(role)}:\n", escape(text)
+            head, body = _formatted(role, text)
             out += [head, body, END, "\n"]
             if k >= len(again) and role == self.target:
                 spans.append((at + len(head), at + len(head) + len(body)))
             at += len(head) + len(body) + len(END) + 1
-        if self.system is None and not again and self.fresh[0][0] == "system":
-            self.system, later = self.fresh[0], self.fresh[1:]
-        else:
-            later = self.fresh
-        self.recent = [*self.recent, *later]
-        self.fresh = []
+        if self.first and self.fresh[0][0] == "system":
+            self.system = self._start_of(*self.fresh.pop(0))
+        self.first = False
+        self.recent.extend(self.fresh)
+        self.kept += sum(t[2] for t in self.fresh)
+        self._give_way(self.history)
+        self.fresh, self.used = [], 0
         return "".join(out), spans, len(again)
 
 
@@ -118,7 +150,7 @@ def _ordered(chats: DataFrame) -> DataFrame:
     return rows.repartition(shuffle_parts(chats.sparkSession), "conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
 
 
-def _windows(batches: Iterator[pa.RecordBatch], budget: int, history: int, target: str):
+def _windows(batches: Iterator[pa.RecordBatch], budget: int, history: int, target: str, count: Callable[[str], int]):
     """(conversation, window) in order; (conversation, None) at a conversation's end."""
     now, form = None, None
     for b in batches:
@@ -131,7 +163,7 @@ def _windows(batches: Iterator[pa.RecordBatch], budget: int, history: int, targe
                         for w in form.end():
                             yield now, w
                         yield now, None
-                    now, form = c, Formatter(budget, history, target)
+                    now, form = c, Formatter(budget, history, target, count)
                 for w in form.add(r, t):
                     yield c, w
     if form is not None:
@@ -140,12 +172,13 @@ def _windows(batches: Iterator[pa.RecordBatch], budget: int, history: int, targe
         yield now, None
 
 
-def format_windows(chats: DataFrame, budget: int = 1024, history: int = 256, target_role: str = "assistant") -> DataFrame:
+def format_windows(chats: DataFrame, budget: int = 1024, history: int = 256, target_role: str = "assistant", tokenizer: str | None = None, ranks: str | None = None) -> DataFrame:
     """One row per window: conv_id, window, formatted, loss_spans (code points, end exclusive), repeated_turns."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, k = [], 0
-        for conv, w in _windows(batches, budget, history, target_role):
+        count = kept("chat", (tokenizer, ranks), lambda: token_counter(tokenizer, ranks))
+        for conv, w in _windows(batches, budget, history, target_role, count):
             if w is None:
                 k = 0
                 continue
