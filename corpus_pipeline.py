@@ -51,12 +51,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every found span is replaced; n_chars follows the text."""
-    found = secret_scan.find_secrets(docs).filter(F.size("spans") > 0).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), "spans").dropDuplicates(["__id", "__hash"])
+    found = secret_scan.find_secrets(docs).filter(F.size("masks") > 0).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), "masks").dropDuplicates(["__id", "__hash"])
     keyed = docs.withColumn("__text_hash", F.xxhash64("text"))
     joined = keyed.join(found.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__text_hash") == F.col("__hash")), "left")
-    empty = F.array().cast("array<struct<start:int,rank:int,end:int,live:boolean>>")
-    clean = joined.withColumn("text", secret_scan.redact(F.col("text"), F.coalesce("spans", empty)))
-    return clean.withColumn("n_chars", F.when(F.col("spans").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long"))).select(*docs.columns)
+    clean = joined.withColumn("text", F.when(F.col("masks").isNull(), F.col("text")).otherwise(secret_scan.redact(F.col("text"), F.col("masks"))))
+    return clean.withColumn("n_chars", F.when(F.col("masks").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long"))).select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

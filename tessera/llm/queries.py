@@ -50,7 +50,8 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan.find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     n = [secret_scan.count_kind(F.col("base"), k).alias(f"n_{k}") for k in secret_scan.KINDS[:3]]
     live = F.size(F.filter("spans", lambda s: s["live"])).cast("long").alias("n_live")
-    return found.select("doc_id", *n, F.sha2(secret_scan.listed(F.col("base")), 256).alias("base_sha256"), secret_scan.listed(F.col("spans")).alias("spans"), live)
+    most = [F.coalesce(F.array_max(F.transform("spans", lambda s, k=k: s[k])), F.lit(0)).cast("long").alias(f"most_{k}") for k in ("owners", "repos")]
+    return found.select("doc_id", *n, F.sha2(secret_scan.listed(F.col("base")), 256).alias("base_sha256"), secret_scan.listed(F.col("spans")).alias("spans"), live, *most)
 
 
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,7 +62,7 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     chats = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
     one = F.array(*[F.struct(F.lit(-7).cast("long").alias("conv_id"), F.lit(i).cast("long").alias("turn"), F.lit(r).alias("role"), F.lit(FORGED).alias("text")) for i, r in enumerate(("user", "assistant"))])
     forged = spark.range(1).select(F.explode(one).alias("r")).select("r.*")
-    return chat_format.window_digests(chat_format.format_windows(chats.unionByName(forged)))
+    return chat_format.window_digests(chat_format.format_windows(chats.unionByName(forged), tokenizer=tokenizer_path(BYTES), ranks=tokenizer_path(RANKS)))
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
