@@ -50,7 +50,7 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan.find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     n = [secret_scan.count_kind(F.col("base"), k).alias(f"n_{k}") for k in secret_scan.KINDS[:3]]
     live = F.size(F.filter("spans", lambda s: s["live"])).cast("long").alias("n_live")
-    most = [F.coalesce(F.array_max(F.transform("spans", lambda s, k=k: s[k])), F.lit(0)).cast("long").alias(f"most_{k}") for k in ("owners", "repos")]
+    most = [F.coalesce(F.array_max(f"spans.{k}"), F.lit(0)).cast("long").alias(f"most_{k}") for k in ("owners", "repos")]
     return found.select("doc_id", *n, F.sha2(secret_scan.listed(F.col("base")), 256).alias("base_sha256"), secret_scan.listed(F.col("spans")).alias("spans"), live, *most)
 
 
