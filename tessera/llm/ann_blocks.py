@@ -1,17 +1,21 @@
 """Approximate nearest neighbours by a block matrix join, with results that are exact.
 
-Vectors are dealt into blocks.  A block holds int8 codes with a scale per vector, the norms of what the codes lose,
-and the vectors.  Every query block meets every group of candidate blocks once: an int8 product tile gives estimates, and
-|q.c - q^.c^| <= |q - q^| |c^| + |q| |c - c^| bounds their error.  Pairs whose upper bound reaches the k-th best
-lower bound are recomputed in double precision; a heap per query keeps the best k over all tiles of a task, and the
-tasks' heaps are merged by a second one.
+Vectors are packed into blocks, in the precision they came in.  Query blocks are dealt into groups of about `group_queries` and
+candidate blocks into runs; a cell of this grid is one task, which holds its group's query blocks and lets its run's candidate blocks
+pass by.  So a query block is copied once per run and a candidate block once per group: no block is ever joined to a block as rows, and
+what is shuffled and sorted is a copy per group or run, not per pair.  Groups and runs grow in number with the data, not in size.
+
+In a cell, int8 codes with a scale per vector give product tiles, and |q.c - q^.c^| <= |q - q^| |c^| + |q| |c - c^| bounds their
+error.  Pairs whose upper bound reaches the k-th best lower bound are recomputed in double precision; a heap per query keeps the
+best k over all tiles of a task, and the tasks' heaps are merged by a second one.
 
 The tile is a float32 BLAS product of int8 values: exact, as sums stay under 2**24 for up to 1040 dimensions (wider
 vectors are multiplied in parts).
 
 Vectors that are null, zero or hold null or non-finite components take no part, nor do rows without an id.  Ties go to the
 smaller id.  Vectors of another dimension than the query's are no candidates.  Rows that repeat an id are candidates
-each; none of them is a candidate of a query with that id.  A query row that repeats id and vector is asked once.
+each; none of them is a candidate of a query with that id.  A query row that repeats id and vector is asked once.  An empty table, or
+one without queries, gives no rows.  Only the two named columns are read: further ones, whatever their names, play no part.
 """
 
 from __future__ import annotations
@@ -30,7 +34,8 @@ _BLOCK = "dim int, block long, n int, ids binary, vecs binary"
 
 
 def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
-    v = F.col(vec_col).cast("array<double>")
+    narrow = vectors.schema[vec_col].dataType.simpleString() == "array<float>"
+    v = F.col(vec_col).cast("array<float>" if narrow else "array<double>")
     ok = F.col("vec").isNotNull() & F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists("vec", lambda x: x != 0)
     return vectors.select(F.col(id_col).cast("long").alias("id"), v.alias("vec")).filter(F.col("id").isNotNull() & F.coalesce(ok, F.lit(False)))
 
@@ -81,7 +86,8 @@ def _blocks(rows: DataFrame, size: int, parts: int) -> DataFrame:
 class _Side:
     def __init__(self, row: dict):
         self.ids = np.frombuffer(row["ids"], np.int64)
-        self.vecs = np.frombuffer(row["vecs"], np.float64).reshape(len(self.ids), row["dim"])
+        kind = np.float32 if len(row["vecs"]) == 4 * row["dim"] * len(self.ids) else np.float64
+        self.vecs = np.frombuffer(row["vecs"], kind).reshape(len(self.ids), row["dim"]).astype(np.float64)
         scale = np.abs(self.vecs).max(1, keepdims=True) / 127
         self.codes = np.rint(self.vecs / scale).astype(np.int8)
         hat = self.codes * scale
@@ -129,7 +135,7 @@ def tile(q: _Side, c: _Side, k: int, best: list[list[tuple[float, int]]], rows:
                 heapq.heapreplace(best[qi], item)
 
 
-def nearest(vectors: DataFrame, queries: F.Column, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", query_rows: int = 512, block_rows: int = 4096, groups: int | None = None) -> DataFrame:
+def nearest(vectors: DataFrame, queries: F.Column, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", query_rows: int = 512, block_rows: int = 4096, group_queries: int = 1 << 14, run_rows: int = 1 << 18) -> DataFrame:
     """query_id, rank (int, from 1), vec_id, score for the rows that `queries` (over column id) selects."""
     spark = vectors.sparkSession
     parts = shuffle_parts(spark)
@@ -137,32 +143,38 @@ def nearest(vectors: DataFrame, queries: F.Column, k: int = 20, id_col: str = "v
     few = max(1, parts // 3)
     candidates = materialize(_blocks(rows, block_rows, few), "candidates")
     asked = materialize(_blocks(rows.filter(queries).dropDuplicates(["id", "vec"]), query_rows, few), "queries")
-    groups = groups or few
-    dealt = F.pmod(F.xxhash64("block"), F.lit(groups)).cast("int")
-    right = candidates.select("dim", dealt.alias("grp"), "block", "n", "ids", "vecs")
-    left = asked.select("dim", F.col("block").alias("q_block"), F.col("n").alias("q_n"), F.col("ids").alias("q_ids"), F.col("vecs").alias("q_vecs"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("grp"))
-    tiles = left.hint("shuffle_merge").join(right, ["dim", "grp"]).select("dim", "q_block", "q_n", "q_ids", "q_vecs", "n", "ids", "vecs").sortWithinPartitions("dim", "q_block")
-    kind = pa.schema([("query_id", pa.int64()), ("q_block", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
+    n_asked, n_candidates = (df.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] for df in (asked, candidates))
+    groups = max(1, -(-n_asked // group_queries))
+    runs = max(1, -(-parts // groups), -(-n_candidates // run_rows))
+    dealt = lambda n: F.pmod(F.xxhash64("block"), F.lit(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = asked.select("dim", "ids", "vecs", dealt(groups).alias("g"), each(runs).alias("r"), F.lit(0).alias("side"))
+    right = candidates.select("dim", "ids", "vecs", each(groups).alias("g"), dealt(runs).alias("r"), F.lit(1).alias("side"))
+    cells = left.unionByName(right).withColumn("cell", F.col("g") * runs + F.col("r")).repartitionById(groups * runs, "cell").sortWithinPartitions("dim", "side")
+    kind = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, q, best = None, None, []
+        dim, held = None, []  # the query blocks of this dimension, each with its heaps
 
-        def close() -> pa.RecordBatch:
-            found = [(query, at[1], -neg, score) for query, heap in zip(q.ids.tolist(), best, strict=True) for score, neg in heap]
-            return pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(zip(*found, strict=True), kind.types, strict=True)], schema=kind) if found else pa.RecordBatch.from_pylist([], schema=kind)
+        def close() -> Iterator[pa.RecordBatch]:
+            for q, best in held:
+                found = [(query, -neg, score) for query, heap in zip(q.ids.tolist(), best, strict=True) for score, neg in heap]
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(zip(*found, strict=True), kind.types, strict=True)], schema=kind)
 
         for b in batches:
             for i in range(b.num_rows):
-                row = {x: b.column(b.schema.names.index(x))[i].as_py() for x in ("dim", "q_block", "ids", "vecs")}
-                if at != (row["dim"], row["q_block"]):
-                    if at is not None:
-                        yield close()
-                    own = {x: b.column(b.schema.names.index(f"q_{x}"))[i].as_py() for x in ("ids", "vecs")}
-                    at, q = (row["dim"], row["q_block"]), _Side(own | {"dim": row["dim"]})
-                    best = [[] for _ in q.ids]
-                tile(q, _Side(row), k, best)
-        if at is not None:
-            yield close()
+                row = {x: b.column(b.schema.names.index(x))[i].as_py() for x in ("dim", "side", "ids", "vecs")}
+                if row["dim"] != dim:
+                    yield from close()
+                    dim, held = row["dim"], []
+                block = _Side(row)
+                if row["side"] == 0:
+                    held.append((block, [[] for _ in block.ids]))
+                else:
+                    for q, best in held:
+                        tile(q, block, k, best)
+        yield from close()
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, heap = None, []
@@ -193,5 +205,5 @@ def nearest(vectors: DataFrame, queries: F.Column, k: int = 20, id_col: str = "v
         close()
         yield batch()
 
-    found = tiles.mapInArrow(run, "query_id long, q_block long, vec_id long, score double")
-    return found.select("query_id", "vec_id", "score").repartition(parts, "query_id").sortWithinPartitions("query_id").mapInArrow(merge, "query_id long, rank int, vec_id long, score double")
+    found = cells.select("dim", "side", "ids", "vecs").mapInArrow(run, "query_id long, vec_id long, score double")
+    return found.repartition(parts, "query_id").sortWithinPartitions("query_id").mapInArrow(merge, "query_id long, rank int, vec_id long, score double")
