@@ -14,13 +14,19 @@ Documents are therefore first dealt into regions that no link can cross, and piv
 4. Within a region a pivot meets all members; |d(x, p) - d(y, p)| <= 1 - t is the window outside which two members
    can't link.  The pivot's ball is grown member by member, each compared with the members still outside within its
    window; what no ball takes in is a region again, with a pivot of its own.
-5. A region over `region_shingles` is not brought into one task: pivots meet its members as a join, what links to the pivot is
-   taken out but for the boundary that may link to the rest, and after `pivot_rounds` rounds the remainder is joined block by block.
+5. A region of over `region_members` members or `region_shingles` shingles is not brought into one task.  Pivots meet its members by a
+   salted join: the first one gives every member its distance, later ones meet only members within the triangle window of that distance
+   and of fitting size.  A pivot's links are then all known.  Members linked to a pivot fall together into components, and only members outside of
+   a region's largest component can still have links that matter: they are the next pivots, more of them every round.
+   A near-copy cluster is done after a round or two.  What is left after `pivot_rounds` is joined block by block.
+6. A shingle that over HOT sets may share is not gathered into one task either: its classes point to the first of their size band, and
+   that one to the first of the band below.
 
 Shingles are 64-bit hashes (a pair of different shingles falls together with a chance of 2**-64).  A document with
 fewer words than a shingle has one shingle, its whole sequence; one without words has none and links with nothing.
 Nulls: a null text has no words; a row with a null id gets its set's size and the component of the texts with equal
-sets that have an id, else null.  Repeated rows are equal sets.
+sets that have an id, else null.  Repeated rows are equal sets.  An empty table gives no rows.  Only doc_id and the text column are read:
+further ones, whatever their names, play no part.
 """
 
 from __future__ import annotations
@@ -41,6 +47,8 @@ _U = np.uint64
 NEIGHBOURS = 16
 #: Shingles that a prefix is longer than needed: one in so many of a set's.
 SPARE = 50
+#: Sightings from which a shingle's group is taken for too large for one task.
+HOT = 1 << 14
 #: Document ids that are sent to every executor at most, as a filter of the second read; more are joined by a shuffle.
 SENT_IDS = 1_000_000
 
@@ -70,8 +78,9 @@ def _long(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
-def common_shingles(docs: DataFrame, k: int, keep: int, flush: int = 1 << 21) -> np.ndarray:
-    """The most frequent shingles, at most `keep` (sorted); texts with equal sets count once in a task's run.
+def common_shingles(docs: DataFrame, k: int, keep: int, hot: int = HOT, flush: int = 1 << 21) -> tuple[np.ndarray, np.ndarray]:
+    """The most frequent shingles, at most `keep` (sorted), and those of them sighted `hot` times or more; texts with equal sets count
+    once in a task's run.
 
     Tasks send what they meet in two sets or more of a run of `flush` shingles; the sums only shape the prefix order,
     any order gives the same result.
@@ -108,25 +117,27 @@ def common_shingles(docs: DataFrame, k: int, keep: int, flush: int = 1 << 21) ->
             break
         held, least = held + some, n
     if not held:
-        return np.zeros(0, _U)
+        return np.zeros(0, _U), np.zeros(0, _U)
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([b.column(0).to_numpy().tobytes()], pa.binary())], names=["b"])
+            often = b.column(1).to_numpy() >= hot
+            cols = [b.column(0).to_numpy().tobytes(), b.column(0).to_numpy()[often].tobytes()]
+            yield pa.RecordBatch.from_arrays([pa.array([c], pa.binary()) for c in cols], names=["b", "h"])
 
-    rows = counts.filter(F.col("n") >= least).select("s").mapInArrow(packed, "b binary").collect()  # 8 bytes each of at most `keep`
-    return np.sort(np.frombuffer(b"".join(r["b"] for r in rows), _U))
+    rows = counts.filter(F.col("n") >= least).select("s", "n").mapInArrow(packed, "b binary, h binary").collect()  # 16 bytes each of at most `keep`
+    return tuple(np.sort(np.frombuffer(b"".join(r[c] for r in rows), _U)) for c in ("b", "h"))
 
 
-def _prefixes(docs: DataFrame, k: int, percent: int, common: np.ndarray) -> DataFrame:
-    """doc_id, n, f1, f2, prefix of every row."""
-    held = docs.sparkSession.sparkContext.broadcast(common)
+def _prefixes(docs: DataFrame, k: int, percent: int, common: np.ndarray, hot: np.ndarray) -> DataFrame:
+    """doc_id, n, f1, f2, prefix and which of it are hot shingles, of every row."""
+    held = docs.sparkSession.sparkContext.broadcast((common, hot))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        often = held.value
+        often, hottest = held.value
         release()
         for b in batches:
-            n, f1, f2, prefix = [], [], [], []
+            n, f1, f2, prefix, hot_ones = [], [], [], [], []
             for s in shingle_sets(b.column(1), k):
                 n.append(len(s))
                 a, c = fingerprint(s)
@@ -141,10 +152,13 @@ def _prefixes(docs: DataFrame, k: int, percent: int, common: np.ndarray) -> Data
                         p = np.concatenate([p, s[late][: most - len(p)]])
                 else:
                     p = s[:most]
-                prefix.append(_long(p))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.array(prefix, pa.list_(pa.int64()))], names=["doc_id", "n", "f1", "f2", "prefix"])
+                is_hot = np.isin(p, hottest) if len(hottest) else np.zeros(len(p), bool)
+                prefix.append(_long(p[~is_hot]))
+                hot_ones.append(_long(p[is_hot]))
+            lists = [pa.array(x, pa.list_(pa.int64())) for x in (prefix, hot_ones)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), *lists], names=["doc_id", "n", "f1", "f2", "prefix", "hot"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, f1 long, f2 long, prefix array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, f1 long, f2 long, prefix array<long>, hot array<long>")
 
 
 class _Region:
@@ -240,30 +254,55 @@ def _join_regions(members: DataFrame, percent: int) -> DataFrame:
     return dealt.mapInArrow(run, "rep long, other long")
 
 
-def _jaccard(a: str, b: str) -> Column:
-    both = F.size(F.array_intersect(a, b))
-    return both, F.size(a) + F.size(b) - both
-
-
-def _pivot_round(pool: DataFrame, percent: int, salts: int = 32) -> tuple[DataFrame, DataFrame]:
-    """One pivot per region against all its members: (links, what may still hold unfound links)."""
-    pivots = pool.groupBy("region").agg(F.min("rep").alias("pivot"))
-    pivots = pivots.join(pool.select(F.col("rep").alias("pivot"), F.col("set").alias("pivot_set")), "pivot")
-    pivots = pivots.select("region", "pivot", "pivot_set", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
-    met = pool.withColumn("salt", F.pmod(F.xxhash64("rep"), F.lit(salts)).cast("int")).join(pivots.hint("shuffle_hash"), ["region", "salt"])
-    both, union = _jaccard("set", "pivot_set")
-    met = materialize(met.select("region", "rep", "pivot", "set", (100 * both >= percent * union).alias("near"), (1 - both / union).alias("far")), "pivots")
-    links = met.filter("near AND rep <> pivot").select("rep", F.col("pivot").alias("other"))
-    rest = met.filter("NOT near").groupBy("region").agg(F.min("far").alias("nearest"))
+def _meet(pool: DataFrame, pivots: DataFrame, percent: int, salts: int = 32) -> DataFrame:
+    """pool: region, rep, set, d; pivots: region, pivot, pivot_set, pivot_d -> region, rep, pivot, both, union.  Where d is known, only
+    pairs within the triangle window and of fitting size meet.  A hot region is spread over `salts` keys."""
+    spread = pivots.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    met = pool.withColumn("salt", F.pmod(F.xxhash64("rep"), F.lit(salts)).cast("int")).join(spread.hint("shuffle_hash"), ["region", "salt"])
+    small, large = F.least(F.size("set"), F.size("pivot_set")), F.greatest(F.size("set"), F.size("pivot_set"))
     slack = (100 - percent) / 100 + 1e-9
-    edge = met.join(rest, "region").filter("rep <> pivot").filter(~F.col("near") | (F.col("far") >= F.col("nearest") - slack))
-    return links, edge.select("region", "rep", "set")
+    fits = F.col("d").isNull() | ((F.abs(F.col("d") - F.col("pivot_d")) <= slack) & (100 * small >= percent * large))
+    both = met.filter(fits).withColumn("both", F.size(F.array_intersect("set", "pivot_set")))
+    return both.select("region", "rep", "pivot", "both", (F.size("set") + F.size("pivot_set") - F.col("both")).alias("union"))
+
+
+def _by_pivots(pool: DataFrame, percent: int, rounds: int, width: int = 16) -> tuple[list[DataFrame], DataFrame]:
+    """pool: region, rep, set -> links that were found, and the members (region, rep, set) of regions that still may hold others."""
+    near = 100 * F.col("both") >= percent * F.col("union")
+    pool = materialize(pool, "pool")
+    first = pool.groupBy("region").agg(F.min("rep").alias("pivot"))
+    first = first.join(pool.select("region", F.col("rep").alias("pivot"), F.col("set").alias("pivot_set")), ["region", "pivot"])
+    met = materialize(_meet(pool.withColumn("d", F.lit(None).cast("double")), first.withColumn("pivot_d", F.lit(0.0)), percent), "met")
+    pool = materialize(pool.join(met.select("region", "rep", (1 - F.col("both") / F.col("union")).alias("d")), ["region", "rep"]), "pool")
+    link = lambda m: m.filter(near & (F.col("rep") != F.col("pivot"))).select(F.col("rep").alias("u"), F.col("pivot").alias("v"))
+    links, asked = [materialize(link(met), "links")], met.select("region", F.col("pivot").alias("rep")).distinct()
+    for _ in range(rounds + 1):
+        found = links[0]
+        for more in links[1:]:
+            found = found.unionByName(more)
+        labels = components(found).select(F.col("node").alias("rep"), "root")
+        named = pool.select("region", "rep").join(labels, "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+        top = named.groupBy("region", "root").agg(F.count("*").alias("n")).groupBy("region").agg(F.max(F.struct("n", "root")).alias("top"))
+        outside = named.join(top, "region").filter(F.col("root") != F.col("top.root")).select("region", "rep")
+        outside = materialize(outside.join(asked, ["region", "rep"], "left_anti"), "outside")
+        open_ = outside.select("region").distinct()
+        pool = materialize(pool.join(open_, "region", "left_semi"), "pool")
+        if len(links) > rounds or not outside.limit(1).count():
+            break
+        order = Window.partitionBy("region").orderBy(F.xxhash64("rep"), "rep")
+        some = outside.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= width).select("region", "rep")
+        pivots = materialize(pool.join(some, ["region", "rep"]).select("region", F.col("rep").alias("pivot"), F.col("set").alias("pivot_set"), F.col("d").alias("pivot_d")), "pivots")
+        links.append(materialize(link(_meet(pool, pivots, percent)), "links"))
+        asked = asked.unionByName(pivots.select("region", F.col("pivot").alias("rep")))
+        width *= 4
+    return links, pool.select("region", "rep", "set")
 
 
-def _join_blocks(pool: DataFrame, percent: int, region_shingles: int) -> DataFrame:
-    """What pivots could not divide: pairs of blocks of a region, each small enough for a task."""
+def _join_blocks(pool: DataFrame, percent: int, region_shingles: int, region_members: int) -> DataFrame:
+    """What pivots did not settle: pairs of blocks of a region, each small enough for a task."""
     sized = pool.withColumn("n", F.size("set"))
-    shares = sized.groupBy("region").agg(F.sum("n").alias("total")).withColumn("blocks", F.ceil(F.col("total") / F.lit(region_shingles / 2)).cast("long"))
+    shares = sized.groupBy("region").agg(F.sum("n").alias("total"), F.count("*").alias("members"))
+    shares = shares.select("region", F.ceil(F.greatest(F.col("total") * 2 / region_shingles, F.col("members") * 2 / region_members)).cast("long").alias("blocks"))
     own = sized.join(shares, "region").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")))
     pairs = own.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     named = pairs.select(F.xxhash64("region", F.least("own", "other"), F.greatest("own", "other")).alias("region"), "rep", "set")
@@ -286,16 +325,31 @@ def _pointers(dealt: DataFrame, percent: int) -> DataFrame:
     return met.filter(F.col("many") | (F.col("k") >= 1 + F.floor(F.col("n") / SPARE))).select("u", "v")
 
 
-def similar_groups(docs: DataFrame, k: int = 4, percent: int = 85, text_col: str = "text", common: int = 2_000_000, region_shingles: int = 4_000_000, pivot_rounds: int = 2) -> DataFrame:
+def _band_pointers(hot: DataFrame, percent: int, salts: int = 32) -> DataFrame:
+    """rep, n, s (a row per hot prefix shingle) -> u, v: sizes of links are in one band or in neighbouring ones, so each class points to its
+    band's first, and that one to the first of the band below.  Sums come before shuffles, and a hot band is spread over `salts` keys."""
+    band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / percent)) + 1e-9).cast("long") if percent < 100 else F.col("n")
+    rows = hot.select("rep", "s", band.alias("band"))
+    heads = materialize(rows.groupBy("s", "band").agg(F.min("rep").alias("head")), "heads")
+    below = heads.select("s", (F.col("band") + 1).alias("band"), F.col("head").alias("v"))
+    chain = heads.join(below, ["s", "band"]).select(F.col("head").alias("u"), "v")
+    spread = heads.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    star = rows.withColumn("salt", F.pmod(F.xxhash64("rep"), F.lit(salts)).cast("int")).join(spread, ["s", "band", "salt"]).select(F.col("rep").alias("u"), F.col("head").alias("v"))
+    return star.unionByName(chain).filter("u <> v").distinct()
+
+
+def similar_groups(docs: DataFrame, k: int = 4, percent: int = 85, text_col: str = "text", common: int = 2_000_000, region_shingles: int = 1_000_000, region_members: int = 256, pivot_rounds: int = 3, hot: int = HOT) -> DataFrame:
     """doc_id, n_shingles, component_id of every row; documents link at Jaccard >= percent / 100."""
-    spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    rows = materialize(_prefixes(texts, k, percent, common_shingles(texts, k, common)), "prefixes")
+    often, hottest = common_shingles(texts, k, common, hot)
+    rows = materialize(_prefixes(texts, k, percent, often, hottest), "prefixes")
     key = ["n", "f1", "f2"]
     classes = rows.filter("n > 0").groupBy(*key).agg(F.min("doc_id").alias("rep"))
-    heads = rows.filter("n > 0 AND doc_id IS NOT NULL").groupBy(*key).agg(F.min(F.struct("doc_id", "prefix")).alias("m")).select(F.col("m.doc_id").alias("rep"), "n", F.col("m.prefix").alias("prefix"))
-    dealt = heads.select("rep", "n", F.explode("prefix").alias("s"))
-    pointers = materialize(_pointers(dealt, percent), "pointers")
+    heads = rows.filter("n > 0 AND doc_id IS NOT NULL").groupBy(*key).agg(F.min(F.struct("doc_id", "prefix", "hot")).alias("m")).select(F.col("m.doc_id").alias("rep"), "n", F.col("m.prefix").alias("prefix"), F.col("m.hot").alias("hot"))
+    pointers = _pointers(heads.select("rep", "n", F.explode("prefix").alias("s")), percent)
+    if len(hottest):
+        pointers = pointers.unionByName(_band_pointers(heads.select("rep", "n", F.explode("hot").alias("s")), percent))
+    pointers = materialize(pointers, "pointers")
     regions = materialize(components(pointers).select(F.col("node").alias("rep"), F.col("root").alias("region")), "regions")
 
     wanted = regions.select(F.col("rep").alias("doc_id"), "region")
@@ -313,25 +367,21 @@ def similar_groups(docs: DataFrame, k: int = 4, percent: int = 85, text_col: str
         # an id with two texts: only the rows of the class that the id stands for
         members = members.join(classes.select("rep", "f1", "f2"), ["rep", "f1", "f2"], "left_semi").dropDuplicates(["rep", "f1", "f2"])
         del repeated
-    sizes = regions.join(heads.select("rep", "n"), "rep").groupBy("region").agg(F.sum("n").alias("total"))
-    large = sizes.filter(F.col("total") > region_shingles).select("region")
+    sizes = regions.join(heads.select("rep", "n"), "rep").groupBy("region").agg(F.sum("n").alias("total"), F.count("*").alias("members"))
+    over = (F.col("total") > region_shingles) | (F.col("members") > region_members)
+    large = materialize(sizes.filter(over).select("region"), "large")
+    pair = lambda found: found.select(F.col("rep").alias("u"), F.col("other").alias("v"))
     if not large.limit(1).count():
-        links = _join_regions(members, percent)
-        found = components(materialize(links.select(F.col("rep").alias("u"), F.col("other").alias("v")), "links"))
+        links = pair(_join_regions(members, percent))
     else:
         members = materialize(members, "members")
-        large = materialize(large, "large")
-        pool = members.join(large, "region", "left_semi").select("region", "rep", "set")
-        links = _join_regions(members.join(large, "region", "left_anti"), percent)
-        for _ in range(pivot_rounds):
-            more, pool = _pivot_round(pool, percent)
+        links = pair(_join_regions(members.join(large, "region", "left_anti"), percent))
+        known, left = _by_pivots(members.join(large, "region", "left_semi").select("region", "rep", "set").dropDuplicates(["region", "rep"]), percent, pivot_rounds)
+        for more in known:
             links = links.unionByName(more)
-            pool = materialize(pool, "pool")
-            if not pool.groupBy("region").agg(F.sum(F.size("set")).alias("total")).filter(F.col("total") > region_shingles).limit(1).count():
-                break
-        totals = pool.groupBy("region").agg(F.sum(F.size("set")).alias("total")).filter(F.col("total") > region_shingles).select("region")
-        links = links.unionByName(_join_regions(pool.join(totals, "region", "left_anti"), percent)).unionByName(_join_blocks(pool.join(totals, "region", "left_semi"), percent, region_shingles))
-        found = components(materialize(links.select(F.col("rep").alias("u"), F.col("other").alias("v")), "links"))
+        if left.limit(1).count():
+            links = links.unionByName(pair(_join_blocks(left, percent, region_shingles, region_members)))
+    found = components(materialize(links, "links"))
     found = found.select(F.col("node").alias("rep"), "root")
     labels = materialize(classes.join(found, "rep", "left").select(*key, F.coalesce("root", "rep").alias("component_id")), "labels")
     linked = rows.select("doc_id", *key).filter("n > 0").join(labels, key, "left").select("doc_id", F.col("n").alias("n_shingles"), "component_id")

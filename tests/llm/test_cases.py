@@ -102,8 +102,11 @@ def groups(texts, k=4, percent=85):
     return {i: (len(sets[i]), up[i]) for i in sets}
 
 
-@pytest.mark.parametrize("limit", [4_000_000, 600])
-def test_jaccard(spark, limit):
+HOW = [{}, {"region_shingles": 600}, {"region_members": 5, "pivot_rounds": 0}, {"region_members": 3, "pivot_rounds": 2, "hot": 2}]
+
+
+@pytest.mark.parametrize("how", HOW)
+def test_jaccard(spark, how):
     g = np.random.default_rng(5)
     base = [" ".join(g.choice(["aa", "b", "C", "dd", "e", "f", "gg", "h"], 60)) for _ in range(8)]
     texts = [(0, None), (1, ""), (2, "one two"), (3, "ONE two"), (4, "x")]
@@ -113,11 +116,20 @@ def test_jaccard(spark, limit):
             for at in g.integers(0, len(w), g.integers(0, 4)):
                 w[at] = "n" + str(g.integers(0, 5))
             texts.append((len(texts), " ".join(w)))
+    chain = [f"c{k}" for k in range(200)]
+    texts += [(200 + k, " ".join(chain[3 * k : 3 * k + 60])) for k in range(40)]  # each links with its neighbours alone
+    texts.append((300, " ".join(g.choice(["p", "q", "r", "s"], 20000))))
     want = groups(texts)
-    got = jaccard_join.similar_groups(spark.createDataFrame([*texts, texts[7]], "doc_id long, text string").withColumn("n_shingles", F.lit("x")), region_shingles=limit).collect()
-    assert len(got) == len(texts) + 1
+    rows = [*texts, texts[7], (None, texts[8][1]), (None, "alone here"), (None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n_shingles", F.lit("x")).withColumn("region", F.lit(1)).withColumn("rep", F.lit("y"))
+    got = jaccard_join.similar_groups(df, **how).collect()
+    assert len(got) == len(rows)
     for r in got:
-        assert (r.n_shingles, r.component_id) == want[r.doc_id]
+        if r.doc_id is not None:
+            assert (r.n_shingles, r.component_id) == want[r.doc_id]
+    assert sorted(((r.n_shingles, r.component_id) for r in got if r.doc_id is None), key=repr) == sorted([want[8], (1, None), (0, None)], key=repr)
+    if not how:
+        assert jaccard_join.similar_groups(df.limit(0)).count() == 0
 
 
 def test_chat(spark):
