@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.operators.graph import components
+from tessera.operators.linking import overlapping
+from tessera.operators.sequence import last_known, next_known
 from tessera.store import materialize
 
 
@@ -45,7 +47,9 @@ def regroup(a: DataFrame, b: DataFrame, group: str) -> DataFrame:
         end = F.sum(F.length("word")).over(w)
         return df.select(group, F.col("i").alias(side), (end - F.length("word")).alias(f"{side}0"), end.alias(f"{side}1"))
 
-    met = spans(a, "a").join(spans(b, "b"), group).filter((F.col("a0") < F.col("b1")) & (F.col("b0") < F.col("a1")))
+    left = spans(a, "a").filter("a1 > a0").select(group, "a", F.col("a0").alias("start"), (F.col("a1") - 1).alias("end"))
+    right = spans(b, "b").filter("b1 > b0").select(group, "b", F.col("b0").alias("start"), (F.col("b1") - 1).alias("end"))
+    met = overlapping(left, right, [group])
     of = lambda c: F.count("*").over(Window.partitionBy(group, c))
     n = met.withColumn("na", of("a")).withColumn("nb", of("b"))
     kind = F.when((F.col("na") == 1) & (F.col("nb") == 1), "exact").when(F.col("nb") == 1, "split").when(F.col("na") == 1, "joined").otherwise("mixed")
@@ -109,9 +113,7 @@ def reflow(owned: DataFrame, group: str, owner: str, order: str, stop: str) -> D
     with the last before it, else the first after; words of a verse up to a sentence's end go to the verse before, when that end comes
     within the verse and the verse before was left open.  Adds verse."""
     w = Window.partitionBy(group).orderBy(order)
-    back = F.last(owner, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    ahead = F.first(owner, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
-    filled = owned.withColumn("__v", F.coalesce(back, ahead)).withColumn("__end", F.coalesce(F.col(stop), F.lit(False)))
+    filled = owned.withColumn("__v", F.coalesce(last_known(owner, [group], [order]), next_known(owner, [group], [order]))).withColumn("__end", F.coalesce(F.col(stop), F.lit(False)))
     inside = Window.partitionBy(group, "__v").orderBy(order)
     upto = filled.withColumn("__before", F.coalesce(F.sum(F.col("__end").cast("int")).over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     upto = upto.withColumn("__ends", F.sum(F.col("__end").cast("int")).over(Window.partitionBy(group, "__v")))
@@ -138,11 +140,8 @@ def cursor_lines(cited: DataFrame, words: DataFrame, group: str) -> DataFrame:
 
     start = F.struct(F.lit(-(2**62)).cast("long").alias("at"), F.array().cast("array<struct<pos:bigint,line:bigint>>").alias("out"))
     own = whole.select(group, F.inline(F.aggregate("x", start, step, lambda a: a["out"])))
-    w = Window.partitionBy(group).orderBy("pos")
     all_ = cited.select(group, "pos").join(own, [group, "pos"], "left")
-    back = F.last("line", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    ahead = F.first("line", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
-    return all_.withColumn("line", F.coalesce(back, ahead))
+    return all_.withColumn("line", F.coalesce(last_known("line", [group], ["pos"]), next_known("line", [group], ["pos"])))
 
 
 def split_run_ons(notes: DataFrame, text: str, line: str, reach: int = 30) -> DataFrame:

@@ -18,10 +18,16 @@ def words(segs: DataFrame, keep: tuple[str, ...] = ("doc_id", "seq")) -> DataFra
 
 
 def numbered_words(segs: DataFrame, keep: tuple[str, ...] = ("doc_id", "seq")) -> DataFrame:
-    """Words outside round or square brackets; the index counts all chunks."""
-    bare = F.regexp_replace("content", r"\([^()]*\)|\[[^\[\]]*\]", "")
-    outside = segs.withColumn("__bare", F.filter(F.split(bare, " "), lambda x: x != ""))
-    return outside.select(*keep, F.posexplode("__bare").alias("word_index", "word"))
+    """Chunks with a letter outside round or square brackets, under their number among all chunks of the line.  What is bracketed is
+    blanked in place, blanks staying, so that both splits agree; a bracket that opens the line (a doubtful line) is kept."""
+    mark = r"\([^)]*\)|\[[^\]]*\]"
+    pieces, hits = F.split("content", mark, -1), F.regexp_extract_all("content", F.lit(mark), F.lit(0))
+    opens = F.ltrim("content").startswith("[")
+    blank = lambda h, i: F.when(opens & (i == 0), h).otherwise(F.regexp_replace(F.coalesce(h, F.lit("")), "[^ ]", "\x01"))
+    bare = F.array_join(F.transform(F.arrays_zip(pieces.alias("p"), hits.alias("h")), lambda z, i: F.concat(z["p"], F.coalesce(blank(z["h"], i), F.lit("")))), "")
+    chunks = lambda c: F.filter(F.split(c, " "), lambda x: x != "")
+    both = segs.withColumn("__bare", bare).select(*keep, F.posexplode(F.arrays_zip(chunks("content").alias("word"), chunks("__bare").alias("kept"))).alias("word_index", "z"))
+    return both.filter(F.col("z.kept").rlike(r"\p{L}")).select(*keep, "word_index", "z.word")
 
 
 def sentences(segs: DataFrame, col: str = "content", key: tuple[str, ...] = ("doc_id", "seq"), min_letters: int = 6) -> DataFrame:

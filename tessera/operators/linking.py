@@ -9,21 +9,30 @@ from pyspark.sql import functions as F
 def cascade(queries: DataFrame, entries: DataFrame, levels: list[tuple[str, Column]]) -> DataFrame:
     """queries: word; entries: entry.  Distinct words go level by level: name of the level and the key both sides
     take there.  The first level is exact; a later one counts only where one entry has the key.  Adds entry, method."""
+    names = F.array(*[F.lit(name) for name, _ in levels])
+    keyed = lambda df: df.select("word", F.posexplode(F.array(*[key for _, key in levels])).alias("level", "key")).filter(F.col("key") != "")
+    # distinct words of either side with a key per level, in one table: what meets is found by one shuffle, whatever the number of levels
+    have = keyed(entries.select(F.col("entry").alias("word")).distinct()).groupBy("level", "key").agg(F.min("word").alias("entry"), F.count("*").alias("n"))
+    have = have.filter("level = 0 OR n = 1").drop("n")
     todo = queries.select("word").distinct()
-    out = todo
-    for k, (_, key) in enumerate(levels):
-        keyed = entries.select("entry", F.col("entry").alias("word")).distinct().select("entry", key.alias(f"k{k}")).filter(F.col(f"k{k}") != "")
-        one = keyed.groupBy(f"k{k}").agg(F.min("entry").alias(f"e{k}"), F.count("*").alias("n"))
-        one = (one if k == 0 else one.filter("n = 1")).drop("n")
-        out = out.withColumn(f"k{k}", key).join(one, f"k{k}", "left")
-    method = F.coalesce(*[F.when(F.col(f"e{k}").isNotNull(), F.lit(name)) for k, (name, _) in enumerate(levels)])
-    return out.select("word", F.coalesce(*[f"e{k}" for k in range(len(levels))]).alias("entry"), F.coalesce(method, F.lit("none")).alias("method"))
+    met = keyed(todo).join(have, ["level", "key"]).groupBy("word").agg(F.min(F.struct("level", "entry")).alias("m"))
+    out = todo.join(met, "word", "left")
+    return out.select("word", F.col("m.entry").alias("entry"), F.coalesce(F.get(names, F.col("m.level")), F.lit("none")).alias("method"))
 
 
 def overlapping(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
-    """left, right: start, end (closed) with the same equi keys; every overlapping pair."""
+    """left, right: start, end (closed whole numbers) with the same equi keys; every overlapping pair, once.
+
+    Each side is dealt to the axis buckets it touches, of about the mean length of both sides' intervals, and a pair is taken in the
+    bucket where the later of its two starts lies: so only neighbours meet, not all intervals of a key."""
     r = right.withColumnsRenamed({"start": "r_start", "end": "r_end"})
-    return left.join(r, keys).filter((F.col("start") <= F.col("r_end")) & (F.col("r_start") <= F.col("end")))
+    mean = left.select((F.col("end") - F.col("start")).alias("n")).unionByName(r.select((F.col("r_end") - F.col("r_start")).alias("n"))).agg(F.avg("n")).first()[0]
+    width = max(1, int(mean or 0) + 1)
+    bucket = lambda c: F.floor(F.col(c) / width).cast("long")
+    deal = lambda df, a, b: df.filter(F.col(a) <= F.col(b)).withColumn("__b", F.explode(F.sequence(bucket(a), bucket(b))))
+    met = deal(left, "start", "end").join(deal(r, "r_start", "r_end"), [*keys, "__b"])
+    later = F.floor(F.greatest("start", "r_start") / width).cast("long")
+    return met.filter((F.col("start") <= F.col("r_end")) & (F.col("r_start") <= F.col("end")) & (F.col("__b") == later)).drop("__b")
 
 
 def count_cover(points: DataFrame, ranges: DataFrame, keys: list[str]) -> DataFrame:
@@ -53,9 +62,9 @@ def near_any(points: DataFrame, spans: DataFrame, before: float, after: float, k
 def nearest(points: DataFrame, refs: DataFrame, keys: list[str]) -> DataFrame:
     """points: at, refs: at -> dist to the nearest ref of the key (null without refs)."""
     both = points.withColumn("__p", F.lit(True)).unionByName(refs.select(*keys, "at", F.col("at").alias("__r")), allowMissingColumns=True)
-    w = Window.partitionBy(*keys).orderBy("at")
-    prev = F.last("__r", ignorenulls=True).over(w.rangeBetween(Window.unboundedPreceding, 0))
-    nxt = F.first("__r", ignorenulls=True).over(w.rangeBetween(0, Window.unboundedFollowing))
+    # refs come first among rows of one place, in both directions: each then sees all refs at or before, at or after it
+    seen = lambda order: F.last("__r", ignorenulls=True).over(Window.partitionBy(*keys).orderBy(order, F.col("__p").isNotNull()).rowsBetween(Window.unboundedPreceding, 0))
+    prev, nxt = seen(F.asc("at")), seen(F.desc("at"))
     return both.withColumn("dist", F.least(F.col("at") - prev, nxt - F.col("at"))).filter("__p").drop("__p", "__r")
 
 

@@ -20,9 +20,13 @@ def group_bounds(df: DataFrame, by: list[str], col: str) -> DataFrame:
     return df.groupBy(*by).agg(F.min(col).alias("low"), F.max(col).alias("high"), F.count("*").alias("n"))
 
 
-def commonest_form(words: DataFrame, key: str, form: str, pos: str) -> DataFrame:
-    """The most frequent form of every key; of equals, the one seen first."""
-    n = words.groupBy(key, form).agg(F.count("*").alias("n"), F.min(pos).alias("first"))
+def commonest_form(words: DataFrame, key: str, form: str, pos: str, fold: F.Column | None = None) -> DataFrame:
+    """The most frequent form of every key; of equals, the one seen first.  With `fold`, an expression over the form, the key is made from
+    distinct forms, not from every word; an empty key is left out."""
+    if fold is None:
+        n = words.groupBy(key, form).agg(F.count("*").alias("n"), F.min(pos).alias("first"))
+    else:
+        n = words.groupBy(form).agg(F.count("*").alias("n"), F.min(pos).alias("first")).withColumn(key, fold).filter(F.col(key) != "")
     return n.groupBy(key).agg(F.min(F.struct((-F.col("n")).alias("m"), "first", form)).alias("b")).select(key, F.col(f"b.{form}").alias(form), (-F.col("b.m")).alias("n"))
 
 
@@ -63,8 +67,10 @@ def top_k(df: DataFrame, by: str, k: int) -> DataFrame:
 
 
 def preferred_first(df: DataFrame, group: list[str], prefer: F.Column, name: str) -> DataFrame:
-    w = Window.partitionBy(*group).orderBy(prefer.desc(), name)
-    return df.withColumn("__r", F.row_number().over(w)).filter("__r = 1").drop("__r")
+    """The preferred row of every group, else the first by name; an aggregate, so a hot group is reduced before it is shuffled."""
+    rest = [c for c in df.columns if c not in group]
+    row = F.min_by(F.struct(*rest), F.struct(F.when(prefer, 0).otherwise(1).alias("__p"), F.col(name)))
+    return df.groupBy(*group).agg(row.alias("__row")).select(*group, "__row.*")
 
 
 def hash_sample(df: DataFrame, key: str, n: int, seed: int = 7) -> DataFrame:
@@ -82,13 +88,23 @@ def tables_equal(a: DataFrame, b: DataFrame) -> DataFrame:
     return only(a, b, "only_a").crossJoin(only(b, a, "only_b")).withColumn("same_schema", F.lit(a.schema == b.schema))  # two single rows
 
 
-def insert_ignore(base: DataFrame, new: DataFrame, pk: list[str]) -> DataFrame:
-    """Rows of base win over new ones."""
-    return base.unionByName(new.join(base, pk, "left_anti"))
+def _one_per_key(base: DataFrame, new: DataFrame, pk: list[str], order: list[str], first: bool) -> DataFrame:
+    """base is loaded before new, and each in `order`; of the rows of a key the first or the last one stays.  The choice is an
+    aggregate, so a hot key is reduced before it is shuffled."""
+    side = lambda df, k: df.select(F.struct(*df.columns).alias("row"), *pk, F.struct(F.lit(k).alias("side"), *order).alias("at"))
+    both = side(base, 0).unionByName(side(new.select(*base.columns), 1))
+    pick = F.min_by if first else F.max_by
+    return both.groupBy(*pk).agg(pick("row", "at").alias("row")).select("row.*")
 
 
-def insert_replace(base: DataFrame, new: DataFrame, pk: list[str]) -> DataFrame:
-    return new.unionByName(base.join(new, pk, "left_anti"))
+def insert_ignore(base: DataFrame, new: DataFrame, pk: list[str], order: list[str]) -> DataFrame:
+    """The first row of a key by load order wins."""
+    return _one_per_key(base, new, pk, order, True)
+
+
+def insert_replace(base: DataFrame, new: DataFrame, pk: list[str], order: list[str]) -> DataFrame:
+    """The last row of a key by load order wins."""
+    return _one_per_key(base, new, pk, order, False)
 
 
 def evolve_schema(df: DataFrame, schema: dict[str, str]) -> DataFrame:
@@ -105,13 +121,14 @@ def content_version(df: DataFrame, cols: list[str]) -> DataFrame:
 
 
 def compact(df: DataFrame, keys: list[str], dict_cols: list[str], order: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Chunks of rows per key with coded columns, and the code table (kind, id, value)."""
+    """Chunks of rows per key with coded columns, and the code table (kind, id, value); an id is the value's whole SHA-256, which two values
+    don't share and Parquet's dictionaries make small.  A key's rows become one row: keys are divisions of a text, bounded as these are."""
     dicts = None
     for c in dict_cols:
         ids = df.select(F.col(c).alias("value")).distinct().filter("value IS NOT NULL")
-        ids = ids.select(F.lit(c).alias("kind"), F.sha2("value", 256).substr(1, 12).alias("id"), "value")
+        ids = ids.select(F.lit(c).alias("kind"), F.sha2("value", 256).alias("id"), "value")
         dicts = ids if dicts is None else dicts.unionByName(ids)
-    coded = df.withColumns({c: F.sha2(c, 256).substr(1, 12) for c in dict_cols})
+    coded = df.withColumns({c: F.sha2(c, 256) for c in dict_cols})
     rest = [c for c in df.columns if c not in keys and c not in order]
     return coded.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*order, *rest))).alias("rows")), dicts
 

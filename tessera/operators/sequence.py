@@ -6,6 +6,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def last_known(col: str, keys: list[str], order: list) -> Column:
+    """The last value that is not null, up to this row."""
+    return F.last(col, ignorenulls=True).over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+
+
+def next_known(col: str, keys: list[str], order: list) -> Column:
+    """The first value that is not null, from this row on.  Read backwards: a frame up to the last row is computed anew for every row."""
+    back = [F.desc(c) if isinstance(c, str) else c.desc() for c in order]
+    return F.last(col, ignorenulls=True).over(Window.partitionBy(*keys).orderBy(*back).rowsBetween(Window.unboundedPreceding, 0))
+
+
 def forward_fill(df: DataFrame, col: str, keys: list[str], order: list[str]) -> DataFrame:
     w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     return df.withColumn(col, F.last(col, ignorenulls=True).over(w))
@@ -13,10 +24,7 @@ def forward_fill(df: DataFrame, col: str, keys: list[str], order: list[str]) ->
 
 def fill_both(df: DataFrame, col: str, keys: list[str], order: list[str]) -> DataFrame:
     """From the row before, else from the row after."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    back = F.last(col, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    ahead = F.first(col, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
-    return df.withColumn(col, F.coalesce(back, ahead))
+    return df.withColumn(col, F.coalesce(last_known(col, keys, order), next_known(col, keys, order)))
 
 
 def cumulative_before(df: DataFrame, col: str, keys: list[str], order: list[str], out: str) -> DataFrame:

@@ -14,7 +14,7 @@ from tessera.operators import linking as li
 from tessera.operators import reports as rp
 from tessera.operators import sequence as sq
 from tessera.sources import readers as rd
-from tessera.store import new_path
+from tessera.store import materialize, new_path
 from tessera.streaming import events as st
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -78,10 +78,11 @@ SELECT lang, CASE WHEN l0.e IS NOT NULL THEN 'exact' WHEN l1.e IS NOT NULL THEN
 CAST(sum(n) AS BIGINT) AS tokens, CAST(count(*) AS BIGINT) AS forms
 FROM q LEFT JOIN l0 ON q.word = l0.k LEFT JOIN l1 ON lower(q.word) = l1.k LEFT JOIN l2 ON {_fold('q.word')} = l2.k LEFT JOIN l3 ON regexp_replace({_fold('q.word')}, 's$', '') = l3.k GROUP BY 1, 2""")
 def flagship_coverage(t, spark):
-    w = _words(t)
-    entries = w.filter("source = 'src1'").select(F.col("word").alias("entry")).distinct()
-    asked = w.filter("source <> 'src1'").groupBy("lang", "word").agg(F.count("*").alias("n"))
-    linked = li.cascade(asked, entries, _levels())
+    # one pass over the words: counts by language, and how many of them are the lexicon's
+    own = F.col("source") == "src1"
+    counts = materialize(_words(t).groupBy("lang", "word").agg(F.count_if(~own).alias("n"), F.count_if(own).alias("entries")), "counts")
+    asked = counts.filter("n > 0").select("lang", "word", "n")
+    linked = li.cascade(asked, counts.filter("entries > 0").select(F.col("word").alias("entry")), _levels())
     return asked.join(linked, "word").groupBy("lang", "method").agg(F.sum("n").alias("tokens"), F.count("*").alias("forms"))
 
 
@@ -227,8 +228,8 @@ def group_bounds(t, spark):
 @query(f"""WITH {WRD}, k AS (SELECT {_fold('word')} AS key, word, count(*) AS n, min((doc_id * 100000 + seq) * 100000 + word_index) AS first FROM wrd GROUP BY 1, 2)
 SELECT key, word, n FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY n DESC, first) AS r FROM k WHERE key <> '') WHERE r = 1""")
 def commonest_form(t, spark):
-    w = _words(t).withColumn("key", tx.fold_latin(F.col("word"))).filter("key <> ''").withColumn("first", (F.col("doc_id") * 100000 + F.col("seq")) * 100000 + F.col("word_index"))
-    return rp.commonest_form(w, "key", "word", "first")
+    w = _words(t).withColumn("first", (F.col("doc_id") * 100000 + F.col("seq")) * 100000 + F.col("word_index"))
+    return rp.commonest_form(w, "key", "word", "first", tx.fold_latin(F.col("word")))
 
 
 @query("""WITH a AS (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem WHERE l_shipdate < TIMESTAMP '1996-01-01'), b AS (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem WHERE l_discount < 0.06), c AS (SELECT count(*) AS tp FROM a JOIN b USING (l_orderkey, l_partkey))
@@ -323,13 +324,15 @@ def ordered_distinct(t, spark):
 @query("SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey % 2 = 0 UNION ALL SELECT o_orderkey, -o_custkey FROM orders WHERE o_orderkey % 3 = 0 AND o_orderkey % 2 <> 0")
 def insert_ignore(t, spark):
     o = t("orders").select("o_orderkey", "o_custkey")
-    return rp.insert_ignore(o.filter("o_orderkey % 2 = 0"), o.filter("o_orderkey % 3 = 0").withColumn("o_custkey", -F.col("o_custkey")), ["o_orderkey"])
+    twice = o.filter("o_orderkey % 2 = 0").unionByName(o.filter("o_orderkey % 2 = 0").withColumn("o_custkey", F.col("o_custkey") + 5))
+    return rp.insert_ignore(twice, o.filter("o_orderkey % 3 = 0").withColumn("o_custkey", -F.col("o_custkey")), ["o_orderkey"], ["o_custkey"])
 
 
 @query("SELECT o_orderkey, -o_custkey AS o_custkey FROM orders WHERE o_orderkey % 3 = 0 UNION ALL SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey % 2 = 0 AND o_orderkey % 3 <> 0")
 def insert_replace(t, spark):
     o = t("orders").select("o_orderkey", "o_custkey")
-    return rp.insert_replace(o.filter("o_orderkey % 2 = 0"), o.filter("o_orderkey % 3 = 0").withColumn("o_custkey", -F.col("o_custkey")), ["o_orderkey"])
+    twice = o.filter("o_orderkey % 3 = 0").select("o_orderkey", F.explode(F.array(-F.col("o_custkey") - 1, -F.col("o_custkey"))).alias("o_custkey"))
+    return rp.insert_replace(o.filter("o_orderkey % 2 = 0"), twice, ["o_orderkey"], ["o_custkey"])
 
 
 @query("SELECT 0 AS only_a, 0 AS only_b, count(*) >= 0 AS same_schema FROM part")
@@ -434,7 +437,8 @@ def portion_plan(t, spark):
 
 @query(f"WITH {WRD} SELECT {_fold('word')} AS key, count(*) AS n, count(DISTINCT word) AS forms FROM wrd GROUP BY 1")
 def folded_keys(t, spark):
-    return _words(t).groupBy(tx.fold_latin(F.col("word")).alias("key")).agg(F.count("*").alias("n"), F.countDistinct("word").alias("forms"))
+    words = _words(t).groupBy("word").agg(F.count("*").alias("n"))
+    return words.groupBy(tx.fold_latin(F.col("word")).alias("key")).agg(F.sum("n").alias("n"), F.count("*").alias("forms"))
 
 
 @query(r"""SELECT page_id, md5(trim(regexp_replace(replace(replace(replace(replace(replace(replace(replace(replace(
@@ -489,12 +493,12 @@ def transliterated(t, spark):
     return tx.transliterate(t("part").select("p_partkey", "p_brand"), "p_brand", letters).select("p_partkey", "spelled")
 
 
-@query(f"WITH {SEG}, h AS (SELECT doc_id, seq, regexp_matches(content, '\\p{{Lu}}{{2}}') AND NOT regexp_matches(content, '\\p{{Ll}}') AS caps FROM seg) SELECT doc_id, CAST(count(*) FILTER (caps) AS BIGINT) AS headings, count(*) AS lines FROM h GROUP BY doc_id")
+@query(f"WITH {SEG}, h AS (SELECT doc_id, seq, list_filter(regexp_split_to_array(content, '\\s+'), lambda x: regexp_matches(x, '\\p{{L}}')) AS w, len(list_filter(w, lambda x: NOT regexp_matches(x, '\\p{{Ll}}') AND length(regexp_replace(x, '\\P{{L}}', '', 'g')) >= 2)) >= 2 AND len(list_filter(w, lambda x: (regexp_matches(x, '\\p{{Ll}}') OR length(regexp_replace(x, '\\P{{L}}', '', 'g')) < 2) AND length(regexp_replace(x, '\\P{{L}}', '', 'g')) > 2)) = 0 AS caps FROM seg) SELECT doc_id, CAST(count(*) FILTER (caps) AS BIGINT) AS headings, count(*) AS lines FROM h GROUP BY doc_id")
 def caps_headings(t, spark):
     return _segs(t).groupBy("doc_id").agg(F.count_if(tx.is_caps_heading(F.col("content"))).alias("headings"), F.count("*").alias("lines"))
 
 
-@query(r"SELECT doc_id, md5(trim(regexp_replace(regexp_replace(text, '\s+([.,;:!?’])', '\1', 'g'), ' {2,}', ' ', 'g'))) AS digest FROM documents")
+@query(r"SELECT doc_id, md5(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '([“‘«(])[ \t]+', '\1', 'g'), '[ \t]+([”»)])', '\1', 'g'), '\s+([,.;:!?’])', '\1', 'g'), ' {2,}', ' ', 'g'))) AS digest FROM documents")
 def tidied(t, spark):
     return t("documents").select("doc_id", F.md5(tx.tidy_punct(F.col("text"))).alias("digest"))
 

@@ -10,6 +10,7 @@ from tessera.operators import corpus as co
 from tessera.operators import reports as rp
 from tessera.plans.registry import SEG, WRD, _segs, _words, query
 from tessera.sources import readers as rd
+from tessera.store import materialize
 
 #: A line as plain lower-case words: what can stand inside any mark-up.
 _PLAIN = r"trim(regexp_replace(regexp_replace(lower(content), '[^a-z ]', '', 'g'), ' +', ' ', 'g'))"
@@ -62,7 +63,7 @@ def poem_lines(t, spark):
 def redirect_targets(t, spark):
     k = F.col("c_custkey")
     text = F.when(k % 4 > 0, F.concat(F.lit("#REDIRECT [[p"), (k - 1).cast("string"), F.lit("]]"))).otherwise(F.lit("text"))
-    return rd.resolve_redirects(t("customer").select(F.concat(F.lit("p"), k.cast("string")).alias("name"), text.alias("body")), "name", "body", 4)
+    return rd.resolve_redirects(t("customer").select(F.concat(F.lit("p"), k.cast("string")).alias("name"), text.alias("body")), "name", "body")
 
 
 @query("SELECT conv_id, CAST(turn AS INT) AS id, role AS form FROM conversations")
@@ -206,9 +207,9 @@ def spelled_readings(t, spark):
 SELECT CASE WHEN regexp_full_match(word, '[A-Z]+') THEN CASE WHEN word_index = 0 THEN upper(form[1]) || form[2:] ELSE form END ELSE word END AS recased, count(*) AS n FROM wrd JOIN f ON lower(word) = key WHERE regexp_full_match(word, '[A-Za-z]+') GROUP BY 1""")
 def recased_words(t, spark):
     w = _words(t).filter(F.col("word").rlike("^[A-Za-z]+$"))
-    forms = rp.commonest_form(w.withColumn("k", F.lower("word")), "k", "word", "word").select(F.col("k").alias("key"), F.col("word").alias("form"))
-    seen = tx.recase(w.withColumn("opening", F.col("word_index") == 0), "word", F.lower("word"), forms)
-    return seen.groupBy("recased").agg(F.count("*").alias("n"))
+    counts = materialize(w.groupBy("word", (F.col("word_index") == 0).alias("opening")).agg(F.count("*").alias("n")), "counts")
+    best = counts.groupBy(F.lower("word").alias("key"), "word").agg(F.sum("n").alias("n")).groupBy("key").agg(F.min_by("word", F.struct(-F.col("n"), "word")).alias("form"))
+    return tx.recase(counts, "word", F.lower("word"), best).groupBy("recased").agg(F.sum("n").alias("n"))
 
 
 @query("WITH p AS (SELECT o_custkey AS k, o_orderkey AS i, o_orderkey // 8 AS d, o_orderkey % 8 AS r FROM orders), s AS (SELECT *, lag(d) OVER (PARTITION BY k ORDER BY i) AS b FROM p) SELECT k, string_agg(CASE WHEN b = d THEN CAST(r AS VARCHAR) ELSE d || '.' || r END, ',' ORDER BY i) AS label FROM s GROUP BY k")
@@ -231,9 +232,19 @@ def section_keys(t, spark):
 
 # ---- predicates over segments -------------------------------------------------------------------------------------------
 
-@query(r"WITH " + SEG + r" SELECT doc_id, seq, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS word_index FROM (SELECT doc_id, seq, list_filter(string_split(regexp_replace(content, '\([^()]*\)|\[[^\[\]]*\]', '', 'g'), ' '), lambda x: x <> '') AS w FROM seg)")
+_BARE = "bare AS (SELECT doc_id, seq, w, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS i FROM (SELECT doc_id, seq, list_filter(string_split(translate(content, '()[]', '    '), ' '), lambda x: x <> '') AS w FROM seg))"
+
+
+@query(rf"""WITH {SEG}, {_BARE} SELECT doc_id, seq, CAST(i AS BIGINT) AS word_index, word FROM bare
+WHERE i % 7 <> 3 AND NOT (i % 11 = 4 AND (i + 1) % 7 <> 3 AND i + 1 < len(w)) AND NOT (i % 11 = 5 AND (i - 1) % 7 <> 3) AND regexp_matches(word, '\p{{L}}')""")
 def unbracketed_words(t, spark):
-    return co.numbered_words(_segs(t)).select("doc_id", "seq", "word_index", "word")
+    """Every seventh word from the fourth on stands in round brackets and two neighbours of eleven in square ones: they go, and the
+    others keep their numbers.  Brackets of the texts themselves are taken out first."""
+    w = F.filter(F.split(F.regexp_replace("content", r"[()\[\]]", " "), " "), lambda x: x != "")
+    last = F.size(w) - 1
+    wrap = lambda x, i: F.when(i % 7 == 3, F.concat(F.lit("("), x, F.lit(")"))).when((i % 11 == 4) & ((i + 1) % 7 != 3) & (i < last), F.concat(F.lit("["), x)).when((i % 11 == 5) & ((i - 1) % 7 != 3), F.concat(x, F.lit("]"))).otherwise(x)
+    marked = _segs(t).withColumn("content", F.array_join(F.transform(w, wrap), " "))
+    return co.numbered_words(marked).select("doc_id", "seq", F.col("word_index").cast("long").alias("word_index"), "word")
 
 
 @query("SELECT conv_id, turn FROM conversations WHERE role IS DISTINCT FROM 'system' AND turn > 0")

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from tessera.store import materialize
+
 
 def extract_rows(pages: DataFrame, key: str, html: str, row_marker: str, fields: dict[str, str]) -> DataFrame:
     """The page is cut at row_marker; each field is what stands between the first ">" and "<" after its marker."""
@@ -27,9 +29,9 @@ def milestone_passages(df: DataFrame, key: str, text: str, marker: str) -> DataF
 
 def wiki_lines(df: DataFrame, key: str, text: str) -> DataFrame:
     """Lines of <poem> blocks, numbered by counting; {{r|n}} markers are taken out and kept."""
-    block = F.explode(F.regexp_extract_all(text, F.lit(r"(?s)<poem>(.*?)</poem>"), F.lit(1)))
-    lines = df.select(key, block.alias("__b")).select(key, F.explode(F.split("__b", "\n")).alias("raw")).filter(F.trim("raw") != "")
-    numbered = lines.withColumn("line", F.row_number().over(Window.partitionBy(key).orderBy(F.monotonically_increasing_id())))
+    block = F.posexplode(F.regexp_extract_all(text, F.lit(r"(?s)<poem>(.*?)</poem>"), F.lit(1)))
+    lines = df.select(key, block.alias("__n", "__b")).select(key, "__n", F.posexplode(F.split("__b", "\n")).alias("__i", "raw")).filter(F.trim("raw") != "")
+    numbered = lines.withColumn("line", F.row_number().over(Window.partitionBy(key).orderBy("__n", "__i")))
     return numbered.select(key, "line", F.trim(F.regexp_replace("raw", r"\{\{r\|\d+\}\}", "")).alias("content"), F.nullif(F.regexp_extract("raw", r"\{\{r\|(\d+)\}\}", 1), F.lit("")).alias("marker"))
 
 
@@ -42,19 +44,30 @@ def split_sections(df: DataFrame, key: str, text: str, heading: str = r"(?m)^==
     return parts.select(key, no.alias("section_no"), F.col("marker").alias("heading"), F.regexp_replace("passage", r"^\s+|\s+$", "").alias("body"))
 
 
-def resolve_redirects(pages: DataFrame, key: str, text: str, depth: int = 10) -> DataFrame:
-    """page, target: follow #REDIRECT [[x]] up to depth times; a circle ends where the depth does."""
+def resolve_redirects(pages: DataFrame, key: str, text: str, doublings: int = 40) -> DataFrame:
+    """page, target: where #REDIRECT [[x]] leads in the end.  Every step follows each page's pointer to the pointer it meets, so chains of
+    2 ** k hops take k steps, each written to the shared folder.  A page in a circle, or that leads into one, has a null target."""
     to = F.regexp_extract(text, r"(?i)^#REDIRECT\s*\[\[([^\]|#]*)", 1)
-    hops = pages.select(F.col(key).alias("at"), to.alias("next")).filter("next <> ''")
-    out = pages.select(F.col(key).alias("page"), F.col(key).alias("target"))
-    for _ in range(depth):
-        out = out.join(hops.withColumnRenamed("at", "target"), "target", "left").select("page", F.coalesce("next", "target").alias("target"))
-    return out
+    hops = materialize(pages.select(F.col(key).alias("page"), F.nullif(F.trim(to), F.lit("")).alias("next")), "hops")
+    ends = hops.filter("next IS NULL").select(F.col("page").alias("end"))
+    named = hops.filter("next IS NOT NULL").select("page", F.col("next").alias("target"))
+    stay = hops.filter("next IS NULL").select("page", F.col("page").alias("target"))
+    for _ in range(doublings):
+        up = named.select(F.col("page").alias("target"), F.col("target").alias("above"))
+        named = materialize(named.join(up, "target", "left").select("page", F.coalesce("above", "target").alias("target"), F.col("above").isNotNull().alias("moved")), "redirects")
+        open_ = named.filter("moved").join(ends, F.col("target") == F.col("end"), "left_anti")
+        if not open_.join(hops.select(F.col("page").alias("target")), "target", "left_semi").limit(1).count():
+            return stay.unionByName(named.select("page", "target"))
+        named = named.drop("moved")
+    # what still moves after 2 ** doublings hops goes round
+    settled = named.join(hops.filter("next IS NOT NULL").select(F.col("page").alias("again")), F.col("target") == F.col("again"), "left")
+    return stay.unionByName(settled.select("page", F.when(F.col("again").isNull(), F.col("target")).alias("target")))
 
 
 def read_lexicon(spark: SparkSession, path: str, sep: str = "\t", comment: str = "#") -> DataFrame:
     """key, value: the first definition of a key wins; comment lines and short rows are tolerated."""
-    lines = spark.read.text(path).withColumn("n", F.monotonically_increasing_id())
+    # a line's place: its file, and its offset order within the file's splits, which the reader's own row numbers follow
+    lines = spark.read.text(path).select("value", F.struct(F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("at")).alias("n"))
     rows = lines.filter(~F.col("value").startswith(comment) & (F.trim("value") != "")).withColumn("f", F.split("value", sep))
     return first_definitions(rows.select(F.trim(F.col("f")[0]).alias("key"), F.trim(F.coalesce(F.get("f", F.lit(1)), F.lit(""))).alias("value"), "n"), "key", "value", "n")
 
