@@ -14,11 +14,10 @@ Documents are therefore first dealt into regions that no link can cross, and piv
 4. Within a region a pivot meets all members; |d(x, p) - d(y, p)| <= 1 - t is the window outside which two members
    can't link.  The pivot's ball is grown member by member, each compared with the members still outside within its
    window; what no ball takes in is a region again, with a pivot of its own.
-5. A region of over `region_members` members or `region_shingles` shingles is not brought into one task.  Pivots meet its members by a
-   salted join: the first one gives every member its distance, later ones meet only members within the triangle window of that distance
-   and of fitting size.  A pivot's links are then all known.  Members linked to a pivot fall together into components, and only members outside of
-   a region's largest component can still have links that matter: they are the next pivots, more of them every round.
-   A near-copy cluster is done after a round or two.  What is left after `pivot_rounds` is joined block by block.
+5. A region of over `region_members` members or `region_shingles` shingles is not brought into one task.  A pivot meets its members by a
+   salted join.  Members that link to it are one component, so only the far ones still have links that matter: among themselves, and
+   with near ones inside the triangle window.  Members are dealt to rings by their distance to the pivot, rings to blocks of at most
+   `block_members`, and blocks of rings that the window joins meet in cells, each small enough for a task.
 6. A shingle that over HOT sets may share is not gathered into one task either: its classes point to the first of their size band, and
    that one to the first of the band below.
 
@@ -38,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import bytes_of, materialize, release, shuffle_parts
+from tessera.llm.common import bytes_of, materialize, release
 from tessera.llm.wordhash import each_slice, mix, window_hashes
 from tessera.operators.graph import components
 
@@ -49,6 +48,8 @@ NEIGHBOURS = 16
 SPARE = 50
 #: Sightings from which a shingle's group is taken for too large for one task.
 HOT = 1 << 14
+#: What a task that joins regions is given, of members and of shingles; a larger region is split.
+TASK_MEMBERS, TASK_SHINGLES = 1 << 10, 1 << 20
 #: Document ids that are sent to every executor at most, as a filter of the second read; more are joined by a shuffle.
 SENT_IDS = 1_000_000
 
@@ -223,7 +224,7 @@ class _Region:
 
 
 def _join_regions(members: DataFrame, percent: int) -> DataFrame:
-    """members: region, rep, set -> rep, other: links that connect each component."""
+    """members (a table): region, rep, set -> rep, other: links that connect each component."""
     kind = pa.schema([("rep", pa.int64()), ("other", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -249,64 +250,37 @@ def _join_regions(members: DataFrame, percent: int) -> DataFrame:
             out.extend(_Region(reps, sets, percent).links())
         yield batch()
 
-    parts = shuffle_parts(members.sparkSession)
-    dealt = members.select("region", "rep", "set").repartition(parts, "region").sortWithinPartitions("region")
+    # as many tasks as the work needs: many small regions share one, and a region is never more than one task's share
+    rows = members.select("region", "rep", "set")
+    size = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.size("set")), F.lit(0)).alias("s")).first()
+    tasks = max(1, -(-size["n"] // TASK_MEMBERS), -(-size["s"] // TASK_SHINGLES))
+    dealt = rows.withColumn("task", F.pmod(F.xxhash64("region"), F.lit(tasks)).cast("int")).repartitionById(tasks, "task").select("region", "rep", "set").sortWithinPartitions("region")
     return dealt.mapInArrow(run, "rep long, other long")
 
 
-def _meet(pool: DataFrame, pivots: DataFrame, percent: int, salts: int = 32) -> DataFrame:
-    """pool: region, rep, set, d; pivots: region, pivot, pivot_set, pivot_d -> region, rep, pivot, both, union.  Where d is known, only
-    pairs within the triangle window and of fitting size meet.  A hot region is spread over `salts` keys."""
-    spread = pivots.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    met = pool.withColumn("salt", F.pmod(F.xxhash64("rep"), F.lit(salts)).cast("int")).join(spread.hint("shuffle_hash"), ["region", "salt"])
-    small, large = F.least(F.size("set"), F.size("pivot_set")), F.greatest(F.size("set"), F.size("pivot_set"))
-    slack = (100 - percent) / 100 + 1e-9
-    fits = F.col("d").isNull() | ((F.abs(F.col("d") - F.col("pivot_d")) <= slack) & (100 * small >= percent * large))
-    both = met.filter(fits).withColumn("both", F.size(F.array_intersect("set", "pivot_set")))
-    return both.select("region", "rep", "pivot", "both", (F.size("set") + F.size("pivot_set") - F.col("both")).alias("union"))
-
-
-def _by_pivots(pool: DataFrame, percent: int, rounds: int, width: int = 16) -> tuple[list[DataFrame], DataFrame]:
-    """pool: region, rep, set -> links that were found, and the members (region, rep, set) of regions that still may hold others."""
+def _split_regions(pool: DataFrame, percent: int, block_members: int, block_shingles: int, salts: int = 32) -> tuple[DataFrame, DataFrame]:
+    """pool (a table): region, rep, set -> (links to the regions' pivots, cells: region, rep, set) whose links are all that is left to find."""
+    pivots = pool.groupBy("region").agg(F.min("rep").alias("pivot"))
+    pivots = pivots.join(pool.select("region", F.col("rep").alias("pivot"), F.col("set").alias("pivot_set")), ["region", "pivot"])
+    pivots = pivots.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    met = pool.withColumn("salt", F.pmod(F.xxhash64("rep"), F.lit(salts)).cast("int")).join(pivots.hint("shuffle_hash"), ["region", "salt"])
+    both = F.size(F.array_intersect("set", "pivot_set"))
+    met = met.select("region", "rep", "pivot", F.size("set").alias("n"), both.alias("both"), (F.size("set") + F.size("pivot_set") - both).alias("union"))
     near = 100 * F.col("both") >= percent * F.col("union")
-    pool = materialize(pool, "pool")
-    first = pool.groupBy("region").agg(F.min("rep").alias("pivot"))
-    first = first.join(pool.select("region", F.col("rep").alias("pivot"), F.col("set").alias("pivot_set")), ["region", "pivot"])
-    met = materialize(_meet(pool.withColumn("d", F.lit(None).cast("double")), first.withColumn("pivot_d", F.lit(0.0)), percent), "met")
-    pool = materialize(pool.join(met.select("region", "rep", (1 - F.col("both") / F.col("union")).alias("d")), ["region", "rep"]), "pool")
-    link = lambda m: m.filter(near & (F.col("rep") != F.col("pivot"))).select(F.col("rep").alias("u"), F.col("pivot").alias("v"))
-    links, asked = [materialize(link(met), "links")], met.select("region", F.col("pivot").alias("rep")).distinct()
-    for _ in range(rounds + 1):
-        found = links[0]
-        for more in links[1:]:
-            found = found.unionByName(more)
-        labels = components(found).select(F.col("node").alias("rep"), "root")
-        named = pool.select("region", "rep").join(labels, "rep", "left").withColumn("root", F.coalesce("root", "rep"))
-        top = named.groupBy("region", "root").agg(F.count("*").alias("n")).groupBy("region").agg(F.max(F.struct("n", "root")).alias("top"))
-        outside = named.join(top, "region").filter(F.col("root") != F.col("top.root")).select("region", "rep")
-        outside = materialize(outside.join(asked, ["region", "rep"], "left_anti"), "outside")
-        open_ = outside.select("region").distinct()
-        pool = materialize(pool.join(open_, "region", "left_semi"), "pool")
-        if len(links) > rounds or not outside.limit(1).count():
-            break
-        order = Window.partitionBy("region").orderBy(F.xxhash64("rep"), "rep")
-        some = outside.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= width).select("region", "rep")
-        pivots = materialize(pool.join(some, ["region", "rep"]).select("region", F.col("rep").alias("pivot"), F.col("set").alias("pivot_set"), F.col("d").alias("pivot_d")), "pivots")
-        links.append(materialize(link(_meet(pool, pivots, percent)), "links"))
-        asked = asked.unionByName(pivots.select("region", F.col("pivot").alias("rep")))
-        width *= 4
-    return links, pool.select("region", "rep", "set")
-
-
-def _join_blocks(pool: DataFrame, percent: int, region_shingles: int, region_members: int) -> DataFrame:
-    """What pivots did not settle: pairs of blocks of a region, each small enough for a task."""
-    sized = pool.withColumn("n", F.size("set"))
-    shares = sized.groupBy("region").agg(F.sum("n").alias("total"), F.count("*").alias("members"))
-    shares = shares.select("region", F.ceil(F.greatest(F.col("total") * 2 / region_shingles, F.col("members") * 2 / region_members)).cast("long").alias("blocks"))
-    own = sized.join(shares, "region").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")))
-    pairs = own.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    named = pairs.select(F.xxhash64("region", F.least("own", "other"), F.greatest("own", "other")).alias("region"), "rep", "set")
-    return _join_regions(named, percent)
+    met = materialize(met.select("region", "rep", "pivot", "n", near.alias("near"), (1 - F.col("both") / F.col("union")).alias("d")), "met")
+    links = met.filter("near AND rep <> pivot").select(F.col("rep").alias("u"), F.col("pivot").alias("v"))
+    slack, rings = (100 - percent) / 100 + 1e-9, 8
+    nearest = met.filter("NOT near").groupBy("region").agg(F.min("d").alias("nearest"))
+    open_ = met.join(nearest, "region").filter(~F.col("near") | (F.col("d") >= F.col("nearest") - slack)).withColumn("ring", F.floor(F.col("d") * rings / slack).cast("int"))
+    size = open_.groupBy("region", "near", "ring").agg(F.greatest(F.ceil(F.count("*") / block_members), F.ceil(F.sum("n") / block_shingles)).cast("int").alias("parts"))
+    placed = materialize(open_.join(size, ["region", "near", "ring"]).select("region", "rep", "near", "ring", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int").alias("part")), "placed")
+    blocks = size.select("region", "near", "ring", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    x = blocks.filter("NOT near").select("region", F.struct("near", "ring", "part").alias("x"))
+    y = blocks.select("region", F.struct("near", "ring", "part").alias("y"))
+    pairs = x.join(y, "region").filter((F.abs(F.col("x.ring") - F.col("y.ring")) <= rings + 1) & (F.col("y.near") | (F.col("x") <= F.col("y"))))
+    cells = pairs.select("region", F.xxhash64("region", "x", "y").alias("cell"), F.explode(F.array_distinct(F.array("x", "y"))).alias("b")).select("region", "cell", "b.*")
+    rows = placed.join(cells, ["region", "near", "ring", "part"]).select("cell", "region", "rep")
+    return links, rows.join(pool, ["region", "rep"]).select(F.col("cell").alias("region"), "rep", "set")
 
 
 def _pointers(dealt: DataFrame, percent: int) -> DataFrame:
@@ -338,7 +312,7 @@ def _band_pointers(hot: DataFrame, percent: int, salts: int = 32) -> DataFrame:
     return star.unionByName(chain).filter("u <> v").distinct()
 
 
-def similar_groups(docs: DataFrame, k: int = 4, percent: int = 85, text_col: str = "text", common: int = 2_000_000, region_shingles: int = 1_000_000, region_members: int = 256, pivot_rounds: int = 3, hot: int = HOT) -> DataFrame:
+def similar_groups(docs: DataFrame, k: int = 4, percent: int = 85, text_col: str = "text", common: int = 2_000_000, region_shingles: int = TASK_SHINGLES, region_members: int = TASK_MEMBERS, block_members: int = TASK_MEMBERS // 4, hot: int = HOT) -> DataFrame:
     """doc_id, n_shingles, component_id of every row; documents link at Jaccard >= percent / 100."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     often, hottest = common_shingles(texts, k, common, hot)
@@ -371,16 +345,14 @@ def similar_groups(docs: DataFrame, k: int = 4, percent: int = 85, text_col: str
     over = (F.col("total") > region_shingles) | (F.col("members") > region_members)
     large = materialize(sizes.filter(over).select("region"), "large")
     pair = lambda found: found.select(F.col("rep").alias("u"), F.col("other").alias("v"))
+    members = materialize(members, "members")
     if not large.limit(1).count():
         links = pair(_join_regions(members, percent))
     else:
-        members = materialize(members, "members")
         links = pair(_join_regions(members.join(large, "region", "left_anti"), percent))
-        known, left = _by_pivots(members.join(large, "region", "left_semi").select("region", "rep", "set").dropDuplicates(["region", "rep"]), percent, pivot_rounds)
-        for more in known:
-            links = links.unionByName(more)
-        if left.limit(1).count():
-            links = links.unionByName(pair(_join_blocks(left, percent, region_shingles, region_members)))
+        pool = materialize(members.join(large, "region", "left_semi").select("region", "rep", "set").dropDuplicates(["region", "rep"]), "pool")
+        known, cells = _split_regions(pool, percent, block_members, max(1, region_shingles // 4))
+        links = links.unionByName(known).unionByName(pair(_join_regions(materialize(cells, "cells"), percent)))
     found = components(materialize(links, "links"))
     found = found.select(F.col("node").alias("rep"), "root")
     labels = materialize(classes.join(found, "rep", "left").select(*key, F.coalesce("root", "rep").alias("component_id")), "labels")

@@ -102,7 +102,7 @@ def groups(texts, k=4, percent=85):
     return {i: (len(sets[i]), up[i]) for i in sets}
 
 
-HOW = [{}, {"region_shingles": 600}, {"region_members": 5, "pivot_rounds": 0}, {"region_members": 3, "pivot_rounds": 2, "hot": 2}]
+HOW = [{}, {"region_shingles": 600}, {"region_members": 5, "block_members": 2}, {"region_members": 3, "block_members": 4, "hot": 2}]
 
 
 @pytest.mark.parametrize("how", HOW)
