@@ -81,21 +81,98 @@ def sharing_groups(links: DataFrame) -> DataFrame:
     return components(edges).select(F.col("node").alias("member"), F.col("root").alias("group_id"))
 
 
-def align_words(a: DataFrame, b: DataFrame, group: str) -> DataFrame:
-    """a, b: group, i, word, key.  Every word of a: its word of b (null: none) and the class of the match: exact (same word),
-    orthographic (same key), variant (same place in a stretch of equal length between kept pairs) or none."""
-    pairs = longest_runs(a, b, group, "key")
+def _stretches(pairs: DataFrame, a: DataFrame, b: DataFrame, group: str) -> DataFrame:
+    """group, gap (the pair before it), a, na, b, nb: what lies between kept pairs and the ends, where at least one side has words."""
     ends = a.groupBy(group).agg((F.max("i") + 1).alias("a")).join(b.groupBy(group).agg((F.max("i") + 1).alias("b")), group)
     marks = pairs.select(group, "a", "b").unionByName(ends.select(group, "a", "b")).unionByName(ends.select(group, F.lit(-1).alias("a"), F.lit(-1).alias("b")))
     w = Window.partitionBy(group).orderBy("a")
     gaps = marks.withColumn("na", F.lead("a").over(w)).withColumn("nb", F.lead("b").over(w))
-    even = gaps.filter((F.col("na") - F.col("a") > 1) & (F.col("na") - F.col("a") == F.col("nb") - F.col("b")))
-    placed = even.select(group, F.explode(F.sequence(F.col("a") + 1, F.col("na") - 1)).alias("i"), (F.col("b") - F.col("a")).alias("d")).select(group, F.col("i").alias("a"), (F.col("i") + F.col("d")).alias("b"))
-    edges = pairs.withColumn("same_key", F.lit(True)).unionByName(placed.withColumn("same_key", F.lit(False)))
-    left = a.select(group, F.col("i").alias("a"), F.col("word").alias("a_word")).join(edges, [group, "a"], "left")
-    met = left.join(b.select(group, F.col("i").alias("b"), F.col("word").alias("b_word")), [group, "b"], "left")
-    kind = F.when(F.col("b_word").isNull(), "none").when(F.col("a_word") == F.col("b_word"), "exact").when(F.col("same_key"), "orthographic").otherwise("variant")
-    return met.select(group, "a", "b", kind.alias("match"))
+    return gaps.filter((F.col("na") - F.col("a") > 1) | (F.col("nb") - F.col("b") > 1)).withColumn("gap", F.concat_ws(":", F.col(group).cast("string"), F.col("a").cast("string")))
+
+
+def _inside(gaps: DataFrame, words: DataFrame, group: str, side: str) -> DataFrame:
+    """gap, group, i and the words of one side that lie in a stretch."""
+    lo, hi = F.col(side) + 1, F.col(f"n{side}") - 1
+    places = gaps.filter(hi >= lo).select("gap", group, F.explode(F.sequence(lo, hi)).alias("i"))
+    return places.join(words, [group, "i"])
+
+
+def align_words(a: DataFrame, b: DataFrame, group: str) -> DataFrame:
+    """a, b: group, i (from 0), word, key, loose (the key without movable letters).  Every word of a, its word of b (null: none) and the class:
+
+    longest runs of equal loose keys give exact (same spelling), orthographic (same key) or movable_nu; in a stretch between them whose
+    letters are the same on both sides in other words, split (one word of a over several), joined (several share one) or the class
+    of a single pair; in a stretch of equal length, or one with a single word on one side, variant; else none.
+    """
+    spell = F.when(F.col("a_word") == F.col("b_word"), "exact").when(F.col("a_key") == F.col("b_key"), "orthographic").otherwise("movable_nu")
+    pairs = materialize(longest_runs(a.withColumnRenamed("key", "__k").withColumnRenamed("loose", "key"), b.withColumnRenamed("key", "__k").withColumnRenamed("loose", "key"), group, "key").select(group, "a", "b"), "pairs")
+    gaps = materialize(_stretches(pairs, a, b, group), "stretches")
+    left, right = (_inside(gaps, words.select(group, "i", F.col("loose").alias("word")), group, side) for words, side in ((a, "a"), (b, "b")))
+    letters = lambda df, name: df.groupBy("gap").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "word"))), lambda x: x["word"]), "").alias(name))
+    same = materialize(letters(left, "x").join(letters(right, "y"), "gap").filter("x = y AND x <> ''").select("gap"), "same")
+    again = regroup(left.join(same, "gap", "left_semi").select("gap", "i", "word"), right.join(same, "gap", "left_semi").select("gap", "i", "word"), "gap")
+    again = again.join(gaps.select("gap", group), "gap").select(group, "a", "b", F.when(F.col("match").isin("joined", "mixed"), "joined").when(F.col("match") == "split", "split").alias("kind"))
+    rest = gaps.join(same, "gap", "left_anti").withColumn("la", F.col("na") - F.col("a") - 1).withColumn("lb", F.col("nb") - F.col("b") - 1)
+    even = rest.filter("la = lb").select(group, F.explode(F.sequence(F.lit(1), F.col("la"))).alias("k"), "a", "b").select(group, (F.col("a") + F.col("k")).alias("a"), (F.col("b") + F.col("k")).alias("b"))
+    one = rest.filter("la <> lb AND la > 0 AND lb > 0 AND least(la, lb) = 1")  # linear: one of the two sequences is a single place
+    one = one.select(group, F.explode(F.sequence(F.col("a") + 1, F.col("na") - 1)).alias("a"), F.col("b").alias("b0"), "nb").select(group, "a", F.explode(F.sequence(F.col("b0") + 1, F.col("nb") - 1)).alias("b"))
+    placed = even.unionByName(one).withColumn("kind", F.lit("variant"))
+    edges = pairs.withColumn("kind", F.lit(None).cast("string")).unionByName(again).unionByName(placed)
+    side = lambda df, n: df.select(group, F.col("i").alias(n), F.col("word").alias(f"{n}_word"), F.col("key").alias(f"{n}_key"))
+    met = side(a, "a").join(edges, [group, "a"], "left").join(side(b, "b"), [group, "b"], "left")
+    return met.select(group, "a", "b", F.when(F.col("b").isNull(), "none").otherwise(F.coalesce("kind", spell)).alias("match"))
+
+
+def gap_pass(mine: DataFrame, theirs: DataFrame, group: str, least: float = 0.8) -> DataFrame:
+    """mine, theirs: group (a stretch), i, key.  Words that the other side splits in two: group, i, part, j.  A word goes to the word of its
+    own key, else to two neighbours whose keys together are its key, else to the two that are most similar together (1 - edit distance
+    over length, `least` or more); places go on rising, a word that would lead back has none.  A stretch lies between matches, so it is short."""
+    w = Window.partitionBy(group).orderBy("i")
+    t = theirs.select(group, F.col("i").alias("j"), F.col("key").alias("own"), F.concat("key", F.lead("key").over(w)).alias("two"))
+    own = mine.join(t.select(group, "j", F.col("own").alias("key")), [group, "key"]).select(group, "i", "j", F.lit(1).alias("rank"), F.lit(1.0).alias("ratio"))
+    near = 1 - F.levenshtein("key", "two") / F.greatest(F.length("key"), F.length("two"))
+    pair = mine.join(t.filter("two IS NOT NULL"), group).filter(F.abs(F.length("key") - F.length("two")) <= (1 - least) * F.greatest(F.length("key"), F.length("two")))
+    pair = pair.withColumn("ratio", near).filter(F.col("ratio") >= least).select(group, "i", "j", F.when(F.col("ratio") == 1, 2).otherwise(3).alias("rank"), "ratio")
+    best = own.unionByName(pair).groupBy(group, "i").agg(F.min(F.struct("rank", (-F.col("ratio")).alias("r"), F.abs(F.col("i") - F.col("j")).alias("far"), "j")).alias("m"))
+    best = best.select(group, "i", F.col("m.j").alias("j"), (F.col("m.rank") > 1).cast("int").alias("more"))
+    reach = F.max(F.col("j") + F.col("more")).over(Window.partitionBy(group).orderBy("i").rowsBetween(Window.unboundedPreceding, -1))
+    rising = best.withColumn("__r", reach).filter(F.col("__r").isNull() | (F.col("j") > F.col("__r")))
+    return rising.select(group, "i", F.explode(F.sequence(F.lit(0), F.col("more"))).alias("part"), "j").select(group, "i", "part", (F.col("j") + F.col("part")).alias("j"))
+
+
+def resolve_links(entries: DataFrame, words: DataFrame, others: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Entries of an alignment file against the words of both sides: links and problems.
+
+    entries: keys, line, n (order), word, refs (array): a ref is a word of the other side, after one "<" or ">" per line that it lies before
+    or after this one, with "@k" for its k-th occurrence.  words, others: keys, line, i, key.  An entry takes the n-th place of its word
+    in its line where it is the n-th entry of that word; a ref without "@" takes the n-th place where it is the n-th ref to that
+    word in that line, and the first one where there are no more.
+    Problems: kind (word: not found or listed too often; ref: not found; entry: a word of a covered line without one; unaligned: a word of
+    the other side in a line that refs reach, which none takes), line, what.
+    """
+    place = lambda df: df.withColumn("k", F.row_number().over(Window.partitionBy(*keys, "line", "key").orderBy("i")))
+    said = entries.withColumn("key", F.col("word")).withColumn("k", F.row_number().over(Window.partitionBy(*keys, "line", "key").orderBy("n")))
+    met = said.join(place(words).select(*keys, "line", "key", "k", "i"), [*keys, "line", "key", "k"], "left")
+    good = met.filter("i IS NOT NULL")
+    parts = good.select(*keys, "line", "n", "i", F.posexplode("refs").alias("r", "ref"))
+    g = lambda k: F.regexp_extract("ref", r"^([<>]*)(.+?)(?:@(\d+))?$", k)
+    moved = F.length(F.regexp_replace(g(1), "<", "")) - F.length(F.regexp_replace(g(1), ">", ""))
+    refs = parts.withColumn("key", g(2)).withColumn("asked", F.nullif(g(3), F.lit("")).cast("int")).withColumn("to_line", F.col("line") + moved)
+    order = Window.partitionBy(*keys, "to_line", "key", F.col("asked").isNull()).orderBy("line", "n", "r")
+    refs = refs.withColumn("turn", F.row_number().over(order))
+    held = place(others).withColumn("most", F.count("*").over(Window.partitionBy(*keys, "line", "key"))).withColumnRenamed("line", "to_line")
+    counts = held.filter("k = 1").select(*keys, "to_line", "key", "most")
+    refs = refs.join(counts, [*keys, "to_line", "key"], "left")
+    k = F.coalesce("asked", F.when(F.col("turn") <= F.col("most"), F.col("turn")).otherwise(1))
+    full = refs.withColumn("k", k).join(held.select(*keys, "to_line", "key", "k", F.col("i").alias("to_i")), [*keys, "to_line", "key", "k"], "left")
+    links = full.filter("to_i IS NOT NULL").select(*keys, "line", "i", "to_line", "to_i")
+    covered = good.select(*keys, "line").distinct()
+    problem = lambda df, kind, line, what: df.select(*keys, F.lit(kind).alias("kind"), F.col(line).alias("line"), F.col(what).alias("what"))
+    missing = words.join(covered, [*keys, "line"], "left_semi").join(good.select(*keys, "line", "i"), [*keys, "line", "i"], "left_anti")
+    reached = links.select(*keys, F.col("to_line").alias("line")).distinct()
+    spare = others.join(reached, [*keys, "line"], "left_semi").join(links.select(*keys, F.col("to_line").alias("line"), F.col("to_i").alias("i")), [*keys, "line", "i"], "left_anti")
+    problems = problem(met.filter("i IS NULL"), "word", "line", "word").unionByName(problem(full.filter("to_i IS NULL"), "ref", "line", "ref"))
+    return links, problems.unionByName(problem(missing, "entry", "line", "key")).unionByName(problem(spare, "unaligned", "line", "key"))
 
 
 def transfer(edges: DataFrame, words: DataFrame, attributes: DataFrame, group: str) -> DataFrame:

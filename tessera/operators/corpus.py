@@ -104,3 +104,23 @@ def stitch_continuations(segs: DataFrame, cont: str, key: str = "doc_id") -> Dat
     w = Window.partitionBy(key).orderBy("seq")
     g = segs.withColumn("line", F.sum(F.when(F.col("content").rlike(cont), 0).otherwise(1)).over(w))
     return g.groupBy(key, "line").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "content"))), lambda x: x["content"]), " ").alias("content"))
+
+
+def unanalysed_sentences(words: DataFrame, known: DataFrame, text: str, stop: str = "[.;·!?]") -> DataFrame:
+    """words: text, seq, word_index, word; known: text, seq, word_index (analysed words).  Whole sentences, across segment borders, that hold a
+    word without analysis: text, sentence, seq, word_index, token; a word's first token speaks for it.  A stop is a token and ends its sentence."""
+    tokens = F.regexp_extract_all("word", F.lit(rf"[\p{{L}}\p{{M}}\p{{N}}]+|{stop}"), F.lit(0))
+    rows = words.select(text, "seq", "word_index", F.posexplode(tokens).alias("t", "token"))
+    order = Window.partitionBy(text).orderBy("seq", "word_index", "t")
+    ends = F.sum(F.col("token").rlike(f"^{stop}$").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumn("sentence", F.coalesce(ends, F.lit(0)))
+    first = rows.filter(~F.col("token").rlike(f"^{stop}$")).groupBy(text, "sentence", "seq", "word_index").agg(F.min_by("token", "t").alias("token"))
+    open_ = first.join(known.select(text, "seq", "word_index"), [text, "seq", "word_index"], "left_anti").select(text, "sentence").distinct()
+    return first.join(open_, [text, "sentence"], "left_semi")
+
+
+def generic_segments(lines: DataFrame, text: str, main: str, gloss: str) -> DataFrame:
+    """A special source (book, line, the text and a gloss) in the shape of all texts: text, div, seq, ref, content, gloss; rows numbered within
+    their book, an empty gloss null."""
+    seq = F.row_number().over(Window.partitionBy("book").orderBy("line"))
+    return lines.select(F.lit(text).alias("text"), F.col("book").alias("div"), seq.alias("seq"), F.col("line").cast("string").alias("ref"), F.col(main).alias("content"), F.nullif(F.trim(gloss), F.lit("")).alias("gloss"))

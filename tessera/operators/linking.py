@@ -154,3 +154,23 @@ def pair_similar(left: DataFrame, right: DataFrame, keys: list[str], own: int =
     good = scored.filter((F.col("score") >= least) | ((F.col("l") == F.col("r")) & (F.col("score") >= own)))
     first = Window.partitionBy(*keys, "l").orderBy(F.desc((F.col("l") == F.col("r")) & (F.col("score") >= own)), F.desc("score"), "r")
     return good.withColumn("__k", F.row_number().over(first)).filter("__k = 1").drop("__k")
+
+
+def linked(links: DataFrame, tokens: DataFrame, keys: list[str]) -> DataFrame:
+    """Every link with its token's columns."""
+    return links.join(tokens, keys)
+
+
+def with_group_stat(rows: DataFrame, group: list[str], **stats: Column) -> DataFrame:
+    """rows with statistics of their group, each an aggregate: summed before the shuffle and joined back, so a hot group isn't gathered."""
+    return rows.join(rows.groupBy(*group).agg(*[c.alias(n) for n, c in stats.items()]), group, "left")
+
+
+def has_any(base: DataFrame, keys: list[str], **sources: DataFrame) -> DataFrame:
+    """base with a flag per source: does it hold a row of the key?"""
+    flags = None
+    for name, df in sources.items():
+        one = df.select(*keys, *[F.lit(n == name).alias(n) for n in sources])
+        flags = one if flags is None else flags.unionByName(one)
+    seen = flags.groupBy(*keys).agg(*[F.bool_or(n).alias(n) for n in sources])
+    return base.join(seen, keys, "left").na.fill(False, list(sources))

@@ -139,3 +139,29 @@ def restore(chunks: DataFrame, dicts: DataFrame, keys: list[str], dict_cols: lis
         table = dicts.filter(F.col("kind") == c).select(F.col("id").alias(c), F.col("value").alias(f"__{c}"))
         out = out.join(table, c, "left").withColumn(c, F.col(f"__{c}")).drop(f"__{c}")
     return out.select(*columns)
+
+
+def recording_report(units: DataFrame, key: list[str], speaker: Column, passed: Column, weak: float) -> DataFrame:
+    """units: start, end, score.  Per recording: units, first, last, seconds, median score, weak ones (under `weak`), passed over, and of the
+    speakers' names how many were heard (have a score) of how many."""
+    n = lambda c: F.count_if(c)
+    return units.groupBy(*key).agg(
+        F.count("*").alias("units"), F.min("start").alias("first"), F.max("end").alias("last"), F.sum(F.col("end") - F.col("start")).alias("seconds"), F.median("score").alias("median_score"),
+        n(F.col("score") < weak).alias("weak"), n(passed).alias("passed_over"), n(speaker & F.col("score").isNotNull()).alias("heard"), n(speaker).alias("speakers"))
+
+
+def link_report(ref: DataFrame, cand: DataFrame, words: DataFrame, key: list[str], target: str) -> DataFrame:
+    """ref, cand: key, target; words: key.  shared, precision and recall in thousandths (0 where there is nothing), how many words have the same set
+    of targets on both sides, share at least one, and have any in ref.  One row."""
+    a, b = ref.select(*key, target).distinct().withColumn("r", F.lit(1)), cand.select(*key, target).distinct().withColumn("c", F.lit(1))
+    per = a.join(b, [*key, target], "full").groupBy(*key).agg(F.count("r").alias("r"), F.count("c").alias("c"), F.count(F.when(F.col("r").isNotNull() & F.col("c").isNotNull(), 1)).alias("both"))
+    each = words.select(*key).distinct().join(per, key, "left").na.fill(0, ["r", "c", "both"])
+    total = each.agg(F.sum("both").alias("shared"), F.sum("c").alias("n_cand"), F.sum("r").alias("n_ref"), F.count_if((F.col("r") == F.col("both")) & (F.col("c") == F.col("both"))).alias("same_set"), F.count_if(F.col("both") > 0).alias("any_shared"), F.count_if(F.col("r") > 0).alias("with_ref"))
+    part = lambda n: F.when(F.col(n) > 0, F.floor(1000 * F.col("shared") / F.col(n))).otherwise(0).cast("long")
+    return total.select("shared", part("n_cand").alias("precision"), part("n_ref").alias("recall"), "same_set", "any_shared", "with_ref")
+
+
+def index_difference(a: DataFrame, b: DataFrame) -> DataFrame:
+    """a, b: name, definition of indexes or columns: those only one side has, or that differ."""
+    met = a.select("name", F.col("definition").alias("left")).join(b.select("name", F.col("definition").alias("right")), "name", "full")
+    return met.filter(~F.col("left").eqNullSafe(F.col("right")))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.store import materialize
+
 
 def last_known(col: str, keys: list[str], order: list) -> Column:
     """The last value that is not null, up to this row."""
@@ -105,12 +107,12 @@ def skip_rule(gap: Column, keep: float = 1.5, over: float = 4.0) -> Column:
 def portions(units: DataFrame, key: str, order: list[str], weight: str, days: int) -> DataFrame:
     """Near-equal portions of ordered units by weight: the cut after day d is the unit whose running weight lies nearest to
     d/days of the total (the first of equals); every portion has a unit where there are enough."""
-    w = Window.partitionBy(key).orderBy(*order)
-    run = units.withColumn("cum", F.sum(weight).over(w)).withColumn("i", F.row_number().over(w)).withColumn("total", F.sum(weight).over(Window.partitionBy(key))).withColumn("n", F.count("*").over(Window.partitionBy(key)))
+    run = portion_reach(units, key, order, weight)
     # a unit may be the nearest of the days whose marks lie between the unit before it and the unit after it
     at = lambda c: c * days / F.greatest(F.col("total"), F.lit(1))
     low = F.greatest(F.lit(1), F.floor(at(F.col("cum") - F.col(weight)))).cast("int")
-    high = F.least(F.lit(days - 1), F.ceil(at(F.coalesce(F.lead("cum").over(w), F.col("total"))))).cast("int")
+    high = F.least(F.lit(days - 1), F.ceil(at(F.when(F.col("i") == F.col("n"), F.col("total")).otherwise(F.col("cum") + F.col("next"))))).cast("int")
+    run = run.join(run.select(key, (F.col("i") - 1).alias("i"), F.col(weight).alias("next")), [key, "i"], "left")
     near = run.withColumn("__low", low).withColumn("__high", high).filter("__low <= __high")
     near = near.select(key, "i", "n", "cum", "total", F.explode(F.sequence("__low", "__high")).alias("day"))
     far = F.abs(F.col("cum") * days - F.col("day") * F.col("total"))
@@ -194,3 +196,25 @@ def within_span(df: DataFrame, first: tuple[int, int], last: tuple[int, int], ch
     at = F.struct(F.col(chapter).cast("long").alias("c"), F.col(verse).cast("long").alias("v"))
     end = lambda p: F.struct(F.lit(p[0]).cast("long").alias("c"), F.lit(p[1]).cast("long").alias("v"))
     return df.filter((at >= end(first)) & (at <= end(last)))
+
+
+def running(df: DataFrame, keys: list[str], order: list[str], sums: dict[str, str]) -> DataFrame:
+    """Adds i (from 1) and running sums (new column -> column) within keys by `order`, which must be total.
+
+    Rows are dealt to ranges of (keys, order); a range numbers and sums its own rows, and the sums of the ranges before it are added:
+    a key that holds most rows is spread over as many tasks as any other."""
+    spread = materialize(df.repartitionByRange(*keys, *order).withColumn("__p", F.spark_partition_id()), "ranges")
+    inside = Window.partitionBy(*keys, "__p").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    parts = spread.groupBy(*keys, "__p").agg(F.count("*").alias("__n"), *[F.sum(c).alias(f"__{new}") for new, c in sums.items()])
+    before = Window.partitionBy(*keys).orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
+    names = ["__n", *(f"__{new}" for new in sums)]
+    offsets = parts.select(*keys, "__p", *[F.coalesce(F.sum(x).over(before), F.lit(0)).alias(x) for x in names])
+    own = spread.withColumn("i", F.count("*").over(inside)).withColumns({new: F.sum(c).over(inside) for new, c in sums.items()})
+    joined = own.join(offsets, [*keys, "__p"]).withColumn("i", F.col("i") + F.col("__n"))
+    return joined.withColumns({new: F.col(new) + F.col(f"__{new}") for new in sums}).drop("__p", *names)
+
+
+def portion_reach(units: DataFrame, key: str, order: list[str], weight: str) -> DataFrame:
+    """units with i, cum, total and n of their key, without a window over a whole key."""
+    placed = running(units, [key], order, {"cum": weight})
+    return placed.join(placed.groupBy(key).agg(F.sum(weight).alias("total"), F.count("*").alias("n")), key)

@@ -1,5 +1,5 @@
 """All registered queries and their SQL."""
 
-from tessera.plans import registry, text_queries, view_queries  # noqa: F401  (importing registers)
+from tessera.plans import reading_queries, registry, text_queries, view_queries  # noqa: F401  (they register theirs)
 
 QUERIES, SQL = registry.QUERIES, registry.SQL

@@ -559,14 +559,14 @@ def alignment_crossings(t, spark):
     return x.groupBy("grp").agg(F.count("*").alias("crossings")).select(F.split("grp", "/")[0].cast("long").alias("conv_id"), F.split("grp", "/")[1].cast("long").alias("pair"), F.col("crossings").cast("int"))
 
 
-@query(f"""WITH {WRD}, a AS (SELECT doc_id, word_index AS i, word, sum(length(word)) OVER (PARTITION BY doc_id ORDER BY word_index) AS e FROM wrd WHERE seq = 0), h AS (SELECT doc_id, string_agg(word, '' ORDER BY word_index) AS s FROM wrd WHERE seq = 0 GROUP BY doc_id),
-b AS (SELECT doc_id, k AS i, k * 5 AS s0, least((k + 1) * 5, length(s)) AS s1 FROM (SELECT doc_id, s, unnest(range(0, (length(s) + 4) // 5)) AS k FROM h)), m AS (SELECT a.doc_id, a.i AS a, b.i AS b FROM a JOIN b ON a.doc_id = b.doc_id AND a.e - length(a.word) < b.s1 AND b.s0 < a.e),
-n AS (SELECT *, count(*) OVER (PARTITION BY doc_id, a) AS na, count(*) OVER (PARTITION BY doc_id, b) AS nb FROM m) SELECT doc_id, a, b, CASE WHEN na = 1 AND nb = 1 THEN 'exact' WHEN nb = 1 THEN 'split' WHEN na = 1 THEN 'joined' ELSE 'mixed' END AS match FROM n""")
+@query(f"""WITH {WRD}, a AS (SELECT doc_id || '/' || seq AS line, word_index AS i, word, sum(length(word)) OVER (PARTITION BY doc_id, seq ORDER BY word_index) AS e FROM wrd), h AS (SELECT doc_id || '/' || seq AS line, string_agg(word, '' ORDER BY word_index) AS s FROM wrd GROUP BY 1),
+b AS (SELECT line, k AS i, k * 5 AS s0, least((k + 1) * 5, length(s)) AS s1 FROM (SELECT line, s, unnest(range(0, (length(s) + 4) // 5)) AS k FROM h)), m AS (SELECT a.line, a.i AS a, b.i AS b FROM a JOIN b ON a.line = b.line AND a.e - length(a.word) < b.s1 AND b.s0 < a.e),
+n AS (SELECT *, count(*) OVER (PARTITION BY line, a) AS na, count(*) OVER (PARTITION BY line, b) AS nb FROM m) SELECT line, a, b, CASE WHEN na = 1 AND nb = 1 THEN 'exact' WHEN nb = 1 THEN 'split' WHEN na = 1 THEN 'joined' ELSE 'mixed' END AS match FROM n""")
 def regrouped_words(t, spark):
-    a = _words(t).filter("seq = 0").select("doc_id", F.col("word_index").alias("i"), "word")
-    whole = a.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "word"))), lambda x: x["word"]), "").alias("s"))
-    fives = whole.select("doc_id", F.posexplode(F.regexp_extract_all("s", F.lit("(?s).{1,5}"), F.lit(0))).alias("i", "word"))
-    return al.regroup(a, fives, "doc_id")
+    a = _words(t).select(F.concat_ws("/", "doc_id", "seq").alias("line"), F.col("word_index").alias("i"), "word")
+    whole = a.groupBy("line").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "word"))), lambda x: x["word"]), "").alias("s"))
+    fives = whole.select("line", F.posexplode(F.regexp_extract_all("s", F.lit("(?s).{1,5}"), F.lit(0))).alias("i", "word"))
+    return al.regroup(a, fives, "line")
 
 
 # ---- views ---------------------------------------------------------------------------------------------------------------

@@ -16,38 +16,88 @@ from tessera.streaming import events as st
 
 # ---- alignment --------------------------------------------------------------------------------------------------
 
-_FIRST = f"{WRD}, one AS (SELECT doc_id, word_index AS i, word, word_index || ':' || regexp_replace(strip_accents(lower(word)), '[^a-z]', '', 'g') AS key FROM wrd WHERE seq = 0)"
+_LINES = f"{WRD}, one AS (SELECT doc_id || '/' || seq AS line, word_index AS i, word FROM wrd)"
 
 
-def _first_line(t):
-    w = _words(t).filter("seq = 0").withColumn("i", F.col("word_index"))
-    return w.select("doc_id", "i", "word", F.concat_ws(":", F.col("i").cast("string"), tx.fold_latin(F.col("word"))).alias("key"))
+def _lines(t):
+    """Words of all lines; the key is the folded word and which of its occurrences in the line it is, so the right alignment is known."""
+    w = _words(t).select(F.concat_ws("/", "doc_id", "seq").alias("line"), F.col("word_index").alias("i"), "word").withColumn("f", tx.fold_latin(F.col("word")))
+    nth = F.row_number().over(Window.partitionBy("line", "f").orderBy("i"))
+    return w.withColumn("key", F.concat_ws("#", "f", nth.cast("string"))).withColumn("loose", F.col("key")).drop("f")
 
 
 def _edited(t):
-    """The first lines with each fifth word changed and each seventh in capitals: an edition of known alignment."""
-    word = F.when(F.col("i") % 5 == 2, "#").when(F.col("i") % 7 == 3, F.upper("word")).otherwise(F.col("word"))
-    key = F.when(F.col("i") % 5 == 2, F.concat(F.lit("#"), F.col("i").cast("string"))).otherwise(F.col("key"))
-    return _first_line(t).withColumn("key", key).withColumn("word", word)
+    """The lines with each fifth word changed and each seventh in capitals: an edition of known alignment."""
+    changed = F.col("i") % 5 == 2
+    word = F.when(changed, "#").when(F.col("i") % 7 == 3, F.upper("word")).otherwise(F.col("word"))
+    key = F.when(changed, F.concat(F.lit("@"), F.col("i").cast("string"))).otherwise(F.col("key"))
+    return _lines(t).withColumn("word", word).withColumn("key", key).withColumn("loose", key)
 
 
-@query(f"WITH {_FIRST} SELECT doc_id, i AS a, i AS b, CASE WHEN i % 5 = 2 THEN CASE WHEN word = '#' THEN 'exact' ELSE 'variant' END WHEN i % 7 <> 3 OR word = upper(word) THEN 'exact' ELSE 'orthographic' END AS match FROM one")
+@query(f"WITH {_LINES} SELECT line, i AS a, i AS b, CASE WHEN i % 5 = 2 THEN 'variant' WHEN i % 7 <> 3 OR word = upper(word) THEN 'exact' ELSE 'orthographic' END AS match FROM one")
 def aligned_words(t, spark):
-    """Keys hold the place, so the right alignment is known: changed words are variants within their stretch."""
-    return al.align_words(_first_line(t), _edited(t), "doc_id")
+    """Changed words are variants within their stretch."""
+    return al.align_words(_lines(t), _edited(t), "line")
 
 
-@query(f"WITH {_FIRST} SELECT doc_id, i AS a, CASE WHEN i % 5 <> 2 THEN length(word) END AS value FROM one")
+@query(None)
+def aligned_turns(t, spark):
+    """Neighbour turns of conversations with repeated words, as they are: the aligner is tested against one by hand on a small fixture."""
+    c = t("conversations").select("conv_id", "turn", F.posexplode(F.filter(F.split("text", " "), lambda x: x != "")).alias("i", "word"))
+    c = c.withColumn("key", tx.fold_letters(F.col("word"))).withColumn("loose", F.col("key"))
+    name = lambda turn: F.concat_ws("/", "conv_id", turn)
+    got = al.align_words(c.withColumn("pair", name("turn")), c.filter("turn > 0").withColumn("pair", name(F.col("turn") - 1)), "pair")
+    return got.select("pair", "a", "b", "match")
+
+
+@query(f"WITH {_LINES}, e AS (SELECT line, i, word, i % 5 = 1 AND length(word) >= 6 AS cut FROM one), s AS (SELECT *, i + sum(CAST(cut AS INT)) OVER (PARTITION BY line ORDER BY i) - CAST(cut AS INT) AS j FROM e) SELECT line, CAST(i AS BIGINT) AS i, 0 AS part, CAST(j AS BIGINT) AS j FROM s UNION ALL SELECT line, i, 1, CAST(j + 1 AS BIGINT) FROM s WHERE cut")
+def split_in_two(t, spark):
+    """Another edition writes each fifth word of six letters or more as two."""
+    w = _lines(t).select("line", "i", "word", F.concat_ws("#", "word", F.col("i").cast("string")).alias("key"))
+    cut = (F.col("i") % 5 == 1) & (F.length("word") >= 6)
+    halves = F.when(cut, F.array(F.substring("key", 1, 3), F.substr("key", F.lit(4)))).otherwise(F.array("key"))
+    theirs = w.select("line", F.col("i").alias("at"), F.posexplode(halves).alias("p", "key"))
+    theirs = theirs.select("line", (F.row_number().over(Window.partitionBy("line").orderBy("at", "p")) - 1).alias("i"), "key")
+    return al.gap_pass(w.select("line", "i", "key"), theirs, "line").select("line", F.col("i").cast("long").alias("i"), "part", F.col("j").cast("long").alias("j"))
+
+
+_CUSTOM = "o AS (SELECT o_custkey AS grp, o_orderkey AS line, o_orderpriority AS p, o_orderstatus AS s FROM orders)"
+
+
+@query(f"""WITH {_CUSTOM} SELECT grp, line, 0 AS i, line AS to_line, CASE WHEN line % 3 = 0 THEN 1 ELSE 0 END AS to_i FROM o UNION ALL SELECT grp, line, 1, line, 2 FROM o WHERE line % 5 <> 0""")
+def file_links(t, spark):
+    """A line has words x and y, the other side x, x and z; x is linked to the first or (every third line) second x, y to z."""
+    return _alignment_file(t)[0].select("grp", "line", "i", "to_line", "to_i")
+
+
+@query(f"""WITH {_CUSTOM} SELECT grp, 'unaligned' AS kind, line, 'x' AS what FROM o UNION ALL SELECT grp, 'unaligned', line, 'z' FROM o WHERE line % 5 = 0
+UNION ALL SELECT grp, 'entry', line, 'y' FROM o WHERE line % 5 = 0 UNION ALL SELECT grp, 'ref', line, 'q' FROM o WHERE line % 7 = 0 UNION ALL SELECT grp, 'word', line, 'x' FROM o WHERE line % 11 = 0""")
+def file_problems(t, spark):
+    return _alignment_file(t)[1].select("grp", "kind", "line", "what")
+
+
+def _alignment_file(t):
+    o = t("orders").select(F.col("o_custkey").alias("grp"), F.col("o_orderkey").alias("line"))
+    line = F.col("line")
+    listed = lambda words: o.select("grp", "line", F.posexplode(F.array(*map(F.lit, words))).alias("i", "key"))
+    first = F.struct(F.lit("x").alias("word"), F.when(line % 7 == 0, F.array(F.when(line % 3 == 0, "x@2").otherwise("x"), F.lit("q"))).otherwise(F.array(F.when(line % 3 == 0, "x@2").otherwise("x"))).alias("refs"))
+    second = F.when(line % 5 != 0, F.struct(F.lit("y").alias("word"), F.array(F.lit("z")).alias("refs")))
+    third = F.when(line % 11 == 0, F.struct(F.lit("x").alias("word"), F.array(F.lit("x")).alias("refs")))  # listed once too often
+    entries = o.select("grp", "line", F.posexplode(F.array_compact(F.array(first, second, third))).alias("n", "e")).select("grp", "line", "n", "e.word", "e.refs")
+    return al.resolve_links(entries, listed("xy"), listed("xxz"), ["grp"])
+
+
+@query(f"WITH {_LINES} SELECT line, i AS a, CASE WHEN i % 5 <> 2 THEN length(word) END AS value FROM one")
 def transferred_attributes(t, spark):
-    edges = al.longest_runs(_first_line(t), _edited(t), "doc_id", "key")
-    values = _first_line(t).select("doc_id", F.col("i").alias("b"), F.length("word").alias("value"))
-    return al.transfer(edges, _first_line(t).select("doc_id", F.col("i").alias("a")), values, "doc_id")
+    edges = al.longest_runs(_lines(t), _edited(t), "line", "key")
+    values = _lines(t).select("line", F.col("i").alias("b"), F.length("word").alias("value"))
+    return al.transfer(edges, _lines(t).select("line", F.col("i").alias("a")), values, "line")
 
 
-@query(f"WITH {_FIRST} SELECT doc_id, i, i AS new_i FROM one WHERE i % 5 <> 2")
+@query(f"WITH {_LINES} SELECT line, i, i AS new_i FROM one WHERE i % 5 <> 2")
 def reindexed(t, spark):
-    edges = al.longest_runs(_first_line(t), _edited(t), "doc_id", "key")
-    return al.reindex(_first_line(t).select("doc_id", "i"), edges, "doc_id")
+    edges = al.longest_runs(_lines(t), _edited(t), "line", "key")
+    return al.reindex(_lines(t).select("line", "i"), edges, "line")
 
 
 @query("WITH p AS (SELECT o_custkey AS g, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS pos FROM orders) SELECT g, pos, CAST(greatest(1, pos // 3 * 3 // 2) AS BIGINT) AS line FROM p")
