@@ -508,11 +508,6 @@ def json_props(t, spark):
     return t("events").select("event_id", F.from_json("props", "k int")["k"].alias("k"))
 
 
-@query(None)
-def sentence_pieces(t, spark):
-    return co.sentences(_segs(t))
-
-
 # ---- segments and readers --------------------------------------------------------------------------------------------
 
 @query(f"WITH {WRD} SELECT doc_id, seq, count(*) AS n_words FROM wrd GROUP BY ALL")

@@ -121,13 +121,6 @@ def catalogue_build(t, spark):
 
 # ---- text functions -------------------------------------------------------------------------------------------------
 
-@query(rf"WITH {WRD}, k AS (SELECT regexp_replace(strip_accents(lower(word)), '[^a-z]', '', 'g') AS k FROM wrd) SELECT CASE WHEN length(k) > 2 AND k LIKE '%en' THEN left(k, length(k) - 1) ELSE k END AS key, count(*) AS n FROM k GROUP BY 1")
-def loose_keys(t, spark):
-    k = tx.fold_latin(F.col("word"))
-    loose = F.when(k.endswith("en") & (F.length(k) > 2), tx.drop_movable(k, "n")).otherwise(k)
-    return _words(t).groupBy(loose.alias("key")).agg(F.count("*").alias("n"))
-
-
 @query(r"SELECT doc_id, md5(regexp_replace(text, '([A-Za-z0-9_])-\s*\n\s*([A-Za-z0-9_])', '\1\2', 'g')) AS digest FROM documents")
 def dehyphenated(t, spark):
     return t("documents").select("doc_id", F.md5(tx.dehyphenate(F.col("text"))).alias("digest"))

@@ -284,12 +284,6 @@ def saved_pieces(t, spark):
     return st.saved_bytes(p, ["user_id"])
 
 
-@query("SELECT user_id, event_type, min(event_id) AS event_id FROM events GROUP BY ALL")
-def first_added(t, spark):
-    e = t("events").select("user_id", "event_type", "event_id")
-    return st.first_adds(e, ["user_id", "event_type"]).select("user_id", "event_type").join(rp.ordered_distinct(e, ["user_id", "event_type"], "event_id"), ["user_id", "event_type"])
-
-
 @query("SELECT event_id, CASE WHEN value < 10 THEN 'low' ELSE 'high' END AS unit FROM events WHERE value >= 0")
 def enriched_events(t, spark):
     users = t("events").select("user_id").distinct()

@@ -26,9 +26,55 @@ def activity_spans(events: DataFrame, keys: list[str], gap: str, late: str = "0
     return seen.groupBy(*keys, F.session_window("ts", gap).alias("w")).agg(F.count("*").alias("n")).select(*keys, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 
 
-def first_adds(events: DataFrame, keys: list[str], late: str = "1 hour") -> DataFrame:
-    """Idempotent adds: the first of every key within the watermark."""
-    return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(keys) if events.isStreaming else events.dropDuplicates(keys)
+def _keep_first(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+    """State: the last removal, and the first add after it (both 0 and none at first)."""
+    removed, at, ident = state.get if state.exists else (-(2**62), None, None)
+    for b in batches:
+        gone = b.loc[b["removed"], "at"]
+        removed = max([removed, *gone.tolist()])
+        if at is not None and at <= removed:
+            at = ident = None
+        adds = b.loc[~b["removed"] & (b["at"] > removed), ["at", "event_id"]]
+        for x, i in zip(adds["at"].tolist(), adds["event_id"].tolist(), strict=True):
+            if at is None or (x, i) < (at, ident):
+                at, ident = x, i
+    state.update((removed, at, ident))
+    yield pd.DataFrame([[*key, ident]]).astype("Int64")
+
+
+def bookmarks(events: DataFrame, keys: list[str]) -> DataFrame:
+    """events: keys (longs), at, event_id, removed.  keys, event_id: the first add after the key's last removal, null if there is none.  The
+    batch twin says the same by aggregates; as a stream (update mode) a key's state is two times and an id, and a late removal drops only adds
+    before it that were kept: an add between two removals that come in the wrong order is gone for good, as in the batch."""
+    if events.isStreaming:
+        kind = ", ".join(f"`{k}` long" for k in keys) + ", event_id long"
+        named = lambda key, batches, state: (df.set_axis([*keys, "event_id"], axis=1) for df in _keep_first(key, batches, state))
+        return events.groupBy(*keys).applyInPandasWithState(named, kind, "removed long, at long, ident long", "update", "NoTimeout")
+    last = events.filter("removed").groupBy(*keys).agg(F.max("at").alias("__r"))
+    adds = events.filter("NOT removed").join(last, keys, "left").filter("__r IS NULL OR at > __r")
+    firsts = adds.groupBy(*keys).agg(F.min(F.struct("at", "event_id")).alias("m")).select(*keys, F.col("m.event_id").alias("event_id"))
+    return events.select(*keys).distinct().join(firsts, keys, "left")
+
+
+def rebuild_slices(stream: DataFrame, path: str, key: str, ident: str, checkpoint: str) -> None:
+    """Every micro-batch rebuilds the slices (partitions of `path` by key) that it has rows for, from what the slice held and the new rows, one row
+    per id; the other slices are not touched.  A batch that is run again after a failure gives the same slices."""
+    from tessera.sources.sinks import overwrite_slice
+    from tessera.store import materialize
+
+    def put(batch: DataFrame, epoch: int) -> None:
+        spark = batch.sparkSession
+        new = materialize(batch, f"batch-{epoch}")
+        try:
+            held = spark.read.schema(new.schema).parquet(path).join(F.broadcast(new.select(key).distinct()), key, "left_semi")  # a batch's keys
+            both = held.unionByName(new)
+        except Exception as e:  # the table isn't there before the first batch
+            if "PATH_NOT_FOUND" not in str(e):
+                raise
+            both = new
+        overwrite_slice(materialize(both.dropDuplicates([key, ident]), f"slices-{epoch}"), path, [key])
+
+    stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
 def enrich(events: DataFrame, units: DataFrame, keys: list[str]) -> DataFrame:
