@@ -319,10 +319,13 @@ def similar_groups(docs: DataFrame, k: int = 4, percent: int = 85, text_col: str
     rows = materialize(_prefixes(texts, k, percent, often, hottest), "prefixes")
     key = ["n", "f1", "f2"]
     classes = rows.filter("n > 0").groupBy(*key).agg(F.min("doc_id").alias("rep"))
-    heads = rows.filter("n > 0 AND doc_id IS NOT NULL").groupBy(*key).agg(F.min(F.struct("doc_id", "prefix", "hot")).alias("m")).select(F.col("m.doc_id").alias("rep"), "n", F.col("m.prefix").alias("prefix"), F.col("m.hot").alias("hot"))
+    known = rows.filter("n > 0 AND doc_id IS NOT NULL")
+    first = lambda df, c: df.groupBy(*key).agg(F.min(F.struct("doc_id", c)).alias("m")).select(F.col("m.doc_id").alias("rep"), "n", F.col(f"m.{c}").alias(c))
+    heads = first(known, "prefix")
     pointers = _pointers(heads.select("rep", "n", F.explode("prefix").alias("s")), percent)
     if len(hottest):
-        pointers = pointers.unionByName(_band_pointers(heads.select("rep", "n", F.explode("hot").alias("s")), percent))
+        # equal sets have equal hot shingles: only the rows that have some are read for these
+        pointers = pointers.unionByName(_band_pointers(first(known.filter(F.size("hot") > 0), "hot").select("rep", "n", F.explode("hot").alias("s")), percent))
     pointers = materialize(pointers, "pointers")
     regions = materialize(components(pointers).select(F.col("node").alias("rep"), F.col("root").alias("region")), "regions")
 
@@ -351,8 +354,8 @@ def similar_groups(docs: DataFrame, k: int = 4, percent: int = 85, text_col: str
     else:
         links = pair(_join_regions(members.join(large, "region", "left_anti"), percent))
         pool = materialize(members.join(large, "region", "left_semi").select("region", "rep", "set").dropDuplicates(["region", "rep"]), "pool")
-        known, cells = _split_regions(pool, percent, block_members, max(1, region_shingles // 4))
-        links = links.unionByName(known).unionByName(pair(_join_regions(materialize(cells, "cells"), percent)))
+        near, cells = _split_regions(pool, percent, block_members, max(1, region_shingles // 4))
+        links = links.unionByName(near).unionByName(pair(_join_regions(materialize(cells, "cells"), percent)))
     found = components(materialize(links, "links"))
     found = found.select(F.col("node").alias("rep"), "root")
     labels = materialize(classes.join(found, "rep", "left").select(*key, F.coalesce("root", "rep").alias("component_id")), "labels")
