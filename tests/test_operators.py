@@ -1,10 +1,13 @@
 """Invariants and small cases of the operators that no table query shows."""
 
+import random
+
 from pyspark.sql import functions as F
 
 from tessera.functions import text as tx
 from tessera.operators import alignment as al
 from tessera.operators import corpus as co
+from tessera.operators import reading
 from tessera.operators import reports as rp
 from tessera.operators import sequence as sq
 from tessera.sources import readers as rd
@@ -153,3 +156,94 @@ def test_nothing_imports_the_llm_folders():
         if "llm" not in p.parts:
             assert "llm" not in p.read_text(), p
     assert not [p for p in (root / "tests").glob("*.py") if p.name != "test_operators.py" and "corpus_pipeline" in p.read_text()]
+
+
+def runs_by_hand(a, b):
+    """Longest runs first (ties: the earlier a, then b); candidates that cross or share a kept pair go; again until none is left."""
+    cand, kept = {(i, j) for i, x in enumerate(a) for j, y in enumerate(b) if x == y}, []
+    while cand:
+        runs = []
+        for i, j in cand:
+            if (i - 1, j - 1) not in cand:
+                n = 1
+                while (i + n, j + n) in cand:
+                    n += 1
+                runs.append((n, -i, -j))
+        n, i, j = max(runs)
+        new = [(k - i, k - j) for k in range(n)]
+        kept += new
+        cand = {(x, y) for x, y in cand if all((x < p and y < q) or (x > p and y > q) for p, q in new)}
+    return sorted(kept)
+
+
+def test_longest_runs_with_repeats_by_brute_force(spark):
+    g = random.Random(8)
+    pairs = [([g.choice("abcd") for _ in range(g.randrange(0, 14))], [g.choice("abcd") for _ in range(g.randrange(0, 14))]) for _ in range(40)]
+    side = lambda k: spark.createDataFrame([(n, i, x) for n, p in enumerate(pairs) for i, x in enumerate(p[k])], "g int, i int, key string")
+    got = {n: [] for n in range(len(pairs))}
+    for r in al.longest_runs(side(0), side(1), "g", "key").collect():
+        got[r.g].append((r.a, r.b))
+    assert {n: sorted(v) for n, v in got.items()} == {n: runs_by_hand(*p) for n, p in enumerate(pairs)}
+
+
+def test_match_classes(spark):
+    lines = [("μηδέ τὸν ἔτελλεν", "μη δέ τὸν ἔτελλε"), ("ἦ τοι ὁ λόγος", "ἤτοι ὁ Λόγος"), ("ἐς πόλιν ἦλθεν", "ἐν πόλιν ἦλθεν"), ("πάλιν πλαγχθέντας οἴω", "παλιμπλαγχθέντας οἴω"), ("α β γ", "δ ε ζ η γ")]
+    side = lambda k: spark.createDataFrame([(n, i, w) for n, p in enumerate(lines) for i, w in enumerate(p[k].split())], "g int, i int, word string").withColumn("key", tx.fold_greek(F.col("word"))).withColumn("loose", tx.loose_key(F.col("key")))
+    got = {n: [] for n in range(len(lines))}
+    for r in al.align_words(side(0), side(1), "g").collect():
+        got[r.g].append((r.a, r.b if r.b is not None else -1, r.match))
+    assert sorted(got[0]) == [(0, 0, "split"), (0, 1, "split"), (1, 2, "exact"), (2, 3, "movable_nu")]
+    assert sorted(got[1]) == [(0, 0, "joined"), (1, 0, "joined"), (2, 1, "exact"), (3, 2, "orthographic")]
+    assert sorted(got[2]) == [(0, 0, "variant"), (1, 1, "exact"), (2, 2, "exact")]
+    assert sorted(got[3]) == [(0, 0, "variant"), (1, 0, "variant"), (2, 1, "exact")]
+    assert sorted(got[4]) == [(0, -1, "none"), (1, -1, "none"), (2, 4, "exact")]
+
+
+def test_gap_pass(spark):
+    side = lambda words: spark.createDataFrame([(1, i, w) for i, w in enumerate(words.split())], "g int, i int, key string")
+    got = al.gap_pass(side("ουδε ταληθη x λογοσ"), side("ου δε τα αληθη λογοσ"), "g").collect()
+    assert sorted((r.i, r.part, r.j) for r in got) == [(0, 0, 0), (0, 1, 1), (1, 0, 2), (1, 1, 3), (3, 0, 4)]
+
+
+def test_numbers_over_brackets(spark):
+    s = spark.createDataFrame([(1, "a (b c) d"), (2, "[whole line kept] x"), (3, "x [gone now] y(z) (w)"), (4, "(open a"), (5, "-- a")], "doc_id int, content string").withColumn("seq", F.lit(0))
+    got = sorted((r.doc_id, r.word_index, r.word) for r in co.numbered_words(s).collect())
+    assert got == [(1, 0, "a"), (1, 3, "d"), (2, 0, "[whole"), (2, 1, "line"), (2, 2, "kept]"), (2, 3, "x"), (3, 0, "x"), (3, 3, "y(z)"), (4, 0, "(open"), (4, 1, "a"), (5, 1, "a")]
+
+
+def test_redirects_and_circles(spark):
+    rows = [(f"p{k}", f"#REDIRECT [[p{k - 1}]]") for k in range(1, 300)] + [("p0", "text"), ("x", "#redirect [[y]]"), ("y", "#REDIRECT [[x]]"), ("z", "#REDIRECT [[x]]"), ("out", "#REDIRECT [[nowhere]]")]
+    got = {r.page: r.target for r in rd.resolve_redirects(spark.createDataFrame(rows, "name string, body string"), "name", "body", doublings=11).collect()}
+    assert {got[f"p{k}"] for k in range(300)} == {"p0"} and got["out"] == "nowhere"
+    assert got["x"] is got["y"] is got["z"] is None and len(got) == len(rows)
+
+
+def test_headings_and_spelling(spark):
+    assert col(spark, tx.is_caps_heading(F.col("x")), "ΤΟ ΒΙΒΛΙΟΝ", "ΕΝ ᾧ ΛΟΓΟΣ", "ΛΟΓΟΣ", "ΤΟ βιβλιον ΜΟΥ", "A B", "12 — AB CD") == [True, True, False, False, False, True]
+    assert col(spark, tx.spelled(F.col("x")), "«δ᾽", "ἀλλʼ,", "Λόγος·") == ["δ’", "ἀλλ’", "Λόγος"]
+    assert col(spark, tx.clean_wiki(F.col("x")), "1. '''''b'''''{{a|{{b|{{c}}}}}} [[x|y]]<ref>n</ref><br/>", None) == ["b y", None]
+    assert col(spark, tx.tidy_punct(F.col("x")), "“ a b ” , c  d ( e ) .") == ["“a b”, c d (e)."]
+
+
+def test_load_order_within_and_between_sides(spark):
+    base, new = (spark.createDataFrame(rows, "k int, at int, v string") for rows in ([(1, 2, "b"), (1, 1, "a"), (2, 5, "c")], [(2, 1, "d"), (2, 0, "e"), (3, 9, "f")]))
+    assert sorted(r.v for r in rp.insert_ignore(base, new, ["k"], ["at"]).collect()) == ["a", "c", "f"]
+    assert sorted(r.v for r in rp.insert_replace(base, new, ["k"], ["at"]).collect()) == ["b", "d", "f"]
+
+
+def test_running_sums_over_ranges(spark):
+    df = spark.range(1000).selectExpr("if(id % 3 = 0, 'rare', 'hot') AS k", "id * 7919 % 1009 AS o", "id AS v")
+    got = sq.running(df, ["k"], ["o"], {"cum": "v"}).collect()
+    for key in ("rare", "hot"):
+        mine, total = sorted((r for r in got if r.k == key), key=lambda r: r.o), 0
+        for n, r in enumerate(mine, 1):
+            total += r.v
+            assert (r.i, r.cum) == (n, total)
+
+
+def test_plan_days_never_go_back(spark):
+    words = [1, 1, 1, 200, 1, 1, 1, 1]  # one unit holds nearly all: days fall back to unit counts
+    units = spark.createDataFrame([("p", 0, "t", 0, k, w, True, True) for k, w in enumerate(words)], "plan string, sort int, text string, book int, u int, words int, open boolean, close boolean")
+    for days in (1, 3, 5, 8, 20):
+        cuts = [r.cut for r in reading.split_plan(units, days).orderBy("day").collect()]
+        assert len(cuts) == min(days, 8) and cuts[-1] == 8 and all(x < y for x, y in zip([0, *cuts], cuts, strict=False))
