@@ -79,7 +79,7 @@ _HOST = r"translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1)
 _PATH = r"regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1)"
 _FITS = [f"(ends_with('.' || host, '.{h}') AND starts_with(path, '{p}'))" for _, h, p in URL_RULES]
 _LONGEST = sorted(range(len(URL_RULES)), key=lambda k: -len(URL_RULES[k][1] + URL_RULES[k][2]))
-_WORDS = "(casino|-pills|spam-|viagra|porn)"
+_WORDS = f"({'|'.join(url_filter.BLOCK_WORDS)})"
 
 SQL = {
     "op2_url_filter": f"""

@@ -10,7 +10,8 @@ takes any bytes, "?" takes one byte; the whole canonical URL has to fit.  A host
 glob `*.example.com/en/**`, so that it fits the host, its subdomains and every path that begins so.
 
 Nulls: a null URL, or one without "://", has an empty host and path; no host rule fits it.  Ties between rules of
-one length go to the rule listed first.  Repeated rows give repeated results.
+one length go to the rule listed first.  Repeated rows give repeated results.  An empty table gives no rows.  Other columns are kept;
+those named host, path, rule, verdict or by_glob are replaced.  A URL of any length is read whole.
 """
 
 from __future__ import annotations
@@ -25,8 +26,13 @@ from pyspark.sql import types as T
 
 from tessera.llm.common import bytes_of, slices
 
-#: Words that mark hosts nobody wants in a training corpus; globs over the host part.
-DEFAULT_BLOCK_GLOBS = tuple(f"*{w}*" + tail for w in ("casino", "-pills", "spam-", "viagra", "porn") for tail in ("", "/**"))
+#: Words that mark hosts nobody wants in a training corpus: gambling, sham medicine, adult pages, link farms, pirated goods.
+BLOCK_WORDS = (
+    "casino", "jackpot", "sportsbook", "-betting", "betting-", "slots-", "-slots", "-pills", "pills-", "viagra", "cialis", "levitra", "spam-", "-spam", "porn", "xxx-",
+    "-xxx", "escort-", "-escorts", "camgirl", "hentai", "payday-loan", "payday-loans", "replica-watch", "backlinks", "linkfarm", "link-farm", "clickbank-", "warez", "torrentz", "crackserial", "keygen",
+)
+#: Globs over the host part.
+DEFAULT_BLOCK_GLOBS = tuple(f"*{w}*" + tail for w in BLOCK_WORDS for tail in ("", "/**"))
 
 
 class GlobAutomaton:
