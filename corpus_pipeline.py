@@ -2,6 +2,12 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents.  run()
 writes each stage's result to the shared folder and reads it again as the next stage's documents.
+
+Nulls: a null text has no words, so the quality stage takes it away; given to a later stage, it is no language (goes), no copy
+(stays), holds no secret, and is packed as its end id alone.  A null doc_id, lang or source is a value like any other; documents without an
+id are never copies.  Repeated rows: one stays.  Ties: of equal texts the smallest id stays.  An empty table gives an empty result at
+every stage.  Further columns of documents are kept up to the packing, whatever their names; those of the stages' own counts
+are not taken over.  Texts of any length go through whole.
 """
 
 from __future__ import annotations

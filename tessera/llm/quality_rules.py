@@ -9,7 +9,9 @@ The fit takes at most `fit_rows` labelled rows (those with the smallest hashes o
 is a parameter and the rows are numbers only.  Everything else runs over all documents.
 
 A word is a run of bytes other than space and \\t..\\r.  Nulls: a null text has no words.  Without labels, or with one
-class only, the list is empty and keeps what the base rule keeps.  Rows whose doc_id repeats are judged each.
+class only, as with empty tables, the list is empty and keeps what the base rule keeps.  Rows whose doc_id repeats are judged each.
+Equal gains go to the statistic named first.  Other columns are kept; those named as a statistic or a verdict are replaced.  A text of any
+length is read whole.
 """
 
 from __future__ import annotations

@@ -7,7 +7,8 @@ text.  The table is per Python worker and bounded (`table_size`): one table for
 of the corpus through a shuffle to be joined back.  A model that breaks the condition is encoded text by text.
 
 Nulls: a null text is encoded as an empty one.  Empty text: the end id alone, decoded to "".  Repeated rows give
-repeated results; further columns are kept; columns named as a result column are replaced.
+repeated results; further columns are kept; columns named as a result column are replaced.  An empty table gives no rows.  A text
+of any length is encoded whole.
 """
 
 from __future__ import annotations
