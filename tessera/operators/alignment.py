@@ -56,13 +56,26 @@ def regroup(a: DataFrame, b: DataFrame, group: str) -> DataFrame:
     return n.select(group, "a", "b", kind.alias("match"))
 
 
-def cut_points(df: DataFrame, text: str, starts: str) -> DataFrame:
-    """pieces of text between given first words, each looked for after the cut before; a word not found gives null."""
-    found = F.expr(f"aggregate({starts}, array(1), (acc, w) -> concat(acc, array(locate(w, {text}, greatest(1, element_at(acc, -1))))))")
-    cut = df.withColumn("__at", F.slice(found, F.lit(2), F.size(starts)))
-    piece = f"""transform(__at, (p, k) -> CASE WHEN p > 0 THEN trim(substring({text}, p,
-        CASE WHEN k + 1 < size(__at) AND __at[k + 1] > p THEN __at[k + 1] - p ELSE length({text}) END)) END)"""
-    return cut.withColumn("pieces", F.expr(piece)).drop("__at")
+def cut_points(df: DataFrame, text: str, starts: str, openers: str = "“‘«([") -> DataFrame:
+    """pieces of text, one per entry of `starts` (first words, each looked for after the words of the one before) and one for what stands before the
+    first; opening quotes and brackets before a cut go with it.  A null entry has a null piece, and so has one that isn't found: `missing`
+    has these entries' numbers; `rejoins` says whether the pieces, without blanks, are the text."""
+
+    opener = openers.replace("[", r"\\[")  # twice: once for SQL's string, once for the pattern
+    found = f"""aggregate({starts}, struct(1 AS pos, CAST(array() AS array<int>) AS at), (acc, w) -> named_struct(
+        'pos', CASE WHEN w IS NOT NULL AND locate(w, {text}, acc.pos) > 0 THEN locate(w, {text}, acc.pos) + length(w) ELSE acc.pos END,
+        'at', array_append(acc.at, CASE WHEN w IS NOT NULL THEN locate(w, {text}, acc.pos) END)), acc -> acc.at)"""
+    back = f"transform(__found, p -> CASE WHEN p > 0 THEN p - length(regexp_extract(substring({text}, 1, p - 1), '((?:[{opener}] ?)+)$', 1)) END)"
+    cut = df.withColumn("__found", F.expr(found)).withColumn("__at", F.expr(back))
+    # an entry without a cut ends where the next one that has one begins, so it is empty and the one before keeps its own
+    ends = f"transform(__at, (p, k) -> coalesce(array_min(filter(slice(__at, k + 2, size(__at)), x -> x IS NOT NULL)), length({text}) + 1))"
+    cut = cut.withColumn("__end", F.expr(ends))
+    head = f"trim(substring({text}, 1, coalesce(array_min(__at), length({text}) + 1) - 1))"
+    cut = cut.withColumn("head", F.expr(head)).withColumn("pieces", F.expr(f"transform(arrays_zip(__at, __end), z -> CASE WHEN z.__at IS NOT NULL THEN trim(substring({text}, z.__at, z.__end - z.__at)) END)"))
+    missing = F.expr("transform(filter(transform(__found, (p, k) -> named_struct('p', p, 'k', k)), x -> x.p = 0), x -> x.k)")
+    bare = lambda c: F.regexp_replace(c, r"\s", "")
+    whole = F.concat("head", F.array_join(F.filter("pieces", lambda p: p.isNotNull()), ""))
+    return cut.withColumn("missing", missing).withColumn("rejoins", bare(whole) == bare(F.col(text))).drop("__found", "__at", "__end")
 
 
 def similarity(pairs: DataFrame, sizes_a: DataFrame, sizes_b: DataFrame, group: str) -> DataFrame:

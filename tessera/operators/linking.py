@@ -41,9 +41,9 @@ def count_cover(points: DataFrame, ranges: DataFrame, keys: list[str]) -> DataFr
     return points.join(spread, [*keys, "pos"], "left").withColumn("n_cover", F.coalesce("n_cover", F.lit(0)))
 
 
-def asof(events: DataFrame, units: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """events: at; units: at, value.  The last unit's value at or before every event; one window, no pairs."""
-    both = events.withColumn("__kind", F.lit(1)).unionByName(units.select(*keys, "at", F.col(value).alias("__value")).withColumn("__kind", F.lit(0)), allowMissingColumns=True)
+def asof(events: DataFrame, units: DataFrame, keys: list[str], value: str, slack: float = 0) -> DataFrame:
+    """events: at; units: at, value.  The last unit's value at or before every event, or at most `slack` after it; one window, no pairs."""
+    both = events.withColumn("__kind", F.lit(1)).unionByName(units.select(*keys, (F.col("at") - slack if slack else F.col("at")).alias("at"), F.col(value).alias("__value")).withColumn("__kind", F.lit(0)), allowMissingColumns=True)
     w = Window.partitionBy(*keys).orderBy("at", "__kind").rowsBetween(Window.unboundedPreceding, 0)
     return both.withColumn(value, F.last("__value", ignorenulls=True).over(w)).filter("__kind = 1").drop("__kind", "__value")
 
@@ -146,14 +146,18 @@ def spare_suffixes(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 def pair_similar(left: DataFrame, right: DataFrame, keys: list[str], own: int = 600, least: int = 500) -> DataFrame:
     """left, right: num, words (arrays).  The right row of the same number if their similarity (2 x shared distinct words over all,
-    in thousandths) is at least `own`, else the most similar one of `least` or more; ties to the smaller number."""
+    in thousandths) is at least `own`; else the most similar one; if that has less than `own`, two rows of adjacent numbers joined may be more
+    similar (joined: the first of them); `least` or more is needed.  Ties: single rows first, then the smaller number."""
     size = lambda df, n: df.select(*keys, F.col("num").alias(n), F.array_distinct("words").alias("w")).withColumn(f"{n}_n", F.size("w"))
-    a, b = size(left, "l"), size(right, "r")
-    cells = a.select(*keys, "l", "l_n", F.explode("w").alias("w")).join(b.select(*keys, "r", "r_n", F.explode("w").alias("w")), [*keys, "w"])
-    scored = cells.groupBy(*keys, "l", "r").agg(F.floor(2000 * F.count("*") / F.first(F.col("l_n") + F.col("r_n"))).cast("long").alias("score"))
-    good = scored.filter((F.col("score") >= least) | ((F.col("l") == F.col("r")) & (F.col("score") >= own)))
-    first = Window.partitionBy(*keys, "l").orderBy(F.desc((F.col("l") == F.col("r")) & (F.col("score") >= own)), F.desc("score"), "r")
-    return good.withColumn("__k", F.row_number().over(first)).filter("__k = 1").drop("__k")
+    w = Window.partitionBy(*keys).orderBy("num")
+    two = right.withColumn("__n", F.lead("num").over(w)).withColumn("__w", F.lead("words").over(w)).filter("__n = num + 1").select(*keys, "num", F.concat("words", "__w").alias("words"))
+    a, b = size(left, "l"), size(right, "r").withColumn("joined", F.lit(False)).unionByName(size(two, "r").withColumn("joined", F.lit(True)))
+    cells = a.select(*keys, "l", "l_n", F.explode("w").alias("w")).join(b.select(*keys, "r", "joined", "r_n", F.explode("w").alias("w")), [*keys, "w"])
+    scored = cells.groupBy(*keys, "l", "r", "joined").agg(F.floor(2000 * F.count("*") / F.first(F.col("l_n") + F.col("r_n"))).cast("long").alias("score"))
+    mine = ~F.col("joined") & (F.col("l") == F.col("r")) & (F.col("score") >= own)
+    rank = F.when(mine, 0).when(~F.col("joined") & (F.col("score") >= own), 1).otherwise(2)
+    best = scored.filter((F.col("score") >= least) | mine).groupBy(*keys, "l").agg(F.min(F.struct(rank.alias("rank"), (-F.col("score")).alias("s"), "joined", "r", "score")).alias("m"))
+    return best.select(*keys, "l", "m.r", "m.score", "m.joined")
 
 
 def linked(links: DataFrame, tokens: DataFrame, keys: list[str]) -> DataFrame:

@@ -161,6 +161,17 @@ def link_report(ref: DataFrame, cand: DataFrame, words: DataFrame, key: list[str
     return total.select("shared", part("n_cand").alias("precision"), part("n_ref").alias("recall"), "same_set", "any_shared", "with_ref")
 
 
+def union_numbered(order: list[str], **sources: DataFrame) -> DataFrame:
+    """Sources of one shape after another, in the order named: source, their columns, and pos over all, by source and `order` (total)."""
+    from tessera.operators.sequence import running
+
+    out = None
+    for n, (name, df) in enumerate(sources.items()):
+        one = df.withColumn("source", F.lit(name)).withColumn("__source", F.lit(n))
+        out = one if out is None else out.unionByName(one)
+    return running(out, [], ["__source", *order], {}).withColumnRenamed("i", "pos").drop("__source")
+
+
 def index_difference(a: DataFrame, b: DataFrame) -> DataFrame:
     """a, b: name, definition of indexes or columns: those only one side has, or that differ."""
     met = a.select("name", F.col("definition").alias("left")).join(b.select("name", F.col("definition").alias("right")), "name", "full")

@@ -101,7 +101,20 @@ def stitched(spans: DataFrame, keys: list[str]) -> DataFrame:
 
 def skip_rule(gap: Column, keep: float = 1.5, over: float = 4.0) -> Column:
     """Seconds to skip within a gap."""
-    return F.when(gap > over, gap - keep).otherwise(F.lit(0.0))
+    return F.when(gap > over, gap - keep).otherwise(F.lit(0))
+
+
+def skip_spans(units: DataFrame, keys: list[str], second: float = 1.0) -> DataFrame:
+    """units: start, speech_end, cut, jump.  What is passed over before the next unit, from and to: a silence of over 4 seconds, but for 1.5 after the
+    speech and 0.6 before the next; what lies between the pieces of a selection (jump), or speech outside the text (cut) of 3.5 seconds or
+    more, but for 0.1 and 0.2.  `second` is a second in the unit of the times."""
+    w = Window.partitionBy(*keys).orderBy("start")
+    met = units.withColumn("__next", F.lead("start").over(w))
+    gap = F.col("__next") - F.col("speech_end")
+    told = F.coalesce("jump", F.lit(False)) | (F.coalesce("cut", F.lit(False)) & (gap >= 3.5 * second))
+    keep, lead = F.when(told, 0.1 * second).otherwise(1.5 * second), F.when(told, 0.2 * second).otherwise(0.6 * second)
+    spans = met.filter(told | (gap > 4 * second)).select(*keys, "start", (F.col("speech_end") + keep).alias("from"), (F.col("__next") - lead).alias("to"))
+    return spans.filter(F.col("to") > F.col("from"))
 
 
 def portions(units: DataFrame, key: str, order: list[str], weight: str, days: int) -> DataFrame:
@@ -206,12 +219,24 @@ def running(df: DataFrame, keys: list[str], order: list[str], sums: dict[str, st
     spread = materialize(df.repartitionByRange(*keys, *order).withColumn("__p", F.spark_partition_id()), "ranges")
     inside = Window.partitionBy(*keys, "__p").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     parts = spread.groupBy(*keys, "__p").agg(F.count("*").alias("__n"), *[F.sum(c).alias(f"__{new}") for new, c in sums.items()])
+    # (without keys: one window over a row per range)
     before = Window.partitionBy(*keys).orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
     names = ["__n", *(f"__{new}" for new in sums)]
     offsets = parts.select(*keys, "__p", *[F.coalesce(F.sum(x).over(before), F.lit(0)).alias(x) for x in names])
-    own = spread.withColumn("i", F.count("*").over(inside)).withColumns({new: F.sum(c).over(inside) for new, c in sums.items()})
+    own = spread.withColumn("i", F.count("*").over(inside))
+    for new, c in sums.items():
+        own = own.withColumn(new, F.sum(c).over(inside))
     joined = own.join(offsets, [*keys, "__p"]).withColumn("i", F.col("i") + F.col("__n"))
-    return joined.withColumns({new: F.col(new) + F.col(f"__{new}") for new in sums}).drop("__p", *names)
+    for new in sums:
+        joined = joined.withColumn(new, F.col(new) + F.col(f"__{new}"))
+    return joined.drop("__p", *names)
+
+
+def next_of(df: DataFrame, keys: list[str], order: list[str], col: str, out: str) -> DataFrame:
+    """The value of the next row of the key, without a window over a whole key."""
+    placed = materialize(running(df, keys, order, {}), "placed")
+    after = placed.select(*keys, (F.col("i") - 1).alias("i"), F.col(col).alias(out))
+    return placed.join(after, [*keys, "i"], "left").drop("i")
 
 
 def portion_reach(units: DataFrame, key: str, order: list[str], weight: str) -> DataFrame:

@@ -116,6 +116,13 @@ def cleaned_wiki(t, spark):
     return t("documents").select("doc_id", tx.clean_wiki(F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])).alias("cleaned"))
 
 
+@query("SELECT doc_id, lang || ' é € “' || source || '” <b> λόγος Τύπος out of To' AS cleaned FROM documents")
+def unescaped(t, spark):
+    """References of every kind, and Latin letters inside Greek words."""
+    said = F.concat("lang", F.lit(" &eacute; &#8364; &ldquo;"), "source", F.lit("&#x201D; &lt;b&gt; λόγoς Tύπoς out of To"))
+    return t("documents").select("doc_id", tx.greek_letters(tx.unescape(said)).alias("cleaned"))
+
+
 @query("""SELECT event_id, CASE event_type WHEN 'click' THEN 'noun, third, plural' WHEN 'view' THEN 'verb, plural' ELSE NULL END AS labels FROM events""")
 def ordered_tags(t, spark):
     """Tags of fixed length as words: only those with a known sign per place."""

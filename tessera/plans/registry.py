@@ -310,10 +310,9 @@ def set_difference(t, spark):
     return t("customer").select(F.col("c_custkey").alias("k")).subtract(t("orders").select("o_custkey"))
 
 
-@query("SELECT kind, n, row_number() OVER (ORDER BY kind, n) AS pos FROM (SELECT 'a' AS kind, n_nationkey AS n FROM nation UNION ALL SELECT 'b', r_regionkey FROM region)")
+@query("SELECT source, n, row_number() OVER (ORDER BY o, n) AS pos FROM (SELECT 'orders' AS source, 0 AS o, o_orderkey AS n FROM orders UNION ALL SELECT 'customers', 1, c_custkey FROM customer)")
 def union_numbered(t, spark):
-    both = t("nation").select(F.lit("a").alias("kind"), F.col("n_nationkey").alias("n")).unionByName(t("region").select(F.lit("b").alias("kind"), F.col("r_regionkey").alias("n")))
-    return both.withColumn("pos", F.row_number().over(Window.orderBy("kind", "n")))  # two dimension tables
+    return rp.union_numbered(["n"], orders=t("orders").select(F.col("o_orderkey").alias("n")), customers=t("customer").select(F.col("c_custkey").alias("n")))
 
 
 @query(f"WITH {SEG} SELECT doc_id, content, min(seq) AS seq FROM seg GROUP BY ALL")
@@ -335,11 +334,18 @@ def insert_replace(t, spark):
     return rp.insert_replace(o.filter("o_orderkey % 2 = 0"), twice, ["o_orderkey"], ["o_custkey"])
 
 
-@query("SELECT 0 AS only_a, 0 AS only_b, count(*) >= 0 AS same_schema FROM part")
+@query("SELECT p_size, p_partkey, p_brand, p_type, p_name FROM part")
 def compact_round_trip(t, spark):
     p = t("part").select("p_size", "p_partkey", "p_brand", "p_type", "p_name")
     chunks, dicts = rp.compact(p, ["p_size"], ["p_brand", "p_type"], ["p_partkey"])
-    return rp.tables_equal(p, rp.restore(chunks, dicts, ["p_size"], ["p_brand", "p_type"], p.columns))
+    return rp.restore(chunks, dicts, ["p_size"], ["p_brand", "p_type"], p.columns)
+
+
+@query("WITH a AS (SELECT p_partkey % 50 AS k, p_brand FROM part WHERE p_partkey % 3 <> 0), b AS (SELECT p_partkey % 50 AS k, p_brand FROM part WHERE p_partkey % 4 <> 0) SELECT (SELECT count(*) FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b)) AS only_a, (SELECT count(*) FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM a)) AS only_b, true AS same_schema")
+def table_difference(t, spark):
+    """As multisets: how many rows only one side has."""
+    side = lambda cond: t("part").filter(cond).select((F.col("p_partkey") % 50).alias("k"), "p_brand")
+    return rp.tables_equal(side("p_partkey % 3 <> 0"), side("p_partkey % 4 <> 0"))
 
 
 @query("SELECT count(*) AS rows_changed FROM (SELECT source FROM documents GROUP BY source HAVING bool_or(lang = 'es'))")
@@ -423,7 +429,7 @@ def silence_spans(t, spark):
 @query(f"WITH {EV}, {_SPANS}, p AS (SELECT user_id, s, coalesce(lead(s) OVER (PARTITION BY user_id ORDER BY s), e) - e AS pause FROM merged) SELECT user_id, s AS start, pause, CASE WHEN pause > 4000000 THEN pause - 1500000 ELSE 0 END AS skip FROM p")
 def pause_rules(t, spark):
     p = sq.pauses(_merged(t).withColumnRenamed("end", "speech_end"), ["user_id"], F.col("speech_end"))
-    return p.select("user_id", "start", "pause", F.when(F.col("pause") > 4000000, F.col("pause") - 1500000).otherwise(0).alias("skip"))
+    return p.select("user_id", "start", "pause", sq.skip_rule(F.col("pause"), 1500000, 4000000).cast("long").alias("skip"))
 
 
 @query("""WITH c AS (SELECT source, doc_id, n_chars, sum(n_chars) OVER (PARTITION BY source ORDER BY doc_id ROWS UNBOUNDED PRECEDING) AS cum, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS i, sum(n_chars) OVER (PARTITION BY source) AS total FROM documents),
@@ -575,7 +581,7 @@ def library_listing(t, spark):
 
 @query("SELECT doc_id, source, lead(doc_id) OVER (PARTITION BY source ORDER BY doc_id) AS next_doc FROM documents")
 def next_place(t, spark):
-    return t("documents").select("doc_id", "source", F.lead("doc_id").over(Window.partitionBy("source").orderBy("doc_id")).alias("next_doc"))
+    return sq.next_of(t("documents").select("doc_id", "source"), ["source"], ["doc_id"], "doc_id", "next_doc")
 
 
 @query(f"WITH {SEG}, {_PASSAGES} SELECT s.doc_id, s.seq, length(s.content) AS chars, count(n.s) AS notes, l.quality FROM seg s LEFT JOIN note n ON s.doc_id = n.doc_id AND s.seq BETWEEN n.s AND n.e LEFT JOIN labels l ON s.doc_id = l.doc_id GROUP BY ALL")

@@ -134,19 +134,32 @@ def split_run_ons(t, spark):
     return al.split_run_ons(notes, "text", "line").select("o_orderkey", "part", "line", "text")
 
 
-@query("SELECT o_orderkey, lower(o_orderpriority) || ' ' || upper(o_orderstatus) AS joined FROM orders")
+@query("SELECT o_orderkey, 'start' AS head, '' || o_custkey AS first, '“' || o_orderstatus || ' says' AS second, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE '(the ' || o_custkey || ') end' END AS last, CASE WHEN o_orderkey % 3 = 0 THEN 1 ELSE 0 END AS n_missing, true AS rejoins FROM orders")
 def cut_pieces(t, spark):
-    """A text cut at given first words, and joined again."""
-    text = F.concat(F.lower("o_orderpriority"), F.lit(" "), F.upper("o_orderstatus"))
-    rows = t("orders").select("o_orderkey", text.alias("x"), F.array(F.substring(text, 1, 1), F.upper("o_orderstatus")).alias("s"))
-    return al.cut_points(rows, "x", "s").select("o_orderkey", F.array_join("pieces", " ").alias("joined"))
-
-
-@query("WITH w AS (SELECT conv_id, turn, unnest(list_distinct(list_filter(string_split(text, ' '), lambda x: x <> ''))) AS w FROM conversations), n AS (SELECT conv_id, turn, count(*) AS n FROM w GROUP BY ALL), p AS (SELECT a.conv_id, a.turn AS l, b.turn - 1 AS r, 2000 * count(*) // (any_value(na.n) + any_value(nb.n)) AS score FROM w a JOIN w b ON a.conv_id = b.conv_id AND a.w = b.w JOIN n na ON na.conv_id = a.conv_id AND na.turn = a.turn JOIN n nb ON nb.conv_id = b.conv_id AND nb.turn = b.turn WHERE b.turn > 0 GROUP BY a.conv_id, a.turn, b.turn) SELECT conv_id, l, r, score FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, l ORDER BY l = r AND score >= 60 DESC, score DESC, r) AS k FROM p WHERE score >= 50 OR (l = r AND score >= 60)) WHERE k = 1")
+    """A text cut at given first words, the third of them null and, in each third text, the last not there."""
+    k = F.col("o_custkey").cast("string")
+    last = F.when(F.col("o_orderkey") % 3 == 0, F.lit("")).otherwise(F.concat(F.lit(" (the "), k, F.lit(") end")))
+    text = F.concat(F.lit("start "), k, F.lit(" “"), "o_orderstatus", F.lit(" says"), last)
+    starts = F.array(k, F.concat("o_orderstatus", F.lit(" says")), F.lit(None).cast("string"), F.lit("the "))
+    got = al.cut_points(t("orders").select("o_orderkey", text.alias("x"), starts.alias("s")), "x", "s")
+    return got.select("o_orderkey", "head", F.col("pieces")[0].alias("first"), F.col("pieces")[1].alias("second"), F.col("pieces")[3].alias("last"), F.size("missing").alias("n_missing"), "rejoins")
+
+
+@query(f"""WITH {EV}, u AS (SELECT user_id, us AS start, us + 1000000 AS e, event_type = 'error' AS cut, event_type = 'signup' AS jump, lead(us) OVER (PARTITION BY user_id ORDER BY us) AS n FROM (SELECT user_id, us, min(event_type) AS event_type FROM ev GROUP BY ALL)), t AS (SELECT *, jump OR (cut AND n - e >= 3500000) AS told FROM u),
+s AS (SELECT user_id, start, e + CASE WHEN told THEN 100000 ELSE 1500000 END AS "from", n - CASE WHEN told THEN 200000 ELSE 600000 END AS "to" FROM t WHERE n IS NOT NULL AND (told OR n - e > 4000000)) SELECT user_id, start, CAST("from" AS DOUBLE) AS "from", CAST("to" AS DOUBLE) AS "to" FROM s WHERE "from" < "to" """)
+def skipped_spans(t, spark):
+    e = _micros(t).groupBy("user_id", F.col("us").alias("start")).agg(F.min("event_type").alias("kind"))
+    units = e.select("user_id", "start", (F.col("start") + 1000000).alias("speech_end"), (F.col("kind") == "error").alias("cut"), (F.col("kind") == "signup").alias("jump"))
+    return sq.skip_spans(units, ["user_id"], 1000000.0).select("user_id", "start", F.col("from").cast("double").alias("from"), F.col("to").cast("double").alias("to"))
+
+
+@query("""WITH t AS (SELECT conv_id, turn, list_filter(string_split(text, ' '), lambda x: x <> '') AS w FROM conversations), a AS (SELECT conv_id, turn AS l, list_distinct(w) AS w FROM t), b AS (SELECT conv_id, turn - 1 AS r, false AS joined, list_distinct(w) AS w FROM t WHERE turn > 0 UNION ALL SELECT x.conv_id, x.turn - 1, true, list_distinct(list_concat(x.w, y.w)) FROM t x JOIN t y ON x.conv_id = y.conv_id AND y.turn = x.turn + 1 WHERE x.turn > 0),
+p AS (SELECT a.conv_id, l, r, joined, 2000 * len(list_intersect(a.w, b.w)) // (len(a.w) + len(b.w)) AS score FROM a JOIN b USING (conv_id) WHERE len(list_intersect(a.w, b.w)) > 0), k AS (SELECT *, CASE WHEN NOT joined AND l = r AND score >= 60 THEN 0 WHEN NOT joined AND score >= 60 THEN 1 ELSE 2 END AS rank FROM p)
+SELECT conv_id, l, r, CAST(score AS BIGINT) AS score, joined FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, l ORDER BY rank, score DESC, joined, r) AS n FROM k WHERE score >= 50 OR rank = 0) WHERE n = 1""")
 def paired_turns(t, spark):
     c = t("conversations").select("conv_id", F.col("turn").alias("num"), F.filter(F.split("text", " "), lambda x: x != "").alias("words"))
     nxt = c.filter("num > 0").withColumn("num", F.col("num") - 1)
-    return li.pair_similar(c, nxt, ["conv_id"], 60, 50).select("conv_id", "l", "r", "score")
+    return li.pair_similar(c, nxt, ["conv_id"], 60, 50)
 
 
 # ---- references ---------------------------------------------------------------------------------------------------
