@@ -6,17 +6,31 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def cascade(queries: DataFrame, entries: DataFrame, levels: list[tuple[str, Column]]) -> DataFrame:
+def cascade(queries: DataFrame, entries: DataFrame, levels: list[tuple[str, Column]], aliases: DataFrame | None = None, tie: tuple[str, Column, Column] | None = None) -> DataFrame:
     """queries: word; entries: entry.  Distinct words go level by level: name of the level and the key both sides
-    take there.  The first level is exact; a later one counts only where one entry has the key.  Adds entry, method."""
-    names = F.array(*[F.lit(name) for name, _ in levels])
-    keyed = lambda df: df.select("word", F.posexplode(F.array(*[key for _, key in levels])).alias("level", "key")).filter(F.col("key") != "")
-    # distinct words of either side with a key per level, in one table: what meets is found by one shuffle, whatever the number of levels
-    have = keyed(entries.select(F.col("entry").alias("word")).distinct()).groupBy("level", "key").agg(F.min("word").alias("entry"), F.count("*").alias("n"))
-    have = have.filter("level = 0 OR n = 1").drop("n")
+    take there.  The first level is exact; a later one counts only where one entry has the key.  Adds entry, method.
+
+    aliases: word, see; a word that has none of its own goes to the entry that its alias names ("alias", after exact).  tie: a level, a condition on a
+    word and one on an entry (both over `word`): where several entries have the key, a word that meets the first goes to the one that meets the second, if
+    it is the only one."""
+    names = F.array(F.lit(levels[0][0]), F.lit("alias"), *[F.lit(name) for name, _ in levels[1:]])
+    place = [0, *range(2, len(levels) + 1)]
+    keyed = lambda df: df.select("word", F.explode(F.array(*[F.struct(F.lit(n).alias("level"), key.alias("key")) for n, (_, key) in zip(place, levels, strict=True)])).alias("k")).select("word", "k.level", "k.key").filter(F.col("key") != "")
     todo = queries.select("word").distinct()
-    met = keyed(todo).join(have, ["level", "key"]).groupBy("word").agg(F.min(F.struct("level", "entry")).alias("m"))
-    out = todo.join(met, "word", "left")
+    asked = keyed(todo)
+    if aliases is not None:
+        seen = todo.join(aliases.select("word", "see"), "word").select("word", F.lit(1).alias("level"), F.col("see").alias("key"))
+        asked = asked.unionByName(seen)
+    # distinct words of either side with a key per level, in one table: what meets is found by one shuffle, whatever the number of levels
+    own = keyed(entries.select(F.col("entry").alias("word")).distinct())
+    own = own.unionByName(own.filter("level = 0").withColumn("level", F.lit(1))) if aliases is not None else own
+    tied = F.lit(False) if tie is None else (F.col("level") == place[[n for n, _ in levels].index(tie[0])]) & tie[2]
+    have = own.withColumn("fit", tied).groupBy("level", "key").agg(F.min("word").alias("entry"), F.count("*").alias("n"), F.min(F.when(F.col("fit"), F.col("word"))).alias("chosen"), F.count_if("fit").alias("n_fit"))
+    met = asked.join(have, ["level", "key"])
+    may = F.lit(False) if tie is None else tie[1]
+    entry = F.when((F.col("level") < 2) | (F.col("n") == 1), F.col("entry")).when(may & (F.col("n_fit") == 1), F.col("chosen"))
+    best = met.withColumn("entry", entry).filter("entry IS NOT NULL").groupBy("word").agg(F.min(F.struct("level", "entry")).alias("m"))
+    out = todo.join(best, "word", "left")
     return out.select("word", F.col("m.entry").alias("entry"), F.coalesce(F.get(names, F.col("m.level")), F.lit("none")).alias("method"))
 
 

@@ -150,18 +150,27 @@ def regroup_from(rows: DataFrame, rules: DataFrame, keys: list[str], pos: str, o
     return met.withColumn(out, F.coalesce(F.last("__rule", ignorenulls=True).over(w), F.col(out) if out in rows.columns else F.lit(None))).drop("__rule")
 
 
-def gap_classes(units: DataFrame, heard: DataFrame, keys: list[str], least: float, lead_in: float, symbols: int = 3) -> DataFrame:
+def gap_classes(units: DataFrame, heard: DataFrame, keys: list[str], least: float, lead_in: float, symbols: int = 3, alike: float = 0.6) -> DataFrame:
     """units: start, speech_end; heard: at.  gap to the next unit, how many symbols are heard in it, and its class: speech, pause
-    or last.  Symbols meet their gap by one window over both, not by pairs."""
+    or last.  Symbols meet their gap by one window over both, not by pairs.
+
+    Where units have an opening (their first words' letters) and heard a letter, a gap whose letters are like the next unit's opening, at least
+    `alike` by edit distance, is a pause: the unit's own words, said before it."""
+    told = "opening" in units.columns and "letter" in heard.columns
     w = Window.partitionBy(*keys).orderBy("start")
     gaps = units.withColumn("until", F.lead("start").over(w)).withColumn("gap", F.col("until") - F.col("speech_end") - lead_in)
-    both = gaps.select(*keys, F.col("start").alias("at"), F.struct("start", "speech_end", "until").alias("u")).unionByName(heard.select(*keys, "at"), allowMissingColumns=True)
+    if told:
+        gaps = gaps.withColumn("ahead", F.lead("opening").over(w))
+    both = gaps.select(*keys, F.col("start").alias("at"), F.struct("start", "speech_end", "until").alias("u")).unionByName(heard.select(*keys, "at", *(["letter"] if told else [])), allowMissingColumns=True)
     order = Window.partitionBy(*keys).orderBy("at", F.col("u").isNull()).rowsBetween(Window.unboundedPreceding, 0)
     placed = both.withColumn("of", F.last("u", ignorenulls=True).over(order)).filter("u IS NULL AND at >= of.speech_end AND at < of.until")
-    n = placed.groupBy(*keys, F.col("of.start").alias("start")).agg(F.count("*").alias("heard"))
+    said = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "letter"))), lambda x: x["letter"]), "") if told else F.lit(None).cast("string")  # a gap's letters
+    n = placed.groupBy(*keys, F.col("of.start").alias("start")).agg(F.count("*").alias("heard"), said.alias("said"))
     met = gaps.join(n, [*keys, "start"], "left").withColumn("heard", F.coalesce("heard", F.lit(0)))
-    kind = F.when(F.col("until").isNull(), "last").when((F.col("gap") >= least) & (F.col("heard") >= symbols), "speech").otherwise("pause")
-    return met.withColumn("kind", kind)
+    front = F.substr("ahead", F.lit(1), F.length("said") + 4) if told else F.lit(None).cast("string")
+    own = F.coalesce(1 - F.levenshtein("said", front) / F.greatest(F.length("said"), F.length(front)) >= alike, F.lit(False))
+    kind = F.when(F.col("until").isNull(), "last").when((F.col("gap") >= least) & (F.col("heard") >= symbols) & ~own, "speech").otherwise("pause")
+    return met.withColumn("kind", kind).drop("said", "ahead")
 
 
 def continued_groups(units: DataFrame, keys: list[str], group: str, within: float) -> DataFrame:
@@ -197,11 +206,42 @@ def lead_ins(units: DataFrame, announced: DataFrame, keys: list[str], longest: f
     return met.select(*keys, "start", F.col("__u.end").alias("end"), F.when(fits, F.least("start", moved)).otherwise(F.col("start")).alias("lead_start"))
 
 
-def recording_plan(files: DataFrame, key: str, name: str, rules: DataFrame) -> DataFrame:
-    """rules: key, div_from, div_to, first: divs div_from..div_to are read in files first, first+1, ... by name."""
+def map_times(points: DataFrame, spans: DataFrame, keys: list[str], back: bool = False) -> DataFrame:
+    """points: at; spans of stitched(): start, end, offset.  Adds mapped: a file's time on the timeline (one between spans is where the next begins), or,
+    `back`, a time of the timeline in the file; null before the first span, and the end of the last one after it.  One window, no pairs."""
+    unit = F.struct("start", "end", "offset").alias("__u")
+    marks = spans.select(*keys, (F.col("offset") if back else F.col("start")).alias("at"), unit)
+    both = points.withColumn("__k", F.lit(1)).unionByName(marks.withColumn("__k", F.lit(0)), allowMissingColumns=True)
+    w = Window.partitionBy(*keys).orderBy("at", "__k").rowsBetween(Window.unboundedPreceding, 0)
+    placed = both.withColumn("__u", F.last("__u", ignorenulls=True).over(w)).filter("__k = 1")
+    u = lambda c: F.col(f"__u.{c}")
+    there = F.least(u("start") + (F.col("at") - u("offset")), u("end")) if back else u("offset") + F.least("at", u("end")) - u("start")
+    return placed.withColumn("mapped", there).drop("__u", "__k")
+
+
+def recording_plan(files: DataFrame, key: str, name: str, rules: DataFrame, divisions: DataFrame | None = None) -> DataFrame:
+    """rules: key, kind, div_from, div_to, first, prefix, order -> key, place, div, name: which files hold which divisions, and in what order.
+
+    range (or no kind): divisions div_from..div_to, each in the next file by name from number `first` on.  single: division div_from in all files, in
+    their order.  all: all divisions of `divisions` (key, div) in file number `first`, or in the one whose name starts with `prefix`, rising, falling
+    (`order` is "reverse") or as the array `custom` lists them.  A file number beyond the files, or a prefix that not one file has, gives no rows."""
+    have = set(rules.columns)
+    rule = rules.withColumns({c: F.lit(None).cast(t) for c, t in (("kind", "string"), ("prefix", "string"), ("order", "string"), ("custom", "array<int>"), ("first", "int")) if c not in have})
     numbered = files.withColumn("nth", F.row_number().over(Window.partitionBy(key).orderBy(name)))
-    divs = rules.select(key, "div_from", "first", F.explode(F.sequence("div_from", "div_to")).alias("div"))
-    return divs.withColumn("nth", F.col("div") - F.col("div_from") + F.col("first")).join(numbered, [key, "nth"]).select(key, "div", name)
+    kind = F.coalesce("kind", F.lit("range"))
+    ranged = rule.filter(kind == "range").select(key, "div_from", "first", F.explode(F.sequence("div_from", "div_to")).alias("div"))
+    ranged = ranged.withColumn("nth", F.col("div") - F.col("div_from") + F.coalesce("first", F.lit(1))).join(numbered, [key, "nth"]).select(key, F.lit(1).alias("place"), "div", name)
+    single = rule.filter(kind == "single").select(key, F.col("div_from").alias("div")).join(numbered, key).select(key, F.col("nth").alias("place"), "div", name)
+    if divisions is None:
+        return ranged.unionByName(single)
+    whole = rule.filter(kind == "all").select(key, "first", "prefix", "order", "custom")
+    named = whole.filter("prefix IS NOT NULL").join(files, key).filter(F.col(name).startswith(F.col("prefix")))
+    one = named.groupBy(key, "order", "custom").agg(F.min(name).alias(name), F.count("*").alias("n")).filter("n = 1").drop("n")
+    by_number = whole.filter("prefix IS NULL").withColumnRenamed("first", "nth").join(numbered, [key, "nth"]).select(key, "order", "custom", name)
+    held = one.unionByName(by_number).join(divisions.select(key, "div"), key)
+    at = F.when(F.col("custom").isNotNull(), F.array_position("custom", F.col("div"))).when(F.col("order") == "reverse", -F.col("div")).otherwise(F.col("div"))
+    placed = held.withColumn("place", F.row_number().over(Window.partitionBy(key, name).orderBy(at)))
+    return ranged.unionByName(single).unionByName(placed.select(key, "place", "div", name))
 
 
 def within_span(df: DataFrame, first: tuple[int, int], last: tuple[int, int], chapter: str = "c", verse: str = "v") -> DataFrame:

@@ -11,7 +11,7 @@ from tessera.operators import corpus as co
 from tessera.operators import linking as li
 from tessera.operators import reports as rp
 from tessera.operators import sequence as sq
-from tessera.plans.registry import _PASSAGES, EV, SEG, WRD, _micros, _passages, _segs, _words, query
+from tessera.plans.registry import _PASSAGES, _SPANS, EV, SEG, WRD, _fold, _merged, _micros, _passages, _segs, _words, query
 from tessera.streaming import events as st
 
 # ---- alignment --------------------------------------------------------------------------------------------------
@@ -162,6 +162,19 @@ def paired_turns(t, spark):
     return li.pair_similar(c, nxt, ["conv_id"], 60, 50)
 
 
+@query(f"""WITH {WRD}, entries AS (SELECT DISTINCT word AS entry FROM wrd WHERE source = 'src1'), q AS (SELECT DISTINCT word FROM wrd WHERE source <> 'src1'), f AS (SELECT {_fold('entry')} AS k, min(entry) AS e, count(*) AS n, min(entry) FILTER (entry = lower(entry)) AS c, count(*) FILTER (entry = lower(entry)) AS nc FROM entries GROUP BY 1 HAVING k <> ''),
+m AS (SELECT q.word, x.entry AS exact, s.entry AS alias, CASE WHEN f.n = 1 THEN f.e WHEN q.word <> lower(q.word) AND f.nc = 1 THEN f.c END AS folded FROM q LEFT JOIN entries x ON x.entry = q.word LEFT JOIN entries s ON length(q.word) > 6 AND s.entry = left(q.word, length(q.word) - 1) LEFT JOIN f ON f.k = {_fold('q.word')})
+SELECT word, coalesce(exact, alias, folded) AS entry, CASE WHEN exact IS NOT NULL THEN 'exact' WHEN alias IS NOT NULL THEN 'alias' WHEN folded IS NOT NULL THEN 'folded' ELSE 'none' END AS method FROM m""")
+def alias_cascade(t, spark):
+    """Words of over six letters have one less as their alias; of several entries with a folded key, a word in capitals takes the small one."""
+    w = _words(t)
+    asked = w.filter("source <> 'src1'").select("word").distinct()
+    aliases = asked.filter(F.length("word") > 6).select("word", F.substr("word", F.lit(1), F.length("word") - 1).alias("see"))
+    small = F.col("word") == F.lower("word")
+    entries = w.filter("source = 'src1'").select(F.col("word").alias("entry"))
+    return li.cascade(asked, entries, [("exact", F.col("word")), ("folded", tx.fold_latin(F.col("word")))], aliases, ("folded", ~small, small))
+
+
 # ---- references ---------------------------------------------------------------------------------------------------
 
 @query("SELECT l_orderkey, l_linenumber, CASE WHEN l_suppkey % 4 = 1 THEN l_suppkey + 1000 WHEN l_suppkey % 4 = 2 AND l_linenumber BETWEEN 2 AND 4 THEN l_suppkey + 2000 ELSE l_suppkey END AS new_book, CASE WHEN l_suppkey % 4 = 1 THEN 9 WHEN l_suppkey % 4 = 2 AND l_linenumber BETWEEN 2 AND 4 THEN l_linenumber + 10 ELSE l_linenumber END AS new_line FROM lineitem WHERE NOT (l_suppkey % 4 = 3 AND l_linenumber = 1)")
@@ -202,7 +215,31 @@ def partial_span(t, spark):
 def recording_plan(t, spark):
     files = t("orders").select(F.col("o_custkey").alias("k"), F.col("o_orderkey").alias("file"))
     rules = files.select("k").distinct().select("k", F.lit(10).alias("div_from"), F.lit(13).alias("div_to"), F.lit(2).alias("first"))
-    return sq.recording_plan(files, "k", "file", rules)
+    return sq.recording_plan(files, "k", "file", rules).select("k", "div", "file")
+
+
+@query("""WITH f AS (SELECT o_custkey AS k, 'f' || lpad('' || o_orderkey, 9, '0') AS file, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM orders), d AS (SELECT c_custkey AS k, unnest([1, 2, 3]) AS div FROM customer), l AS (SELECT k, max(file) AS last FROM f GROUP BY k)
+SELECT k, CAST(n AS INT) AS place, 7 AS div, file FROM f WHERE k % 4 = 0 UNION ALL SELECT f.k, CASE WHEN f.k % 8 = 1 THEN div ELSE 4 - div END, div, file FROM f JOIN d USING (k) WHERE f.k % 4 = 1 AND n = 2 UNION ALL SELECT l.k, CASE div WHEN 2 THEN 1 WHEN 3 THEN 2 ELSE 3 END, div, last FROM l JOIN d USING (k) WHERE l.k % 4 = 2""")
+def recording_kinds(t, spark):
+    """By customer: one division in all files; all divisions in the second file, rising or falling; all, as listed, in the file of a name."""
+    name = F.concat(F.lit("f"), F.lpad(F.col("o_orderkey").cast("string"), 9, "0"))
+    files = t("orders").select(F.col("o_custkey").alias("k"), name.alias("file"))
+    k = F.col("k")
+    last = files.groupBy("k").agg(F.max("file").alias("last"))
+    rules = last.filter(k % 4 < 3).select("k", F.when(k % 4 == 0, "single").otherwise("all").alias("kind"), F.lit(7).alias("div_from"), F.lit(7).alias("div_to"), F.lit(2).alias("first"), F.when(k % 4 == 2, F.col("last")).alias("prefix"), F.when(k % 8 == 5, "reverse").alias("order"), F.when(k % 4 == 2, F.array(*map(F.lit, (2, 3, 1)))).alias("custom"))
+    divisions = t("customer").select(F.col("c_custkey").alias("k"), F.explode(F.array(*map(F.lit, (1, 2, 3)))).alias("div"))
+    return sq.recording_plan(files, "k", "file", rules, divisions).select("k", F.col("place").cast("int").alias("place"), "div", "file")
+
+
+@query(f"""WITH {EV}, {_SPANS}, s AS (SELECT *, coalesce(sum(e - s) OVER (PARTITION BY user_id ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off FROM merged), p AS (SELECT event_id, user_id, us + 1800000000 AS at FROM ev WHERE event_type = 'click'), m AS (SELECT p.event_id, p.user_id, p.at, s.off + least(p.at, s.e) - s.s AS t FROM p ASOF LEFT JOIN s ON p.user_id = s.user_id AND p.at >= s.s)
+SELECT m.event_id, CAST(m.t AS BIGINT) AS mapped, CAST(least(s.s + m.t - s.off, s.e) AS BIGINT) AS again FROM m ASOF LEFT JOIN s ON m.user_id = s.user_id AND m.t >= s.off""")
+def mapped_times(t, spark):
+    """Times in a file on the timeline, and from there back into the file: within a span the same, else the start of the next."""
+    spans = sq.stitched(_merged(t), ["user_id"])
+    points = _micros(t).filter("event_type = 'click'").select("event_id", "user_id", (F.col("us") + 1800000000).alias("at"))
+    there = sq.map_times(points, spans, ["user_id"]).select("event_id", "user_id", F.col("mapped").alias("at"))
+    back = sq.map_times(there, spans, ["user_id"], back=True)
+    return back.select("event_id", F.col("at").alias("mapped"), F.col("mapped").alias("again"))
 
 
 # ---- timelines ------------------------------------------------------------------------------------------------------
@@ -216,6 +253,19 @@ def gap_classes(t, spark):
     return sq.gap_classes(units, heard, ["user_id"], 3600000000, 100000).select("user_id", "start", "heard", "kind")
 
 
+@query(f"""WITH {EV}, u AS (SELECT user_id, us AS s, us + 600000000 AS e, lead(us) OVER w AS n, lead(substr('abcabcabcab', 1 + us % 7 // 3, 6)) OVER w AS ahead FROM (SELECT DISTINCT user_id, us FROM ev WHERE event_type = 'view') WINDOW w AS (PARTITION BY user_id ORDER BY us)), l AS (SELECT user_id, us, event_id, substr('abc', 1 + event_id % 3, 1) AS letter FROM ev WHERE event_type IN ('click', 'error')),
+h AS (SELECT u.user_id, u.s, u.e, u.n, u.ahead, count(l.us) AS heard, string_agg(letter, '' ORDER BY l.us, letter) AS said FROM u LEFT JOIN l ON l.user_id = u.user_id AND l.us >= u.e AND l.us < u.n GROUP BY ALL)
+SELECT user_id, s AS start, heard, CASE WHEN n IS NULL THEN 'last' WHEN n - e - 100000 >= 3600000000 AND heard >= 2 AND NOT coalesce(1 - levenshtein(said, substr(ahead, 1, length(said) + 4)) / greatest(length(said), length(substr(ahead, 1, length(said) + 4))) >= 0.6, false) THEN 'speech' ELSE 'pause' END AS kind FROM h""")
+def announced_gaps(t, spark):
+    """A gap in which the next unit's own opening is said is a pause."""
+    e = _micros(t)
+    opening = F.substr(F.lit("abcabcabcab"), (1 + F.floor(F.col("us") % 7 / 3)).cast("int"), F.lit(6))
+    units = e.filter("event_type = 'view'").select("user_id", F.col("us").alias("start"), (F.col("us") + 600000000).alias("speech_end"), opening.alias("opening")).distinct()
+    letter = F.substr(F.lit("abc"), (1 + F.col("event_id") % 3).cast("int"), F.lit(1))
+    heard = e.filter("event_type IN ('click', 'error')").select("user_id", F.col("us").alias("at"), letter.alias("letter"))
+    return sq.gap_classes(units, heard, ["user_id"], 3600000000, 100000, 2).select("user_id", "start", "heard", "kind")
+
+
 @query(f"WITH {EV}, g AS (SELECT user_id, us // 86400000000 AS day, min(us) AS s, max(us) AS e FROM ev GROUP BY ALL) SELECT user_id, day, coalesce(abs(lead(s) OVER (PARTITION BY user_id ORDER BY day) - e) < 43200000000, false) AS continues FROM g")
 def continued_days(t, spark):
     u = _micros(t).select("user_id", F.floor(F.col("us") / 86400000000).alias("day"), F.col("us").alias("start"), F.col("us").alias("end"))
