@@ -542,10 +542,10 @@ def html_rows(t, spark):
     return rows.groupBy("page_id").agg(F.count("*").alias("n"), F.sum(F.length("body")).cast("long").alias("chars"))
 
 
-@query(f"WITH {SEG}, n AS (SELECT *, CASE WHEN seq % 5 = 2 THEN seq END AS m FROM seg) SELECT doc_id, seq, coalesce(last_value(m IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY seq ROWS UNBOUNDED PRECEDING), 1) AS line FROM n")
+@query(f"WITH {SEG}, n AS (SELECT *, CASE WHEN seq % 5 = 2 THEN seq END AS m FROM seg) SELECT doc_id, seq, coalesce(last_value(m IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY seq ROWS UNBOUNDED PRECEDING), 1) AS line, CASE WHEN seq < 2 THEN 'title: x' ELSE 'x' END AS note FROM n")
 def numbered_notes(t, spark):
     marked = _segs(t).select("doc_id", "seq", F.when(F.col("seq") % 5 == 2, F.concat(F.col("seq").cast("string"), F.lit(". x"))).otherwise(F.lit("x")).alias("note"))
-    return rd.numbered_notes(marked, "doc_id", "seq", "note").select("doc_id", "seq", "line")
+    return rd.numbered_notes(marked, "doc_id", "seq", "note", "title: ").select("doc_id", "seq", "line", "note")
 
 
 # ---- alignment --------------------------------------------------------------------------------------------------------

@@ -59,6 +59,32 @@ def poem_lines(t, spark):
     return rd.wiki_lines(rows.select("doc_id", F.concat(F.lit("<poem>\n"), text, F.lit("\n</poem>")).alias("body")), "doc_id", "body")
 
 
+@query(f"""WITH {SEG}, {PLAIN}, k AS (SELECT *, sum(CASE WHEN seq % 12 = 3 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY seq) AS book FROM plain), r AS (SELECT * FROM k WHERE seq % 12 <> 3 AND line <> '' AND book > 0), c AS (SELECT *, sum(CASE WHEN seq % 5 = 4 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id, book ORDER BY seq) AS n FROM r)
+SELECT doc_id, CAST(book AS BIGINT) AS book, CAST(n AS BIGINT) AS line, string_agg(CASE WHEN seq % 5 = 4 THEN '[' || line || ']' ELSE line END, ' ' ORDER BY seq) AS content, max(CASE WHEN seq % 4 = 0 AND seq % 5 <> 4 THEN seq END) AS printed FROM c WHERE n > 0 GROUP BY doc_id, book, n""")
+def volume_lines(t, spark):
+    """Headings, continuations in brackets and numbers at line ends, put to the texts' lines."""
+    seq, line = F.col("seq"), F.col("line")
+    text = F.when(seq % 12 == 3, F.concat(F.lit("BOOK "), seq.cast("string"))).when(line == "", F.lit("  ")).when(seq % 5 == 4, F.concat(F.lit("["), line, F.lit("]"))).when(seq % 4 == 0, F.concat(line, F.lit("  "), seq.cast("string"))).otherwise(line)
+    got = rd.read_volume(_plain(t).select("doc_id", "seq", text.alias("text")), "doc_id", "seq", "text")
+    return got.select("doc_id", F.col("book").cast("long").alias("book"), F.col("line").cast("long").alias("line"), "content", "printed")
+
+
+@query(f"""WITH {SEG}, {PLAIN}, k AS (SELECT *, seq % 10 = 2 AS head, (seq % 10 <> 2 AND (line = '' OR seq % 7 = 5)) AS blank FROM plain), p AS (SELECT *, sum(CAST(head AS INT)) OVER (PARTITION BY doc_id ORDER BY seq) AS part FROM k),
+h AS (SELECT doc_id, part, CASE WHEN part % 3 = 0 THEN 'Third' ELSE 'Part' END AS name, row_number() OVER (PARTITION BY doc_id, CASE WHEN part % 3 = 0 THEN 'Third' ELSE 'Part' END ORDER BY part) AS n FROM p WHERE head),
+o AS (SELECT *, NOT blank AND NOT head AND coalesce(lag(blank OR head) OVER (PARTITION BY doc_id, part ORDER BY seq), true) AS opens FROM p), q AS (SELECT *, sum(CAST(opens AS INT)) OVER (PARTITION BY doc_id, part ORDER BY seq) AS para FROM o)
+SELECT q.doc_id, q.seq, CAST(q.part AS BIGINT) AS part, CASE WHEN n > 1 THEN name || ' (' || n || ')' ELSE name END AS label, CAST(para AS BIGINT) AS para, CASE WHEN seq % 4 = 1 THEN 'PRIEST' END AS speaker, line AS content FROM q LEFT JOIN h ON h.doc_id = q.doc_id AND h.part = q.part WHERE NOT head AND NOT blank""")
+def service_parts(t, spark):
+    """Headings (two names in turn), blank lines and speakers, put to the texts' lines."""
+    seq, line = F.col("seq"), F.col("line")
+    rows = _plain(t)
+    part = F.sum((seq % 10 == 2).cast("int")).over(Window.partitionBy("doc_id").orderBy("seq"))
+    name = F.when(F.col("part0") % 3 == 0, "== Third").otherwise("== Part")
+    text = F.when(seq % 10 == 2, name).when((line == "") | (seq % 7 == 5), F.lit(" ")).when(seq % 4 == 1, F.concat(F.lit("PRIEST: "), line)).otherwise(line)
+    marked = rows.withColumn("part0", part).select("doc_id", "seq", text.alias("text"))
+    got = rd.read_service(marked, "doc_id", "seq", "text")
+    return got.select("doc_id", "seq", F.col("part").cast("long").alias("part"), "label", F.col("para").cast("long").alias("para"), "speaker", "content")
+
+
 @query("SELECT 'p' || c_custkey AS page, 'p' || (c_custkey - c_custkey % 4) AS target FROM customer")
 def redirect_targets(t, spark):
     k = F.col("c_custkey")

@@ -110,11 +110,46 @@ def read_parse_cache(cache: DataFrame, segs: DataFrame, key: str, doc: str) -> D
     return fit.select(key, F.explode("c.words").alias("word_index", "parse")).withColumn("word_index", F.col("word_index").cast("int"))
 
 
-def numbered_notes(df: DataFrame, key: str, order: str, text: str) -> DataFrame:
-    """An opening "5. " sets the line, which then carries forward; before the first number it is 1."""
+def numbered_notes(df: DataFrame, key: str, order: str, text: str, before: str = "") -> DataFrame:
+    """An opening "5. " sets the line and goes from the text; the line then carries forward.  Paragraphs before the first number go to line 1, with the prefix
+    `before`."""
     n = F.nullif(F.regexp_extract(text, r"^(\d+)\. ", 1), F.lit("")).cast("int")
     w = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn("line", F.coalesce(F.last(n, ignorenulls=True).over(w), F.lit(1)))
+    met = df.withColumn("__n", F.last(n, ignorenulls=True).over(w))
+    bare = F.regexp_replace(text, r"^\d+\. ", "")
+    return met.withColumn(text, F.when(F.col("__n").isNull(), F.concat(F.lit(before), F.col(text))).otherwise(bare)).withColumn("line", F.coalesce("__n", F.lit(1))).drop("__n")
+
+
+def read_volume(lines: DataFrame, key: str, order: str, text: str, heading: str = r"^BOOK\b") -> DataFrame:
+    """Plain-text volumes: key, book, line, content, printed.  A heading opens a book (what is before the first is left out), blank lines go, a line that
+    begins with "[" goes on with the one before; lines are counted within their book, and a number printed at a line's end (each fifth has one) is
+    taken off and kept."""
+    w = Window.partitionBy(key).orderBy(order)
+    head = F.col(text).rlike(heading)
+    rows = lines.withColumn("book", F.sum(head.cast("int")).over(w)).filter(~head & (F.trim(text) != "") & (F.col("book") > 0))
+    inside = Window.partitionBy(key, "book").orderBy(order)
+    rows = rows.withColumn("line", F.sum(F.when(F.ltrim(text).startswith("["), 0).otherwise(1)).over(inside)).filter("line > 0")
+    number = r"\s+(\d+)\s*$"
+    rows = rows.withColumn("__p", F.nullif(F.regexp_extract(text, number, 1), F.lit("")).cast("int")).withColumn("__t", F.trim(F.regexp_replace(text, number, "")))
+    whole = rows.groupBy(key, "book", "line").agg(F.array_sort(F.collect_list(F.struct(order, "__t"))).alias("x"), F.max("__p").alias("printed"))
+    return whole.select(key, "book", "line", F.array_join(F.transform("x", lambda r: r["__t"]), " ").alias("content"), "printed")
+
+
+def read_service(lines: DataFrame, key: str, order: str, text: str, heading: str = r"^== ", role: str = r"^([A-Z][A-Z]+): ") -> DataFrame:
+    """Texts in parts, paragraphs and turns: key, order, part, label, para, speaker, content.  A heading opens a part and names it, and a name that has
+    been used gets "(2)", "(3)"; a blank line ends a paragraph; a line that begins with a role has a speaker, the others none."""
+    w = Window.partitionBy(key).orderBy(order)
+    head, blank = F.col(text).rlike(heading), F.trim(text) == ""
+    rows = lines.withColumn("part", F.sum(head.cast("int")).over(w)).withColumn("__head", head).withColumn("__blank", blank)
+    names = rows.filter("__head").select(key, "part", F.trim(F.regexp_replace(text, heading, "")).alias("__name"))
+    nth = F.row_number().over(Window.partitionBy(key, "__name").orderBy("part"))
+    names = names.withColumn("__k", nth).select(key, "part", F.when(F.col("__k") > 1, F.concat("__name", F.lit(" ("), F.col("__k").cast("string"), F.lit(")"))).otherwise(F.col("__name")).alias("label"))
+    inside = Window.partitionBy(key, "part").orderBy(order)
+    # a paragraph begins at a line with text after a blank line or the part's heading
+    opens = ~F.col("__blank") & ~F.col("__head") & F.coalesce(F.lag(F.col("__blank") | F.col("__head")).over(inside), F.lit(True))
+    rows = rows.withColumn("para", F.sum(opens.cast("int")).over(inside)).filter("NOT __head AND NOT __blank")
+    said = rows.withColumn("speaker", F.nullif(F.regexp_extract(text, role, 1), F.lit(""))).withColumn("content", F.regexp_replace(text, role, ""))
+    return said.join(names, [key, "part"], "left").select(key, order, "part", "label", "para", "speaker", "content")
 
 
 def keyed_notes(df: DataFrame, ref: str, source_map: DataFrame) -> DataFrame:
