@@ -55,6 +55,8 @@ _SITE = {"nav", "footer", "aside", "form", "head", "dialog", "menu", "button"}
 _SITE_WORDS = set("ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments contentinfo cookie cookies consent disclaimer footer gdpr login menu modal nav navbar navigation newsletter notice notices notification overlay pagination popup promo promoted related respond search share sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split())
 #: Of a fixed container's text, this much is the same on all its pages; of a slot's text, this much lies in the slot that the way down takes.
 SHARE, MOST = 0.9, 0.8
+#: Containers nested deeper than this go by the path of the last one above it.
+DEEPEST = 64
 #: Templates of so many bytes in all are sent to every executor; larger ones are joined by a shuffle.
 SENT_BYTES = 8 << 20
 
@@ -115,7 +117,7 @@ class Reader:
                             link = 0
                             break
                 else:
-                    stack.append((tag, f"{path}>{_name(tag, m[3])}"))
+                    stack.append((tag, f"{path}>{_name(tag, m[3])}" if len(stack) < DEEPEST else path))
                     self.starts[stack[-1][1]] = self.starts.get(stack[-1][1], 0) + 1
                 path = stack[-1][1] if stack else ""
 

@@ -81,3 +81,8 @@ def test_edges(spark):
     want = [(0, "éA", 2, 2), (1, "x yz", 4, 2), (2, "", 0, 2), (3, "", 0, 2), (4, body, len(body), 2), (4, body, len(body), 2), (5, "", 0, 2), (6, "only links", 10, 2), (7, "out", 3, 2)]
     assert got == sorted(want, key=str)
     assert hx.extract(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_deep_nesting(spark):
+    deep = "<div>" * 20000 + "<p>at the bottom</p>" + "</div>" * 20000 + "<p>after</p>"
+    assert texts(spark, [(1, "http://d/", deep)]) == {1: "at the bottom after"}
