@@ -200,6 +200,18 @@ def name_slugs(t, spark):
     return t("part").select("p_partkey", F.inline(c)).filter("prio = 1")
 
 
+@query("""WITH n AS (SELECT c_custkey, c_custkey % 4 AS k, lower(translate(n_name, ' _', '--')) AS s FROM customer JOIN nation ON c_nationkey = n_nationkey) SELECT c_custkey, CASE k WHEN 0 THEN s WHEN 1 THEN '2-' || s WHEN 2 THEN s END AS slug FROM n""")
+def resolved_names(t, spark):
+    """Names as they are, with an ordinal and filler words, by an alias, and unknown ones."""
+    slug = F.translate(F.lower("n_name"), " _", "--")
+    slugs = t("nation").select(F.explode(F.array(slug, F.concat(F.lit("2-"), slug))).alias("slug"))
+    aliases = t("nation").select(F.concat(F.lit("old-"), slug).alias("name"), slug.alias("to"))
+    k = F.col("c_custkey") % 4
+    name = F.when(k == 0, F.col("n_name")).when(k == 1, F.concat(F.lit("The  Second Book of "), "n_name")).when(k == 2, F.concat(F.lit("Old "), "n_name")).otherwise(F.concat(F.lit("New "), "n_name"))
+    rows = t("customer").join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", name.alias("name"))
+    return tx.resolve_names(rows, "name", slugs, aliases).select("c_custkey", "slug")
+
+
 @query("""SELECT o_orderkey, 'Part ' || n || ' (' || upper(substr(stem, 1, 1)) || substr(stem, 2) || 'ον)' AS label FROM (SELECT o_orderkey, CAST(o_orderkey % 9 + 1 AS INT) AS n,
 list_extract(['πρῶτ', 'δεύτερ', 'τρίτ', 'τέταρτ', 'πέμπτ', 'ἕκτ', 'ἕβδομ', 'ὄγδο', 'ἔνατ'], CAST(o_orderkey % 9 + 1 AS INT)) AS stem FROM orders)""")
 def rendered_labels(t, spark):

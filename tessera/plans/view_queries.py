@@ -299,6 +299,18 @@ def notes_panel(t, spark):
     return met.join(d, "doc_id").select("doc_id", "start", "end", "source", "chars")
 
 
+@query(f"WITH {SEG}, {_PASSAGES}, m AS (SELECT n.doc_id, n.s, n.e, n.s % 3 AS source FROM note n WHERE n.s <= 12 AND n.e >= 6) SELECT doc_id, source AS place, CASE source WHEN 0 THEN 'b' WHEN 1 THEN 'a' ELSE 'c' END AS source, string_agg(s || '-' || e, ',' ORDER BY s, e) AS notes FROM m GROUP BY doc_id, m.source")
+def notes_by_source(t, spark):
+    """Notes that touch a range, nested by source in the sources' own order."""
+    order = spark.createDataFrame([(0, "b"), (1, "a"), (2, "c")], "place int, source string")
+    notes = _passages(t)[1].withColumn("place", (F.col("start") % 3).cast("int"))
+    asked = t("documents").select("doc_id", F.lit(6).alias("start"), F.lit(12).alias("end"))
+    met = li.overlapping(asked, notes, ["doc_id"]).select("doc_id", "place", F.col("r_start").alias("start"), F.col("r_end").alias("end")).join(F.broadcast(order), "place")  # a fixed table
+    nested = rp.nest(met, ["doc_id", "place", "source"], ["start", "end"], ["start", "end"], "notes")
+    said = F.array_join(F.transform("notes", lambda n: F.concat_ws("-", n["start"].cast("string"), n["end"].cast("string"))), ",")
+    return nested.select("doc_id", "place", "source", said.alias("notes"))
+
+
 @query(f"WITH {WRD}, g AS (SELECT word, min(doc_id) AS gold FROM wrd WHERE source = 'src1' GROUP BY 1), x AS (SELECT word, min(doc_id) AS auto FROM wrd WHERE source = 'src2' GROUP BY 1), w AS (SELECT DISTINCT word FROM wrd) SELECT w.word, coalesce(gold, auto) AS value, CASE WHEN gold IS NOT NULL THEN 'gold' WHEN auto IS NOT NULL THEN 'automatic' ELSE 'none' END AS from_source FROM w LEFT JOIN g USING (word) LEFT JOIN x USING (word)")
 def word_cards(t, spark):
     w = _words(t).select("word", "source", "doc_id")
