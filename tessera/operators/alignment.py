@@ -236,8 +236,8 @@ def cursor_lines(cited: DataFrame, words: DataFrame, group: str) -> DataFrame:
 
 def split_run_ons(notes: DataFrame, text: str, line: str, reach: int = 30) -> DataFrame:
     """An entry of a later line inside a paragraph ("... 17 word") moves to its own line: a number above the one reached by at most
-    `reach`, at the start of a sentence.  part, line, text."""
-    parts = F.split(text, r"(?<=[.;·!?]) +(?=\d+ \p{L})")
+    `reach`, at the start of a sentence, not after the abbreviation of a citation ("v. 17", "Il. 3", "p. 8").  part, line, text."""
+    parts = F.split(text, r"(?<=[.;·!?])(?<!\b[vVp]\.)(?<!\b(?:Il|Od)\.) +(?=\d+ \p{L})")
 
     def step(acc, x):
         n = F.nullif(F.regexp_extract(x, r"^(\d+) ", 1), F.lit("")).cast("int")

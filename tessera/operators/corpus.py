@@ -73,11 +73,17 @@ def correct_words(df: DataFrame, corrections: DataFrame) -> DataFrame:
     return df.join(corrections, "word", "left").withColumn("word", F.coalesce("put", "word")).drop("put")
 
 
-def gate_groups(df: DataFrame, target: DataFrame, group: str) -> DataFrame:
-    """Groups whose number of rows equals the target's."""
-    ours = df.groupBy(group).agg(F.count("*").alias("__n"))
-    theirs = target.groupBy(group).agg(F.count("*").alias("__n"))
-    return df.join(ours.join(theirs, [group, "__n"]), group, "left_semi")
+def gate_report(df: DataFrame, target: DataFrame, group: str, misplaced: Column | None = None) -> DataFrame:
+    """group, n, target_n, misplaced, kept: a group is kept if it has as many rows as the target's and no marker off its line."""
+    off = F.lit(False) if misplaced is None else F.coalesce(misplaced, F.lit(False))
+    ours = df.groupBy(group).agg(F.count("*").alias("n"), F.count_if(off).alias("misplaced"))
+    met = ours.join(target.groupBy(group).agg(F.count("*").alias("target_n")), group, "left")
+    return met.withColumn("kept", F.coalesce((F.col("n") == F.col("target_n")) & (F.col("misplaced") == 0), F.lit(False)))
+
+
+def gate_groups(df: DataFrame, target: DataFrame, group: str, misplaced: Column | None = None) -> DataFrame:
+    """The rows of the groups that gate_report() keeps."""
+    return df.join(gate_report(df, target, group, misplaced).filter("kept").select(group), group, "left_semi")
 
 
 def insert_headings(segs: DataFrame, headings: DataFrame) -> DataFrame:

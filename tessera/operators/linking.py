@@ -90,6 +90,13 @@ def coalesce_sources(rows: DataFrame, key: list[str], *sources: tuple[str, DataF
     return rows.withColumn("value", F.coalesce(*[f"v{k}" for k in range(len(sources))])).withColumn("from_source", name).drop(*[f"v{k}" for k in range(len(sources))])
 
 
+def word_cards(places: DataFrame, key: list[str], treebank: DataFrame, gloss: DataFrame, own: DataFrame, auto: DataFrame, note: DataFrame) -> DataFrame:
+    """Every word with the first of its sources (key, value): the treebank and then a gloss, both only where the text has no row of its own for the word; its own
+    row; an automatic analysis; a note."""
+    without = lambda df: df.join(own, key, "left_anti")
+    return coalesce_sources(places, key, ("treebank", without(treebank)), ("gloss", without(gloss)), ("words", own), ("automatic", auto), ("note", note))
+
+
 def with_parent(rows: DataFrame, group: str, ident: str, parent: str, value: str, out: str) -> DataFrame:
     """The parent's value: '' at a root (parent 0), null where the parent is unknown."""
     up = rows.select(F.col(group), F.col(ident).alias(parent), F.col(value).alias("__up"))

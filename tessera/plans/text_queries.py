@@ -36,10 +36,13 @@ def inline_marks(t, spark):
     return rd.split_on_marks(_marked(t, mark), "doc_id", "body").filter("text <> ''")
 
 
-@query(f"WITH {SEG}, {PLAIN} SELECT doc_id, CAST(seq AS INT) AS marker, line AS passage FROM plain")
+@query(f"WITH {SEG}, {PLAIN} SELECT doc_id, CAST(seq AS INT) AS marker, CASE WHEN seq % 3 = 1 THEN '“said” ' ELSE '' END || line AS passage FROM plain")
 def milestones(t, spark):
-    mark = lambda seq: F.concat(F.lit('<milestone unit="line" n="'), seq.cast("string"), F.lit('"/>'))
-    p = rd.milestone_passages(_marked(t, mark, ""), "doc_id", "body", r'<milestone unit="line" n="(\d+)"/>')
+    """Milestones with quoted speech, and footnotes that hold a milestone of their own."""
+    note = lambda seq: F.when(seq % 3 == 1, '<note n="1">see <milestone unit="line" n="99"/> there</note><q>said</q> ').otherwise("")
+    mark = lambda seq: F.concat(F.lit('<milestone unit="line" n="'), seq.cast("string"), F.lit('"/>'), note(seq))
+    flat = _marked(t, mark, "").withColumn("body", rd.flatten_notes(F.col("body")))
+    p = rd.milestone_passages(flat, "doc_id", "body", r'<milestone unit="line" n="(\d+)"/>')
     return p.filter("marker IS NOT NULL").select("doc_id", F.col("marker").cast("int").alias("marker"), F.col("passage"))
 
 
@@ -295,6 +298,13 @@ def gated_groups(t, spark):
     return co.gate_groups(_segs(t).select("doc_id", "seq"), target, "doc_id")
 
 
+@query(f"WITH {SEG}, n AS (SELECT doc_id, count(*) AS n, count(*) FILTER (seq % 5 = 4 AND length(content) % 7 = 0) AS misplaced FROM seg GROUP BY 1) SELECT n.doc_id, n, CASE WHEN quality IS NULL THEN NULL ELSE quality * 4 + 1 END AS target_n, misplaced, coalesce(n = quality * 4 + 1 AND misplaced = 0, false) AS kept FROM n LEFT JOIN labels USING (doc_id)")
+def gate_reports(t, spark):
+    target = t("labels").select("doc_id", F.explode(F.sequence(F.lit(0), (F.col("quality") * 4).cast("int"))).alias("line"))
+    off = (F.col("seq") % 5 == 4) & (F.length("content") % 7 == 0)
+    return co.gate_report(_segs(t), target, "doc_id", off)
+
+
 @query(f"WITH {SEG}, h AS (SELECT doc_id, lang AS content, -1 AS seq FROM documents UNION ALL SELECT doc_id, content, seq FROM seg) SELECT doc_id, seq, length(content) AS chars FROM h")
 def headed_segments(t, spark):
     heads = t("documents").select("doc_id", F.col("lang").alias("content"))

@@ -12,6 +12,7 @@ from tessera.operators import linking as li
 from tessera.operators import reports as rp
 from tessera.operators import sequence as sq
 from tessera.plans.registry import _PASSAGES, _SPANS, EV, SEG, WRD, _fold, _merged, _micros, _passages, _segs, _words, query
+from tessera.store import materialize
 from tessera.streaming import events as st
 
 # ---- alignment --------------------------------------------------------------------------------------------------
@@ -127,10 +128,10 @@ def chosen_readings(t, spark):
     return al.choose_reading(s, ["place"], "N", 30.0)
 
 
-@query("SELECT o_orderkey, 0 AS part, CAST(5 AS INT) AS line, 'first words.' AS text FROM orders UNION ALL SELECT o_orderkey, 1, CAST(5 + o_orderkey % 30 + 1 AS INT), 'later ones. 3 old' FROM orders")
+@query("SELECT o_orderkey, 0 AS part, CAST(5 AS INT) AS line, 'first words, as Od. 7 has and p. 8 says.' AS text FROM orders UNION ALL SELECT o_orderkey, 1, CAST(5 + o_orderkey % 30 + 1 AS INT), 'later ones. 3 old' FROM orders")
 def split_run_ons(t, spark):
     n = (6 + F.col("o_orderkey") % 30).cast("string")
-    notes = t("orders").select("o_orderkey", F.lit(5).alias("line"), F.concat(F.lit("first words. "), n, F.lit(" later ones. 3 old")).alias("text"))
+    notes = t("orders").select("o_orderkey", F.lit(5).alias("line"), F.concat(F.lit("first words, as Od. 7 has and p. 8 says. "), n, F.lit(" later ones. 3 old")).alias("text"))
     return al.split_run_ons(notes, "text", "line").select("o_orderkey", "part", "line", "text")
 
 
@@ -311,11 +312,12 @@ def notes_by_source(t, spark):
     return nested.select("doc_id", "place", "source", said.alias("notes"))
 
 
-@query(f"WITH {WRD}, g AS (SELECT word, min(doc_id) AS gold FROM wrd WHERE source = 'src1' GROUP BY 1), x AS (SELECT word, min(doc_id) AS auto FROM wrd WHERE source = 'src2' GROUP BY 1), w AS (SELECT DISTINCT word FROM wrd) SELECT w.word, coalesce(gold, auto) AS value, CASE WHEN gold IS NOT NULL THEN 'gold' WHEN auto IS NOT NULL THEN 'automatic' ELSE 'none' END AS from_source FROM w LEFT JOIN g USING (word) LEFT JOIN x USING (word)")
+@query(f"""WITH {WRD}, s AS (SELECT word, min(doc_id) FILTER (source = 'src1') AS t, min(doc_id) FILTER (source = 'src2') AS g, min(doc_id) FILTER (source = 'src3') AS o, min(doc_id) FILTER (source = 'src4') AS a, min(doc_id) FILTER (source = 'src5') AS n FROM wrd GROUP BY word)
+SELECT word, CASE WHEN o IS NOT NULL THEN o ELSE coalesce(t, g, a, n) END AS value, CASE WHEN o IS NOT NULL THEN 'words' WHEN t IS NOT NULL THEN 'treebank' WHEN g IS NOT NULL THEN 'gloss' WHEN a IS NOT NULL THEN 'automatic' WHEN n IS NOT NULL THEN 'note' ELSE 'none' END AS from_source FROM s""")
 def word_cards(t, spark):
-    w = _words(t).select("word", "source", "doc_id")
-    of = lambda s: w.filter(F.col("source") == s).groupBy("word").agg(F.min("doc_id").alias("value"))
-    return li.coalesce_sources(w.select("word").distinct(), ["word"], ("gold", of("src1")), ("automatic", of("src2")))
+    first = materialize(_words(t).groupBy("word", "source").agg(F.min("doc_id").alias("value")), "first")
+    of = lambda s: first.filter(F.col("source") == s).select("word", "value")
+    return li.word_cards(first.select("word").distinct(), ["word"], of("src1"), of("src2"), of("src3"), of("src4"), of("src5"))
 
 
 @query("SELECT source, lang AS file, count(*) AS divs, CAST(sum(n_chars) AS BIGINT) AS size FROM documents GROUP BY ALL")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -21,6 +21,12 @@ def xml_rows(df: DataFrame, col: str, tag: str, schema: StructType | str) -> Dat
     return parts.withColumn("element", F.from_xml("__e", schema)).drop("__e")
 
 
+def flatten_notes(c: Column) -> Column:
+    """Footnotes go with all they hold, quoted speech gets its marks."""
+    bare = F.regexp_replace(c, r"(?s)<note\b[^>]*>.*?</note>", "")
+    return F.regexp_replace(F.regexp_replace(bare, r"<(?:q|quote|said)\b[^>]*>", "“"), r"</(?:q|quote|said)>", "”")
+
+
 def milestone_passages(df: DataFrame, key: str, text: str, marker: str) -> DataFrame:
     """marker, passage: the text after every marker (its group 1) up to the next; what is before the first has marker null."""
     marks = F.concat(F.array(F.lit(None).cast("string")), F.regexp_extract_all(text, F.lit(marker), F.lit(1)))
