@@ -212,7 +212,8 @@ def map_times(points: DataFrame, spans: DataFrame, keys: list[str], back: bool =
     unit = F.struct("start", "end", "offset").alias("__u")
     marks = spans.select(*keys, (F.col("offset") if back else F.col("start")).alias("at"), unit)
     both = points.withColumn("__k", F.lit(1)).unionByName(marks.withColumn("__k", F.lit(0)), allowMissingColumns=True)
-    w = Window.partitionBy(*keys).orderBy("at", "__k").rowsBetween(Window.unboundedPreceding, 0)
+    # (of empty spans at one place of the timeline the last counts)
+    w = Window.partitionBy(*keys).orderBy("at", "__k", "__u.start").rowsBetween(Window.unboundedPreceding, 0)
     placed = both.withColumn("__u", F.last("__u", ignorenulls=True).over(w)).filter("__k = 1")
     u = lambda c: F.col(f"__u.{c}")
     there = F.least(u("start") + (F.col("at") - u("offset")), u("end")) if back else u("offset") + F.least("at", u("end")) - u("start")

@@ -233,7 +233,7 @@ def recording_kinds(t, spark):
 
 
 @query(f"""WITH {EV}, {_SPANS}, s AS (SELECT *, coalesce(sum(e - s) OVER (PARTITION BY user_id ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off FROM merged), p AS (SELECT event_id, user_id, us + 1800000000 AS at FROM ev WHERE event_type = 'click'), m AS (SELECT p.event_id, p.user_id, p.at, s.off + least(p.at, s.e) - s.s AS t FROM p ASOF LEFT JOIN s ON p.user_id = s.user_id AND p.at >= s.s)
-SELECT m.event_id, CAST(m.t AS BIGINT) AS mapped, CAST(least(s.s + m.t - s.off, s.e) AS BIGINT) AS again FROM m ASOF LEFT JOIN s ON m.user_id = s.user_id AND m.t >= s.off""")
+SELECT m.event_id, CAST(m.t AS BIGINT) AS mapped, CAST(least(s.s + m.t - s.off, s.e) AS BIGINT) AS again FROM m ASOF LEFT JOIN (SELECT user_id, off, max(s) AS s, arg_max(e, s) AS e FROM s GROUP BY user_id, off) s ON m.user_id = s.user_id AND m.t >= s.off""")
 def mapped_times(t, spark):
     """Times in a file on the timeline, and from there back into the file: within a span the same, else the start of the next."""
     spans = sq.stitched(_merged(t), ["user_id"])
