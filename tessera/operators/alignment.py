@@ -49,7 +49,7 @@ def regroup(a: DataFrame, b: DataFrame, group: str) -> DataFrame:
 
     left = spans(a, "a").filter("a1 > a0").select(group, "a", F.col("a0").alias("start"), (F.col("a1") - 1).alias("end"))
     right = spans(b, "b").filter("b1 > b0").select(group, "b", F.col("b0").alias("start"), (F.col("b1") - 1).alias("end"))
-    met = overlapping(left, right, [group])
+    met = overlapping(left, right, [group], 16)  # letters: about two words
     of = lambda c: F.count("*").over(Window.partitionBy(group, c))
     n = met.withColumn("na", of("a")).withColumn("nb", of("b"))
     kind = F.when((F.col("na") == 1) & (F.col("nb") == 1), "exact").when(F.col("nb") == 1, "split").when(F.col("na") == 1, "joined").otherwise("mixed")

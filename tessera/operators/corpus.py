@@ -13,7 +13,7 @@ def segments(docs: DataFrame) -> DataFrame:
 
 def words(segs: DataFrame, keep: tuple[str, ...] = ("doc_id", "seq")) -> DataFrame:
     """word_index (0-based blank-separated chunk) and word of every segment."""
-    chunks = F.filter(F.split("content", " "), lambda x: x != "")
+    chunks = F.array_remove(F.split("content", " "), "")
     return segs.select(*keep, F.posexplode(chunks).alias("word_index", "word"))
 
 

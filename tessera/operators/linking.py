@@ -34,14 +34,15 @@ def cascade(queries: DataFrame, entries: DataFrame, levels: list[tuple[str, Colu
     return out.select("word", F.col("m.entry").alias("entry"), F.coalesce(F.get(names, F.col("m.level")), F.lit("none")).alias("method"))
 
 
-def overlapping(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+def overlapping(left: DataFrame, right: DataFrame, keys: list[str], width: int | None = None) -> DataFrame:
     """left, right: start, end (closed whole numbers) with the same equi keys; every overlapping pair, once.
 
-    Each side is dealt to the axis buckets it touches, of about the mean length of both sides' intervals, and a pair is taken in the
-    bucket where the later of its two starts lies: so only neighbours meet, not all intervals of a key."""
+    Each side is dealt to the axis buckets it touches, and a pair is taken in the bucket where the later of its two starts lies: so only
+    neighbours meet, not all intervals of a key.  width: a bucket's length; without it the mean length of both sides' intervals, by a pass over both."""
     r = right.withColumnsRenamed({"start": "r_start", "end": "r_end"})
-    mean = left.select((F.col("end") - F.col("start")).alias("n")).unionByName(r.select((F.col("r_end") - F.col("r_start")).alias("n"))).agg(F.avg("n")).first()[0]
-    width = max(1, int(mean or 0) + 1)
+    if width is None:
+        mean = left.select((F.col("end") - F.col("start")).alias("n")).unionByName(r.select((F.col("r_end") - F.col("r_start")).alias("n"))).agg(F.avg("n")).first()[0]
+        width = max(1, int(mean or 0) + 1)
     bucket = lambda c: F.floor(F.col(c) / width).cast("long")
     deal = lambda df, a, b: df.filter(F.col(a) <= F.col(b)).withColumn("__b", F.explode(F.sequence(bucket(a), bucket(b))))
     met = deal(left, "start", "end").join(deal(r, "r_start", "r_end"), [*keys, "__b"])

@@ -109,7 +109,7 @@ def _passages(t) -> tuple[DataFrame, DataFrame]:
 @query(f"WITH {SEG}, {_PASSAGES} SELECT p.doc_id, p.p, p.s AS start, n.s AS r_start, n.e AS r_end FROM passage p JOIN note n ON p.doc_id = n.doc_id AND p.s <= n.e AND n.s <= p.e")
 def interval_overlap(t, spark):
     p, n = _passages(t)
-    return li.overlapping(p, n, ["doc_id"]).select("doc_id", "p", "start", "r_start", "r_end")
+    return li.overlapping(p, n, ["doc_id"], 8).select("doc_id", "p", "start", "r_start", "r_end")
 
 
 @query(f"WITH {SEG}, {_PASSAGES} SELECT s.doc_id, s.seq, count(n.s) AS n_cover FROM seg s LEFT JOIN note n ON s.doc_id = n.doc_id AND s.seq BETWEEN n.s AND n.e GROUP BY ALL")
