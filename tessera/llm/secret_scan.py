@@ -115,16 +115,32 @@ def listed(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(kind, s["rank"] + 1), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def redact(text: Column, masks: Column, mark: str = "[SECRET]") -> Column:
-    """text with every mask (disjoint, by start) replaced.  Pieces are cut from four-byte code points, each by its offset; a lambda's
-    variable holds the coded text, so that it is coded once and not for every piece."""
+def _apart(spans: Column) -> Column:
+    """start and end of what spans (by start) cover, overlapping ones as one.  Spans that are apart already, as find_secrets() gives its
+    masks, are only looked through once."""
+    bare = F.transform(spans, lambda s: F.struct(s["start"].cast("int").alias("start"), s["end"].cast("int").alias("end")))
+    laps = F.exists(F.transform(spans, lambda s, i: (i > 0) & (s["start"] < F.get(spans, i - 1)["end"])), lambda x: x)
+
+    def step(acc: Column, s: Column) -> Column:
+        last = F.get(acc, F.size(acc) - 1)
+        longer = F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.struct(last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end"))))
+        return F.when(F.coalesce(s["start"] < last["end"], F.lit(False)), longer).otherwise(F.concat(acc, F.array(s)))
+
+    return F.when(laps, F.aggregate(bare, F.array().cast("array<struct<start:int,end:int>>"), step)).otherwise(bare)
+
+
+def redact(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
+    """text with every span (by start) replaced; overlapping ones become one.  Pieces are cut from four-byte code points, each by its offset; lambdas'
+    variables hold the coded text and the places, so that they are made once and not for every piece."""
     # a piece's first sign may be a byte order mark, which decoding takes away: so each gets one to lose
     piece = lambda wide, at, n: F.decode(F.concat(F.lit(b"\x00\x00\xfe\xff"), F.substr(wide, at * 4 + 1, n * 4)), "UTF-32")
-    before = lambda i: F.when(i == 0, F.lit(0)).otherwise(F.get(masks, i - 1)["end"])
-    last = F.element_at(masks, -1)["end"]
 
-    def cut(wide: Column) -> Column:
+    def cut(wide: Column, masks: Column) -> Column:
+        before = lambda i: F.when(i == 0, F.lit(0)).otherwise(F.get(masks, i - 1)["end"])
+        last = F.element_at(masks, -1)["end"]
         gaps = F.transform(masks, lambda m, i: piece(wide, before(i), m["start"] - before(i)))
         return F.concat(F.array_join(gaps, mark), F.lit(mark), piece(wide, last, F.length(wide)))
 
-    return F.when(F.size(masks) > 0, F.element_at(F.transform(F.array(F.encode(text, "UTF-32")), cut), 1)).otherwise(text)
+    once = lambda value, use: F.element_at(F.transform(F.array(value), use), 1)
+    whole = once(F.encode(text, "UTF-32"), lambda wide: once(_apart(spans), lambda masks: cut(wide, masks)))
+    return F.when(F.size(spans) > 0, whole).otherwise(text)
