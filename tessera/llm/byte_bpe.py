@@ -8,8 +8,9 @@ token of every prefix follows from the last tokens of shorter prefixes, and a tr
   settled place and each of them, the bytes since the first open start, and the token before the settled place.
 * A byte ends one token: of the open starts whose bytes now make a token, exactly one has a fitting neighbour before.  Starts
   that no token can reach beyond are closed.  What all open starts have in common is emitted: it can't change any more.
-* States are made when they are first reached and kept by content, so the machine is determinised as far as the texts need.  It is
-  forgotten and begun anew at `most_states`; a text is read on from where it is.
+* States are kept by content and made lazily: a state that has been left by bytes without a transition `rare` times gets one for each such
+  byte from then on; before, what remains of a short word is run through the undeterminised machine (the same rule, place by place), so
+  that what is met once makes no states.  The machine is forgotten and begun anew at `most_states`; a text is read on from where it is.
 
 The lookahead, the bytes between the last emitted token and the place read, is bounded by the vocabulary, not by the text
 (`Transducer.lookahead` is the longest so far).  Distinct short words are kept in a bounded table per Python worker, since corpora repeat them.
@@ -39,7 +40,7 @@ from pyspark.sql import types as T
 
 from tessera.llm.common import kept, texts_of
 
-#: Words of up to so many characters are kept in the table.
+#: Words of up to so many characters are kept in the table, of up to so many bytes are run undeterminised.
 SHORT = 48
 #: Matches of a text are worked on so many at a time.
 CHUNK = 1 << 14
@@ -51,27 +52,26 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 class _State(dict):
-    """byte -> (next state, emitted ids); transitions are made when first asked for."""
+    """byte -> (next state, emitted ids), as far as it is determinised; missed counts bytes that had no transition yet."""
 
-    __slots__ = ("machine", "tail", "before", "starts")
+    __slots__ = ("tail", "before", "starts", "missed")
 
-    def __init__(self, machine: Transducer, tail: bytes, before: int, starts: tuple[tuple[int, tuple[int, ...]], ...]):
-        self.machine, self.tail, self.before, self.starts = machine, tail, before, starts
-
-    def __missing__(self, byte: int) -> tuple[_State, bytes]:
-        return self.machine.learn(self, byte)
+    def __init__(self, tail: bytes, before: int, starts: tuple[tuple[int, tuple[int, ...]], ...]):
+        self.tail, self.before, self.starts, self.missed = tail, before, starts, 0
 
 
 class Transducer:
     """encode(bytes) -> ids as native unsigned 32-bit integers; every single byte must be a token, and every token reachable by merges
     of ever higher rank."""
 
-    def __init__(self, ranks: dict[bytes, int], most_states: int = 150_000):
-        self.ranks, self.most = ranks, most_states
+    def __init__(self, ranks: dict[bytes, int], most_states: int = 150_000, rare: int = 24):
+        self.ranks, self.most, self.rare = ranks, most_states, rare
         self.bytes_of = {v: k for k, v in ranks.items()}
         if any(bytes([i]) not in ranks for i in range(256)):
             raise ValueError("no byte-level BPE: single bytes are missing")
-        self.proper = {k[:n] for k in ranks for n in range(1, len(k))} | {b""}
+        #: bytes -> 2 * token + whether a longer token begins so; -1 for bytes that only begin one
+        self.trie = dict.fromkeys((k[:n] for k in ranks for n in range(1, len(k))), -1)
+        self.trie.update({k: 2 * v + (k in self.trie) for k, v in ranks.items()})
         self.one = [bytes([i]) for i in range(256)]
         self.halves = {v: self._halves(k) for k, v in ranks.items()}
         self.states: dict[tuple, _State] = {}
@@ -120,24 +120,30 @@ class Transducer:
         if got is None:
             if len(self.states) >= self.most:
                 self.forget()
-            got = self.states[key] = _State(self, tail, before, starts)
+            got = self.states[key] = _State(tail, before, starts)
         return got
 
     def forget(self) -> None:
         for s in self.states.values():
             s.clear()
         self.states.clear()
-        self.known.clear()
         self.start = self._state(b"", -1, ((0, ()),))
 
     def learn(self, state: _State, byte: int) -> tuple[_State, bytes]:
         tail, before = state.tail + self.one[byte], state.before
         size = len(tail) - 1
-        ranks, proper, known = self.ranks, self.proper, self.known
+        trie, known = self.trie, self.known
+        if len(known) > 8 * self.most:
+            known.clear()
         starts, ended = [], None
         for n, tokens in state.starts:
-            part = tail[size - n :]
-            if ended is None and (token := ranks.get(part)) is not None:
+            token = trie.get(tail[size - n :])
+            if token is None:
+                continue
+            if token & 1:
+                starts.append((n + 1, tokens))
+            if ended is None and token >= 0:
+                token >>= 1
                 last = tokens[-1] if tokens else before
                 if last < 0:
                     ended = (*tokens, token)
@@ -148,8 +154,6 @@ class Transducer:
                         fit = known[pair] = self.fits(last, token)
                     if fit:
                         ended = (*tokens, token)
-            if part in proper:
-                starts.append((n + 1, tokens))
         starts.append((0, ended))
         first, common = starts[0][1], 0
         while common < len(first):
@@ -171,10 +175,51 @@ class Transducer:
         made = state[byte] = (nxt, array("I", first[:common]).tobytes() if common else b"")
         return made
 
+    def _finish(self, state: _State, rest: bytes) -> bytes:
+        """The ids that the state and the rest of a short word end with, by the undeterminised machine."""
+        data, size = state.tail + rest, len(state.tail)
+        trie, known = self.trie, self.known
+        opened = [size - n for n, _ in state.starts]
+        kept = {size - n: tokens for n, tokens in state.starts}
+        last = {p: tokens[-1] if tokens else state.before for p, tokens in kept.items()}
+        back = {}
+        for end in range(size + 1, len(data) + 1):
+            still, found = [], False
+            for p in opened:
+                token = trie.get(data[p:end])
+                if token is None:
+                    continue
+                if token & 1:
+                    still.append(p)
+                if not found and token >= 0:
+                    token >>= 1
+                    before = last[p]
+                    pair = before << 32 | token
+                    found = before < 0 or known.get(pair)
+                    if found is None:
+                        found = known[pair] = self.fits(before, token)
+                    if found:
+                        last[end], back[end] = token, p
+            still.append(end)
+            opened = still
+        at, out = len(data), []
+        while at in back:
+            out.append(last[at])
+            at = back[at]
+        return array("I", [*kept[at], *reversed(out)]).tobytes()
+
     def encode(self, piece: bytes) -> bytes:
         state, got = self.start, []
-        for byte in piece:
-            state, out = state[byte]
+        rare = self.rare if len(piece) <= SHORT else 0
+        for k, byte in enumerate(piece):
+            step = state.get(byte)
+            if step is None:
+                state.missed += 1
+                if state.missed <= rare:
+                    got.append(self._finish(state, piece[k:]))
+                    return b"".join(got)
+                step = self.learn(state, byte)
+            state, out = step
             if out:
                 got.append(out)
         got.append(array("I", state.starts[-1][1]).tobytes())
