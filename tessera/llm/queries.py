@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import ann_blocks, byte_bpe, chat_format, html_extract, jaccard_join, language_id, packing, quality_rules, secret_scan, sentencepiece_codec, url_filter
+from tessera.llm import ann_blocks, byte_bpe, chat_format, html_extract, jaccard_join, language_id, merkle_manifest, packing, quality_rules, secret_scan, sentencepiece_codec, url_filter
 from tessera.llm.common import tokenizer_path
 
 PIECES = "piece_bpe_32k.model"
@@ -78,7 +78,16 @@ def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encode_decode(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path(MULTI), packing.WORDS)
 
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_url_filter, op3_html_extract, op4_quality_rules, op5_language_id, op6_secret_scan, op7_jaccard_join, op8_chat_format, op9_packing, op10_ann, op11_byte_bpe)}
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    more = [F.col("n_chars") + 1 if x == "n_chars" else F.col(x) for x in merkle_manifest.FIELDS]
+    claimed = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0, merkle_manifest.leaf(more))
+    made = merkle_manifest.manifest(docs, claimed)
+    proof, folded = F.sha2(merkle_manifest.siblings(F.col("path")), 256), merkle_manifest.fold(F.coalesce("claimed", "leaf"), F.col("path"))
+    return made.select("doc_id", "leaf", "subroot", "root", proof.alias("proof_sha256"), folded.alias("folded_root")).withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_url_filter, op3_html_extract, op4_quality_rules, op5_language_id, op6_secret_scan, op7_jaccard_join, op8_chat_format, op9_packing, op10_ann, op11_byte_bpe, op13_merkle)}
 
 _HOST = r"translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _PATH = r"regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1)"
@@ -86,6 +95,12 @@ _FITS = [f"(ends_with('.' || host, '.{h}') AND starts_with(path, '{p}'))" for _,
 _LONGEST = sorted(range(len(URL_RULES)), key=lambda k: -len(URL_RULES[k][1] + URL_RULES[k][2]))
 _WORDS = f"({'|'.join(url_filter.BLOCK_WORDS)})"
 
+
+def _leaf(n_chars: str) -> str:
+    one = "coalesce(strlen({0}::VARCHAR) || ':' || {0}::VARCHAR, '-')"
+    return f"sha256({' || '.join(one.format(f'({n_chars})' if x == 'n_chars' else x) for x in merkle_manifest.FIELDS)})"
+
+
 SQL = {
     "op2_url_filter": f"""
 WITH parts AS (SELECT page_id, {_HOST} AS host, {_PATH} AS path FROM pages),
@@ -95,4 +110,43 @@ SELECT page_id, host, path,
   CASE WHEN k IS NOT NULL THEN CASE k {" ".join(f"WHEN {k} THEN '{v}'" for k, (v, _, _) in enumerate(URL_RULES))} END
        WHEN regexp_matches(host, '{_WORDS}') THEN 'block' ELSE 'allow' END AS verdict
 FROM ruled""",
+    "op13_merkle": f"""
+WITH RECURSIVE crc AS (
+  SELECT *, CAST(doc_id AS VARCHAR) AS num FROM documents),
+hashed AS (
+  SELECT doc_id, lang, {_leaf("n_chars")} AS leaf,
+    CASE WHEN xor(list_reduce([4294967295::BIGINT] || list_transform(range(1, length(num) + 1), lambda i: ascii(num[i:i])::BIGINT),
+      lambda a, b: list_reduce([xor(a, b)] || range(1, 9), lambda x, i: xor(x >> 1, 3988292384::BIGINT * (x & 1)))), 4294967295::BIGINT) % 7 = 0
+      THEN {_leaf("n_chars + 1")} ELSE {_leaf("n_chars")} END AS claimed
+  FROM crc),
+leaves AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY lang) AS n FROM hashed),
+low AS (
+  SELECT lang, 0 AS lvl, pos, n, leaf AS h FROM leaves
+  UNION ALL
+  SELECT lang, lvl + 1, pos // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY pos)) FROM low WHERE n > 1 GROUP BY lang, lvl, pos // 2, n),
+subroots AS (
+  SELECT lang, lvl AS height, h, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS pos, count(*) OVER () AS n FROM low WHERE n = 1),
+high AS (
+  SELECT 0 AS lvl, pos, n, h FROM subroots
+  UNION ALL
+  SELECT lvl + 1, pos // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY pos)) FROM high WHERE n > 1 GROUP BY lvl, pos // 2, n),
+steps AS (
+  SELECT l.doc_id, l.leaf, k.lvl AS step, (l.pos >> k.lvl) % 2 AS right_one, s.h AS sibling
+  FROM leaves l JOIN subroots r ON r.lang IS NOT DISTINCT FROM l.lang JOIN (SELECT DISTINCT lang, lvl, n FROM low) k ON k.lang IS NOT DISTINCT FROM l.lang AND k.n > 1
+  LEFT JOIN low s ON s.lang IS NOT DISTINCT FROM l.lang AND s.lvl = k.lvl AND s.pos = xor(l.pos >> k.lvl, 1)
+  UNION ALL
+  SELECT l.doc_id, l.leaf, r.height + k.lvl, (r.pos >> k.lvl) % 2, s.h
+  FROM leaves l JOIN subroots r ON r.lang IS NOT DISTINCT FROM l.lang JOIN (SELECT DISTINCT lvl, n FROM high) k ON k.n > 1
+  LEFT JOIN high s ON s.lvl = k.lvl AND s.pos = xor(r.pos >> k.lvl, 1)),
+proofs AS (
+  SELECT l.doc_id, l.leaf, l.lang, l.claimed, coalesce(p.sibs, '') AS sibs, coalesce(p.path, []) AS path
+  FROM leaves l LEFT JOIN (SELECT doc_id, leaf, string_agg(coalesce(sibling, ''), '' ORDER BY step) AS sibs,
+    list({{'r': right_one, 's': coalesce(sibling, '')}} ORDER BY step) AS path FROM steps GROUP BY ALL) p ON p.doc_id = l.doc_id AND p.leaf = l.leaf),
+folded AS (
+  SELECT doc_id, leaf, lang, sibs, claimed AS h, path, 1 AS step FROM proofs
+  UNION ALL
+  SELECT doc_id, leaf, lang, sibs, sha256(CASE WHEN path[step].r = 1 THEN path[step].s || h ELSE h || path[step].s END), path, step + 1 FROM folded WHERE step <= len(path))
+SELECT f.doc_id, f.leaf, r.h AS subroot, t.h AS root, sha256(f.sibs) AS proof_sha256, f.h AS folded_root, f.h = t.h AS verified
+FROM folded f JOIN subroots r ON r.lang IS NOT DISTINCT FROM f.lang JOIN high t ON t.n = 1 WHERE f.step = len(f.path) + 1""",
 }
