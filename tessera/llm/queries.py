@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import ann_blocks, byte_bpe, chat_format, html_extract, jaccard_join, language_id, merkle_manifest, packing, quality_rules, secret_scan, sentencepiece_codec, url_filter
+from tessera.llm import ann_blocks, byte_bpe, chat_format, html_extract, jaccard_join, language_id, lexical_search, merkle_manifest, packing, quality_rules, secret_scan, sentencepiece_codec, url_filter
 from tessera.llm.common import tokenizer_path
 
 PIECES = "piece_bpe_32k.model"
@@ -78,6 +78,10 @@ def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encode_decode(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path(MULTI), packing.WORDS)
 
 
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"), 50)
+
+
 def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     more = [F.col("n_chars") + 1 if x == "n_chars" else F.col(x) for x in merkle_manifest.FIELDS]
@@ -87,7 +91,7 @@ def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", "leaf", "subroot", "root", proof.alias("proof_sha256"), folded.alias("folded_root")).withColumn("verified", F.col("folded_root") == F.col("root"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_url_filter, op3_html_extract, op4_quality_rules, op5_language_id, op6_secret_scan, op7_jaccard_join, op8_chat_format, op9_packing, op10_ann, op11_byte_bpe, op13_merkle)}
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_url_filter, op3_html_extract, op4_quality_rules, op5_language_id, op6_secret_scan, op7_jaccard_join, op8_chat_format, op9_packing, op10_ann, op11_byte_bpe, op12_lexical_search, op13_merkle)}
 
 _HOST = r"translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _PATH = r"regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1)"
@@ -95,6 +99,9 @@ _FITS = [f"(ends_with('.' || host, '.{h}') AND starts_with(path, '{p}'))" for _,
 _LONGEST = sorted(range(len(URL_RULES)), key=lambda k: -len(URL_RULES[k][1] + URL_RULES[k][2]))
 _WORDS = f"({'|'.join(url_filter.BLOCK_WORDS)})"
 
+_LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+
 
 def _leaf(n_chars: str) -> str:
     one = "coalesce(strlen({0}::VARCHAR) || ':' || {0}::VARCHAR, '-')"
@@ -110,6 +117,19 @@ SELECT page_id, host, path,
   CASE WHEN k IS NOT NULL THEN CASE k {" ".join(f"WHEN {k} THEN '{v}'" for k, (v, _, _) in enumerate(URL_RULES))} END
        WHEN regexp_matches(host, '{_WORDS}') THEN 'block' ELSE 'allow' END AS verdict
 FROM ruled""",
+    "op12_lexical_search": rf"""
+WITH docs AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all({_LOWER}, '{_TERM}') AS terms FROM documents),
+tfs AS (SELECT r, t, count(*) AS tf FROM (SELECT r, unnest(terms) AS t FROM docs) GROUP BY r, t),
+total AS (SELECT count(*) AS docs, sum(len(terms))::BIGINT AS terms FROM docs WHERE len(terms) > 0),
+df AS (SELECT t, count(*) AS df FROM tfs GROUP BY t),
+items AS (SELECT item_id, row_number() OVER () AS i, list_distinct(regexp_extract_all({_LOWER}, '{_TERM}')) AS terms FROM benchmark),
+worth AS (
+  SELECT t, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT AS w FROM df, total),
+scores AS (
+  SELECT q.i, q.item_id, d.r, d.doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + (50 * len(d.terms) * total.docs) // total.terms))))::BIGINT AS score
+  FROM (SELECT i, item_id, unnest(terms) AS t FROM items) q JOIN worth USING (t) JOIN tfs USING (t) JOIN docs d ON d.r = tfs.r, total GROUP BY q.i, q.item_id, d.r, d.doc_id),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM scores WHERE score > 0)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM ranked WHERE rank <= 50""",
     "op13_merkle": f"""
 WITH RECURSIVE crc AS (
   SELECT *, CAST(doc_id AS VARCHAR) AS num FROM documents),
