@@ -7,7 +7,9 @@ what is shuffled and sorted is a copy per group or run, not per pair.  Groups an
 
 In a cell, int8 codes with a scale per vector give product tiles, and |q.c - q^.c^| <= |q - q^| |c^| + |q| |c - c^| bounds their
 error.  Pairs whose upper bound reaches the k-th best lower bound are recomputed in double precision; a heap per query keeps the
-best k over all tiles of a task, and the tasks' heaps are merged by a second one.
+best k over all tiles of a task, and the tasks' heaps are merged by a second one.  The bounds hold for vectors whose largest component lies
+within SAFE, where neither norms nor their products overflow or vanish; pairs with another vector are always recomputed.  A sum in
+which products overflow is infinite, with the sign that the vectors scaled to a largest component of 1 give.
 
 The tile is a float32 BLAS product of int8 values: exact, as sums stay under 2**24 for up to 1040 dimensions (wider
 vectors are multiplied in parts).
@@ -30,6 +32,8 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import materialize, shuffle_parts
 
+#: Where the largest component's size lies in vectors that codes stand for.
+SAFE = 1e-100, 1e100
 _BLOCK = "dim int, block long, n int, ids binary, vecs binary"
 
 
@@ -88,12 +92,15 @@ class _Side:
         self.ids = np.frombuffer(row["ids"], np.int64)
         kind = np.float32 if len(row["vecs"]) == 4 * row["dim"] * len(self.ids) else np.float64
         self.vecs = np.frombuffer(row["vecs"], kind).reshape(len(self.ids), row["dim"]).astype(np.float64)
-        scale = np.abs(self.vecs).max(1, keepdims=True) / 127
-        self.codes = np.rint(self.vecs / scale).astype(np.int8)
+        top = np.abs(self.vecs).max(1, keepdims=True)
+        self.safe = (top[:, 0] >= SAFE[0]) & (top[:, 0] <= SAFE[1])
+        vecs = np.where(self.safe[:, None], self.vecs, 0.0)
+        scale = np.where(self.safe[:, None], top, 127.0) / 127
+        self.codes = np.rint(vecs / scale).astype(np.int8)
         hat = self.codes * scale
         self.scale = scale[:, 0]
         norm = lambda x: np.sqrt(np.einsum("ij,ij->i", x, x)) * (1 + 1e-12)
-        self.norm, self.hat_norm, self.lost = norm(self.vecs), norm(hat), norm(self.vecs - hat)
+        self.norm, self.hat_norm, self.lost = norm(vecs), norm(hat), norm(vecs - hat)
 
 
 def _product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -107,6 +114,18 @@ def _product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return total
 
 
+def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Inner products of rows in double precision; an overflow is infinite, never nan."""
+    with np.errstate(over="ignore", invalid="ignore"):
+        out = np.einsum("ij,ij->i", a, b)
+        bad = np.flatnonzero(np.isnan(out))
+        if len(bad):
+            unit = lambda x: x / np.abs(x).max(1, keepdims=True)
+            sign = np.einsum("ij,ij->i", unit(a[bad]), unit(b[bad]))
+            out[bad] = np.where(sign == 0, 0.0, np.copysign(np.inf, sign))
+    return out
+
+
 def tile(q: _Side, c: _Side, k: int, best: list[list[tuple[float, int]]], rows: int = 2048) -> None:
     """Bring the candidates of block c into the queries' heaps of (score, -id)."""
     for lo in range(0, len(c.ids), rows):
@@ -114,6 +133,7 @@ def tile(q: _Side, c: _Side, k: int, best: list[list[tuple[float, int]]], rows:
         estimate = _product(q.codes, c.codes[part]) * (q.scale[:, None] * c.scale[part][None, :])
         slack = q.lost[:, None] * c.hat_norm[part][None, :] + q.norm[:, None] * c.lost[part][None, :]
         slack += 1e-9 * (q.norm[:, None] * c.norm[part][None, :])
+        slack[~q.safe[:, None] | ~c.safe[part][None, :]] = np.inf
         own = q.ids[:, None] == c.ids[part][None, :]
         low = np.where(own, -np.inf, estimate - slack)
         have = low.shape[1]
@@ -125,7 +145,7 @@ def tile(q: _Side, c: _Side, k: int, best: list[list[tuple[float, int]]], rows:
         a, b = q.vecs, c.vecs[part]
         for at in range(0, len(i), 1 << 16):
             s = slice(at, at + (1 << 16))
-            exact[s] = np.einsum("ij,ij->i", a[i[s]], b[j[s]])
+            exact[s] = products(a[i[s]], b[j[s]])
         ids = c.ids[part][j]
         for qi, score, ident in zip(i.tolist(), exact.tolist(), ids.tolist(), strict=True):
             item = (score, -ident)

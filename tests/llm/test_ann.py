@@ -44,3 +44,24 @@ def test_wide_vectors(spark):
     for r in got:
         assert want[r.query_id][r.rank - 1][1] == r.vec_id and abs(want[r.query_id][r.rank - 1][2] - r.score) < 1e-9
     assert len(got) == 25
+
+
+def test_whole_range_of_doubles(spark):
+    """One-hot and other queries against vectors near the ends of the range of doubles, all pairs by plain sums."""
+    g = np.random.default_rng(12)
+    hot = [[1.0, 0, 0, 0], [0, 0, 1e-300, 0], [1e200, 0, 0, 0], [0, 1e308, 0, 0], [5e-324, 0, 0, 0], [0, 1.0, -1.0, 0]]
+    vecs = [(20 * k, list(map(float, v))) for k, v in enumerate(hot)]
+    vecs += [(1000 + 2 * k + 1, v) for k, v in enumerate(g.normal(size=(60, 4)).tolist())]
+    odd = [[1e200, 1e200, 0, 0], [1e-310, 0, 0, 0], [1e308, 1e308, 1e308, 1e308], [-1e308, 1e-308, 5e-324, 0], [0, 0, 1e155, 1e155], [1e-155, 1e155, 0, 0], [0, 0, 0, 5e-324], [1e308, -1e308, 1e308, 0]]
+    vecs += [(2001 + 2 * k, list(map(float, v))) for k, v in enumerate(odd)]
+    df = spark.createDataFrame(vecs, "vec_id long, embedding array<double>").repartition(3)
+    got = {}
+    for r in ann_blocks.nearest(df, F.col("id") % 20 == 0, 20).collect():
+        got.setdefault(r.query_id, {})[r["rank"]] = (r.vec_id, r.score)
+    assert sorted(got) == [20 * k for k in range(len(hot))]
+    for q, a in vecs[: len(hot)]:
+        with np.errstate(over="ignore"):
+            want = sorted((-float(np.dot(a, b)), i) for i, b in vecs if i != q)[:20]
+        assert [(-got[q][r][1], got[q][r][0]) for r in range(1, 21)] == want, q
+    both = np.array([[1e300, 1e300], [1e300, -1e300]]), np.array([[1e300, -1e299], [1e300, 1e300]])
+    assert ann_blocks.products(*both).tolist() == [np.inf, 0.0]
