@@ -2,41 +2,175 @@
 
 from __future__ import annotations
 
+import heapq
+from bisect import bisect_left, bisect_right
+from collections.abc import Callable, Iterator, Sequence
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.operators.graph import components
 from tessera.operators.linking import overlapping
-from tessera.operators.sequence import last_known, next_known
+from tessera.operators.sequence import last_known, next_known, running
 from tessera.store import materialize
 
 
+def _by_group(rows: DataFrame, group: str, order: list[str], found: Callable[[dict[str, np.ndarray]], dict[str, np.ndarray]], out: str) -> DataFrame:
+    """rows, a group after another and sorted within it, through `found`: columns of a whole group -> columns named in `out`."""
+    kind = rows.schema[group].dataType.simpleString()
+    names = [c.strip().split(" ")[0] for c in out.split(",")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+
+        def close() -> Iterator[pa.RecordBatch]:
+            if held:
+                whole = pa.Table.from_batches(held)
+                made = found({c: whole.column(c).to_numpy() if c != group else None for c in whole.column_names})
+                n = len(next(iter(made.values())))
+                if n:
+                    yield pa.RecordBatch.from_arrays([pa.repeat(now, n), *(pa.array(made[c]) for c in names)], names=[group, *names])
+
+        for b in batches:
+            at = b.column(b.schema.names.index(group))
+            new = pc.fill_null(pc.not_equal(at[1:], at[:-1]), True).to_numpy(zero_copy_only=False) if len(at) > 1 else np.zeros(0, bool)
+            edges = [0, *(np.flatnonzero(new) + 1).tolist(), len(at)]
+            for lo, hi in zip(edges, edges[1:], strict=False):
+                if hi > lo:
+                    if now is None or not at[lo].equals(now):
+                        yield from close()
+                        now, held = at[lo], []
+                    held.append(b.slice(lo, hi - lo))
+        yield from close()
+
+    return rows.filter(F.col(group).isNotNull()).repartition(group).sortWithinPartitions(group, *order).mapInArrow(run, f"{group} {kind}, {out}")
+
+
+def chained_runs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Candidate pairs of one group, sorted by a - b and a -> those kept: the longest run of consecutive pairs first (ties: the earlier a, then b), what
+    is left of the others between the kept ones after it, until nothing is left.
+
+    A heap has every run once, and again a piece of it for every kept run that cuts it: no run is held against all others."""
+    if not len(a):
+        return a, b
+    first = np.concatenate([[True], (np.diff(a - b) != 0) | (np.diff(a) != 1)])
+    at = np.flatnonzero(first)
+    sizes = np.diff(np.append(at, len(a)))
+    heap = list(zip((-sizes).tolist(), a[at].tolist(), b[at].tolist(), strict=True))
+    heapq.heapify(heap)
+    starts: list[int] = []
+    kept: list[tuple[int, int, int, int]] = []  # a0, a1, b0, b1 in order
+    while heap:
+        n, a0, b0 = heapq.heappop(heap)
+        n = -n
+        lo, hi = bisect_right(starts, a0), bisect_right(starts, a0 + n - 1)
+        for k in range(lo, hi + 1):  # the places between two kept runs that the run passes
+            before = max(kept[k - 1][1] - a0, kept[k - 1][3] - b0) if k else -1
+            after = min(kept[k][0] - a0, kept[k][2] - b0) if k < len(kept) else n
+            t0, t1 = max(0, before + 1), min(n, after)
+            if t1 - t0 == n:
+                starts.insert(k, a0)
+                kept.insert(k, (a0, a0 + n - 1, b0, b0 + n - 1))
+                break
+            if t0 < t1:
+                heapq.heappush(heap, (t0 - t1, a0 + t0, b0 + t0))
+    return tuple(np.concatenate([np.arange(k[c], k[c + 1] + 1) for k in kept]) for c in (0, 2))
+
+
 def longest_runs(a: DataFrame, b: DataFrame, group: str, key: str) -> DataFrame:
     """a, b: group, key, i -> group, a, b: matched positions.
 
-    Candidate pairs share group and key.  Pairs on one diagonal with consecutive positions are a run; a run is kept if no run that crosses or
-    overlaps it in the group is longer (ties: the earlier a, then b).  Later rounds look between kept pairs, until no candidate is left:
-    every round keeps the longest run of each group at least, and is written to the shared folder.  Cost is bounded by repeated keys within a group: groups
-    are lines or short passages.
+    Candidate pairs share group and key.  Pairs on one diagonal with consecutive positions are a run; the longest run of a group is kept (ties: the
+    earlier a, then b), then the longest of what it leaves before and after it on both sides, until no candidate is left.  One shuffle of
+    the candidates; a group's are in one task, so groups are lines, passages, or stretches between unique words (`align_division`).
+    A null group or key matches nothing.
     """
-    cand = a.select(group, key, F.col("i").alias("a")).join(b.select(group, key, F.col("i").alias("b")), [group, key]).select(group, "a", "b")
-    cand, done = materialize(cand, "candidates"), None
-    while True:
-        diagonal = Window.partitionBy(group, (F.col("a") - F.col("b"))).orderBy("a")
-        runs = cand.withColumn("__g", F.col("a") - F.row_number().over(diagonal)).withColumn("__d", F.col("a") - F.col("b"))
-        runs = runs.groupBy(group, "__d", "__g").agg(F.min("a").alias("a0"), F.max("a").alias("a1"), F.min("b").alias("b0"), F.max("b").alias("b1"))
-        runs = runs.withColumn("rank", F.struct((F.col("a1") - F.col("a0")).alias("len"), (-F.col("a0")).alias("na"), (-F.col("b0")).alias("nb")))
-        x, y = runs.alias("x"), runs.alias("y")
-        apart = ((F.col("y.a1") < F.col("x.a0")) & (F.col("y.b1") < F.col("x.b0"))) | ((F.col("y.a0") > F.col("x.a1")) & (F.col("y.b0") > F.col("x.b1")))
-        won = x.join(y, (F.col(f"x.{group}") == F.col(f"y.{group}")) & ~apart & (F.col("y.rank") > F.col("x.rank")), "left_anti")
-        kept = won.select(group, F.explode(F.sequence("a0", "a1")).alias("a"), "__d").select(group, "a", (F.col("a") - F.col("__d")).alias("b"))
-        kept = materialize(kept, "kept")
-        done = kept if done is None else done.unionByName(kept)
-        p, c = kept.alias("p"), cand.alias("c")
-        clash = ~(((F.col("p.a") < F.col("c.a")) & (F.col("p.b") < F.col("c.b"))) | ((F.col("p.a") > F.col("c.a")) & (F.col("p.b") > F.col("c.b"))))
-        cand = materialize(c.join(p, (F.col(f"c.{group}") == F.col(f"p.{group}")) & clash, "left_anti"), "candidates")
-        if not cand.limit(1).count():
-            return done
+    kinds = [df.schema["i"].dataType.simpleString() for df in (a, b)]
+    cand = a.select(group, key, F.col("i").cast("long").alias("a")).join(b.select(group, key, F.col("i").cast("long").alias("b")), [group, key]).select(group, "a", "b").withColumn("d", F.col("a") - F.col("b"))
+
+    def found(x: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+        kept = chained_runs(x["a"], x["b"])
+        return {"a": kept[0], "b": kept[1]}
+
+    got = _by_group(cand, group, ["d", "a"], found, "a long, b long")
+    return got.select(group, F.col("a").cast(kinds[0]).alias("a"), F.col("b").cast(kinds[1]).alias("b"))
+
+
+def rising(values: np.ndarray) -> np.ndarray:
+    """Places of a longest increasing subsequence, by patience piles."""
+    tops: list[int] = []
+    last: list[int] = []
+    back = np.full(len(values), -1, np.int64)
+    for i, v in enumerate(values.tolist()):
+        k = bisect_left(tops, v)
+        if k:
+            back[i] = last[k - 1]
+        if k == len(tops):
+            tops.append(v)
+            last.append(i)
+        else:
+            tops[k], last[k] = v, i
+    out, at = [], last[-1] if last else -1
+    while at >= 0:
+        out.append(at)
+        at = int(back[at])
+    return np.array(out[::-1], np.int64)
+
+
+def unique_cuts(a: DataFrame, b: DataFrame, group: str, key: str, range_rows: int = 1 << 16) -> DataFrame:
+    """a, b: group, key, i -> group, a, b: pairs of words whose key comes once on either side of the group, as many as rise on both sides.
+
+    Unique words are ranked on both sides.  Ranges of `range_rows` ranks are worked on apart, a task holding the numbers of one range, so that a
+    group may be of any length; pairs whose two ranks lie in different ranges don't cut (what they would have matched is found within the stretch
+    that they lie in).  Within a range the pairs are a longest increasing subsequence."""
+    once = lambda df, c: df.filter(F.col(key).isNotNull()).groupBy(group, key).agg(F.count("*").alias("n"), F.min("i").cast("long").alias(c)).filter("n = 1").drop("n")
+    both = once(a, "a").join(once(b, "b"), [group, key]).select(group, "a", "b")
+    ranked = running(both, [group], ["a"], {}).withColumnRenamed("i", "ra")
+    ranked = running(ranked, [group], ["b"], {}).withColumnRenamed("i", "rb")
+    part = lambda c: F.floor((F.col(c) - 1) / range_rows)
+    within = ranked.filter(part("ra") == part("rb")).withColumn("__of", F.struct(F.col(group).alias("g"), part("ra").alias("p")))
+    within = within.withColumn("__task", F.to_json("__of", {"ignoreNullFields": "false"}))
+
+    def found(x: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+        at = rising(x["b"])
+        return {"a": x["a"][at], "b": x["b"][at]}
+
+    cuts = _by_group(within.select("__task", "a", "b"), "__task", ["a"], found, "a long, b long")
+    return cuts.join(within.select("__task", group, "a"), ["__task", "a"]).select(group, "a", "b")
+
+
+def cut_into(words: DataFrame, cuts: DataFrame, group: str, side: str) -> DataFrame:
+    """words (group, i) with stretch: how many cuts of the group lie at the place or before it.  By running sums over ranges."""
+    marked = words.join(cuts.select(group, F.col(side).alias("i"), F.lit(1).alias("__cut")), [group, "i"], "left")
+    marked = marked.withColumnRenamed("i", "__i").withColumn("__cut", F.coalesce("__cut", F.lit(0)))
+    return running(marked, [group], ["__i"], {"stretch": "__cut"}).drop("i", "__cut").withColumnRenamed("__i", "i")
+
+
+def align_division(a: DataFrame, b: DataFrame, group: str, range_rows: int = 1 << 16, least: float = 0.8) -> DataFrame:
+    """a, b: group (a division, of any length), i, key.  Words of a with their words of b: group, i, part, j.
+
+    Words that come once on either side cut the division into stretches (`unique_cuts`); within a stretch the longest runs of equal keys are
+    matched, and what lies between matches goes through `gap_pass` (words that the other side splits in two).  part is 0, and 1 for the second half of
+    such a word.  A cut belongs to the stretch that it begins, on both sides."""
+    cuts = materialize(unique_cuts(a, b, group, "key", range_rows), "cuts")
+    sides = [materialize(cut_into(x.select(group, F.col("i").cast("long").alias("i"), "key"), cuts, group, c).withColumn("__s", F.to_json(F.struct(F.col(group).alias("g"), "stretch"))), "stretches") for x, c in ((a, "a"), (b, "b"))]
+    pairs = materialize(longest_runs(*sides, "__s", "key"), "pairs")
+    # what lies between two matches of a stretch, on both sides
+    left, right = (_between(words, pairs.select("__s", F.col(c).alias("i")), "__s") for words, c in zip(sides, ("a", "b"), strict=True))
+    gaps = gap_pass(left.select("__gap", "i", "key"), right.select("__gap", "i", "key"), "__gap", least)
+    of = left.select("__gap", "i", group)
+    matched = pairs.join(sides[0].select("__s", F.col("i").alias("a"), group), ["__s", "a"]).select(group, F.col("a").alias("i"), F.lit(0).alias("part"), F.col("b").alias("j"))
+    return matched.unionByName(gaps.join(of, ["__gap", "i"]).select(group, "i", "part", "j"))
+
+
+def _between(words: DataFrame, taken: DataFrame, group: str) -> DataFrame:
+    """The words that aren't taken, with __gap: the stretch and how many taken ones come before."""
+    marked = words.join(taken.withColumn("__t", F.lit(1)), [group, "i"], "left")
+    before = F.coalesce(F.sum("__t").over(Window.partitionBy(group).orderBy("i").rowsBetween(Window.unboundedPreceding, 0)), F.lit(0))
+    return marked.withColumn("__gap", F.concat_ws("#", group, before.cast("string"))).filter("__t IS NULL").drop("__t")
 
 
 def regroup(a: DataFrame, b: DataFrame, group: str) -> DataFrame:
@@ -136,21 +270,50 @@ def align_words(a: DataFrame, b: DataFrame, group: str) -> DataFrame:
     return met.select(group, "a", "b", F.when(F.col("b").isNull(), "none").otherwise(F.coalesce("kind", spell)).alias("match"))
 
 
+def _distance(x: str, y: str) -> int:
+    row = list(range(len(y) + 1))
+    for i, c in enumerate(x, 1):
+        last, row[0] = row[0], i
+        for j, d in enumerate(y, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (c != d))
+    return row[-1]
+
+
+def split_words(mine: Sequence[str], theirs: Sequence[str], least: float) -> Iterator[tuple[int, int, int]]:
+    """(place in mine, part, place in theirs): both sides are passed once, from the left.  A word goes to the next one of its key, else to the next two
+    whose keys together are its key, or like it (1 - edit distance over length, `least` or more); where the next but one
+    has its key, one is left out, else the word has none."""
+    i = j = 0
+    while i < len(mine) and j < len(theirs):
+        key, two = mine[i], theirs[j] + theirs[j + 1] if j + 1 < len(theirs) else None
+        if key == theirs[j]:
+            yield i, 0, j
+            i, j = i + 1, j + 1
+        elif two is not None and (key == two or (abs(len(key) - len(two)) <= (1 - least) * max(len(key), len(two)) and 1 - _distance(key, two) / max(len(key), len(two)) >= least)):
+            yield i, 0, j
+            yield i, 1, j + 1
+            i, j = i + 1, j + 2
+        elif two is not None and key == theirs[j + 1]:
+            j += 1
+        else:
+            i += 1
+
+
 def gap_pass(mine: DataFrame, theirs: DataFrame, group: str, least: float = 0.8) -> DataFrame:
-    """mine, theirs: group (a stretch), i, key.  Words that the other side splits in two: group, i, part, j.  A word goes to the word of its
-    own key, else to two neighbours whose keys together are its key, else to the two that are most similar together (1 - edit distance
-    over length, `least` or more); places go on rising, a word that would lead back has none.  A stretch lies between matches, so it is short."""
-    w = Window.partitionBy(group).orderBy("i")
-    t = theirs.select(group, F.col("i").alias("j"), F.col("key").alias("own"), F.concat("key", F.lead("key").over(w)).alias("two"))
-    own = mine.join(t.select(group, "j", F.col("own").alias("key")), [group, "key"]).select(group, "i", "j", F.lit(1).alias("rank"), F.lit(1.0).alias("ratio"))
-    near = 1 - F.levenshtein("key", "two") / F.greatest(F.length("key"), F.length("two"))
-    pair = mine.join(t.filter("two IS NOT NULL"), group).filter(F.abs(F.length("key") - F.length("two")) <= (1 - least) * F.greatest(F.length("key"), F.length("two")))
-    pair = pair.withColumn("ratio", near).filter(F.col("ratio") >= least).select(group, "i", "j", F.when(F.col("ratio") == 1, 2).otherwise(3).alias("rank"), "ratio")
-    best = own.unionByName(pair).groupBy(group, "i").agg(F.min(F.struct("rank", (-F.col("ratio")).alias("r"), F.abs(F.col("i") - F.col("j")).alias("far"), "j")).alias("m"))
-    best = best.select(group, "i", F.col("m.j").alias("j"), (F.col("m.rank") > 1).cast("int").alias("more"))
-    reach = F.max(F.col("j") + F.col("more")).over(Window.partitionBy(group).orderBy("i").rowsBetween(Window.unboundedPreceding, -1))
-    rising = best.withColumn("__r", reach).filter(F.col("__r").isNull() | (F.col("j") > F.col("__r")))
-    return rising.select(group, "i", F.explode(F.sequence(F.lit(0), F.col("more"))).alias("part"), "j").select(group, "i", "part", (F.col("j") + F.col("part")).alias("j"))
+    """mine, theirs: group (a stretch), i, key.  Words that the other side splits in two: group, i, part, j, by one pass over both sides of a
+    stretch (`split_words`).  Null keys take no part."""
+    side = lambda df, n: df.filter(F.col("key").isNotNull()).select(group, F.lit(n).alias("side"), F.col("i").cast("long").alias("i"), "key")
+    kind = mine.schema["i"].dataType.simpleString()
+    theirs = theirs.join(mine.select(group).distinct(), group, "left_semi")
+
+    def found(x: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+        own = x["side"] == 0
+        m, t = x["i"][own], x["i"][~own]
+        got = np.array(list(split_words(x["key"][own].tolist(), x["key"][~own].tolist(), least)), np.int64).reshape(-1, 3)
+        return {"i": m[got[:, 0]], "part": got[:, 1].astype(np.int32), "j": t[got[:, 2]]}
+
+    got = _by_group(side(mine, 0).unionByName(side(theirs, 1)), group, ["side", "i"], found, "i long, part int, j long")
+    return got.withColumn("i", F.col("i").cast(kind))
 
 
 def resolve_links(entries: DataFrame, words: DataFrame, others: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
