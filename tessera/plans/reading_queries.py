@@ -148,8 +148,9 @@ def link_report(t, spark):
 
 @query(f"""WITH {WRD}, k AS (SELECT doc_id, seq, word_index, unnest(regexp_extract_all(word, '[\\p{{L}}\\p{{M}}\\p{{N}}]+|[.;·!?]')) AS token, generate_subscripts(regexp_extract_all(word, '[\\p{{L}}\\p{{M}}\\p{{N}}]+|[.;·!?]'), 1) AS t FROM wrd),
 s AS (SELECT *, coalesce(sum(CASE WHEN regexp_full_match(token, '[.;·!?]') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY seq, word_index, t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS sentence FROM k),
-f AS (SELECT doc_id, CAST(sentence AS BIGINT) AS sentence, seq, word_index, arg_min(token, t) AS token FROM s WHERE NOT regexp_full_match(token, '[.;·!?]') GROUP BY ALL)
-SELECT * FROM f WHERE (doc_id, sentence) IN (SELECT (doc_id, sentence) FROM f WHERE (seq * 31 + word_index * 17) % 40 = 0)""")
+f AS (SELECT doc_id, CAST(sentence AS BIGINT) AS sentence, seq, word_index, arg_min(token, t) AS token FROM s WHERE NOT regexp_full_match(token, '[.;·!?]') GROUP BY ALL),
+o AS (SELECT DISTINCT doc_id, sentence FROM f WHERE (seq * 31 + word_index * 17) % 40 = 0)
+SELECT f.* FROM f JOIN o ON o.doc_id = f.doc_id AND o.sentence = f.sentence""")
 def unanalysed_sentences(t, spark):
     w = _words(t).select("doc_id", "seq", "word_index", "word")
     return co.unanalysed_sentences(w, w.filter((F.col("seq") * 31 + F.col("word_index") * 17) % 40 != 0), "doc_id")

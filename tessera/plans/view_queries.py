@@ -41,14 +41,83 @@ def aligned_words(t, spark):
     return al.align_words(_lines(t), _edited(t), "line")
 
 
-@query(None)
+def _aligned(sides):
+    """SQL of align_words over tables a and b (g, i, word, key, loose): the longest run of a rectangle, then of what lies before and after it."""
+    return f"""WITH RECURSIVE {sides},
+cand AS (SELECT a.g, a.i AS a, b.i AS b FROM a JOIN b ON a.g = b.g AND a.loose = b.loose),
+walk AS (
+  SELECT DISTINCT g, CAST(-1 AS BIGINT) AS a0, CAST(1000000 AS BIGINT) AS a1, CAST(-1 AS BIGINT) AS b0, CAST(1000000 AS BIGINT) AS b1, CAST(NULL AS BIGINT) AS ka, CAST(NULL AS BIGINT) AS kb, CAST(NULL AS BIGINT) AS n FROM cand
+  UNION ALL
+  SELECT g, CASE s WHEN 0 THEN a0 ELSE m.n - m.a - 1 END, CASE s WHEN 0 THEN -m.a ELSE a1 END, CASE s WHEN 0 THEN b0 ELSE m.n - m.b - 1 END, CASE s WHEN 0 THEN -m.b ELSE b1 END,
+    CASE s WHEN 0 THEN -m.a END, CASE s WHEN 0 THEN -m.b END, CASE s WHEN 0 THEN m.n END
+  FROM (SELECT g, a0, a1, b0, b1, max({{'n': n, 'a': -ra, 'b': -rb}}) AS m FROM (
+      SELECT g, a0, a1, b0, b1, min(a) AS ra, min(b) AS rb, count(*) AS n FROM (
+        SELECT w.g, w.a0, w.a1, w.b0, w.b1, c.a, c.b, c.a - row_number() OVER (PARTITION BY w.g, w.a0, w.a1, w.b0, w.b1, c.a - c.b ORDER BY c.a) AS island
+        FROM walk w JOIN cand c ON c.g = w.g AND c.a > w.a0 AND c.a < w.a1 AND c.b > w.b0 AND c.b < w.b1) GROUP BY g, a0, a1, b0, b1, a - b, island)
+    GROUP BY g, a0, a1, b0, b1), (VALUES (0), (1)) side(s)),
+kept AS (SELECT g, ka + k AS a, kb + k AS b FROM (SELECT g, ka, kb, unnest(range(n)) AS k FROM walk WHERE n IS NOT NULL)),
+ends AS (SELECT g, x.n AS a, y.n AS b FROM (SELECT g, max(i) + 1 AS n FROM a GROUP BY g) x JOIN (SELECT g, max(i) + 1 AS n FROM b GROUP BY g) y USING (g)),
+marks AS (SELECT * FROM kept UNION ALL SELECT * FROM ends UNION ALL SELECT g, -1, -1 FROM ends),
+gaps AS (SELECT * FROM (SELECT g, a, b, lead(a) OVER w AS na, lead(b) OVER w AS nb FROM marks WINDOW w AS (PARTITION BY g ORDER BY a)) WHERE na - a > 1 OR nb - b > 1),
+ga AS (SELECT s.g, s.a AS gap, w.i, w.loose, sum(length(w.loose)) OVER (PARTITION BY s.g, s.a ORDER BY w.i) AS z FROM gaps s JOIN a w ON w.g = s.g AND w.i > s.a AND w.i < s.na),
+gb AS (SELECT s.g, s.a AS gap, w.i, w.loose, sum(length(w.loose)) OVER (PARTITION BY s.g, s.a ORDER BY w.i) AS z FROM gaps s JOIN b w ON w.g = s.g AND w.i > s.b AND w.i < s.nb),
+same AS (SELECT g, gap FROM (SELECT g, gap, string_agg(loose, '' ORDER BY i) AS x FROM ga GROUP BY g, gap) JOIN (SELECT g, gap, string_agg(loose, '' ORDER BY i) AS y FROM gb GROUP BY g, gap) USING (g, gap) WHERE x = y AND x <> ''),
+met AS (SELECT ga.g, ga.i AS a, gb.i AS b, count(*) OVER (PARTITION BY ga.g, gap, ga.i) AS na, count(*) OVER (PARTITION BY ga.g, gap, gb.i) AS nb
+  FROM ga JOIN gb USING (g, gap) JOIN same USING (g, gap) WHERE ga.z - length(ga.loose) < gb.z AND gb.z - length(gb.loose) < ga.z AND ga.loose <> '' AND gb.loose <> ''),
+rest AS (SELECT *, na - a - 1 AS la, nb - b - 1 AS lb FROM gaps ANTI JOIN same ON same.g = gaps.g AND same.gap = gaps.a),
+edges AS (
+  SELECT g, a, b, NULL AS kind FROM kept
+  UNION ALL SELECT g, a, b, CASE WHEN nb > 1 THEN 'joined' WHEN na > 1 THEN 'split' END FROM met
+  UNION ALL SELECT g, a + k, b + k, 'variant' FROM (SELECT g, a, b, unnest(range(1, la + 1)) AS k FROM rest WHERE la = lb)
+  UNION ALL SELECT g, i, unnest(range(b + 1, nb)), 'variant' FROM (SELECT g, b, nb, unnest(range(a + 1, na)) AS i FROM rest WHERE la <> lb AND least(la, lb) = 1))
+SELECT a.g AS pair, a.i AS a, b.i AS b, CASE WHEN b.i IS NULL THEN 'none' WHEN kind IS NOT NULL THEN kind WHEN a.word = b.word THEN 'exact' WHEN a.key = b.key THEN 'orthographic' ELSE 'movable_nu' END AS match
+FROM a LEFT JOIN edges e ON e.g = a.g AND e.a = a.i LEFT JOIN b ON b.g = a.g AND b.i = e.b"""
+
+
+_SPOKEN = """said AS (SELECT conv_id, turn, list_filter(string_split(text, ' '), lambda x: x <> '') AS w FROM conversations)"""
+_KEYED = """SELECT g, i, word, key, regexp_replace(key, 'n$', '') AS loose FROM (SELECT *, regexp_replace(strip_accents(lower(word)), '[^\\pL]', '', 'g') AS key FROM ({}))"""
+_UNNESTED = "SELECT conv_id || '/' || {} AS g, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS i FROM {}"
+
+
+def _spoken(t):
+    return t("conversations").select("conv_id", "turn", F.filter(F.split("text", " "), lambda x: x != "").alias("w"))
+
+
+def _keyed(said, turn="turn"):
+    """Words of turns; the key is without case and marks, the loose key without a last n."""
+    c = said.select(F.concat_ws("/", "conv_id", F.expr(turn).cast("string")).alias("pair"), F.posexplode("w").alias("i", "word")).withColumn("key", tx.fold_letters(F.col("word")))
+    return c.withColumn("loose", tx.drop_movable(F.col("key"), "n"))
+
+
+@query(_aligned(f"{_SPOKEN}, a AS ({_KEYED.format(_UNNESTED.format('turn', 'said'))}), b AS ({_KEYED.format(_UNNESTED.format('(turn - 1)', 'said'))})"))
 def aligned_turns(t, spark):
-    """Neighbour turns of conversations with repeated words, as they are: the aligner is tested against one by hand on a small fixture."""
-    c = t("conversations").select("conv_id", "turn", F.posexplode(F.filter(F.split("text", " "), lambda x: x != "")).alias("i", "word"))
-    c = c.withColumn("key", tx.fold_letters(F.col("word"))).withColumn("loose", F.col("key"))
-    name = lambda turn: F.concat_ws("/", "conv_id", turn)
-    got = al.align_words(c.withColumn("pair", name("turn")), c.filter("turn > 0").withColumn("pair", name(F.col("turn") - 1)), "pair")
-    return got.select("pair", "a", "b", "match")
+    """Neighbour turns of conversations with repeated words, as they are."""
+    return al.align_words(_keyed(_spoken(t)), _keyed(_spoken(t).filter("turn > 0"), "turn - 1"), "pair").select("pair", "a", "b", "match")
+
+
+_EDIT = """CASE WHEN k % 13 = 4 THEN '' WHEN k % 10 = 8 THEN x WHEN k % 7 = 3 AND length(x) >= 6 THEN left(x, 3) || ' ' || substr(x, 4) || ' ' WHEN k % 11 = 2 THEN 'zzz ' WHEN k % 9 = 1 THEN x || '! ' WHEN k % 3 = 0 THEN regexp_replace(x, 'n$', '') || ' ' ELSE x || ' ' END"""
+
+
+@query(_aligned(f"""{_SPOKEN}, edited AS (SELECT conv_id, turn, list_filter(string_split(array_to_string([({_EDIT}) for x, k in w], ''), ' '), lambda x: x <> '') AS w FROM (SELECT conv_id, turn, w FROM said)),
+a AS ({_KEYED.format(_UNNESTED.format('turn', 'said'))}), b AS ({_KEYED.format(_UNNESTED.format('turn', 'edited'))})""").replace("k % ", "(k - 1) % "))
+def aligned_editions(t, spark):
+    """Turns against an edition of theirs with words left out, joined, split, changed, with a mark and without a last n: all classes, repeated words."""
+    said = _spoken(t)
+    edited = said.withColumn("w", F.expr(f"filter(split(array_join(transform(w, (x, k) -> {_EDIT}), ''), ' '), x -> x <> '')"))
+    return al.align_words(_keyed(said), _keyed(edited), "pair").select("pair", "a", "b", "match")
+
+
+@query(None)
+def aligned_divisions(t, spark):
+    """Whole documents, with all their repeated words, against an edition that splits some words in two and leaves others out; the aligner is tested
+    against plain loops."""
+    w = _words(t).select("doc_id", "seq", "word_index", tx.fold_latin(F.col("word")).alias("key")).filter("key <> ''")
+    place = lambda df, *order: sq.running(df, ["doc_id"], list(order), {}).select("doc_id", (F.col("i") - 1).alias("i"), "key")
+    mine = place(w, "seq", "word_index")
+    k = F.col("word_index") + F.col("seq")
+    halves = F.when(k % 13 == 4, F.array().cast("array<string>")).when((k % 7 == 3) & (F.length("key") >= 6), F.array(F.left("key", F.lit(3)), F.substr("key", F.lit(4)))).otherwise(F.array("key"))
+    theirs = place(w.select("doc_id", "seq", "word_index", F.posexplode(halves).alias("part", "key")), "seq", "word_index", "part")
+    return al.align_division(mine, theirs, "doc_id")
 
 
 @query(f"WITH {_LINES}, e AS (SELECT line, i, word, i % 5 = 1 AND length(word) >= 6 AS cut FROM one), s AS (SELECT *, i + sum(CAST(cut AS INT)) OVER (PARTITION BY line ORDER BY i) - CAST(cut AS INT) AS j FROM e) SELECT line, CAST(i AS BIGINT) AS i, 0 AS part, CAST(j AS BIGINT) AS j FROM s UNION ALL SELECT line, i, 1, CAST(j + 1 AS BIGINT) FROM s WHERE cut")
