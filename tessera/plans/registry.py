@@ -504,7 +504,7 @@ def caps_headings(t, spark):
     return _segs(t).groupBy("doc_id").agg(F.count_if(tx.is_caps_heading(F.col("content"))).alias("headings"), F.count("*").alias("lines"))
 
 
-@query(r"SELECT doc_id, md5(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '([“‘«(])[ \t]+', '\1', 'g'), '[ \t]+([”»)])', '\1', 'g'), '\s+([,.;:!?’])', '\1', 'g'), ' {2,}', ' ', 'g'))) AS digest FROM documents")
+@query(r"SELECT doc_id, md5(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '”\s*“', ' ', 'g'), '([“‘«(])[ \t]+', '\1', 'g'), '[ \t]+([”»)])', '\1', 'g'), '\s+([,.;:!?’])', '\1', 'g'), ' {2,}', ' ', 'g'))) AS digest FROM documents")
 def tidied(t, spark):
     return t("documents").select("doc_id", F.md5(tx.tidy_punct(F.col("text"))).alias("digest"))
 
