@@ -273,6 +273,46 @@ def stream_spans(t, spark):
     return out.join(out.agg(F.max("epoch").alias("epoch")), "epoch").select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), "n")
 
 
+@query("""WITH e AS (SELECT user_id, ts, to_seconds(60 * (1 + event_id % 9)) AS gap FROM events), o AS (SELECT *, max(ts + gap) OVER (PARTITION BY user_id ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM e),
+g AS (SELECT *, sum(CASE WHEN ts <= reach THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY ts) AS g FROM o), s AS (SELECT user_id, min(ts) AS start, max(ts + gap) AS "end", count(*) AS n FROM g GROUP BY user_id, g)
+SELECT * FROM s WHERE "end" <= (SELECT date_trunc('milliseconds', max(ts)) FROM events) - INTERVAL 6 HOUR""")
+def stream_closed_spans(t, spark):
+    """Spans with a gap of every event's own, in append mode under a watermark of six hours: each is given out when it has ended, and its state goes."""
+    e = st.read_events(spark, t.dir).withColumn("ts", F.col("ts").cast("timestamp"))
+    gap = F.concat((1 + F.col("event_id") % 9).cast("string"), F.lit(" minutes"))
+    out = st.drain(st.activity_spans(e, ["user_id"], gap, "6 hours"), new_path(spark, "stream"))
+    return out.select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), "n")
+
+
+@query("SELECT DISTINCT user_id, event_id % 12 AS piece FROM events WHERE event_type = 'click'")
+def stream_first_adds(t, spark):
+    """Adds alone: a key once within the watermark, which spans the table."""
+    e = st.read_events(spark, t.dir).withColumn("ts", F.col("ts").cast("timestamp")).filter("event_type = 'click'").select("user_id", (F.col("event_id") % 12).alias("piece"), "ts")
+    return st.drain(st.first_adds(e, ["user_id", "piece"], "3650 days"), new_path(spark, "stream")).select("user_id", "piece")
+
+
+@query("""WITH e AS (SELECT user_id, event_id, CAST(floor(value) AS BIGINT) AS place FROM events WHERE value IS NOT NULL), u AS (SELECT user_id, event_id AS unit, CAST(floor(value) AS BIGINT) AS start, CAST(floor(value) AS BIGINT) + 1 + event_id % 7 * (event_id % 7) * (event_id % 7) AS until FROM events WHERE event_id % 3 = 0 AND value IS NOT NULL)
+SELECT event_id, unit FROM e JOIN u USING (user_id) WHERE place >= start AND place < until""")
+def stream_units(t, spark):
+    """Positions against units of many lengths that overlap, several of a user: each meets those around it."""
+    at = F.floor("value").cast("long")
+    units = t("events").filter("event_id % 3 = 0 AND value IS NOT NULL").select("user_id", F.col("event_id").alias("unit"), at.alias("start"), (at + 1 + F.pow(F.col("event_id") % 7, 3).cast("long")).alias("until"))
+    e = st.read_events(spark, t.dir).filter("value IS NOT NULL").select("user_id", "event_id", at.alias("value"))
+    return st.drain(st.enrich(e, materialize(units, "units"), ["user_id"]).select("event_id", "unit"), new_path(spark, "stream")).select("event_id", "unit")
+
+
+@query("""WITH m AS (SELECT user_id, event_id % 20 AS day, ts, event_type <> 'error' AS done FROM events), l AS (SELECT user_id, day, arg_max(done, ts) AS done FROM m GROUP BY ALL),
+p AS (SELECT user_id, user_id % 25 - 1 AS today, count(*) FILTER (done) AS n_done, count(*) FILTER (done AND day >= 1 AND day < least(user_id % 25 - 1, 20)) AS in_time, count(*) FILTER (done AND day > user_id % 25 - 1) AS ahead FROM l GROUP BY user_id),
+b AS (SELECT *, greatest(least(today, 20) - 1, 0) - in_time AS behind FROM p)
+SELECT user_id, n_done, behind, ahead, CASE WHEN n_done >= 19 THEN 'finished' WHEN today < 1 THEN 'not started' WHEN today > 19 THEN 'ended' WHEN behind > 0 THEN 'behind' WHEN ahead > 0 THEN 'ahead' ELSE 'on schedule' END AS status FROM b""")
+def stream_plan_status(t, spark):
+    """Plans of 19 days on the day that the user's number says: status from the last mark of every day."""
+    e = st.read_events(spark, t.dir).select("user_id", (F.col("event_id") % 20).cast("int").alias("day"), F.expr("timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', ts)").alias("at"), (F.col("event_type") != "error").alias("done"))
+    out = st.drain(st.plan_status(st.plan_progress(e), F.col("user_id") % 25 - 1, F.lit(19)), new_path(spark, "stream"), "update")
+    last = out.groupBy("user_id").agg(F.max_by(F.struct("n_done", "behind", "ahead", "status"), "epoch").alias("m"))
+    return last.select("user_id", "m.n_done", F.col("m.behind").cast("long").alias("behind"), F.col("m.ahead").cast("long").alias("ahead"), "m.status")
+
+
 @query("SELECT user_id, CAST(sum(least(event_id % 1000, 400)) AS BIGINT) AS saved FROM events GROUP BY user_id")
 def stream_saved(t, spark):
     p = st.read_events(spark, t.dir).select("user_id", (F.col("event_id") % 1000).alias("piece"), F.lit(400).cast("long").alias("remaining"))

@@ -20,16 +20,53 @@ def latest_place(events: DataFrame, keys: list[str]) -> DataFrame:
     return events.groupBy(*keys).agg(F.max(F.struct("ts", "event_id", "value")).alias("m")).select(*keys, F.col("m.ts").alias("ts"), F.col("m.event_id").alias("event_id"), F.col("m.value").alias("value"))
 
 
-def activity_spans(events: DataFrame, keys: list[str], gap: str, late: str = "0 seconds") -> DataFrame:
-    """Contiguous activity: sessions that end after `gap` without an event."""
+def activity_spans(events: DataFrame, keys: list[str], gap: str | Column, late: str = "0 seconds") -> DataFrame:
+    """Contiguous activity: sessions that end after `gap` without an event; a column gives every event a gap of its own (its length and
+    what may lie after it), and a session reaches to the latest end of its events.
+
+    As a stream in append mode a span is given out once the latest time seen, less `late`, has passed its end, and its state is dropped; an event that
+    would end before that time comes too late and is left out.  What has not ended by then stays open: in the batch twin these are the spans that end
+    after the last time less `late`."""
     seen = events.withWatermark("ts", late) if events.isStreaming else events
     return seen.groupBy(*keys, F.session_window("ts", gap).alias("w")).agg(F.count("*").alias("n")).select(*keys, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 
 
-def _keep_first(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+def first_adds(events: DataFrame, keys: list[str], late: str) -> DataFrame:
+    """Adds without removals: a key once, as often as it comes within `late` of its first; a key's state is dropped after that.  Batch twin: a key once
+    for every run of adds in which each comes within `late` of the run's first."""
+    if events.isStreaming:
+        return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(keys)
+    return events.dropDuplicates(keys)
+
+
+def _ends(state, at_ms: int, forget_ms: int | None) -> int:
+    """When a state ends: `forget_ms` after the last event, or after the watermark where that is later."""
+    return 2**62 if forget_ms is None else max(at_ms, state.getCurrentWatermarkMs()) + forget_ms
+
+
+def _held(state, forget_ms: int | None) -> tuple | None:
+    """The state, unless it has ended: Spark times states out after a batch's events, so one of these may still meet it."""
+    if not state.exists or (forget_ms is not None and state.get[-1] <= state.getCurrentWatermarkMs()):
+        return None
+    return state.get[:-1]
+
+
+def _hold(state, values: tuple, at_ms: int, forget_ms: int | None) -> None:
+    ends = _ends(state, at_ms, forget_ms)
+    state.update((*values, ends))
+    if forget_ms is not None:
+        state.setTimeoutTimestamp(ends)
+
+
+def _keep_first(key: tuple, batches: Iterator[pd.DataFrame], state, forget_ms: int | None = None) -> Iterator[pd.DataFrame]:
     """State: the last removal, and the first add after it (both 0 and none at first)."""
-    removed, at, ident = state.get if state.exists else (-(2**62), None, None)
+    if state.hasTimedOut:
+        state.remove()
+        return
+    removed, at, ident = _held(state, forget_ms) or (-(2**62), None, None)
+    latest = 0
     for b in batches:
+        latest = max([latest, *_millis(b)])
         gone = b.loc[b["removed"], "at"]
         removed = max([removed, *gone.tolist()])
         if at is not None and at <= removed:
@@ -38,18 +75,26 @@ def _keep_first(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[
         for x, i in zip(adds["at"].tolist(), adds["event_id"].tolist(), strict=True):
             if at is None or (x, i) < (at, ident):
                 at, ident = x, i
-    state.update((removed, at, ident))
+    _hold(state, (removed, at, ident), latest, forget_ms)
     yield pd.DataFrame([[*key, ident]]).astype("Int64")
 
 
-def bookmarks(events: DataFrame, keys: list[str]) -> DataFrame:
+def _millis(b: pd.DataFrame) -> list[int]:
+    return (b["ts"].astype("int64") // 10**6 if str(b["ts"].dtype).startswith("datetime64[ns") else b["ts"].astype("datetime64[ms]").astype("int64")).tolist() if "ts" in b else []
+
+
+def bookmarks(events: DataFrame, keys: list[str], late: str | None = None, forget_ms: int | None = None) -> DataFrame:
     """events: keys (longs), at, event_id, removed.  keys, event_id: the first add after the key's last removal, null if there is none.  The
     batch twin says the same by aggregates; as a stream (update mode) a key's state is two times and an id, and a late removal drops only adds
-    before it that were kept: an add between two removals that come in the wrong order is gone for good, as in the batch."""
+    before it that were kept: an add between two removals that come in the wrong order is gone for good, as in the batch.
+
+    With `late` and `forget_ms` events also have ts (a timestamp): a key's state is dropped `forget_ms` after its last event, by event time; what was given
+    out stays so, and an event of the key after that begins anew."""
     if events.isStreaming:
         kind = ", ".join(f"`{k}` long" for k in keys) + ", event_id long"
-        named = lambda key, batches, state: (df.set_axis([*keys, "event_id"], axis=1) for df in _keep_first(key, batches, state))
-        return events.groupBy(*keys).applyInPandasWithState(named, kind, "removed long, at long, ident long", "update", "NoTimeout")
+        named = lambda key, batches, state: (df.set_axis([*keys, "event_id"], axis=1) for df in _keep_first(key, batches, state, forget_ms))
+        seen = events if forget_ms is None else events.withWatermark("ts", late)
+        return seen.groupBy(*keys).applyInPandasWithState(named, kind, "removed long, at long, ident long, ends long", "update", "NoTimeout" if forget_ms is None else "EventTimeTimeout")
     last = events.filter("removed").groupBy(*keys).agg(F.max("at").alias("__r"))
     adds = events.filter("NOT removed").join(last, keys, "left").filter("__r IS NULL OR at > __r")
     firsts = adds.groupBy(*keys).agg(F.min(F.struct("at", "event_id")).alias("m")).select(*keys, F.col("m.event_id").alias("event_id"))
@@ -66,7 +111,7 @@ def rebuild_slices(stream: DataFrame, path: str, key: str, ident: str, checkpoin
         spark = batch.sparkSession
         new = materialize(batch, f"batch-{epoch}")
         try:
-            held = spark.read.schema(new.schema).parquet(path).join(F.broadcast(new.select(key).distinct()), key, "left_semi")  # a batch's keys
+            held = spark.read.schema(new.schema).parquet(path).join(new.select(key).distinct(), key, "left_semi")  # Spark measures the written batch
             both = held.unionByName(new)
         except Exception as e:  # the table isn't there before the first batch
             if "PATH_NOT_FOUND" not in str(e):
@@ -78,45 +123,80 @@ def rebuild_slices(stream: DataFrame, path: str, key: str, ident: str, checkpoin
 
 
 def enrich(events: DataFrame, units: DataFrame, keys: list[str]) -> DataFrame:
-    """Stream-static range join: the unit (start, until) that holds the event's value."""
-    return events.join(units, keys).filter((F.col("value") >= F.col("start")) & (F.col("value") < F.col("until")))
+    """Stream-static range join: the units (start, until) that hold the event's value, from start to before until.
+
+    A unit lies on the level of its length: buckets of the next power of two, of which it touches two at most.  An event looks into one bucket of every
+    level that units have, so it meets the units around it and not all of its key.  The levels are read from the static side once.  Units that are empty
+    or lack a bound hold nothing."""
+    length = F.col("until") - F.col("start")
+    level = F.least(F.greatest(F.ceil(F.log2(length)), F.lit(-1000)), F.lit(1023)).cast("int")
+    held = units.filter(length > 0).withColumn("__level", F.coalesce(level, F.lit(1023)))
+    levels = sorted(r["__level"] for r in held.select("__level").distinct().collect())  # of one number type: a thousand or two at most
+    bucket = lambda c, n: F.floor(F.col(c).cast("double") / F.pow(F.lit(2.0), n)).cast("double")
+    first, last = bucket("start", F.col("__level")), bucket("until", F.col("__level"))
+    dealt = held.withColumn("__bucket", F.explode(F.when(first == last, F.array(first)).otherwise(F.array(first, last))))
+    asked = events.withColumn("__level", F.explode(F.array(*map(F.lit, levels)).cast("array<int>"))).withColumn("__bucket", bucket("value", F.col("__level")))
+    met = asked.join(dealt, [*keys, "__level", "__bucket"])
+    return met.filter((F.col("value") >= F.col("start")) & (F.col("value") < F.col("until"))).drop("__level", "__bucket")
 
 
 def saved_bytes(pieces: DataFrame, keys: list[str]) -> DataFrame:
     return pieces.groupBy(*keys).agg(F.sum(F.least("piece", "remaining")).alias("saved"))
 
 
-def _progress(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-    held: dict[int, tuple] = {}
-    if state.exists:
-        days, times, flags = state.get
-        held = {d: (t, f) for d, t, f in zip(days, times, flags, strict=True)}
+def _progress(key: tuple, batches: Iterator[pd.DataFrame], state, forget_ms: int | None = None) -> Iterator[pd.DataFrame]:
+    if state.hasTimedOut:
+        state.remove()
+        return
+    days, times, flags = _held(state, forget_ms) or ([], [], [])
+    held = {d: (t, f) for d, t, f in zip(days, times, flags, strict=True)}
+    latest = 0
     for b in batches:
+        latest = max([latest, *_millis(b)])
         for d, t, f in zip(b["day"], b["at"], b["done"], strict=True):
             if int(d) not in held or held[int(d)][0] <= int(t):
                 held[int(d)] = (int(t), bool(f))
     days = sorted(held)
-    state.update((days, [held[d][0] for d in days], [held[d][1] for d in days]))
-    yield pd.DataFrame({"user_id": [key[0]], "n_done": [sum(f for _, f in held.values())]})
+    _hold(state, (days, [held[d][0] for d in days], [held[d][1] for d in days]), latest, forget_ms)
+    done = [d for d in days if held[d][1]]
+    yield pd.DataFrame({"user_id": [key[0]], "n_done": [len(done)], "days_done": [done]})
 
 
-def plan_progress(marks: DataFrame) -> DataFrame:
-    """marks: user_id, day, at (micros), done -> n_done per user; a day's last mark counts, late marks are ignored."""
+def plan_progress(marks: DataFrame, late: str | None = None, forget_ms: int | None = None) -> DataFrame:
+    """marks: user_id, day, at (micros), done -> n_done and days_done (ascending) per user; a day's last mark counts, late marks are ignored.  A state has a
+    plan's days.  With `late` and `forget_ms` marks also have ts, and the state of a plan without marks is dropped `forget_ms` after the last."""
     if marks.isStreaming:
-        return marks.groupBy("user_id").applyInPandasWithState(_progress, "user_id long, n_done long", "days array<int>, times array<long>, flags array<boolean>", "update", "NoTimeout")
+        seen = marks if forget_ms is None else marks.withWatermark("ts", late)
+        run = lambda key, batches, state: _progress(key, batches, state, forget_ms)
+        return seen.groupBy("user_id").applyInPandasWithState(run, "user_id long, n_done long, days_done array<int>", "days array<int>, times array<long>, flags array<boolean>, ends long", "update", "NoTimeout" if forget_ms is None else "EventTimeTimeout")
     last = marks.groupBy("user_id", "day").agg(F.max_by("done", "at").alias("done"))
-    return last.groupBy("user_id").agg(F.sum(F.col("done").cast("long")).alias("n_done"))
+    days = F.array_sort(F.collect_list(F.when(F.col("done"), F.col("day").cast("int"))))
+    return last.groupBy("user_id").agg(F.sum(F.col("done").cast("long")).alias("n_done"), days.alias("days_done"))
+
+
+def plan_status(progress: DataFrame, today: str | Column, days: str | Column) -> DataFrame:
+    """progress with days_done; today: the plan's day, 1 on its first.  Adds status, behind (days before today that aren't done) and ahead (done days after today):
+    finished (as many done as the plan has), not started, ended (days are left), behind, ahead or on schedule.  Batch and stream alike."""
+    now, of = (F.col(x) if isinstance(x, str) else x for x in (today, days))
+    due = F.greatest(F.least(now, of + 1) - 1, F.lit(0))
+    behind = due - F.size(F.filter("days_done", lambda d: (d >= 1) & (d <= due)))
+    ahead = F.size(F.filter("days_done", lambda d: d > now))
+    status = F.when(F.size("days_done") >= of, "finished").when(now < 1, "not started").when(now > of, "ended").when(behind > 0, "behind").when(ahead > 0, "ahead").otherwise("on schedule")
+    return progress.withColumn("status", status).withColumn("behind", behind).withColumn("ahead", ahead)
 
 
-def drain(stream: DataFrame, path: str, mode: str = "append") -> DataFrame:
-    """Run a stream over what is there now and return its rows; `path` is a shared folder of its own."""
+def drain(stream: DataFrame, path: str, mode: str = "append", progress: list | None = None) -> DataFrame:
+    """Run a stream over what is there now and return its rows; `path` is a shared folder of its own.  progress gets what Spark reports of every batch."""
     spark = stream.sparkSession
     out = f"{path}/out"
 
     def put(batch: DataFrame, epoch: int) -> None:
         batch.withColumn("epoch", F.lit(epoch)).write.mode("overwrite").parquet(f"{out}/{epoch}")
 
-    stream.writeStream.outputMode(mode).foreachBatch(put).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    query = stream.writeStream.outputMode(mode).foreachBatch(put).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
+    query.awaitTermination()
+    if progress is not None:
+        progress += query.recentProgress
     return spark.read.option("recursiveFileLookup", "true").schema(f"{', '.join(f'`{c}` {t}' for c, t in stream.dtypes)}, epoch int").parquet(out)
 
 
