@@ -14,16 +14,20 @@ Documents are therefore first dealt into regions that no link can cross, and piv
 4. Within a region a pivot meets all members; |d(x, p) - d(y, p)| <= 1 - t is the window outside which two members
    can't link.  The pivot's ball is grown member by member, each compared with the members still outside within its
    window; what no ball takes in is a region again, with a pivot of its own.
-5. A region of over `region_members` members or `region_shingles` shingles is not brought into one task.  A pivot meets its members by a
+5. A region of over `region_members` members or `region_shingles` shingles is not brought into one task.  It is a smaller join of the same kind:
+   its shingles are ordered anew, by how many of its own members have them, so that what ties the region together (a shared passage) comes last, and
+   steps 2 and 3 deal it into smaller regions, again and again as long as these halve.  Members far from all others fall out here without
+   meeting anyone.  A region that doesn't fall apart is dense, and a pivot divides it: the pivot meets its members by a
    salted join.  Members that link to it are one component, so only the far ones still have links that matter: among themselves, and
    with near ones inside the triangle window.  Members are dealt to rings by their distance to the pivot, rings to blocks of at most
    `block_members`, and blocks of rings that the window joins meet in cells, each small enough for a task.
-6. A shingle that over HOT sets may share is not gathered into one task either: its classes point to the first of their size band, and
-   that one to the first of the band below.
+6. A shingle that over HOT sets share is not gathered into one task either: its classes point to the first of their size band, and
+   that one to the first of the band below.  Such shingles are counted exactly before each grouping; the sightings of the first pass spare most of the work.
 
 Shingles are 64-bit hashes (a pair of different shingles falls together with a chance of 2**-64).  A document with
 fewer words than a shingle has one shingle, its whole sequence; one without words has none and links with nothing.
-Nulls: a null text has no words; a row with a null id gets its set's size and the component of the texts with equal
+Ties: of equal counts the smaller hash comes first, of a component's documents the smallest id names it; neither affects who is linked.  Very long texts
+are hashed in slices, and a set is one row.  Nulls: a null text has no words; a row with a null id gets its set's size and the component of the texts with equal
 sets that have an id, else null.  Repeated rows are equal sets.  An empty table gives no rows.  Only doc_id and the text column are read:
 further ones, whatever their names, play no part.
 """
@@ -312,6 +316,61 @@ def _band_pointers(hot: DataFrame, percent: int, salts: int = 32) -> DataFrame:
     return star.unionByName(chain).filter("u <> v").distinct()
 
 
+def _dealt_pointers(dealt: DataFrame, percent: int, hot: int) -> DataFrame:
+    """rep, n, s -> u, v by groups of a shingle; groups of over `hot` classes, counted exactly, by size bands."""
+    many = materialize(dealt.groupBy("s").agg(F.count("*").alias("c")).filter(F.col("c") > hot).select("s"), "hot")
+    if not many.limit(1).count():
+        return _pointers(dealt, percent)
+    return _pointers(dealt.join(many, "s", "left_anti"), percent).unionByName(_band_pointers(dealt.join(many, "s", "left_semi"), percent))
+
+
+def _regrouped(pool: DataFrame, percent: int, hot: int, salts: int = 16) -> DataFrame:
+    """pool (a table): region, rep, set -> region (a new one), rep, set, of (the old one): the regions that are left when each region's shingles are
+    ordered by its own counts, rarest first.  Members that share no rare shingles with any other are in none."""
+    rows = pool.select("region", "rep", F.size("set").alias("n"), F.explode("set").alias("s"))
+    counts = rows.groupBy("region", "s").agg(F.count("*").alias("c")).filter("c > 1").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    ranked = rows.withColumn("salt", F.pmod(F.xxhash64("rep"), F.lit(salts)).cast("int")).join(counts.hint("shuffle_hash"), ["region", "s", "salt"], "left")
+    in_order = F.sort_array(F.collect_list(F.struct(F.coalesce("c", F.lit(1)).alias("c"), "s")))
+    most = F.expr(f"n - ({percent} * n + 99) div 100 + 1 + n div {SPARE}").cast("int")
+    prefix = ranked.groupBy("region", "rep", "n").agg(in_order.alias("x")).select("region", "rep", "n", F.slice("x", F.lit(1), most).alias("x"))
+    dealt = prefix.select("rep", F.col("n").cast("long").alias("n"), "region", F.explode(F.filter("x", lambda x: x["c"] > 1)).alias("x"))
+    dealt = materialize(dealt.select("rep", "n", F.xxhash64("region", "x.s").alias("s")), "prefixes")
+    pointers = materialize(_dealt_pointers(dealt, percent, hot), "pointers")
+    new = components(pointers).select(F.col("node").alias("rep"), F.col("root").alias("__new"))
+    return materialize(pool.withColumnRenamed("region", "of").join(new, "rep").select(F.col("__new").alias("region"), "rep", "set", "of"), "regrouped")
+
+
+def _large_links(pool: DataFrame, percent: int, region_members: int, region_shingles: int, block_members: int, hot: int) -> DataFrame:
+    """pool (a table): region, rep, set of regions that are too large for a task -> u, v: links that connect each component."""
+    sized = lambda df, *keys: df.groupBy(*keys).agg(F.count("*").alias("members"), F.sum(F.size("set")).alias("total"))
+    pair = lambda found: found.select(F.col("rep").alias("u"), F.col("other").alias("v"))
+    links = None
+    while True:
+        new = _regrouped(pool, percent, hot)
+        was = sized(pool, "region").select(F.col("region").alias("of"), F.col("members").alias("before"), F.col("total").alias("shingles_before"))
+        sizes = sized(new, "region", "of").join(was, "of")
+        over = (F.col("total") > region_shingles) | (F.col("members") > region_members)
+        halved = (2 * F.col("members") <= F.col("before")) | (2 * F.col("total") <= F.col("shingles_before"))
+        fate = F.when(~over, "small").when(halved, "again").otherwise("dense")
+        fates = materialize(sizes.select("region", fate.alias("fate")), "fates")
+        of = {x: new.join(fates.filter(F.col("fate") == x).select("region"), "region", "left_semi").select("region", "rep", "set") for x in ("small", "again", "dense")}
+        have = {r["fate"] for r in fates.select("fate").distinct().collect()}
+        if "small" in have:
+            links = _both(links, pair(_join_regions(materialize(of["small"], "small"), percent)))
+        if "dense" in have:
+            near, cells = _split_regions(materialize(of["dense"], "dense"), percent, block_members, max(1, region_shingles // 4))
+            links = _both(_both(links, near), pair(_join_regions(materialize(cells, "cells"), percent)))
+        if links is None:
+            links = pool.sparkSession.createDataFrame([], "u long, v long")
+        if "again" not in have:
+            return links
+        pool = materialize(of["again"], "pool")
+
+
+def _both(a: DataFrame | None, b: DataFrame) -> DataFrame:
+    return b if a is None else a.unionByName(b)
+
+
 def similar_groups(docs: DataFrame, k: int = 4, percent: int = 85, text_col: str = "text", common: int = 2_000_000, region_shingles: int = TASK_SHINGLES, region_members: int = TASK_MEMBERS, block_members: int = TASK_MEMBERS // 4, hot: int = HOT) -> DataFrame:
     """doc_id, n_shingles, component_id of every row; documents link at Jaccard >= percent / 100."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -321,8 +380,8 @@ def similar_groups(docs: DataFrame, k: int = 4, percent: int = 85, text_col: str
     classes = rows.filter("n > 0").groupBy(*key).agg(F.min("doc_id").alias("rep"))
     known = rows.filter("n > 0 AND doc_id IS NOT NULL")
     first = lambda df, c: df.groupBy(*key).agg(F.min(F.struct("doc_id", c)).alias("m")).select(F.col("m.doc_id").alias("rep"), "n", F.col(f"m.{c}").alias(c))
-    heads = first(known, "prefix")
-    pointers = _pointers(heads.select("rep", "n", F.explode("prefix").alias("s")), percent)
+    heads = materialize(first(known, "prefix"), "heads")
+    pointers = _dealt_pointers(heads.select("rep", "n", F.explode("prefix").alias("s")), percent, hot)
     if len(hottest):
         # equal sets have equal hot shingles: only the rows that have some are read for these
         pointers = pointers.unionByName(_band_pointers(first(known.filter(F.size("hot") > 0), "hot").select("rep", "n", F.explode("hot").alias("s")), percent))
@@ -340,10 +399,9 @@ def similar_groups(docs: DataFrame, k: int = 4, percent: int = 85, text_col: str
             yield pa.RecordBatch.from_arrays([b.column(2), b.column(0), pa.array([m[0] for m in marks], pa.int64()), pa.array([m[1] for m in marks], pa.int64()), pa.array([_long(s) for s in made], pa.list_(pa.int64()))], names=["region", "rep", "f1", "f2", "set"])
 
     members = some.mapInArrow(sets, "region long, rep long, f1 long, f2 long, set array<long>")
-    if (repeated := rows.filter("n > 0 AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(F.struct(*key)).alias("a"), F.max(F.struct(*key)).alias("b")).filter("a <> b")).limit(1).count():
+    if rows.filter("n > 0 AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(F.struct(*key)).alias("a"), F.max(F.struct(*key)).alias("b")).filter("a <> b").limit(1).count():
         # an id with two texts: only the rows of the class that the id stands for
         members = members.join(classes.select("rep", "f1", "f2"), ["rep", "f1", "f2"], "left_semi").dropDuplicates(["rep", "f1", "f2"])
-        del repeated
     sizes = regions.join(heads.select("rep", "n"), "rep").groupBy("region").agg(F.sum("n").alias("total"), F.count("*").alias("members"))
     over = (F.col("total") > region_shingles) | (F.col("members") > region_members)
     large = materialize(sizes.filter(over).select("region"), "large")
@@ -354,8 +412,7 @@ def similar_groups(docs: DataFrame, k: int = 4, percent: int = 85, text_col: str
     else:
         links = pair(_join_regions(members.join(large, "region", "left_anti"), percent))
         pool = materialize(members.join(large, "region", "left_semi").select("region", "rep", "set").dropDuplicates(["region", "rep"]), "pool")
-        near, cells = _split_regions(pool, percent, block_members, max(1, region_shingles // 4))
-        links = links.unionByName(near).unionByName(pair(_join_regions(materialize(cells, "cells"), percent)))
+        links = links.unionByName(_large_links(pool, percent, region_members, region_shingles, block_members, hot))
     found = components(materialize(links, "links"))
     found = found.select(F.col("node").alias("rep"), "root")
     labels = materialize(classes.join(found, "rep", "left").select(*key, F.coalesce("root", "rep").alias("component_id")), "labels")

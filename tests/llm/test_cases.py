@@ -173,3 +173,53 @@ def test_ann(spark):
         have = sorted((r for r in got if r.query_id == q), key=lambda r: r.rank)
         assert np.allclose([r.score for r in have], [-s for s, _ in want]) and {r.vec_id for r in have} == {i for _, i in want}
     assert ann_blocks.nearest(df.limit(0), F.col("id") % 20 == 0).count() == 0
+
+
+def test_far_members_of_a_hot_region_meet_no_one(spark, monkeypatch):
+    """Texts that share one passage and nothing else are one region; ordered by its own counts it falls apart: what goes into joins doesn't grow with
+    the square of the members, and near copies among them are still found."""
+    met = []
+    join = jaccard_join._join_regions
+    monkeypatch.setattr(jaccard_join, "_join_regions", lambda rows, percent: met.append(rows.count()) or join(rows, percent))
+    passage = " ".join(f"common{i}" for i in range(12))
+    grown = []
+    for n in (500, 1000, 2000):
+        rows = [(k, f"{passage} " + " ".join(f"w{k}x{i}" for i in range(8))) for k in range(n)]
+        rows += [(n + k, f"{passage} " + " ".join(f"w{k}x{i}" for i in range(8)) + " more") for k in range(0, n, 50)]
+        met.clear()
+        got = {r.doc_id: r.component_id for r in jaccard_join.similar_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), region_members=64, block_members=16).collect()}
+        assert got == {**{k: k for k in range(n)}, **{n + k: k for k in range(0, n, 50)}}
+        grown.append(sum(met))
+    assert grown[2] <= 5 * grown[0] and grown[2] <= 2000
+
+
+def test_dense_regions_and_exact_hot_counts(spark):
+    """Chains of near copies in one region, over all limits at once: dense regions, hot shingles that no run of the first pass sees twice."""
+    base = [f"b{i}" for i in range(60)]
+    rows = []
+    for k in range(150):
+        words = list(base)
+        for j in range(k % 30):
+            words[(7 * j) % 60] = f"x{k % 10}y{j}"
+        rows.append((k, " ".join(words)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = by_hand_groups(rows, 4, 85)
+    for how in ({}, {"region_members": 8, "block_members": 4}, {"region_members": 8, "block_members": 4, "hot": 3}, {"hot": 3, "common": 0}):
+        assert {r.doc_id: r.component_id for r in jaccard_join.similar_groups(df, **how).collect()} == want
+
+
+def by_hand_groups(rows, k, percent):
+    sets = {i: {tuple(w[j : j + k]) for j in range(len(w) - k + 1)} for i, t in rows for w in [t.split()]}
+    root = {i: i for i in sets}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in sets:
+        for j in sets:
+            if i < j and 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j]):
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    return {i: find(i) for i in sets}
