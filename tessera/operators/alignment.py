@@ -379,40 +379,116 @@ def reflow(owned: DataFrame, group: str, owner: str, order: str, stop: str) -> D
     return s.withColumn("verse", F.when(F.coalesce(moves, F.lit(False)), F.col("__s.pv")).otherwise(F.col("__v"))).drop("__v", "__end", "__before", "__ends", "__fresh", "__s")
 
 
+def likeness(x: str, y: str) -> float:
+    """1 - edit distance over the longer length; two empty words are alike."""
+    n = max(len(x), len(y))
+    return 1 - _distance(x, y) / n if n else 1.0
+
+
+def owners(mine: Sequence[tuple[int, str]], theirs: Sequence[tuple[str, bool]], pairs: Sequence[tuple[int, int]], least: float = 0.5) -> list[int]:
+    """The verse of every word of theirs.  mine: (verse, key); theirs: (key, ends a sentence); pairs: matched places, rising on both sides.
+
+    Between matches: where our words there lie in several verses, each of theirs goes, from the left on, to the most similar of them (ties: the later one), if
+    it is `least` alike, else with the one before; after our last word, to the last verse; at a verse's start, words up to the last sentence's end go to
+    the verse before; all others to the verse where they stand."""
+    out: list[int] = []
+    marks = [(-1, -1), *pairs, (len(mine), len(theirs))]
+    for (a, b), (i2, j2) in zip(marks, marks[1:], strict=False):
+        if b >= 0:
+            out.append(mine[a][0])
+        i1, piece = a + 1, range(b + 1, j2)
+        if not piece:
+            continue
+        if i1 >= len(mine):
+            out += [mine[-1][0]] * len(piece)
+        elif i2 > i1 and mine[i1][0] != mine[i2 - 1][0]:
+            at = i1
+            for j in piece:
+                score, i = max((likeness(theirs[j][0], mine[i][1]), i) for i in range(at, i2))
+                at = i if score >= least else at
+                out.append(mine[at][0])
+        else:
+            before = i1 > 0 and mine[i1 - 1][0] != mine[i1][0]
+            last = max((j for j in piece if theirs[j][1]), default=-1) if before else -1
+            out += [mine[i1 - 1][0] if j <= last else mine[i1][0] for j in piece]
+    return out
+
+
+def reflow_words(mine: DataFrame, theirs: DataFrame, group: str, least: float = 0.5) -> DataFrame:
+    """Words of another edition spread over our verses: theirs with verse.  mine: group (a chapter), i, verse (a number), key; theirs: group, i, key, stop (ends
+    a sentence).  Matched words take their match's verse (`align_division`'s cuts and runs), what lies between goes by `owners`.  A chapter's words pass
+    one task; a chapter of theirs without words of ours has no verses (null)."""
+    cuts = materialize(align_division(mine, theirs, group).filter("part = 0").select(group, F.col("i").alias("a"), F.col("j").alias("b")), "pairs")
+    equal = cuts.join(mine.select(group, F.col("i").cast("long").alias("a"), F.col("key").alias("x")), [group, "a"]).join(theirs.select(group, F.col("i").cast("long").alias("b"), F.col("key").alias("y")), [group, "b"]).filter("x = y")
+    left = mine.select(group, F.lit(0).alias("side"), F.col("i").cast("long").alias("i"), F.coalesce("key", F.lit("")).alias("key"), F.col("verse").cast("long").alias("verse"), F.lit(False).alias("stop"), F.lit(-1).cast("long").alias("a"))
+    right = theirs.select(group, F.lit(1).alias("side"), F.col("i").cast("long").alias("i"), F.coalesce("key", F.lit("")).alias("key"), F.lit(-1).cast("long").alias("verse"), F.coalesce("stop", F.lit(False)).alias("stop"))
+    right = right.join(equal.select(group, F.col("b").alias("i"), "a"), [group, "i"], "left").withColumn("a", F.coalesce("a", F.lit(-1).cast("long")))
+
+    def found(x: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+        own = x["side"] == 0
+        i, j = x["i"][own], x["i"][~own]
+        if not len(i) or not len(j):
+            return {"i": np.zeros(0, np.int64), "verse": np.zeros(0, np.int64)}
+        place = {n: k for k, n in enumerate(i.tolist())}
+        pairs = [(place[n], k) for k, n in enumerate(x["a"][~own].tolist()) if n >= 0]
+        verses = owners(list(zip(x["verse"][own].tolist(), x["key"][own].tolist(), strict=True)), list(zip(x["key"][~own].tolist(), x["stop"][~own].tolist(), strict=True)), pairs, least)
+        return {"i": j, "verse": np.array(verses, np.int64)}
+
+    got = _by_group(left.unionByName(right), group, ["side", "i"], found, "i long, verse long")
+    return theirs.join(got.withColumn("i", F.col("i").cast(theirs.schema["i"].dataType)), [group, "i"], "left")
+
+
 def cursor_lines(cited: DataFrame, words: DataFrame, group: str) -> DataFrame:
-    """cited: group, pos, key, lines (array of candidate lines); words: group, line, key.  Each cited word goes to the first
-    candidate line that has it at or past the line reached before; one without goes with the word before, else after.  A group
-    is a sentence: its words are folded in order in one row."""
-    cand = cited.select(group, "pos", "key", F.explode("lines").alias("line")).join(words.select(group, "line", "key").distinct(), [group, "line", "key"], "left_semi")
-    rows = cand.groupBy(group, "pos").agg(F.array_sort(F.collect_set("line")).alias("c"))
-    whole = rows.groupBy(group).agg(F.array_sort(F.collect_list(F.struct("pos", "c"))).alias("x"))
-
-    def step(acc, x):
-        line = F.get(F.filter(x["c"], lambda y: y >= acc["at"]), F.lit(0)).cast("long")
-        return F.struct(F.coalesce(line, acc["at"]).alias("at"), F.concat(acc["out"], F.array(F.struct(x["pos"].cast("long").alias("pos"), line.alias("line")))).alias("out"))
-
-    start = F.struct(F.lit(-(2**62)).cast("long").alias("at"), F.array().cast("array<struct<pos:bigint,line:bigint>>").alias("out"))
-    own = whole.select(group, F.inline(F.aggregate("x", start, step, lambda a: a["out"])))
+    """cited: group, pos, key, lines (array of candidate lines; null or empty: not cited); words: group, line, i (place in the line), key.  A reading position
+    (line, place) goes through a group's cited words in order: each goes to the first place past it, in any of its candidate lines, that holds its key; a
+    word out of order in its line moves on to a later candidate.  One that is found nowhere past it, or isn't cited, goes with the word before, else after.
+    A group is a sentence or a passage: its places pass one task in order, nothing is gathered.  Words without places (no column i) count
+    wherever they stand in their line."""
+    placed = "i" in words.columns
+    at = F.col("i").cast("long") if placed else F.lit(0).cast("long")
+    cand = cited.select(group, "pos", "key", F.explode(F.array_distinct("lines")).alias("line")).join(words.select(group, "line", "key", at.alias("i")), [group, "line", "key"])
+
+    def found(x: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+        at, done, pos, line = (-(1 << 62), -1), None, [], []
+        for p, n, i in zip(x["pos"].tolist(), x["line"].tolist(), x["i"].tolist(), strict=True):
+            if p != done and ((n, i) > at if placed else n >= at[0]):
+                at, done = (n, i), p
+                pos.append(p)
+                line.append(n)
+        return {"pos": np.array(pos, np.int64), "line": np.array(line, np.int64)}
+
+    rows = cand.select(group, F.col("pos").cast("long").alias("pos"), F.col("line").cast("long").alias("line"), "i")
+    own = _by_group(rows, group, ["pos", "line", "i"], found, "pos long, line long")
     all_ = cited.select(group, "pos").join(own, [group, "pos"], "left")
     return all_.withColumn("line", F.coalesce(last_known("line", [group], ["pos"]), next_known("line", [group], ["pos"])))
 
 
 def split_run_ons(notes: DataFrame, text: str, line: str, reach: int = 30) -> DataFrame:
     """An entry of a later line inside a paragraph ("... 17 word") moves to its own line: a number above the one reached by at most
-    `reach`, at the start of a sentence, not after the abbreviation of a citation ("v. 17", "Il. 3", "p. 8").  part, line, text."""
+    `reach`, at the start of a sentence, not after the abbreviation of a citation ("v. 17", "Il. 3", "p. 8").  part, line, text.  A note's sentences pass
+    once, with the number reached; what belongs together is joined once."""
     parts = F.split(text, r"(?<=[.;·!?])(?<!\b[vVp]\.)(?<!\b(?:Il|Od)\.) +(?=\d+ \p{L})")
+    rest = [c for c in notes.columns if c not in (text, line)]
+    rows = notes.withColumn("__id", F.monotonically_increasing_id()).withColumn("__n0", F.col(line).cast("long"))
+    rows = materialize(rows.select("__id", *rest, "__n0", F.posexplode(parts).alias("__k", "__t")), "parts")
+    number = F.nullif(F.regexp_extract("__t", r"^(\d+) ", 1), F.lit("")).cast("long")
+    asked = rows.select("__id", F.col("__k").cast("long").alias("k"), F.coalesce(F.when(F.col("__k") > 0, number), F.lit(-1).cast("long")).alias("n"), F.coalesce("__n0", F.lit(1 << 62)).alias("n0"))
 
-    def step(acc, x):
-        n = F.nullif(F.regexp_extract(x, r"^(\d+) ", 1), F.lit("")).cast("int")
-        moves = F.coalesce((n > acc["at"]) & (n <= acc["at"] + reach), F.lit(False))
-        joined = F.concat(F.element_at(acc["out"], -1)["text"], F.lit(" "), x)
-        out = F.when(moves, F.concat(acc["out"], F.array(F.struct(n.alias("line"), F.regexp_replace(x, r"^\d+ ", "").alias("text"))))).otherwise(
-            F.concat(F.slice(acc["out"], 1, F.size(acc["out"]) - 1), F.array(F.struct(F.element_at(acc["out"], -1)["line"].alias("line"), joined.alias("text")))))
-        return F.struct(F.when(moves, n).otherwise(acc["at"]).alias("at"), out.alias("out"))
-
-    first = F.struct(F.col(line).cast("int").alias("at"), F.array(F.struct(F.col(line).cast("int").alias("line"), F.element_at("__p", 1).alias("text"))).alias("out"))
-    folded = notes.withColumn("__p", parts).withColumn("__o", F.aggregate(F.slice("__p", 2, 1_000_000_000), first, step, lambda a: a["out"]))
-    return folded.select(*[c for c in notes.columns if c not in (text, line)], F.posexplode("__o").alias("part", "o")).select("*", F.col("o.line").alias(line), F.col("o.text").alias(text)).drop("o")
+    def found(x: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+        at, part, parts_, lines, moved = int(x["n0"][0]), 0, [], [], []
+        for n in x["n"].tolist():
+            go = at < n <= at + reach
+            if go:
+                at, part = n, part + 1
+            parts_.append(part)
+            lines.append(at)
+            moved.append(go)
+        return {"k": x["k"], "part": np.array(parts_, np.int32), "at": np.array(lines, np.int64), "moved": np.array(moved, bool)}
+
+    placed = _by_group(asked, "__id", ["k"], found, "k long, part int, at long, moved boolean")
+    met = rows.join(placed, (rows["__id"] == placed["__id"]) & (rows["__k"] == placed["k"])).select(rows["__id"], *[rows[c] for c in rest], "__n0", "__k", "part", "at", F.when(F.col("moved"), F.regexp_replace("__t", r"^\d+ ", "")).otherwise(F.col("__t")).alias("__t"))
+    joined = met.groupBy("__id", "part").agg(*[F.first(c).alias(c) for c in rest], F.first("__n0").alias("__n0"), F.min("at").alias("at"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("__k", "__t"))), lambda x: x["__t"]), " ").alias(text))
+    return joined.select(*rest, "part", F.when(F.col("part") == 0, F.col("__n0")).otherwise(F.col("at")).cast("int").alias(line), text)
 
 
 def correction_map(lines: DataFrame, corrections: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.store import materialize
+
 
 def cascade(queries: DataFrame, entries: DataFrame, levels: list[tuple[str, Column]], aliases: DataFrame | None = None, tie: tuple[str, Column, Column] | None = None) -> DataFrame:
     """queries: word; entries: entry.  Distinct words go level by level: name of the level and the key both sides
@@ -51,9 +53,14 @@ def overlapping(left: DataFrame, right: DataFrame, keys: list[str], width: int |
 
 
 def count_cover(points: DataFrame, ranges: DataFrame, keys: list[str]) -> DataFrame:
-    """points: pos -> n_cover, how many ranges (start, end, ints) lie over it."""
-    spread = ranges.select(*keys, F.explode(F.sequence("start", "end")).alias("pos")).groupBy(*keys, "pos").agg(F.count("*").alias("n_cover"))
-    return points.join(spread, [*keys, "pos"], "left").withColumn("n_cover", F.coalesce("n_cover", F.lit(0)))
+    """points: pos -> n_cover, how many ranges (start, end, closed whole numbers) lie over it.  Each range adds one at its start and takes it away after its
+    end; a point has the sum of what comes before it, whatever the ranges' lengths."""
+    plus = ranges.filter(F.col("start") <= F.col("end"))
+    steps = plus.select(*keys, F.col("start").cast("long").alias("__at"), F.lit(1).cast("long").alias("__d")).unionByName(plus.select(*keys, (F.col("end") + 1).cast("long").alias("__at"), F.lit(-1).cast("long").alias("__d")))
+    steps = steps.groupBy(*keys, "__at").agg(F.sum("__d").alias("__d"))
+    both = points.withColumn("__at", F.col("pos").cast("long")).withColumn("__d", F.lit(0).cast("long")).withColumn("__point", F.lit(1)).unionByName(steps, allowMissingColumns=True)
+    w = Window.partitionBy(*keys).orderBy("__at").rangeBetween(Window.unboundedPreceding, 0)
+    return both.withColumn("n_cover", F.sum("__d").over(w)).filter("__point = 1").drop("__at", "__d", "__point")
 
 
 def asof(events: DataFrame, units: DataFrame, keys: list[str], value: str, slack: float = 0) -> DataFrame:
@@ -166,16 +173,37 @@ def spare_suffixes(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.filter("suffix = ''").unionByName(rows.filter("suffix <> ''").join(plain, [*keys, "num"], "left_anti"))
 
 
+def _rare_first(rows: DataFrame, counts: DataFrame, keys: list[str], row: list[str], least: int) -> DataFrame:
+    """rows: keys, row, n, w (distinct words) -> keys, row, n, word: of each row as many of its rarest words as it takes for every row that is `least` alike
+    (in thousandths of 2 x shared over all) to share one of these with it.
+
+    With n words a partner has b >= n * t / (2 - t) of them and shares o >= t * (n + b) / 2, so one shared word is among the n - o + 1 rarest."""
+    words = rows.select(*keys, *row, "n", F.explode("w").alias("word")).join(counts, [*keys, "word"], "left")
+    in_order = words.groupBy(*keys, *row, "n").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("c", F.lit(0)).alias("c"), "word"))).alias("x"))
+    shared = F.expr(f"cast(ceil({least} * (n + ceil(n * {least} / (2000.0 - {least}) - 1e-9)) / 2000.0 - 1e-9) as int)")
+    return in_order.withColumn("__k", F.greatest(F.lit(0), F.least(F.col("n"), F.col("n") - shared + 1)).cast("int")).select(*keys, *row, "n", F.explode(F.slice("x", F.lit(1), F.col("__k"))["word"]).alias("word"))
+
+
 def pair_similar(left: DataFrame, right: DataFrame, keys: list[str], own: int = 600, least: int = 500) -> DataFrame:
     """left, right: num, words (arrays).  The right row of the same number if their similarity (2 x shared distinct words over all,
     in thousandths) is at least `own`; else the most similar one; if that has less than `own`, two rows of adjacent numbers joined may be more
-    similar (joined: the first of them); `least` or more is needed.  Ties: single rows first, then the smaller number."""
-    size = lambda df, n: df.select(*keys, F.col("num").alias(n), F.array_distinct("words").alias("w")).withColumn(f"{n}_n", F.size("w"))
+    similar (joined: the first of them); `least` or more is needed.  Ties: single rows first, then the smaller number.
+
+    Rows meet by their rarest words alone, as many as the least similarity asks for and only where sizes can be so alike; words that all have make no pairs."""
+    bound = max(1, min(own, least))
+    size = lambda df, n: df.select(*keys, F.col("num").alias(n), F.array_distinct("words").alias("w")).withColumn("n", F.size("w"))
     w = Window.partitionBy(*keys).orderBy("num")
     two = right.withColumn("__n", F.lead("num").over(w)).withColumn("__w", F.lead("words").over(w)).filter("__n = num + 1").select(*keys, "num", F.concat("words", "__w").alias("words"))
     a, b = size(left, "l"), size(right, "r").withColumn("joined", F.lit(False)).unionByName(size(two, "r").withColumn("joined", F.lit(True)))
-    cells = a.select(*keys, "l", "l_n", F.explode("w").alias("w")).join(b.select(*keys, "r", "joined", "r_n", F.explode("w").alias("w")), [*keys, "w"])
-    scored = cells.groupBy(*keys, "l", "r", "joined").agg(F.floor(2000 * F.count("*") / F.first(F.col("l_n") + F.col("r_n"))).cast("long").alias("score"))
+    a, b = materialize(a, "left"), materialize(b, "right")
+    counts = a.select(*keys, F.explode("w").alias("word")).unionByName(b.filter("NOT joined").select(*keys, F.explode("w").alias("word"))).groupBy(*keys, "word").agg(F.count("*").alias("c"))
+    counts = materialize(counts, "counts")
+    x = _rare_first(a, counts, keys, ["l"], bound).withColumnRenamed("n", "l_n")
+    y = _rare_first(b, counts, keys, ["r", "joined"], bound).withColumnRenamed("n", "r_n")
+    fits = 2000 * F.least("l_n", "r_n") >= bound * (F.col("l_n") + F.col("r_n"))
+    met = x.join(y, [*keys, "word"]).filter(fits).select(*keys, "l", "r", "joined").distinct()
+    full = met.join(a.select(*keys, "l", F.col("w").alias("__x")), [*keys, "l"]).join(b.select(*keys, "r", "joined", F.col("w").alias("__y")), [*keys, "r", "joined"])
+    scored = full.select(*keys, "l", "r", "joined", F.floor(2000 * F.size(F.array_intersect("__x", "__y")) / (F.size("__x") + F.size("__y"))).cast("long").alias("score"))
     mine = ~F.col("joined") & (F.col("l") == F.col("r")) & (F.col("score") >= own)
     rank = F.when(mine, 0).when(~F.col("joined") & (F.col("score") >= own), 1).otherwise(2)
     best = scored.filter((F.col("score") >= least) | mine).groupBy(*keys, "l").agg(F.min(F.struct(rank.alias("rank"), (-F.col("score")).alias("s"), "joined", "r", "score")).alias("m"))

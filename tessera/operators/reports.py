@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.sequence import running
+from tessera.store import materialize
+
 
 def class_counts(links: DataFrame, key: list[str], cls: str) -> DataFrame:
     return links.groupBy(cls).agg(F.countDistinct(F.struct(*key)).alias("n"))
@@ -120,24 +123,48 @@ def content_version(df: DataFrame, cols: list[str]) -> DataFrame:
     return df.agg(F.sum(part).alias("s"), F.count("*").alias("n")).select(F.substring(F.sha2(F.concat_ws(":", F.col("s").cast("string"), F.col("n").cast("string")), 256), 1, 16).alias("version"), "n")
 
 
-def compact(df: DataFrame, keys: list[str], dict_cols: list[str], order: list[str]) -> tuple[DataFrame, DataFrame]:
+def compact(df: DataFrame, keys: list[str], dict_cols: list[str], order: list[str], derived: dict[str, Column] | None = None, chunk_rows: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Chunks of rows per key with coded columns, and the code table (kind, id, value); an id is the value's whole SHA-256, which two values
-    don't share and Parquet's dictionaries make small.  A key's rows become one row: keys are divisions of a text, bounded as these are."""
+    don't share and Parquet's dictionaries make small.
+
+    derived: column -> expression over the other columns; a value that it gives (null or not) is left out, any other is kept as it is, row by row; a column that
+    it gives for every row is left out of the chunks.  chunk_rows: a key's rows are dealt in order to chunks of so many (column chunk, from 0), numbered
+    over ranges of rows, so that no key becomes one row; without it keys are divisions of a text, bounded as these are."""
     dicts = None
     for c in dict_cols:
         ids = df.select(F.col(c).alias("value")).distinct().filter("value IS NOT NULL")
         ids = ids.select(F.lit(c).alias("kind"), F.sha2("value", 256).alias("id"), "value")
         dicts = ids if dicts is None else dicts.unionByName(ids)
-    coded = df.withColumns({c: F.sha2(c, 256) for c in dict_cols})
-    rest = [c for c in df.columns if c not in keys and c not in order]
-    return coded.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*order, *rest))).alias("rows")), dicts
-
-
-def restore(chunks: DataFrame, dicts: DataFrame, keys: list[str], dict_cols: list[str], columns: list[str]) -> DataFrame:
+    made = df
+    for c, rule in (derived or {}).items():
+        kept = F.when(~F.col(c).eqNullSafe(rule.cast(df.schema[c].dataType)), F.struct(F.col(c).alias("value")))
+        made = made.withColumn(f"__kept_{c}", kept)
+    made = made.drop(*(derived or {}))
+    if derived:
+        made = materialize(made, "derived")
+        have = made.agg(*[F.count(f"__kept_{c}").alias(c) for c in derived]).first()
+        made = made.drop(*[f"__kept_{c}" for c in derived if not have[c]])
+    coded = made.withColumns({c: F.sha2(c, 256) for c in dict_cols})
+    whole = list(keys)
+    if chunk_rows:
+        own = {c: f"__own_{c}" for c in coded.columns}  # a column of the rows may be named i
+        by = [own[c] for c in [*order, *[c for c in coded.columns if c not in keys and c not in order and not c.startswith("__kept_")]]]
+        numbered = running(coded.withColumnsRenamed(own), [own[k] for k in keys], by, {})
+        coded = numbered.withColumn("chunk", F.floor((F.col("i") - 1) / chunk_rows).cast("long")).drop("i").withColumnsRenamed({o: c for c, o in own.items()})
+        whole.append("chunk")
+    rest = [c for c in coded.columns if c not in whole and c not in order]
+    return coded.groupBy(*whole).agg(F.array_sort(F.collect_list(F.struct(*order, *rest))).alias("rows")), dicts
+
+
+def restore(chunks: DataFrame, dicts: DataFrame, keys: list[str], dict_cols: list[str], columns: list[str], derived: dict[str, Column] | None = None) -> DataFrame:
+    """The rows that `compact` was given: codes by the code table, left out values by their expressions."""
     out = chunks.select(*keys, F.inline("rows"))
     for c in dict_cols:
         table = dicts.filter(F.col("kind") == c).select(F.col("id").alias(c), F.col("value").alias(f"__{c}"))
         out = out.join(table, c, "left").withColumn(c, F.col(f"__{c}")).drop(f"__{c}")
+    for c, rule in (derived or {}).items():
+        kept = f"__kept_{c}"
+        out = out.withColumn(c, F.when(F.col(kept).isNotNull(), F.col(f"{kept}.value")).otherwise(rule) if kept in out.columns else rule)
     return out.select(*columns)
 
 

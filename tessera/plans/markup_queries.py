@@ -1,13 +1,19 @@
-"""Registered queries of nested markup and coded letters."""
+"""Registered queries of nested markup, coded letters, reflowed editions, cursors, compaction and parallel files."""
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessera.functions import letters as lt
 from tessera.functions import markup as mk
 from tessera.functions import text as tx
-from tessera.plans.registry import WRD, _words, query
+from tessera.operators import alignment as al
+from tessera.operators import reports as rp
+from tessera.operators import sequence as sq
+from tessera.plans.registry import SEG, WRD, _segs, _words, query
+from tessera.sources import readers as rd
+from tessera.store import new_path
 
 # ---- styled runs -----------------------------------------------------------------------------------------------------
 
@@ -96,3 +102,71 @@ def romanized_words(t, spark):
     """The same words in Latin letters, each spelled once."""
     spelled = _coded(t).select(lt.beta_code(F.col("coded")).alias("spelled"), "n")
     return lt.once_per_word(spelled.groupBy("spelled").agg(F.sum("n").alias("n")), "spelled", lt.romanize, "roman").select("spelled", "roman", "n")
+
+
+# ---- editions, cursors ------------------------------------------------------------------------------------------------
+
+@query(f"""WITH {WRD}, p AS (SELECT doc_id, seq, word_index, row_number() OVER (PARTITION BY doc_id ORDER BY seq, word_index) - 1 AS pos FROM wrd), v AS (SELECT *, lag(seq) OVER (PARTITION BY doc_id ORDER BY pos) AS before, lead(seq) OVER (PARTITION BY doc_id ORDER BY pos) AS after FROM p)
+SELECT doc_id, pos AS i, CAST(CASE WHEN pos % 9 = 3 AND before <> seq AND coalesce(after = seq, TRUE) THEN before ELSE seq END AS BIGINT) AS verse FROM v""")
+def reflowed_verses(t, spark):
+    """Another edition changes two neighbours in nine, the first of them ending a sentence: across a line's end each goes with the word that it is most
+    like, at a line's start the first goes to the line before."""
+    placed = sq.running(_words(t).select("doc_id", "seq", "word_index"), ["doc_id"], ["seq", "word_index"], {}).withColumn("i", F.col("i") - 1)
+    key = F.md5(F.concat_ws("/", "doc_id", "i"))
+    mine = placed.select("doc_id", "i", F.col("seq").alias("verse"), key.alias("key"))
+    changed = (F.col("i") % 9).isin(3, 4)
+    theirs = placed.select("doc_id", "i", F.when(changed, F.concat(F.substring(key, 1, 28), F.lit("zzzz"))).otherwise(key).alias("key"), (F.col("i") % 9 == 3).alias("stop"))
+    return al.reflow_words(mine, theirs, "doc_id").select("doc_id", "i", "verse")
+
+
+@query("""WITH p AS (SELECT o_custkey AS g, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS p FROM orders), k AS (SELECT *, unnest(range(6)) AS k FROM p)
+SELECT g, 10 * p + k AS pos, CASE WHEN k >= 4 THEN 2 * p + 1 ELSE 2 * p END AS line FROM k""")
+def cursor_places(t, spark):
+    """Words a b a c b of a line and the next one, cited to both: the last b is out of order in the first line and moves on; a mark after it isn't cited."""
+    w = Window.partitionBy("o_custkey").orderBy("o_orderkey")
+    p = t("orders").select(F.col("o_custkey").alias("g"), F.row_number().over(w).cast("long").alias("p"))
+    listed = lambda words: F.posexplode(F.array(*map(F.lit, words))).alias("k", "key")
+    cited = p.select("g", "p", listed("abacb,")).select("g", (10 * F.col("p") + F.col("k")).alias("pos"), "key", F.when(F.col("key") != ",", F.array(2 * F.col("p"), 2 * F.col("p") + 1)).alias("lines"))
+    words = p.select("g", F.explode(F.array(2 * F.col("p"), 2 * F.col("p") + 1)).alias("line")).select("g", "line", listed("abac")).withColumnRenamed("k", "i")
+    return al.cursor_lines(cited, words, "g").select("g", "pos", "line")
+
+
+# ---- compaction, files -------------------------------------------------------------------------------------------------
+
+_NET = "CASE WHEN l_orderkey % 10 = 0 THEN -1.0 WHEN l_orderkey % 10 = 1 THEN NULL ELSE l_quantity * l_tax END"
+
+
+def _lines(t):
+    return t("lineitem").select("l_returnflag", "l_orderkey", "l_linenumber", "l_linestatus", "l_quantity", "l_tax", F.expr(_NET).alias("net"), F.concat_ws("-", "l_returnflag", "l_linestatus").alias("tag"))
+
+
+def _chunks(t):
+    rules = {"net": F.expr("l_quantity * l_tax"), "tag": F.concat_ws("-", "l_returnflag", "l_linestatus")}
+    return rp.compact(_lines(t), ["l_returnflag"], ["l_linestatus"], ["l_orderkey", "l_linenumber"], rules, 1000), rules
+
+
+@query(f"SELECT l_returnflag, l_orderkey, l_linenumber, l_linestatus, l_quantity, l_tax, {_NET} AS net, l_returnflag || '-' || l_linestatus AS tag FROM lineitem")
+def compact_derived(t, spark):
+    """Rows that come back from chunks without what can be derived: one column for most rows, one for all."""
+    (chunks, dicts), rules = _chunks(t)
+    return rp.restore(chunks, dicts, ["l_returnflag"], ["l_linestatus"], _lines(t).columns, rules)
+
+
+@query(f"SELECT l_returnflag, CAST(ceil(count(*) / 1000) AS BIGINT) AS chunks, count(*) AS n, count(*) FILTER (({_NET}) IS DISTINCT FROM l_quantity * l_tax) AS kept, FALSE AS has_tag FROM lineitem GROUP BY 1")
+def compact_sizes(t, spark):
+    """Chunks of a thousand rows per key, values that had to be kept, and whether the column that is derived everywhere is still there."""
+    (chunks, _), _ = _chunks(t)
+    fields = chunks.schema["rows"].dataType.elementType.names
+    kept = F.size(F.filter("rows", lambda r: r["__kept_net"].isNotNull()))
+    rows = chunks.groupBy("l_returnflag").agg(F.count("*").alias("chunks"), F.sum(F.size("rows")).alias("n"), F.sum(kept).alias("kept"))
+    return rows.withColumn("has_tag", F.lit(any("tag" in f for f in fields)))
+
+
+@query(f"WITH {SEG}, n AS (SELECT row_number() OVER (ORDER BY doc_id, seq) AS line, doc_id, seq, length(content) AS chars FROM seg) SELECT line, doc_id || '/' || seq AS ref, '' || chars AS chars FROM n")
+def parallel_columns(t, spark):
+    """Two text files, a line for every line of the documents, zipped by their line numbers."""
+    s = _segs(t).select("doc_id", "seq", F.length("content").alias("chars")).repartitionByRange(1, "doc_id", "seq").sortWithinPartitions("doc_id", "seq")
+    paths = {"ref": new_path(spark, "refs"), "chars": new_path(spark, "chars")}
+    s.select(F.concat_ws("/", "doc_id", "seq")).write.text(paths["ref"])
+    s.select(F.col("chars").cast("string")).write.text(paths["chars"])
+    return rd.parallel_files(spark, paths)

@@ -181,7 +181,7 @@ def cursor_lines(t, spark):
     cited = p.select("g", "pos", key.alias("key"), F.array(line - 3, line).alias("lines"))
     lines = p.filter(real).select("g", line.alias("line"), key.alias("key"))
     early = p.filter(real & (F.col("pos") > 5)).select("g", (line - 3).alias("line"), key.alias("key"))
-    return al.cursor_lines(cited, lines.unionByName(early), "g")
+    return al.cursor_lines(cited, lines.unionByName(early).withColumn("i", F.lit(0)), "g")
 
 
 @query(f"WITH {SEG}, n AS (SELECT doc_id, max(seq) + 1 AS n FROM seg GROUP BY 1) SELECT s.doc_id, s.seq // 2 AS line, md5(string_agg(content, ' ' ORDER BY seq)) AS digest FROM seg s GROUP BY ALL")

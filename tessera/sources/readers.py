@@ -158,6 +158,28 @@ def read_service(lines: DataFrame, key: str, order: str, text: str, heading: str
     return said.join(names, [key, "part"], "left").select(key, order, "part", "label", "para", "speaker", "content")
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """file, line (from 1), value of every line of text files, whatever pieces Spark reads them in.
+
+    A file's pieces are read apart and their lines counted; a line's number is its place in its piece and the lines of the pieces before it.  The lines
+    are written once in between, so that both passes see the same pieces."""
+    raw = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("__piece"), "value", F.monotonically_increasing_id().alias("__at"))
+    raw = materialize(raw, "lines")
+    pieces = raw.groupBy("file", "__piece").agg(F.min("__at").alias("__first"), F.count("*").alias("__n"))
+    before = Window.partitionBy("file").orderBy("__piece").rowsBetween(Window.unboundedPreceding, -1)
+    pieces = pieces.withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
+    return raw.join(pieces, ["file", "__piece"]).select("file", (F.col("__at") - F.col("__first") + F.col("__before") + 1).alias("line"), "value")
+
+
+def parallel_files(spark: SparkSession, columns: dict[str, str]) -> DataFrame:
+    """columns: name -> text file.  line and a column per file: its text on that line, null past its end."""
+    out = None
+    for name, path in columns.items():
+        one = numbered_lines(spark, path).select("line", F.col("value").alias(name))
+        out = one if out is None else out.join(one, "line", "full")
+    return out
+
+
 def keyed_notes(df: DataFrame, ref: str, source_map: DataFrame) -> DataFrame:
     """ref "B.L-B.M" -> book, line, line_to (clipped to its book); volume -> source by a small map."""
     p = r"^(\d+)\.(\d+)(?:-(?:(\d+)\.)?(\d+))?$"
