@@ -346,7 +346,7 @@ def _large_links(pool: DataFrame, percent: int, region_members: int, region_shin
     pair = lambda found: found.select(F.col("rep").alias("u"), F.col("other").alias("v"))
     links = None
     while True:
-        new = _regrouped(pool, percent, hot)
+        new = _regrouped(pool, percent, min(hot, max(1, region_members // 4)))
         was = sized(pool, "region").select(F.col("region").alias("of"), F.col("members").alias("before"), F.col("total").alias("shingles_before"))
         sizes = sized(new, "region", "of").join(was, "of")
         over = (F.col("total") > region_shingles) | (F.col("members") > region_members)
