@@ -28,7 +28,8 @@ def test_classes_equal_brute_force(spark):
         got[(r.host, r.vector)].add((r.path, r.text))
     vectors = defaultdict(lambda: defaultdict(int))
     for i, (host, _, html) in enumerate(pages):
-        for path, text, n, _, _ in hx.page_tokens(html or ""):
+        for t in hx.page_tokens(html or ""):
+            path, text, n = t.path, t.text, t.n
             vectors[(host, path, text)][i] += n
     want = defaultdict(set)
     for (host, path, text), v in vectors.items():
@@ -86,3 +87,69 @@ def test_edges(spark):
 def test_deep_nesting(spark):
     deep = "<div>" * 20000 + "<p>at the bottom</p>" + "</div>" * 20000 + "<p>after</p>"
     assert texts(spark, [(1, "http://d/", deep)]) == {1: "at the bottom after"}
+
+
+def test_site_elements_at_any_depth(spark):
+    rows = []
+    for i, depth in enumerate((10, 63, 64, 65, 70, 5000)):
+        site = "<nav>MENU</nav><aside>ASIDE</aside><script>x()</script><div class=advert>AD</div>"
+        rows.append((i, f"http://d{i}/", "<div>" * depth + f"{site}<p>Real text here</p><footer>FOOT</footer>" + "</div>" * depth))
+        rows.append((100 + i, f"http://e{i}/", "<body>" + "<div>" * depth + f"{site}<article><h1>Head</h1><p>{prose(i)}</p></article><footer>FOOT</footer>" + "</div>" * depth))
+    got = texts(spark, rows)
+    assert got == {**{i: "Real text here" for i in range(6)}, **{100 + i: f"Head {prose(i)}" for i in range(6)}}
+
+
+def test_headline_beside_the_article(spark):
+    page = lambda k: f"<body><h1>Site name</h1><main><header>top</header><h1>Headline {k}</h1><div class=share>share</div><article><p>{prose(k)}</p></article><aside>more</aside></main></body>"
+    got = texts(spark, [(k, f"http://h{k % 2}/{k}", page(k)) for k in range(6)])
+    assert got == {k: f"Headline {k} {prose(k)}" for k in range(6)}
+
+
+def generated(k, n_pages):
+    """A page without an article element and its text: menus of varying length, boxes in varying places, a container of its own for the text."""
+    g = __import__("random").Random(k)
+    name = "".join(g.choice("abcdefgh") for _ in range(12))
+    menu = "<ul>" + "".join(f"<li><span>{w}</span></li>" for w in ["Home page", *(f"Topic {g.randrange(10**6)}" for _ in range(g.randrange(0, 3)))]) + "</ul>"
+    boxes = ["<div class=brand>The example company since 1901</div>", "<div class=tail>All rights are reserved by us</div>"]
+    parts = [prose(k + 1000 * j, g.randrange(30, 60)) for j in range(g.randrange(2, 5))]
+    body = "".join(f"<p>{x}</p>" for x in parts)
+    middle = f"<div class=wrap><div class={name}>{body}</div><div class=hint>Please read our rules first</div></div>"
+    return f"<html><body>{boxes[0]}{menu}{middle}{boxes[1]}</body></html>", " ".join(parts)
+
+
+def test_generated_hosts_by_their_known_texts(spark):
+    """What the host shares goes, wherever it stands; what it doesn't share stays, however rare its containers: at every size of the host."""
+    for n in (30, 101, 150):
+        pages = {k: generated(k, n) for k in range(n)}
+        got = texts(spark, [(k, f"http://host/{k}", html) for k, (html, _) in pages.items()])
+        for k, (_, want) in pages.items():
+            left = got[k].replace(want, "|")
+            assert "|" in left and not any(x in left for x in ("example company", "rights are reserved", "read our rules", "Home page")), (n, k, left[:200])
+        off = texts(spark, [(k, f"http://host/{k}", html) for k, (html, _) in pages.items()], least_pages=1000)
+        assert sum("read our rules" in t for t in off.values()) == n
+
+
+def test_lines_of_the_template_go_by_plain_vectors(spark):
+    """The lines that go are those whose vector is an element's, found by plain loops over a host of any paths."""
+    pages = {k: generated(k, 20)[0] for k in range(20)}
+    counts = defaultdict(lambda: defaultdict(int))
+    for k, html in pages.items():
+        for t in hx.page_tokens(html):
+            counts[(t.path, t.text)][k] += t.n
+    vectors = {tok: tuple(sorted(v.items())) for tok, v in counts.items()}
+    elements = {v for (_, text), v in vectors.items() if text is None and len(v) >= 3}
+    want = {tok for tok, v in vectors.items() if tok[1] is not None and v in elements}
+    df = spark.createDataFrame([("h", k, html) for k, html in pages.items()], "host string, page_key long, html string")
+    flat = hx.deduce_templates(df).first().lines
+    assert set(zip(flat[::2], flat[1::2], strict=True)) == want and len(want) >= 4
+
+
+def test_ties_and_own_column_names(spark):
+    half = "<body><div class=a>{}</div><div class=b>{}</div></body>".format(*["same length text"] * 2)
+    rows = [(1, "http://t/1", half), (2, "http://t/2", half), (3, "http://t/3", None)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    for c in ("main", "path", "lines", "page_key", "vector"):
+        df = df.withColumn(c, F.lit(c))
+    got = {r.page_id: (r.text, r.main, r.path, r.lines, r.page_key, r.vector) for r in hx.extract(df).collect()}
+    kept = ("main", "path", "lines", "page_key", "vector")
+    assert got == {1: ("same length text same length text", *kept), 2: ("same length text same length text", *kept), 3: ("", *kept)}
