@@ -1,4 +1,4 @@
-"""Registered queries of nested markup, coded letters, reflowed editions, cursors, compaction and parallel files."""
+"""Registered queries of nested markup, coded letters, reflowed editions, cursors, compaction, parallel files and served views."""
 
 from __future__ import annotations
 
@@ -11,6 +11,7 @@ from tessera.functions import text as tx
 from tessera.operators import alignment as al
 from tessera.operators import reports as rp
 from tessera.operators import sequence as sq
+from tessera.operators import views as vw
 from tessera.plans.registry import SEG, WRD, _segs, _words, query
 from tessera.sources import readers as rd
 from tessera.store import new_path
@@ -170,3 +171,63 @@ def parallel_columns(t, spark):
     s.select(F.concat_ws("/", "doc_id", "seq")).write.text(paths["ref"])
     s.select(F.col("chars").cast("string")).write.text(paths["chars"])
     return rd.parallel_files(spark, paths)
+
+
+# ---- served views ------------------------------------------------------------------------------------------------------
+
+@query("""WITH x AS (SELECT r_name, n_name, n_nationkey AS sort, CASE WHEN n_nationkey % 3 = 0 THEN NULL ELSE 'set ' || n_nationkey % 2 END AS col FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_nationkey % 7 <> 0),
+e AS (SELECT *, min(sort) OVER (PARTITION BY r_name, coalesce(col, n_name)) AS place FROM x),
+p AS (SELECT *, dense_rank() OVER (PARTITION BY r_name ORDER BY place) - 1 AS entry, row_number() OVER (PARTITION BY r_name, place ORDER BY sort) - 1 AS i FROM e)
+SELECT r_name AS name, entry, i, col AS collection, n_name AS slug, (SELECT string_agg('' || s_suppkey, ',' ORDER BY s_suppkey) FROM supplier WHERE s_nationkey = sort) AS books FROM p""")
+def library_tree(t, spark):
+    """Regions, with nations as texts (some in collections, one in seven hidden) and suppliers as books, read back from the nested rows."""
+    n = t("nation").join(t("region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    k = F.col("n_nationkey")
+    texts = n.select(F.col("n_name").alias("slug"), F.col("n_name").alias("title"), F.lit(None).cast("string").alias("author"), F.lit("text").alias("reader"), F.col("r_name").alias("category"), F.when(k % 3 != 0, F.concat(F.lit("set "), (k % 2).cast("string"))).alias("collection"), (k % 7 == 0).alias("hidden"), k.alias("sort"))
+    books = t("supplier").join(n, F.col("s_nationkey") == k).select(F.col("n_name").alias("text"), F.col("s_suppkey").alias("n"), F.col("s_name").alias("label"))
+    tree = vw.library_tree(t("region").select(F.col("r_name").alias("name"), F.col("r_regionkey").alias("sort")), texts, books)
+    flat = tree.select("name", F.posexplode("entries").alias("entry", "e")).select("name", "entry", "e.collection", F.posexplode("e.texts").alias("i", "t"))
+    return flat.select("name", "entry", "i", "collection", "t.slug", F.array_join(F.transform("t.books", lambda b: b["n"].cast("string")), ",").alias("books"))
+
+
+@query("""WITH w AS (SELECT l_orderkey, l_linenumber, l_partkey AS strongs, CASE l_linenumber % 4 WHEN 1 THEN upper(p_name) WHEN 2 THEN 'other ' || l_suppkey % 3 WHEN 3 THEN 'bare' END AS lemma, CASE WHEN l_linenumber % 4 IN (1, 2) THEN 'gloss ' || l_linenumber END AS gloss, p_name, p_brand, p_type FROM lineitem JOIN part ON p_partkey = l_partkey)
+SELECT l_orderkey, l_linenumber, CASE WHEN lemma IS NULL OR l_linenumber % 4 = 1 THEN strongs END AS strongs, coalesce(lemma, p_name) AS lemma, CASE WHEN lemma IS NULL THEN p_brand ELSE gloss END AS gloss,
+CASE WHEN lemma IS NULL OR l_linenumber % 4 = 1 THEN p_type WHEN lemma = 'other 1' THEN 'short one' ELSE gloss END AS definition FROM w""")
+def lexicon_cards(t, spark):
+    """Own lemmas that are the entry's word in capitals, others with a short definition or none, others without a gloss."""
+    p = t("part").select(F.col("p_partkey").alias("strongs"), F.col("p_name").alias("lemma"), F.col("p_brand").alias("gloss"), F.col("p_type").alias("definition"))
+    k = F.col("l_linenumber") % 4
+    li_ = t("lineitem").join(p.select(F.col("strongs").alias("l_partkey"), F.col("lemma").alias("name")), "l_partkey")
+    words = li_.select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("strongs"), F.when(k == 1, F.upper("name")).when(k == 2, F.concat(F.lit("other "), (F.col("l_suppkey") % 3).cast("string"))).when(k == 3, "bare").alias("lemma"), F.when(k.isin(1, 2), F.concat(F.lit("gloss "), F.col("l_linenumber").cast("string"))).alias("gloss"))
+    short = spark.createDataFrame([("other 1", "short one")], "lemma string, definition string")
+    return vw.lexicon_cards(words, p, short, tx.fold_letters)
+
+
+_PAGE = f"""{SEG}, note AS (SELECT doc_id, min(seq) AS s, min(seq) + doc_id % 6 AS e FROM seg GROUP BY doc_id, seq // 5), pass AS (SELECT doc_id, min(seq) AS s, max(seq) AS e FROM seg WHERE lang = 'en' GROUP BY doc_id, seq // 4)"""
+
+
+@query(f"""WITH {_PAGE} SELECT doc_id, seq, nullif((SELECT count(*) FROM note n WHERE n.doc_id = g.doc_id AND g.seq BETWEEN n.s AND n.e), 0) AS notes,
+CASE WHEN seq % 2 = 0 THEN 'en ' || seq END AS english, CASE WHEN seq % 3 = 0 THEN 'el ' || seq END AS modern, (SELECT min(s) FROM pass p WHERE p.doc_id = g.doc_id AND p.e = g.seq) AS passage_from,
+CASE WHEN lang = 'fr' AND seq % 5 <> 4 THEN 10 * seq END AS start, CASE WHEN lang <> 'fr' AND seq % 5 <> 4 THEN seq % 3 + 1 END AS n_parts FROM seg g""")
+def page_segments(t, spark):
+    """Segments with what a page shows of each: notes, verse translations, the passage that ends there, times of verses and parts of prose."""
+    s = _segs(t).select("doc_id", "seq", "lang").withColumn("form", F.when(F.col("lang") == "fr", "verse").otherwise("prose"))
+    notes = s.groupBy("doc_id", F.floor(F.col("seq") / 5).alias("g")).agg(F.min("seq").alias("start")).select("doc_id", "start", (F.col("start") + F.col("doc_id") % 6).alias("end"))
+    said = lambda lang, n: s.filter(F.col("seq") % n == 0).select("doc_id", "seq", F.lit(lang).alias("lang"), F.concat(F.lit(f"{lang} "), F.col("seq").cast("string")).alias("content"))
+    passages = s.filter("lang = 'en'").groupBy("doc_id", F.floor(F.col("seq") / 4).alias("g")).agg(F.min("seq").alias("start"), F.max("seq").alias("end")).withColumn("content", F.lit("passage")).drop("g")
+    timed = s.filter("seq % 5 <> 4").select("doc_id", "seq", F.explode(F.sequence(F.lit(0), F.col("seq") % 3)).alias("piece"))
+    timed = timed.select("doc_id", "seq", "piece", F.lit("x").alias("content"), (10 * F.col("seq") + F.col("piece")).alias("start"), (10 * F.col("seq") + F.col("piece") + 1).alias("end"))
+    page = vw.page_segments(s, ["doc_id"], notes, said("en", 2).unionByName(said("el", 3)), passages, timed)
+    return page.select("doc_id", "seq", "notes", F.col("translations")["en"].alias("english"), F.col("translations")["el"].alias("modern"), F.col("passages")[0]["start"].alias("passage_from"), "times.start", F.nullif(F.size("parts"), F.lit(-1)).alias("n_parts"))
+
+
+@query("""WITH d AS (SELECT doc_id, lang, source, n_chars, doc_id % 4 = 0 AS el, doc_id % 3 = 0 OR lang = 'en' AS en, doc_id % 5 = 0 AS notes, source = 'src1' AS audio FROM documents)
+SELECT doc_id, array_to_string(list_filter([CASE WHEN notes THEN 'scholia' END, CASE WHEN audio THEN 'audio' END, CASE WHEN en THEN 'translation' END, CASE WHEN el THEN 'modern' END], lambda x: x IS NOT NULL), ',') AS features,
+array_to_string(list_filter([CASE WHEN doc_id % 2 = 0 THEN source END, CASE WHEN el THEN 'el ' || source END, CASE WHEN en THEN 'en ' || source END, CASE WHEN audio THEN 'read by ' || lang END], lambda x: x IS NOT NULL), ',') AS credits FROM d""")
+def page_heads(t, spark):
+    """What pages have, and whom they credit for it."""
+    d = t("documents").select("doc_id", "lang", "source")
+    texts = d.select("doc_id", F.when(F.col("doc_id") % 2 == 0, F.col("source")).alias("credit"), F.concat(F.lit("en "), "source").alias("credit_en"), F.concat(F.lit("el "), "source").alias("credit_el"))
+    verses = d.filter("doc_id % 4 = 0").select("doc_id", F.lit("el").alias("lang")).unionByName(d.filter("doc_id % 3 = 0").select("doc_id", F.lit("en").alias("lang")))
+    made = vw.page_heads(texts, ["doc_id"], verses, d.filter("lang = 'en'"), d.filter("doc_id % 5 = 0"), d.filter("source = 'src1'").select("doc_id", F.concat(F.lit("read by "), "lang").alias("credit")))
+    return made.select("doc_id", F.array_join("features", ",").alias("features"), F.array_join("credits", ",").alias("credits"))
