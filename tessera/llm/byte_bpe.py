@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import kept, texts_of
+from tessera.llm.common import free, kept, texts_of
 
 #: Words of up to so many characters are kept in the table, of up to so many bytes are run undeterminised.
 SHORT = 48
@@ -365,7 +365,7 @@ def encode_decode(docs: DataFrame, ranks: str, pattern: str, text_col: str = "te
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = kept("byte_bpe", (ranks, pattern, table_size, most_states), lambda: Codec(ranks, pattern, table_size, most_states))
         for b in batches:
-            at = b.schema.names.index("__text")
+            at = b.num_columns - 1
             cols: list[list] = [[] for _ in added]
             for lo in range(0, b.num_rows, 256):
                 for text in texts_of(b.column(at).slice(lo, 256)):
@@ -387,4 +387,4 @@ def encode_decode(docs: DataFrame, ranks: str, pattern: str, text_col: str = "te
             made_cols = [pa.array(c, t) for c, t in zip(cols, kinds, strict=True)]
             yield pa.RecordBatch.from_arrays([*(b.column(b.schema.names.index(x)) for x in names), *made_cols], names=[*names, *added])
 
-    return docs.select(*[F.col(f"`{x}`") for x in names], F.col(f"`{text_col}`").cast("string").alias("__text")).mapInArrow(run, schema)
+    return docs.select(*[F.col(f"`{x}`") for x in names], F.col(f"`{text_col}`").cast("string").alias(free("__text", names))).mapInArrow(run, schema)

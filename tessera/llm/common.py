@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import gc
 import os
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +43,14 @@ def slices(offsets: np.ndarray, most: int = SLICE_BYTES) -> Iterator[tuple[int,
         i = min(j, n)
 
 
+def free(name: str, columns: Iterable[str]) -> str:
+    """A name for a column of an operator's own beside `columns`, whose case Spark doesn't tell apart."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def tokenizer_path(name: str) -> str:
     """Where a public vocabulary file lies; the operators take a path, the queries pass this one."""
     try:

@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import materialize
+from tessera.llm.common import free, materialize
 from tessera.llm.url_filter import url_parts
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<[!?/][^>]*>""", re.S)
@@ -425,15 +425,16 @@ def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html", salt
     page = F.coalesce(F.col(f"`{html_col}`").cast("string"), F.lit(""))
     key = F.xxhash64(*[F.col(f"`{x}`").cast("string") for x in names], F.length(page))
     cuts = materialize(deduce_templates(pages.select(host.alias("host"), key.alias("page_key"), page.alias("html")), least_pages), "templates")
-    cuts = cuts.select(F.col("host").alias("__host"), F.struct("main", "head", "fixed", "lifted", "lines").alias("__cut"))
-    numbers = F.size("__cut.fixed") + F.size("__cut.lifted") + F.size("__cut.lines")
-    size = cuts.agg(F.sum(96 + F.octet_length("__host") + 8 * numbers)).first()[0] or 0
-    rows = pages.select(*[F.col(f"`{x}`") for x in names], host.alias("__host"), page.alias("__html"), key.alias("__key"))
+    host_, html_, key_, cut_, salt_ = (free(x, names) for x in ("__host", "__html", "__key", "__cut", "__salt"))
+    cuts = cuts.select(F.col("host").alias(host_), F.struct("main", "head", "fixed", "lifted", "lines").alias(cut_))
+    numbers = F.size(f"{cut_}.fixed") + F.size(f"{cut_}.lifted") + F.size(f"{cut_}.lines")
+    size = cuts.agg(F.sum(96 + F.octet_length(host_) + 8 * numbers)).first()[0] or 0
+    rows = pages.select(*[F.col(f"`{x}`") for x in names], host.alias(host_), page.alias(html_), key.alias(key_))
     if size <= sent_bytes:
-        joined = rows.join(F.broadcast(cuts), "__host", "left")  # `size` bytes, as measured
+        joined = rows.join(F.broadcast(cuts), host_, "left")  # `size` bytes, as measured
     else:
-        salted = cuts.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-        joined = rows.withColumn("__salt", F.pmod("__key", F.lit(salts)).cast("int")).join(salted.hint("shuffle_hash"), ["__host", "__salt"], "left")
+        salted = cuts.withColumn(salt_, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        joined = rows.withColumn(salt_, F.pmod(key_, F.lit(salts)).cast("int")).join(salted.hint("shuffle_hash"), [host_, salt_], "left")
     schema = T.StructType([*keep, T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -442,7 +443,7 @@ def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html", salt
             texts = []
             for lo in range(0, b.num_rows, 256):
                 part = b.slice(lo, 256)
-                html, cut = (part.column(part.schema.names.index(x)).to_pylist() for x in ("__html", "__cut"))
+                html, cut = (part.column(part.schema.names.index(x)).to_pylist() for x in (html_, cut_))
                 for p, c in zip(html, cut, strict=True):
                     at = (c["main"], c["head"], tuple(c["fixed"]), tuple(c["lifted"]), tuple(c["lines"])) if c else None
                     if at is not None and at not in known:
@@ -452,4 +453,4 @@ def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html", salt
                     texts.append(main_text(p, known[at] if at is not None else None))
             yield pa.RecordBatch.from_arrays([*(b.column(b.schema.names.index(x)) for x in names), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=[*names, "text", "n_chars"])
 
-    return joined.select(*[F.col(f"`{x}`") for x in names], "__html", "__cut").mapInArrow(run, schema)
+    return joined.select(*[F.col(f"`{x}`") for x in names], html_, cut_).mapInArrow(run, schema)

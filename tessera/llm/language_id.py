@@ -11,7 +11,8 @@ counts reach the driver.  Both bounds are parameters.
 
 Nulls: a text that is null or has no letter (Unicode category L) gets "und" with score 0.  Without labelled rows, as in an empty table,
 every text is "und".  Ties between languages go to the first in alphabetical order.  Rows that repeat an id are judged each, by their
-text alone; columns named lang_pred or score are replaced.
+text alone; columns named lang_pred or score are replaced, all further ones are kept, whatever their names.  A text of any length is read whole: its words'
+sums are looked up and added, so its length costs a lookup a word.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import kept, texts_of
+from tessera.llm.common import free, kept, texts_of
 
 UNKNOWN = "und"
 _WORDLIKE = re.compile(r"[^\W\d_]")
@@ -240,9 +241,9 @@ def predict(docs: DataFrame, net: ByteGru | None, text_col: str = "text", keep_t
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ask = kept("langs", (net.mark(), table_size), lambda: Predictor(net, table_size))
         for b in batches:
-            text, got = b.column(b.schema.names.index("__text")), []
+            text, got = b.column(b.num_columns - 1), []
             for lo in range(0, b.num_rows, 256):
                 got += ask(texts_of(text.slice(lo, 256)))
             yield pa.RecordBatch.from_arrays([*(b.column(b.schema.names.index(x)) for x in names), pa.array([x[0] for x in got], pa.string()), pa.array([x[1] for x in got], pa.float64())], names=[*names, "lang_pred", "score"])
 
-    return docs.select(*[F.col(f"`{x}`") for x in names], F.col(f"`{text_col}`").cast("string").alias("__text")).mapInArrow(run, schema)
+    return docs.select(*[F.col(f"`{x}`") for x in names], F.col(f"`{text_col}`").cast("string").alias(free("__text", names))).mapInArrow(run, schema)

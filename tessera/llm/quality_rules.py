@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import texts_of
+from tessera.llm.common import free, texts_of
 
 SYMBOLS = "#*$%&|<>"
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -82,13 +82,13 @@ def with_stats(docs: DataFrame, text_col: str = "text", keep_text: bool = True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            text, stats = b.column(b.schema.names.index("__text")), []
+            text, stats = b.column(b.num_columns - 1), []
             for lo in range(0, b.num_rows, 512):
                 stats += [text_stats(t) for t in texts_of(text.slice(lo, 512))]
             cols = list(zip(*stats, strict=True)) if stats else [[] for _ in new]
             yield pa.RecordBatch.from_arrays([*(b.column(b.schema.names.index(x)) for x in names), *(pa.array(c, pa.int64()) for c in cols)], names=[*names, *new])
 
-    return docs.select(*[F.col(f"`{x}`") for x in names], F.col(f"`{text_col}`").cast("string").alias("__text")).mapInArrow(run, schema)
+    return docs.select(*[F.col(f"`{x}`") for x in names], F.col(f"`{text_col}`").cast("string").alias(free("__text", names))).mapInArrow(run, schema)
 
 
 #: name -> (over, under): the measured shares that rules put thresholds on; all are num / max(1, den).

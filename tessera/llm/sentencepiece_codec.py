@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import kept, texts_of
+from tessera.llm.common import free, kept, texts_of
 
 _MARK = "▁"
 _CHUNK = re.compile(r"[ ▁]*[^ ▁\n]+|[ ▁]+|\n")
@@ -106,7 +106,7 @@ def encode_decode(docs: DataFrame, model_path: str, text_col: str = "text", with
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = kept("piece", (model_path, table_size, add_eos), lambda: Codec(model_path, table_size, add_eos))
         for b in batches:
-            at = b.schema.names.index("__text")
+            at = b.num_columns - 1
             n, ids_hex, dec_hex, ids, decoded = [], [], [], [], []
             for lo in range(0, b.num_rows, 256):
                 for count, joined, text in codec(texts_of(b.column(at).slice(lo, 256))):
@@ -123,4 +123,4 @@ def encode_decode(docs: DataFrame, model_path: str, text_col: str = "text", with
                 out += ["ids", "decoded"]
             yield pa.RecordBatch.from_arrays(cols, names=out)
 
-    return docs.select(*[F.col(f"`{x}`") for x in names], F.col(f"`{text_col}`").cast("string").alias("__text")).mapInArrow(run, schema)
+    return docs.select(*[F.col(f"`{x}`") for x in names], F.col(f"`{text_col}`").cast("string").alias(free("__text", names))).mapInArrow(run, schema)

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import bytes_of, slices
+from tessera.llm.common import bytes_of, free, slices
 
 #: Words that mark hosts nobody wants in a training corpus: gambling, sham medicine, adult pages, link farms, pirated goods.
 BLOCK_WORDS = (
@@ -104,6 +104,7 @@ def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]], block_gl
     new = ("host", "path", "rule", "verdict", "by_glob")
     keep = [f for f in pages.schema.fields if f.name not in new]
     names = [f.name for f in keep]
+    host_, path_, url_ = (free(x, names) for x in ("__host", "__path", "__url"))
     schema = T.StructType([*keep, *(T.StructField(x, T.StringType()) for x in new)])
     globs = [f"*.{host}{path}**" for _, host, path in rules] + list(block_globs)
     rank = sorted(range(len(rules)), key=lambda k: (-len(rules[k][1] + rules[k][2]), k))
@@ -113,7 +114,7 @@ def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]], block_gl
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         auto = GlobAutomaton(globs)
         for b in batches:
-            data, offsets = bytes_of(b.column(b.schema.names.index("__url")))
+            data, offsets = bytes_of(b.column(b.schema.names.index(url_)))
             hits = np.zeros((b.num_rows, len(globs)), bool)
             for i, j in slices(offsets):
                 hits[i:j] = auto.match(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
@@ -124,10 +125,10 @@ def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]], block_gl
             rule = [labels[k] if k >= 0 else None for k in best]
             verdict = [rules[k][0] if k >= 0 else "block" if g >= 0 else "allow" for k, g in zip(best, glob, strict=True)]
             by = [block_globs[g] if g >= 0 else None for g in glob]
-            cols = [b.column(b.schema.names.index(x)) for x in [*names, "__host", "__path"]]
+            cols = [b.column(b.schema.names.index(x)) for x in [*names, host_, path_]]
             yield pa.RecordBatch.from_arrays([*cols, *(pa.array(x, pa.string()) for x in (rule, verdict, by))], names=[*names, *new])
 
     host, path = url_parts(F.col(f"`{url_col}`").cast("string"))
-    canonical = F.concat(F.lit("."), F.col("__host"), F.col("__path")).alias("__url")
-    base = pages.select(*[F.col(f"`{x}`") for x in names], host.alias("__host"), path.alias("__path"))
+    canonical = F.concat(F.lit("."), F.col(host_), F.col(path_)).alias(url_)
+    base = pages.select(*[F.col(f"`{x}`") for x in names], host.alias(host_), path.alias(path_))
     return base.select("*", canonical).mapInArrow(run, schema)

@@ -94,13 +94,13 @@ def test_streaming_decoder():
 def test_edges(spark, library):
     texts = ["plain words here", "", None, "same", "same", "汉字 x" * 3, "word " * 90_000, "x" * 300_000, " \n\n  a", "\x00\x1f"]
     docs = spark.createDataFrame([*enumerate(texts), (None, "no id"), (None, None)], "doc_id long, text string")
-    docs = docs.withColumn("n_tokens", F.lit("x")).withColumn("ids", F.lit(1)).withColumn("__state", F.lit(2))
+    docs = docs.withColumn("n_tokens", F.lit("x")).withColumn("ids", F.lit(1)).withColumn("__state", F.lit(2)).withColumn("__text", F.lit("own"))
     for with_text in (False, True):
         got = sorted(bb.encode_decode(docs.repartition(3), PATH, WORDS, with_text=with_text).collect(), key=lambda r: (r.doc_id is None, r.doc_id or 0, r.n_tokens))
         assert len(got) == len(texts) + 2
         for r, t in zip(got, [*texts, None, "no id"], strict=True):
             ids = library.encode_ordinary(t or "")
-            assert r["__state"] == 2 and r.n_tokens == len(ids)
+            assert r["__state"] == 2 and r["__text"] == "own" and r.n_tokens == len(ids)
             assert r.ids_sha256 == hashlib.sha256(array("I", ids).tobytes()).hexdigest()
             assert r.decoded_sha256 == hashlib.sha256((t or "").encode()).hexdigest()
             if with_text:

@@ -152,4 +152,8 @@ def test_ties_and_own_column_names(spark):
         df = df.withColumn(c, F.lit(c))
     got = {r.page_id: (r.text, r.main, r.path, r.lines, r.page_key, r.vector) for r in hx.extract(df).collect()}
     kept = ("main", "path", "lines", "page_key", "vector")
+    own = ("__host", "__html", "__key", "__cut", "__salt")
+    for c in own:
+        df = df.withColumn(c, F.lit(c))
+    assert all(tuple(r[c] for c in own) == own for how in ({}, {"sent_bytes": 0}) for r in hx.extract(df, **how).collect())
     assert got == {1: ("same length text same length text", *kept), 2: ("same length text same length text", *kept), 3: ("", *kept)}

@@ -40,3 +40,30 @@ def test_near_duplicates_at_five_words_and_80_percent(spark):
     a, b = words("a", 100), words("b", 100)
     rows = [(1, a), (2, words("a", 100, [30, 60])), (3, b), (4, words("b", 100, [30, 50, 70]))]  # 0.811 and 0.729 on five words
     assert near(spark, rows) == [rows[0], *rows[2:]]
+
+
+def test_repeated_rows_keep_one_by_its_other_columns(spark):
+    """Of rows with one id and text the same one stays in every order of the rows."""
+    a = words("a")
+    rows = [(1, a, "en", s, n) for s in ("s1", "s2", None) for n in (1, 2)] + [(2, words("b"), None, "s", None)] * 2
+    kept = set()
+    for k in range(3):
+        docs = spark.createDataFrame(rows[k:] + rows[:k], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+        kept.add(tuple(sorted(map(tuple, corpus_pipeline.near_duplicates(spark, docs, "").collect()), key=repr)))
+    assert len(kept) == 1 and len(next(iter(kept))) == 2
+
+
+def test_stages_keep_very_long_texts_and_clashing_columns(spark):
+    """A long text and columns named as the stages' own pass through near duplicates, secrets and packing whole."""
+    long = " ".join(f"w{k}" for k in range(60_000)) + " password: hunter2secret " + "tail " * 5
+    docs = spark.createDataFrame([(1, long, "en", "s", len(long)), (2, long, "en", "s", len(long)), (3, words("c"), "en", "s", 9), (4, None, None, None, None)], "doc_id long, text string, lang string, source string, n_chars long")
+    for c in ("n_words", "score", "kept", "masks", "component_id"):
+        docs = docs.withColumn(c, corpus_pipeline.F.lit(c))
+    one = corpus_pipeline.near_duplicates(spark, docs, "")
+    assert one.columns == docs.columns and sorted(r.doc_id for r in one.collect()) == [1, 3, 4]
+    two = corpus_pipeline.secrets(spark, one, "")
+    got = {r.doc_id: r for r in two.collect()}
+    assert two.columns == docs.columns and "hunter2secret" not in got[1].text and got[1].text.endswith("tail ") and got[1].n_chars == len(got[1].text)
+    assert all(got[i][c] == c for i in got for c in ("n_words", "score", "kept", "masks", "component_id")) and got[4].text is None
+    packed = corpus_pipeline.pack(spark, two, "").collect()
+    assert {r.doc_id for r in packed} == {1, 3, 4} and sum(r.length for r in packed if r.doc_id == 4) == 1
