@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import jaccard_join, language_id, packing, quality_rules, secret_scan
-from tessera.llm.common import materialize, tokenizer_path
+from tessera.llm.common import free, materialize, tokenizer_path
 from tessera.llm.queries import BYTES, RANKS, table
 
 #: A text is turned away by the language stage if it has no letter or no language reaches this share.
@@ -60,11 +60,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every found span is replaced; n_chars follows the text."""
-    found = secret_scan.find_secrets(docs).filter(F.size("masks") > 0).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), "masks").dropDuplicates(["__id", "__hash"])
-    keyed = docs.withColumn("__text_hash", F.xxhash64("text"))
-    joined = keyed.join(found.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__text_hash") == F.col("__hash")), "left")
-    clean = joined.withColumn("text", F.when(F.col("masks").isNull(), F.col("text")).otherwise(secret_scan.redact(F.col("text"), F.col("masks"))))
-    return clean.withColumn("n_chars", F.when(F.col("masks").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long"))).select(*docs.columns)
+    id_, hash_, text_hash, masks = (free(x, docs.columns) for x in ("__id", "__hash", "__text_hash", "__masks"))
+    found = secret_scan.find_secrets(docs).filter(F.size("masks") > 0).select(F.col("doc_id").alias(id_), F.col("text_hash").alias(hash_), F.col("masks").alias(masks)).dropDuplicates([id_, hash_])
+    keyed = docs.withColumn(text_hash, F.xxhash64("text"))
+    joined = keyed.join(found.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col(id_)) & (F.col(text_hash) == F.col(hash_)), "left")
+    clean = joined.withColumn("text", F.when(F.col(masks).isNull(), F.col("text")).otherwise(secret_scan.redact(F.col("text"), F.col(masks))))
+    return clean.withColumn("n_chars", F.when(F.col(masks).isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long"))).select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
