@@ -200,9 +200,7 @@ def place_notes(t, spark):
 
 @query("SELECT c_custkey, coalesce(a.value, b.value) AS value, CASE WHEN a.value IS NOT NULL THEN 'urgent' WHEN b.value IS NOT NULL THEN 'any' ELSE 'none' END AS from_source FROM customer LEFT JOIN (SELECT o_custkey, min(o_orderkey) AS value FROM orders WHERE o_orderpriority = '1-URGENT' GROUP BY 1) a ON c_custkey = a.o_custkey LEFT JOIN (SELECT o_custkey, min(o_orderkey) AS value FROM orders GROUP BY 1) b ON c_custkey = b.o_custkey")
 def fallback_sources(t, spark):
-    o = t("orders").groupBy(F.col("o_custkey").alias("c_custkey"))
     first = lambda cond: t("orders").filter(cond).groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.min("o_orderkey").alias("value"))
-    del o
     return li.coalesce_sources(t("customer").select("c_custkey"), ["c_custkey"], ("urgent", first("o_orderpriority = '1-URGENT'")), ("any", first("true")))
 
 

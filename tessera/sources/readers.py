@@ -58,14 +58,14 @@ def resolve_redirects(pages: DataFrame, key: str, text: str, doublings: int = 40
     ends = hops.filter("next IS NULL").select(F.col("page").alias("end"))
     named = hops.filter("next IS NOT NULL").select("page", F.col("next").alias("target"))
     stay = hops.filter("next IS NULL").select("page", F.col("page").alias("target"))
-    for _ in range(doublings):
+    for _ in range(min(doublings, named.count().bit_length() + 1)):  # no chain is longer than the pages that lead on
         up = named.select(F.col("page").alias("target"), F.col("target").alias("above"))
         named = materialize(named.join(up, "target", "left").select("page", F.coalesce("above", "target").alias("target"), F.col("above").isNotNull().alias("moved")), "redirects")
         open_ = named.filter("moved").join(ends, F.col("target") == F.col("end"), "left_anti")
         if not open_.join(hops.select(F.col("page").alias("target")), "target", "left_semi").limit(1).count():
             return stay.unionByName(named.select("page", "target"))
         named = named.drop("moved")
-    # what still moves after 2 ** doublings hops goes round
+    # what still moves after more hops than there are pages goes round
     settled = named.join(hops.filter("next IS NOT NULL").select(F.col("page").alias("again")), F.col("target") == F.col("again"), "left")
     return stay.unionByName(settled.select("page", F.when(F.col("again").isNull(), F.col("target")).alias("target")))
 
