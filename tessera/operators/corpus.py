@@ -91,6 +91,35 @@ def insert_headings(segs: DataFrame, headings: DataFrame) -> DataFrame:
     return segs.unionByName(headings.withColumn("seq", F.lit(-1)), allowMissingColumns=True)
 
 
+def division_headings(divisions: DataFrame, title: Column, overrides: DataFrame, lines: DataFrame) -> DataFrame:
+    """divisions: text, div and what `title` needs; overrides: text, div, title (null or empty: the division has none); lines: text, k, line, read before a text.
+
+    text, div, seq, content of the heading rows: a division's title at seq 0, its own in place of the usual one; a text's lines in order before its
+    first division, the last of them at seq 0, or at -1 where that division has a title."""
+    own = overrides.select("text", "div", F.col("title").alias("__own"), F.lit(True).alias("__has"))
+    titled = divisions.withColumn("__title", title).join(own, ["text", "div"], "left")
+    titled = titled.select("text", "div", F.nullif(F.when(F.col("__has"), F.col("__own")).otherwise(F.col("__title")), F.lit("")).alias("content"))
+    titles = titled.filter("content IS NOT NULL").select("text", "div", F.lit(0).alias("seq"), "content")
+    first = titled.groupBy("text").agg(F.min_by(F.struct("div", F.col("content").isNotNull().alias("titled")), "div").alias("f"))
+    back = F.row_number().over(Window.partitionBy("text").orderBy(F.desc("k")))
+    before = lines.withColumn("__b", back).join(first, "text").select("text", F.col("f.div").alias("div"), (1 - F.col("__b") - F.col("f.titled").cast("int")).alias("seq"), F.col("line").alias("content"))
+    return titles.unionByName(before)
+
+
+def rehome_parts(verses: DataFrame, parts: DataFrame) -> DataFrame:
+    """verses: source, chapter, pos (order in the source), verse, content; parts: k (order), source, to (a chapter for all of it; null: as it is), shift (added to its
+    chapters; null: none), ref (how a verse is cited, with {v}; null: its number).
+
+    A text put together from parts of several sources: chapter, seq (through the parts in order, from 1 within the chapter), ref, content.  A part that is
+    listed first and placed into a chapter stands at its start with its own numbering.  Verses of no part are left out; a source in two parts comes twice."""
+    placed = verses.join(parts.select("k", "source", "to", "shift", F.col("ref").alias("__ref")), "source")
+    chapter = F.coalesce("to", F.col("chapter") + F.coalesce("shift", F.lit(0)))
+    rows = placed.withColumn("__c", chapter)
+    seq = F.row_number().over(Window.partitionBy("__c").orderBy("k", "chapter", "pos"))
+    ref = F.replace(F.coalesce("__ref", F.lit("{v}")), F.lit("{v}"), F.col("verse").cast("string"))
+    return rows.select(F.col("__c").alias("chapter"), seq.alias("seq"), ref.alias("ref"), "content")
+
+
 def rehome(df: DataFrame, mapping: DataFrame, col: str) -> DataFrame:
     """mapping: the column, to, shift.  Rows without a rule stay."""
     return df.join(mapping, col, "left").withColumn(col, F.coalesce("to", F.col(col) + F.col("shift"), F.col(col))).drop("to", "shift")

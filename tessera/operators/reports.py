@@ -76,6 +76,13 @@ def preferred_first(df: DataFrame, group: list[str], prefer: F.Column, name: str
     return df.groupBy(*group).agg(row.alias("__row")).select(*group, "__row.*")
 
 
+def first_examples(rows: DataFrame, group: list[str], order: list[str], what: str, n: int = 6) -> DataFrame:
+    """group, examples: the first `n` values of `what` by `order`, ties by the value; no more of a group than these are gathered, from every task."""
+    at = F.row_number().over(Window.partitionBy(*group).orderBy(*order, what))
+    few = rows.withColumn("__k", at).filter(F.col("__k") <= n)
+    return few.groupBy(*group).agg(F.array_sort(F.collect_list(F.struct("__k", what))).alias("x")).select(*group, F.col(f"x.{what}").alias("examples"))
+
+
 def hash_sample(df: DataFrame, key: str, n: int, seed: int = 7) -> DataFrame:
     """A repeatable sample of n rows: those whose hashed keys come first."""
     return df.orderBy(F.md5(F.concat(F.col(key).cast("string"), F.lit(f":{seed}"))), key).limit(n)

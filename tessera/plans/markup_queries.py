@@ -9,10 +9,11 @@ from tessera.functions import letters as lt
 from tessera.functions import markup as mk
 from tessera.functions import text as tx
 from tessera.operators import alignment as al
+from tessera.operators import corpus as co
 from tessera.operators import reports as rp
 from tessera.operators import sequence as sq
 from tessera.operators import views as vw
-from tessera.plans.registry import SEG, WRD, _segs, _words, query
+from tessera.plans.registry import EV, SEG, WRD, _micros, _segs, _words, query
 from tessera.sources import readers as rd
 from tessera.store import new_path
 
@@ -231,3 +232,36 @@ def page_heads(t, spark):
     verses = d.filter("doc_id % 4 = 0").select("doc_id", F.lit("el").alias("lang")).unionByName(d.filter("doc_id % 3 = 0").select("doc_id", F.lit("en").alias("lang")))
     made = vw.page_heads(texts, ["doc_id"], verses, d.filter("lang = 'en'"), d.filter("doc_id % 5 = 0"), d.filter("source = 'src1'").select("doc_id", F.concat(F.lit("read by "), "lang").alias("credit")))
     return made.select("doc_id", F.array_join("features", ",").alias("features"), F.array_join("credits", ",").alias("credits"))
+
+
+# ---- headings, parts, examples -------------------------------------------------------------------------------------------
+
+@query("""WITH d AS (SELECT source AS text, doc_id AS div, lang FROM documents), t AS (SELECT text, div, CASE WHEN div % 5 = 0 THEN NULL WHEN div % 5 = 1 THEN 'own ' || div ELSE 'Part ' || div || ' of ' || text END AS content FROM d),
+f AS (SELECT text, min(div) AS div FROM d GROUP BY text), g AS (SELECT f.text, f.div, (SELECT content FROM t WHERE t.text = f.text AND t.div = f.div) IS NOT NULL AS titled FROM f)
+SELECT text, div, 0 AS seq, content FROM t WHERE content IS NOT NULL UNION ALL SELECT text, div, k - 2 - CASE WHEN titled THEN 1 ELSE 0 END, 'line ' || k FROM g, (VALUES (0), (1), (2)) v(k) WHERE text <> 'src1'""")
+def division_headings(t, spark):
+    """Titles of documents within their source, some of their own, some without, and three lines before all sources but one."""
+    d = t("documents").select(F.col("source").alias("text"), F.col("doc_id").alias("div"))
+    own = d.filter("div % 5 < 2").select("text", "div", F.when(F.col("div") % 5 == 1, F.concat(F.lit("own "), F.col("div").cast("string"))).alias("title"))
+    lines = d.select("text").distinct().filter("text <> 'src1'").select("text", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("k")).withColumn("line", F.concat(F.lit("line "), F.col("k").cast("string")))
+    title = tx.render_label(F.lit("Part {n} of {v}"), F.col("div"), F.lit(""), F.lit(""), F.col("text"))
+    return co.division_headings(d, title, own, lines).select("text", F.col("div").alias("div"), "seq", "content")
+
+
+@query("""WITH v AS (SELECT l_returnflag AS source, l_suppkey % 7 AS chapter, l_orderkey * 10 + l_linenumber AS pos, l_linenumber AS verse FROM lineitem), p AS (SELECT * FROM (VALUES (1, 'N', 3, NULL, 'pr. {v}'), (2, 'A', NULL, NULL, NULL), (3, 'R', NULL, 10, '{v}a')) x(k, source, t, shift, ref)),
+c AS (SELECT coalesce(t, chapter + coalesce(shift, 0)) AS c, k, chapter, pos, replace(coalesce(ref, '{v}'), '{v}', '' || verse) AS ref FROM v JOIN p USING (source))
+SELECT CAST(c AS BIGINT) AS chapter, row_number() OVER (PARTITION BY c ORDER BY k, chapter, pos) AS seq, ref FROM c""")
+def rehomed_parts(t, spark):
+    """Three sources as one text: the first is placed at the start of chapter 3 with its own numbering, the third ten chapters on."""
+    v = t("lineitem").select(F.col("l_returnflag").alias("source"), (F.col("l_suppkey") % 7).alias("chapter"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("pos"), F.col("l_linenumber").alias("verse"), F.lit("x").alias("content"))
+    parts = spark.createDataFrame([(1, "N", 3, None, "pr. {v}"), (2, "A", None, None, None), (3, "R", None, 10, "{v}a")], "k int, source string, to long, shift long, ref string")
+    return co.rehome_parts(v, parts).select("chapter", F.col("seq").cast("long").alias("seq"), "ref")
+
+
+@query(f"""WITH {EV}, p AS (SELECT user_id, event_id, us, lead(us) OVER (PARTITION BY user_id ORDER BY us, event_id) - us AS gap FROM ev), s AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY us, event_id) AS k FROM p WHERE gap < 3600000000)
+SELECT user_id, string_agg('' || event_id, ',' ORDER BY k) AS examples FROM s WHERE k <= 6 GROUP BY user_id""")
+def short_examples(t, spark):
+    """The first six events of every user that the next one follows within an hour."""
+    gap = F.lead("us").over(Window.partitionBy("user_id").orderBy("us", "event_id")) - F.col("us")
+    short = _micros(t).withColumn("gap", gap).filter("gap < 3600000000").select("user_id", "event_id", "us")
+    return rp.first_examples(short, ["user_id"], ["us"], "event_id").select("user_id", F.array_join(F.transform("examples", lambda e: e.cast("string")), ",").alias("examples"))

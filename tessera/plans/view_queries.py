@@ -107,6 +107,21 @@ def aligned_editions(t, spark):
     return al.align_words(_keyed(said), _keyed(edited), "pair").select("pair", "a", "b", "match")
 
 
+_NEIGHBOURS = f"{_SPOKEN}, a AS ({_KEYED.format(_UNNESTED.format('turn', 'said'))}), b AS ({_KEYED.format(_UNNESTED.format('(turn - 1)', 'said'))})"
+
+
+@query(_aligned(_NEIGHBOURS).split(",\nends AS")[0] + """
+SELECT x.g AS pair, CAST(2000 * coalesce(k.n, 0) // (x.n + y.n) AS BIGINT) AS ratio, CAST(1000 * coalesce(k.n, 0) // x.n AS BIGINT) AS share
+FROM (SELECT g, count(*) AS n FROM a GROUP BY g) x JOIN (SELECT g, count(*) AS n FROM b GROUP BY g) y USING (g) LEFT JOIN (SELECT g, count(*) AS n FROM kept GROUP BY g) k USING (g)""")
+def ordered_similarity(t, spark):
+    """Neighbour turns by the words that they share in one order: the share of both, and of the first."""
+    a, b = _keyed(_spoken(t)), _keyed(_spoken(t).filter("turn > 0"), "turn - 1")
+    pairs = al.longest_runs(a.select("pair", "i", F.col("loose").alias("key")), b.select("pair", "i", F.col("loose").alias("key")), "pair", "key")
+    size = lambda df: df.groupBy("pair").agg(F.count("*").alias("n"))
+    got = al.similarity(pairs, size(a), size(b), "pair")
+    return got.select("pair", "ratio", F.floor(1000 * F.col("matched") / F.col("n_a")).cast("long").alias("share"))
+
+
 @query(None)
 def aligned_divisions(t, spark):
     """Whole documents, with all their repeated words, against an edition that splits some words in two and leaves others out; the aligner is tested
