@@ -55,6 +55,11 @@ def _words(t) -> DataFrame:
     return co.words(_segs(t), ("doc_id", "source", "lang", "seq"))
 
 
+def _bare_words(t, *keys: str) -> DataFrame:
+    """Words without their places: one pass over whole texts, nothing but `keys` goes with them."""
+    return t("documents").select(*keys, F.explode(F.split("text", "[ \n]+")).alias("word")).filter("word <> ''")
+
+
 def _micros(t) -> DataFrame:
     """Microseconds since 1970 of the events' local time, whatever the session's zone."""
     return t("events").withColumn("us", F.expr("timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', ts)"))
@@ -80,7 +85,7 @@ FROM q LEFT JOIN l0 ON q.word = l0.k LEFT JOIN l1 ON lower(q.word) = l1.k LEFT J
 def flagship_coverage(t, spark):
     # one pass over the words: counts by language, and how many of them are the lexicon's
     own = F.col("source") == "src1"
-    counts = materialize(_words(t).groupBy("lang", "word").agg(F.count_if(~own).alias("n"), F.count_if(own).alias("entries")), "counts")
+    counts = materialize(_bare_words(t, "lang", "source").groupBy("lang", "word").agg(F.count_if(~own).alias("n"), F.count_if(own).alias("entries")), "counts")
     asked = counts.filter("n > 0").select("lang", "word", "n")
     linked = li.cascade(asked, counts.filter("entries > 0").select(F.col("word").alias("entry")), _levels())
     return asked.join(linked, "word").groupBy("lang", "method").agg(F.sum("n").alias("tokens"), F.count("*").alias("forms"))
@@ -90,7 +95,7 @@ def flagship_coverage(t, spark):
 SELECT lang, CAST(sum(CASE WHEN entry IS NOT NULL THEN n ELSE 0 END) AS BIGINT) AS hit, CAST(sum(n) AS BIGINT) AS total,
 CAST(100 * sum(CASE WHEN entry IS NOT NULL THEN n ELSE 0 END) // sum(n) AS BIGINT) AS percent FROM q LEFT JOIN entries ON word = entry GROUP BY lang""")
 def weighted_coverage(t, spark):
-    w = _words(t)
+    w = _bare_words(t, "lang", "source")
     entries = w.filter("source = 'src1'").select("word").distinct().withColumn("hit", F.lit(True))
     asked = w.filter("source <> 'src1'").groupBy("lang", "word").agg(F.count("*").alias("n"))
     return rp.coverage(asked.join(entries, "word", "left").withColumn("m", F.col("hit").isNotNull()), ["lang"], "m", "n")
