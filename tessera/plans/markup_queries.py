@@ -265,3 +265,19 @@ def short_examples(t, spark):
     gap = F.lead("us").over(Window.partitionBy("user_id").orderBy("us", "event_id")) - F.col("us")
     short = _micros(t).withColumn("gap", gap).filter("gap < 3600000000").select("user_id", "event_id", "us")
     return rp.first_examples(short, ["user_id"], ["us"], "event_id").select("user_id", F.array_join(F.transform("examples", lambda e: e.cast("string")), ",").alias("examples"))
+
+
+@query(f"WITH {WRD} SELECT doc_id || ':' || seq AS ref, md5(string_agg(word, ' ' ORDER BY word_index)) AS digest, CAST(sum(length(word)) AS BIGINT) AS chars FROM wrd GROUP BY doc_id, seq")
+def column_verses(t, spark):
+    """Words and their lengths in two files, and where each line starts in a third: put together again."""
+    w = sq.running(_words(t).select("doc_id", "seq", "word_index", "word"), [], ["doc_id", "seq", "word_index"], {})
+    w = w.repartitionByRange(2, "i").sortWithinPartitions("i")
+    paths = {x: new_path(spark, x) for x in ("word", "size", "starts")}
+    first = w.groupBy("doc_id", "seq").agg(F.min("i").alias("i")).coalesce(1).sortWithinPartitions("i")
+    one = w.coalesce(1).sortWithinPartitions("i")
+    one.select("word").write.text(paths["word"])
+    one.select(F.length("word").cast("string")).write.text(paths["size"])
+    first.select(F.concat(F.concat_ws(":", "doc_id", "seq"), F.lit("\t"), F.col("i").cast("string"))).write.text(paths["starts"])
+    v = rd.column_verses(spark, {x: paths[x] for x in ("word", "size")}, paths["starts"], "word")
+    chars = F.aggregate("words", F.lit(0).cast("long"), lambda n, x: n + x["size"].cast("long"))
+    return v.select("ref", F.md5("content").alias("digest"), chars.alias("chars"))

@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructType
 
+from tessera.functions.markup import keyed_paragraphs, styled_runs
+from tessera.functions.text import clean_wiki
+from tessera.operators.linking import overlapping
+from tessera.operators.sequence import next_of
 from tessera.store import materialize
 
 
@@ -180,6 +186,29 @@ def parallel_files(spark: SparkSession, columns: dict[str, str]) -> DataFrame:
     return out
 
 
+def column_verses(spark: SparkSession, columns: dict[str, str], starts: str, content: str) -> DataFrame:
+    """columns: name -> file with a line per word; starts: a file of "ref<TAB>line", the line (from 1) of each verse's first word.  A verse ends where the
+    next one starts, the last one with the files.
+
+    seq (in the order of the starts), ref, content (the words of the column `content`, joined by blanks) and words: array<struct<line, columns>>.  Words meet
+    their verses by buckets of the line axis, so that no file passes one task; a verse's words become one row.  A verse without words, or words before
+    the first verse, are left out."""
+    words = materialize(parallel_files(spark, columns), "words")
+    total = words.agg(F.coalesce(F.max("line"), F.lit(0))).first()[0]
+    parts = F.split("value", "\t")
+    listed = numbered_lines(spark, starts).select(F.col("line").alias("seq"), F.trim(parts[0]).alias("ref"), F.get(parts, F.lit(1)).cast("long").alias("start")).filter("start IS NOT NULL").withColumn("__k", F.lit(0))
+    spans = next_of(listed, ["__k"], ["start", "seq"], "start", "__next").withColumn("end", F.coalesce(F.col("__next") - 1, F.lit(total))).select("seq", "ref", "start", "end")
+    met = overlapping(words.withColumn("start", F.col("line")).withColumn("end", F.col("line")), spans, [])
+    rows = met.groupBy("seq", "ref").agg(F.array_sort(F.collect_list(F.struct("line", *columns))).alias("words"))
+    return rows.select("seq", "ref", F.array_join(F.col(f"words.{content}"), " ").alias("content"), "words")
+
+
+def wiki_lines(pages: DataFrame) -> DataFrame:
+    """pages: name, body.  Lines of every page that isn't a redirect, cleaned, without empty ones: div, seq (of the line in the page), content."""
+    lines = pages.filter(~F.col("body").rlike(r"(?i)^#REDIRECT")).select(F.col("name").alias("div"), F.posexplode(F.split("body", "\n")).alias("seq", "content"))
+    return lines.withColumn("content", clean_wiki(F.col("content"))).filter("content <> ''")
+
+
 def keyed_notes(df: DataFrame, ref: str, source_map: DataFrame) -> DataFrame:
     """ref "B.L-B.M" -> book, line, line_to (clipped to its book); volume -> source by a small map."""
     p = r"^(\d+)\.(\d+)(?:-(?:(\d+)\.)?(\d+))?$"
@@ -202,12 +231,11 @@ def reader(kind: str):
 
 
 def build_corpus(spark: SparkSession, catalogue: list[dict]) -> DataFrame:
-    """The union of every entry's segments, each read by its source's type."""
-    out = None
-    for entry in catalogue:
-        part = READERS[entry["type"]](spark, entry).withColumn("text", F.lit(entry["slug"]))
-        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
-    return out
+    """The union of every entry's segments, each read by its source's type.  Divisions that are numbers in one source and names in another are names."""
+    parts = [READERS[entry["type"]](spark, entry).withColumn("text", F.lit(entry["slug"])) for entry in catalogue]
+    if any(isinstance(p.schema["div"].dataType, StringType) for p in parts):
+        parts = [p.withColumn("div", F.col("div").cast("string")) for p in parts]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
 @reader("vpl")
@@ -219,3 +247,26 @@ def _vpl(spark: SparkSession, entry: dict) -> DataFrame:
 def _documents(spark: SparkSession, entry: dict) -> DataFrame:
     docs = spark.read.parquet(entry["path"])
     return docs.select(F.col("doc_id").alias("div"), F.posexplode(F.split("text", "\n")).alias("seq", "content"))
+
+
+@reader("columns")
+def _columns(spark: SparkSession, entry: dict) -> DataFrame:
+    """Parallel column files with an offset table; a ref "chapter:verse" gives the division, any other is of division 1."""
+    verses = column_verses(spark, entry["columns"], entry["starts"], entry["content"])
+    chapter = F.nullif(F.regexp_extract("ref", r"^(\d+)[:.]", 1), F.lit("")).cast("long")
+    return verses.select(F.coalesce(chapter, F.lit(1).cast("long")).alias("div"), "seq", "content")
+
+
+@reader("wiki")
+def _wiki(spark: SparkSession, entry: dict) -> DataFrame:
+    pages = spark.read.parquet(entry["path"])
+    return wiki_lines(pages.select(F.col(entry.get("name", "name")).alias("name"), F.col(entry.get("body", "body")).alias("body")))
+
+
+@reader("paragraphs")
+def _paragraphs(spark: SparkSession, entry: dict) -> DataFrame:
+    """A row per paragraph of marked-up pages, as plain text."""
+    pages = spark.read.parquet(entry["path"]).select(F.col(entry["key"]).alias("div"), F.col(entry["body"]).alias("body"))
+    parts = keyed_paragraphs(pages, ["div"], "body", entry.get("paragraph", "p"))
+    runs = styled_runs(parts, ["div", "para"], "inner", {"x": "^$"})
+    return runs.select("div", F.col("para").alias("seq"), F.array_join("runs.text", "").alias("content")).filter("content <> ''")

@@ -57,3 +57,22 @@ def test_first_examples(spark):
     rows = [(1, n % 10, n) for n in range(50)] + [(2, 0, 7)]
     got = {r.g: r.examples for r in rp.first_examples(spark.createDataFrame(rows, "g int, at int, v int"), ["g"], ["at"], "v", 6).collect()}
     assert got == {1: [0, 10, 20, 30, 40, 1], 2: [7]}
+
+
+def test_corpus_of_four_kinds_of_readers(spark, tmp_path):
+    """Column files with offsets, wiki pages, marked-up pages and documents as one corpus."""
+    from tessera.sources import readers as rd
+
+    (tmp_path / "w.txt").write_text("alpha\nbeta\ngamma\ndelta\n")
+    (tmp_path / "m.txt").write_text("A\nB\nC\nD\n")
+    (tmp_path / "s.txt").write_text("1:1\t1\n1:2\t3\n2:1\t4\n2:2\t9\n")
+    at = lambda n: f"file://{tmp_path}/{n}"
+    spark.createDataFrame([("p", "''one'' {{x|{{y}}}}\n\n[[a|two]]"), ("r", "#REDIRECT [[p]]")], "name string, body string").write.parquet(at("wiki"))
+    spark.createDataFrame([(7, "<p>first <b>bold</b></p><p>second"), (8, None)], "page long, html string").write.parquet(at("html"))
+    spark.createDataFrame([(5, "line a\nline b")], "doc_id long, text string").write.parquet(at("docs"))
+    words = {"word": at("w.txt"), "morph": at("m.txt")}
+    verses = sorted((r.seq, r.ref, r.content, [x.morph for x in r.words]) for r in rd.column_verses(spark, words, at("s.txt"), "word").collect())
+    assert verses == [(1, "1:1", "alpha beta", ["A", "B"]), (2, "1:2", "gamma", ["C"]), (3, "2:1", "delta", ["D"])]
+    catalogue = [{"type": "columns", "slug": "col", "columns": words, "starts": at("s.txt"), "content": "word"}, {"type": "wiki", "slug": "wik", "path": at("wiki")}, {"type": "paragraphs", "slug": "par", "path": at("html"), "key": "page", "body": "html"}, {"type": "documents", "slug": "doc", "path": at("docs")}]
+    got = sorted((r.text, r.div, r.seq, r.content) for r in rd.build_corpus(spark, catalogue).select("text", F.col("div").cast("string").alias("div"), "seq", "content").collect())
+    assert got == sorted([("col", "1", 1, "alpha beta"), ("col", "1", 2, "gamma"), ("col", "2", 3, "delta"), ("wik", "p", 0, "one"), ("wik", "p", 2, "two"), ("par", "7", 0, "first bold"), ("par", "7", 1, "second"), ("doc", "5", 0, "line a"), ("doc", "5", 1, "line b")])
