@@ -12,6 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions.text import acute, split_word
 from tessera.operators.graph import components
 from tessera.operators.linking import overlapping
 from tessera.operators.sequence import last_known, next_known, running
@@ -356,6 +357,31 @@ def transfer(edges: DataFrame, words: DataFrame, attributes: DataFrame, group: s
     return words.join(edges.select(group, "a", "b"), [group, "a"], "left").join(attributes, [group, "b"], "left").drop("b")
 
 
+def marks_from(words: DataFrame, guide: DataFrame, group: str) -> DataFrame:
+    """words (bare), guide: group, i (from 0), word, key.  Every word with the marks and capitals of the guide's: group, i, text.
+
+    Words of equal keys in the longest runs take each other's; so do those of stretches of equal length, one by one; of a stretch that the guide writes in more or
+    fewer words the first takes what opens the guide's first, the last what closes its last.  Before a stop a final grave becomes acute.  A word
+    whose place the guide lacks stays bare."""
+    pairs = materialize(longest_runs(words, guide, group, "key").select(group, "a", "b"), "pairs")
+    gaps = _stretches(pairs, words, guide, group).withColumn("la", F.col("na") - F.col("a") - 1).withColumn("lb", F.col("nb") - F.col("b") - 1)
+    gaps = materialize(gaps, "stretches")
+    even = gaps.filter("la = lb").select(group, F.explode(F.sequence(F.lit(1), F.col("la"))).alias("k"), "a", "b").select(group, (F.col("a") + F.col("k")).alias("i"), (F.col("b") + F.col("k")).alias("opens"))
+    both = pairs.select(group, F.col("a").alias("i"), F.col("b").alias("opens")).unionByName(even).withColumn("closes", F.col("opens"))
+    odd = gaps.filter("la <> lb AND la > 0 AND lb > 0")
+    none = F.lit(None).cast(both.schema["opens"].dataType)
+    ends = odd.select(group, (F.col("a") + 1).alias("i"), (F.col("b") + 1).alias("opens"), none.alias("closes")).unionByName(odd.select(group, (F.col("na") - 1).alias("i"), none.alias("opens"), (F.col("nb") - 1).alias("closes")))
+    taken = both.unionByName(ends).groupBy(group, "i").agg(F.max("opens").alias("opens"), F.max("closes").alias("closes"))
+    of = lambda c: guide.select(group, F.col("i").alias(c), split_word(F.col("word")).alias(f"__{c}"))
+    met = words.join(taken, [group, "i"], "left").join(of("opens"), [group, "opens"], "left").join(of("closes"), [group, "closes"], "left")
+    first = F.substring("word", 1, 1)
+    large = lambda c: F.coalesce(F.col(f"__{c}.core").rlike(r"^\p{Lu}"), F.lit(False))
+    core = F.when((large("opens") | large("closes")) & (F.length(F.upper(first)) == 1), F.concat(F.upper(first), F.substr("word", F.lit(2)))).otherwise(F.col("word"))
+    trail = F.coalesce("__closes.trail", F.lit(""))
+    core = F.when(F.trim(F.regexp_replace(trail, "[ ’']", "")) != "", acute(core)).otherwise(core)
+    return met.select(group, "i", F.concat(F.coalesce("__opens.lead", F.lit("")), core, trail).alias("text"))
+
+
 def reindex(annotations: DataFrame, edges: DataFrame, group: str) -> DataFrame:
     """annotations: group, i.  Old places to new ones by unchanged words (edges: a old, b new); those of changed words go."""
     return annotations.join(edges.select(group, F.col("a").alias("i"), F.col("b").alias("new_i")), [group, "i"])

@@ -122,6 +122,29 @@ def ordered_similarity(t, spark):
     return got.select("pair", "ratio", F.floor(1000 * F.col("matched") / F.col("n_a")).cast("long").alias("share"))
 
 
+_BARE = f"""{_SPOKEN}, edited AS (SELECT conv_id, turn, list_filter(string_split(array_to_string([({_EDIT.replace("k % ", "(k - 1) % ")}) for x, k in w], ''), ' '), lambda x: x <> '') AS w FROM said),
+a AS (SELECT g, i, key AS word, key, key AS loose FROM ({_KEYED.format(_UNNESTED.format('turn', 'edited'))}) WHERE key <> ''), b AS (SELECT g, i, word, key, key AS loose FROM ({_KEYED.format(_UNNESTED.format('turn', 'said'))}) WHERE key <> '')"""
+_BARE = _BARE.replace("a AS (SELECT g, i, key", "a AS (SELECT g, row_number() OVER (PARTITION BY g ORDER BY i) - 1 AS i, key").replace("b AS (SELECT g, i, word", "b AS (SELECT g, row_number() OVER (PARTITION BY g ORDER BY i) - 1 AS i, word")
+
+
+@query(_aligned(_BARE).split(",\nga AS")[0] + r""",
+took AS (
+  SELECT g, a AS i, b AS o, b AS c FROM kept
+  UNION ALL SELECT g, a + k, b + k, b + k FROM (SELECT g, a, b, unnest(range(1, na - a)) AS k FROM gaps WHERE na - a = nb - b)
+  UNION ALL SELECT g, a + 1, b + 1, NULL FROM gaps WHERE na - a <> nb - b AND na - a > 1 AND nb - b > 1
+  UNION ALL SELECT g, na - 1, NULL, nb - 1 FROM gaps WHERE na - a <> nb - b AND na - a > 1 AND nb - b > 1),
+one AS (SELECT g, i, max(o) AS o, max(c) AS c FROM took GROUP BY g, i),
+m AS (SELECT a.g, a.i, a.word, coalesce(x.word, '') AS x, coalesce(y.word, '') AS y FROM a LEFT JOIN one t ON t.g = a.g AND t.i = a.i LEFT JOIN b x ON x.g = a.g AND x.i = t.o LEFT JOIN b y ON y.g = a.g AND y.i = t.c)
+SELECT g AS pair, i, regexp_extract(x, '^[^\pL\pN]*') || CASE WHEN left(word, 1) <> 'ß' AND (regexp_matches(x, '^[^\pL\pN]*\p{Lu}') OR regexp_matches(y, '^[^\pL\pN]*\p{Lu}')) THEN upper(left(word, 1)) || substr(word, 2) ELSE word END || regexp_extract(y, '[^\pL\pN]*$') AS text FROM m""".replace("\\\\", "\\"))
+def marked_words(t, spark):
+    """Bare words of an edition with the marks and capitals of the spoken turns: equal, replaced, split, joined and left out words."""
+    said = _spoken(t)
+    edited = said.withColumn("w", F.expr(f"filter(split(array_join(transform(w, (x, k) -> {_EDIT}), ''), ' '), x -> x <> '')"))
+    place = lambda df: sq.running(df.filter("key <> ''").withColumnRenamed("i", "at"), ["pair"], ["at"], {}).withColumn("i", (F.col("i") - 1).cast("int"))
+    words, guide = place(_keyed(edited)).withColumn("word", F.col("key")), place(_keyed(said))
+    return al.marks_from(words.select("pair", "i", "word", "key"), guide.select("pair", "i", "word", "key"), "pair").select("pair", "i", "text")
+
+
 @query(None)
 def aligned_divisions(t, spark):
     """Whole documents, with all their repeated words, against an edition that splits some words in two and leaves others out; the aligner is tested
