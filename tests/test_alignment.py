@@ -5,7 +5,9 @@ import time
 from collections import Counter
 
 import numpy as np
+from pyspark.sql import functions as F
 
+from tessera.functions import text as tx
 from tessera.operators import alignment as al
 from tests.test_operators import runs_by_hand
 
@@ -112,3 +114,20 @@ def test_long_division(spark):
     assert time.time() - began < 120
     assert all(x[i] == y[j] for i, j in got) and [j for _, j in got] == sorted({j for _, j in got})
     assert len(got) >= 0.97 * len(y)
+
+
+def test_marks_from_a_guide(spark):
+    cases = {
+        "equal": ("και ειπεν ο λογος", "“Καὶ εἶπεν, ὁ λόγος.”", "“Και ειπεν, ο λογος.”"),
+        "odd": ("αβγ δεζ ηθι τελος", "«Αβ γ δ» ηθι τελος.", "«Αβγ δεζ» ηθι τελος."),
+        "even": ("αβγ ξξξ τελος", "αβγ, (Ψψψ) τελος", "αβγ, (Ξξξ) τελος"),
+        "stop": ("θεὸς καὶ", "θεὸς· καὶ", "θεός· καὶ"),
+        "grave": ("τὸ", "τό.", "τό."),
+        "less": ("α β γ", "α γ.", "α β γ."),
+        "none": ("α β", "", "α β"),
+    }
+    side = lambda k: spark.createDataFrame([(n, i, w) for n, p in cases.items() for i, w in enumerate(p[k].split())], "g string, i int, word string").withColumn("key", tx.fold_letters(F.col("word")))
+    got = {}
+    for r in al.marks_from(side(0), side(1), "g").orderBy("g", "i").collect():
+        got.setdefault(r.g, []).append(r.text)
+    assert {n: " ".join(v) for n, v in got.items()} == {n: p[2] for n, p in cases.items()}
