@@ -59,7 +59,7 @@ def poem_lines(t, spark):
     mark = lambda seq: F.when(seq % 5 == 0, F.concat(F.lit("{{r|"), seq.cast("string"), F.lit("}}"))).otherwise(F.lit(""))
     rows = _plain(t).filter("line <> ''").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("seq", "line"))).alias("x"))
     text = F.array_join(F.transform("x", lambda r: F.concat(mark(r["seq"]), r["line"])), "\n")
-    return rd.wiki_lines(rows.select("doc_id", F.concat(F.lit("<poem>\n"), text, F.lit("\n</poem>")).alias("body")), "doc_id", "body")
+    return rd.poem_lines(rows.select("doc_id", F.concat(F.lit("<poem>\n"), text, F.lit("\n</poem>")).alias("body")), "doc_id", "body")
 
 
 @query(f"""WITH {SEG}, {PLAIN}, k AS (SELECT *, sum(CASE WHEN seq % 12 = 3 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY seq) AS book FROM plain), r AS (SELECT * FROM k WHERE seq % 12 <> 3 AND line <> '' AND book > 0), c AS (SELECT *, sum(CASE WHEN seq % 5 = 4 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id, book ORDER BY seq) AS n FROM r)

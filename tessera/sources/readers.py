@@ -39,7 +39,7 @@ def milestone_passages(df: DataFrame, key: str, text: str, marker: str) -> DataF
     return df.select(key, F.posexplode(F.arrays_zip(marks.alias("marker"), F.split(text, marker).alias("passage"))).alias("i", "z")).select(key, "i", "z.marker", "z.passage")
 
 
-def wiki_lines(df: DataFrame, key: str, text: str) -> DataFrame:
+def poem_lines(df: DataFrame, key: str, text: str) -> DataFrame:
     """Lines of <poem> blocks, numbered by counting; {{r|n}} markers are taken out and kept."""
     block = F.posexplode(F.regexp_extract_all(text, F.lit(r"(?s)<poem>(.*?)</poem>"), F.lit(1)))
     lines = df.select(key, block.alias("__n", "__b")).select(key, "__n", F.posexplode(F.split("__b", "\n")).alias("__i", "raw")).filter(F.trim("raw") != "")

@@ -76,3 +76,13 @@ def test_corpus_of_four_kinds_of_readers(spark, tmp_path):
     catalogue = [{"type": "columns", "slug": "col", "columns": words, "starts": at("s.txt"), "content": "word"}, {"type": "wiki", "slug": "wik", "path": at("wiki")}, {"type": "paragraphs", "slug": "par", "path": at("html"), "key": "page", "body": "html"}, {"type": "documents", "slug": "doc", "path": at("docs")}]
     got = sorted((r.text, r.div, r.seq, r.content) for r in rd.build_corpus(spark, catalogue).select("text", F.col("div").cast("string").alias("div"), "seq", "content").collect())
     assert got == sorted([("col", "1", 1, "alpha beta"), ("col", "1", 2, "gamma"), ("col", "2", 3, "delta"), ("wik", "p", 0, "one"), ("wik", "p", 2, "two"), ("par", "7", 0, "first bold"), ("par", "7", 1, "second"), ("doc", "5", 0, "line a"), ("doc", "5", 1, "line b")])
+
+
+def test_poems_and_wiki_pages_have_readers_of_their_own(spark):
+    """Poem lines are numbered with their markers; lines of wiki pages keep their place."""
+    from tessera.sources import readers as rd
+
+    poem = spark.createDataFrame([(1, "x <poem>\n{{r|5}}one\n\ntwo</poem> y <poem>three</poem>")], "k long, body string")
+    assert sorted((r.k, r.line, r.content, r.marker) for r in rd.poem_lines(poem, "k", "body").collect()) == [(1, 1, "one", "5"), (1, 2, "two", None), (1, 3, "three", None)]
+    wiki = spark.createDataFrame([("p", "one\n\n''two''"), ("r", "#REDIRECT [[p]]")], "name string, body string")
+    assert sorted((r.div, r.seq, r.content) for r in rd.wiki_lines(wiki).collect()) == [("p", 0, "one"), ("p", 2, "two")]
