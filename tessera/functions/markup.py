@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.text import unescape
+from tessera.functions.text import unescape_closed
 
 RUNS = "array<struct<kind:string,text:string>>"
 _TOKEN = r"<!--[\s\S]*?(?:-->|\z)|<[/A-Za-z][^<>]*>|[^<]+|<"
@@ -58,7 +58,7 @@ def styled_runs(df: DataFrame, keys: list[str], col: str, styles: dict[str, str]
 
     styles: kind -> pattern of the opening tags that give it; the innermost such element decides.  skip: pattern of opening tags whose content goes.
     signs: tag name -> what is written before and after its content, in the plain kind.  Texts of one kind in a row are one run, blanks within and between
-    runs are one, and none stands at the ends.  Character references are decoded.  converted: a column over `text` and `kind` that rewrites a piece."""
+    runs are one, and none stands at the ends.  Character references that end in a semicolon are decoded.  converted: a column over `text` and `kind` that rewrites a piece."""
     tokens = markup_tokens(df, keys, col)
     kind = F.lit(None).cast("string")
     for k, pattern in reversed([*styles.items(), *([("\x01skip", skip)] if skip else [])]):
@@ -66,7 +66,7 @@ def styled_runs(df: DataFrame, keys: list[str], col: str, styles: dict[str, str]
     tags = matched(tokens.filter("step <> 0"), keys)
     opened = tags.filter("step > 0").select(*keys, "i", kind.alias("kind"), F.lit(1).alias("step")).filter("kind IS NOT NULL")
     closed = tags.filter("step < 0").select(*keys, F.col("i").alias("__i"), F.col("opened_at").alias("i")).join(opened.drop("step"), [*keys, "i"]).select(*keys, F.col("__i").alias("i"), "kind", F.lit(-1).alias("step"))
-    texts = tokens.filter("name IS NULL").select(*keys, "i", unescape(F.col("token")).alias("text"))
+    texts = tokens.filter("name IS NULL").select(*keys, "i", unescape_closed(F.col("token")).alias("text"))
     kinds = [*styles, *(["\x01skip"] if skip else [])]
     elements = opened.unionByName(closed)
     inside = innermost(texts, elements.filter(F.col("kind") != "\x01skip"), keys, list(styles))

@@ -87,6 +87,14 @@ def test_runs_convert_their_language(spark):
     assert [tuple(x) for x in row.runs] == [("l", "μῆνιν"), ("t", ": "), ("g", "Ἀχιλῆος"), ("t", " of <him>")]
 
 
+def test_cut_references_stay(spark):
+    """A reference without its semicolon is text, as in the queries' SQL."""
+    said = ["a &amp", "a &amp;&quo", "&copyright &ampquot; &#65 &#x41; &#65;", "&hellip;&nosuch;", None]
+    assert values(spark, tx.unescape_closed(F.col("x")), *said) == ["a &amp", "a &&quo", "&copyright &ampquot; &#65 A A", "…&nosuch;", None]
+    df = spark.createDataFrame([(1, "<b>R&amp;D &amp</b>")], "id int, body string")
+    assert [tuple(x) for x in mk.styled_runs(df, ["id"], "body", {"b": "^<b"}).first().runs] == [("b", "R&D &amp")]
+
+
 def test_paragraphs(spark):
     rows = [(1, "<p>one</p><p>two <emph>x</emph><p>three</p>"), (2, "no paragraph"), (3, "<p> </p><p>only</p>"), (4, None), (5, "before<p>in</p>")]
     got = sorted(tuple(r) for r in mk.keyed_paragraphs(spark.createDataFrame(rows, "id int, body string"), ["id"], "body").collect())
