@@ -59,24 +59,20 @@ def _hold(state, values: tuple, at_ms: int, forget_ms: int | None) -> None:
 
 
 def _keep_first(key: tuple, batches: Iterator[pd.DataFrame], state, forget_ms: int | None = None) -> Iterator[pd.DataFrame]:
-    """State: the last removal, and the first add after it (both 0 and none at first)."""
+    """State: the last removal, and all adds after it in order (times and ids): a removal that comes late leaves the first add after it."""
     if state.hasTimedOut:
         state.remove()
         return
-    removed, at, ident = _held(state, forget_ms) or (-(2**62), None, None)
-    latest = 0
+    removed, times, ids = _held(state, forget_ms) or (-(2**62), [], [])
+    adds, latest = set(zip(times, ids, strict=True)), 0
     for b in batches:
         latest = max([latest, *_millis(b)])
-        gone = b.loc[b["removed"], "at"]
-        removed = max([removed, *gone.tolist()])
-        if at is not None and at <= removed:
-            at = ident = None
-        adds = b.loc[~b["removed"] & (b["at"] > removed), ["at", "event_id"]]
-        for x, i in zip(adds["at"].tolist(), adds["event_id"].tolist(), strict=True):
-            if at is None or (x, i) < (at, ident):
-                at, ident = x, i
-    _hold(state, (removed, at, ident), latest, forget_ms)
-    yield pd.DataFrame([[*key, ident]]).astype("Int64")
+        removed = max([removed, *b.loc[b["removed"], "at"].tolist()])
+        new = b.loc[~b["removed"] & (b["at"] > removed), ["at", "event_id"]]
+        adds.update(zip(new["at"].tolist(), new["event_id"].tolist(), strict=True))
+    kept = sorted(x for x in adds if x[0] > removed)
+    _hold(state, (removed, [x for x, _ in kept], [i for _, i in kept]), latest, forget_ms)
+    yield pd.DataFrame([[*key, kept[0][1] if kept else None]]).astype("Int64")
 
 
 def _millis(b: pd.DataFrame) -> list[int]:
@@ -85,8 +81,8 @@ def _millis(b: pd.DataFrame) -> list[int]:
 
 def bookmarks(events: DataFrame, keys: list[str], late: str | None = None, forget_ms: int | None = None) -> DataFrame:
     """events: keys (longs), at, event_id, removed.  keys, event_id: the first add after the key's last removal, null if there is none.  The
-    batch twin says the same by aggregates; as a stream (update mode) a key's state is two times and an id, and a late removal drops only adds
-    before it that were kept: an add between two removals that come in the wrong order is gone for good, as in the batch.
+    batch twin says the same by aggregates, whatever the order in which events come; as a stream (update mode) a key's state is its last removal and the
+    adds after it, as a removal that comes late may drop the first of them.
 
     With `late` and `forget_ms` events also have ts (a timestamp): a key's state is dropped `forget_ms` after its last event, by event time; what was given
     out stays so, and an event of the key after that begins anew."""
@@ -94,7 +90,7 @@ def bookmarks(events: DataFrame, keys: list[str], late: str | None = None, forge
         kind = ", ".join(f"`{k}` long" for k in keys) + ", event_id long"
         named = lambda key, batches, state: (df.set_axis([*keys, "event_id"], axis=1) for df in _keep_first(key, batches, state, forget_ms))
         seen = events if forget_ms is None else events.withWatermark("ts", late)
-        return seen.groupBy(*keys).applyInPandasWithState(named, kind, "removed long, at long, ident long, ends long", "update", "NoTimeout" if forget_ms is None else "EventTimeTimeout")
+        return seen.groupBy(*keys).applyInPandasWithState(named, kind, "removed long, times array<long>, ids array<long>, ends long", "update", "NoTimeout" if forget_ms is None else "EventTimeTimeout")
     last = events.filter("removed").groupBy(*keys).agg(F.max("at").alias("__r"))
     adds = events.filter("NOT removed").join(last, keys, "left").filter("__r IS NULL OR at > __r")
     firsts = adds.groupBy(*keys).agg(F.min(F.struct("at", "event_id")).alias("m")).select(*keys, F.col("m.event_id").alias("event_id"))

@@ -123,3 +123,23 @@ def test_enrich_by_plain_loops(spark):
     assert got == want and len(got) > 1000
     plan = joined._jdf.queryExecution().executedPlan().toString()
     assert "__bucket" in plan and "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_bookmarks_in_any_order(spark, tmp_path):
+    """A removal that comes after later adds, in the next Arrow batch or in the next micro-batch, leaves the first add after it."""
+    schema = "k long, at long, event_id long, removed boolean"
+    g = random.Random(5)
+    batches = [[(1, 9, 90, False), (1, 5, 50, False), (1, 12, 120, False), (2, 5, 50, False), (2, 9, 90, False)] + [(k, g.randrange(1, 99) * 10 + k, g.randrange(10**6), g.random() < 0.1) for k in range(3, 9) for _ in range(20)] for _ in range(2)]
+    batches[0].append((1, 7, 70, True))
+    batches[1].append((2, 7, 70, True))
+    held = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
+    try:
+        out = st.drain(st.bookmarks(feed(spark, tmp_path, schema, batches), ["k"]), f"file://{tmp_path}/out", "update")
+        got = {r.k: r.event_id for r in out.orderBy("epoch").collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", held)
+    rows = [r for b in batches for r in b]
+    last = {k: max((a for q, a, _, gone in rows if q == k and gone), default=-1) for k in range(1, 9)}
+    want = {k: min(((a, i) for q, a, i, gone in rows if q == k and not gone and a > last[k]), default=(0, None))[1] for k in range(1, 9)}
+    assert got == want and got[1] == got[2] == 90
