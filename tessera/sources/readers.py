@@ -164,24 +164,26 @@ def read_service(lines: DataFrame, key: str, order: str, text: str, heading: str
     return said.join(names, [key, "part"], "left").select(key, order, "part", "label", "para", "speaker", "content")
 
 
-def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """file, line (from 1), value of every line of text files, whatever pieces Spark reads them in.
+def numbered_lines(spark: SparkSession, path: str, whole: bool = False) -> DataFrame:
+    """file, line (from 1), value of every line of text files, whatever pieces Spark reads them in.  With `whole` the files under path are one text, in the
+    order of their names, and file is null.
 
     A file's pieces are read apart and their lines counted; a line's number is its place in its piece and the lines of the pieces before it.  The lines
     are written once in between, so that both passes see the same pieces."""
     raw = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("__piece"), "value", F.monotonically_increasing_id().alias("__at"))
     raw = materialize(raw, "lines")
     pieces = raw.groupBy("file", "__piece").agg(F.min("__at").alias("__first"), F.count("*").alias("__n"))
-    before = Window.partitionBy("file").orderBy("__piece").rowsBetween(Window.unboundedPreceding, -1)
-    pieces = pieces.withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
-    return raw.join(pieces, ["file", "__piece"]).select("file", (F.col("__at") - F.col("__first") + F.col("__before") + 1).alias("line"), "value")
+    by = (Window.orderBy("file", "__piece") if whole else Window.partitionBy("file").orderBy("__piece")).rowsBetween(Window.unboundedPreceding, -1)  # a row per piece
+    pieces = pieces.withColumn("__before", F.coalesce(F.sum("__n").over(by), F.lit(0))).drop("__n")
+    return raw.join(pieces, ["file", "__piece"]).select((F.lit(None).cast("string") if whole else F.col("file")).alias("file"), (F.col("__at") - F.col("__first") + F.col("__before") + 1).alias("line"), "value")
 
 
 def parallel_files(spark: SparkSession, columns: dict[str, str]) -> DataFrame:
-    """columns: name -> text file.  line and a column per file: its text on that line, null past its end."""
+    """columns: name -> text file, or a folder of files that follow each other by name.  line and a column per file: its text on that line, null past its
+    end."""
     out = None
     for name, path in columns.items():
-        one = numbered_lines(spark, path).select("line", F.col("value").alias(name))
+        one = numbered_lines(spark, path, True).select("line", F.col("value").alias(name))
         out = one if out is None else out.join(one, "line", "full")
     return out
 
@@ -196,7 +198,7 @@ def column_verses(spark: SparkSession, columns: dict[str, str], starts: str, con
     words = materialize(parallel_files(spark, columns), "words")
     total = words.agg(F.coalesce(F.max("line"), F.lit(0))).first()[0]
     parts = F.split("value", "\t")
-    listed = numbered_lines(spark, starts).select(F.col("line").alias("seq"), F.trim(parts[0]).alias("ref"), F.get(parts, F.lit(1)).cast("long").alias("start")).filter("start IS NOT NULL").withColumn("__k", F.lit(0))
+    listed = numbered_lines(spark, starts, True).select(F.col("line").alias("seq"), F.trim(parts[0]).alias("ref"), F.get(parts, F.lit(1)).cast("long").alias("start")).filter("start IS NOT NULL").withColumn("__k", F.lit(0))
     spans = next_of(listed, ["__k"], ["start", "seq"], "start", "__next").withColumn("end", F.coalesce(F.col("__next") - 1, F.lit(total))).select("seq", "ref", "start", "end")
     met = overlapping(words.withColumn("start", F.col("line")).withColumn("end", F.col("line")), spans, [])
     rows = met.groupBy("seq", "ref").agg(F.array_sort(F.collect_list(F.struct("line", *columns))).alias("words"))

@@ -86,3 +86,16 @@ def test_poems_and_wiki_pages_have_readers_of_their_own(spark):
     assert sorted((r.k, r.line, r.content, r.marker) for r in rd.poem_lines(poem, "k", "body").collect()) == [(1, 1, "one", "5"), (1, 2, "two", None), (1, 3, "three", None)]
     wiki = spark.createDataFrame([("p", "one\n\n''two''"), ("r", "#REDIRECT [[p]]")], "name string, body string")
     assert sorted((r.div, r.seq, r.content) for r in rd.wiki_lines(wiki).collect()) == [("p", 0, "one"), ("p", 2, "two")]
+
+
+def test_folders_of_files_are_one_column(spark, tmp_path):
+    """Lines go on from file to file, in the order of names."""
+    from tessera.sources import readers as rd
+
+    for name, parts in {"w": ["alpha\nbeta\n", "gamma\n", "delta\n"], "m": ["A\n", "B\nC\nD\n"], "s": ["1:1\t1\n", "1:2\t3\n"]}.items():
+        (tmp_path / name).mkdir()
+        for k, x in enumerate(parts):
+            (tmp_path / name / f"part-{k:05d}.txt").write_text(x)
+    at = lambda n: f"file://{tmp_path}/{n}"
+    got = rd.column_verses(spark, {"word": at("w"), "morph": at("m")}, at("s"), "word").collect()
+    assert sorted((r.seq, r.ref, r.content, [x.morph for x in r.words]) for r in got) == [(1, "1:1", "alpha beta", ["A", "B"]), (2, "1:2", "gamma delta", ["C", "D"])]
