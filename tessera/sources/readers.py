@@ -216,7 +216,7 @@ def keyed_notes(df: DataFrame, ref: str, source_map: DataFrame) -> DataFrame:
     p = r"^(\d+)\.(\d+)(?:-(?:(\d+)\.)?(\d+))?$"
     g = lambda k: F.nullif(F.regexp_extract(ref, p, k), F.lit("")).cast("int")
     to = F.when(g(3).isNull() | (g(3) == g(1)), g(4)).otherwise(F.lit(None))
-    return df.join(source_map, "volume", "left").withColumn("book", g(1)).withColumn("line", g(2)).withColumn("line_to", F.greatest(g(2), F.coalesce(to, g(2))))
+    return df.join(F.broadcast(source_map), "volume", "left").withColumn("book", g(1)).withColumn("line", g(2)).withColumn("line_to", F.greatest(g(2), F.coalesce(to, g(2))))
 
 
 READERS = {}
