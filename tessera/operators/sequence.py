@@ -46,6 +46,11 @@ def increasing_markers(df: DataFrame, marker: str, keys: list[str], order: list[
     return kept.withColumn("grp", F.sum(F.col("kept").cast("int")).over(w))
 
 
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """df by its keys over all shuffle partitions, which are then not made fewer and larger: what is distinct or in order within a key needs no other shuffle."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def islands(df: DataFrame, pos: str, keys: list[str]) -> DataFrame:
     """Runs of consecutive positions: first, last, n."""
     w = Window.partitionBy(*keys).orderBy(pos)
