@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.store import materialize
@@ -51,9 +51,21 @@ def dealt(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
 
 
-def islands(df: DataFrame, pos: str, keys: list[str]) -> DataFrame:
-    """Runs of consecutive positions: first, last, n."""
+#: Rows of a task where their number is known before a shuffle: what a task holds doesn't grow with the input then.
+TASK_ROWS = 1 << 18
+
+
+def tasks_of(spark: SparkSession, rows: int) -> int:
+    """Partitions for so many rows: all shuffle partitions, more where these would hold over TASK_ROWS rows each."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // TASK_ROWS))
+
+
+def islands(df: DataFrame, pos: str, keys: list[str], repeated: bool = False) -> DataFrame:
+    """Runs of consecutive positions: first, last, n.  repeated: a position may come more than once, and counts once."""
     w = Window.partitionBy(*keys).orderBy(pos)
+    if repeated:
+        runs = df.withColumn("__g", F.col(pos) - F.dense_rank().over(w)).groupBy(*keys, "__g").agg(F.min(pos).alias("first"), F.max(pos).alias("last"))
+        return runs.withColumn("n", (F.col("last") - F.col("first") + 1).cast("long")).drop("__g")
     return df.withColumn("__g", F.col(pos) - F.row_number().over(w)).groupBy(*keys, "__g").agg(F.min(pos).alias("first"), F.max(pos).alias("last"), F.count("*").alias("n")).drop("__g")
 
 
@@ -257,19 +269,21 @@ def within_span(df: DataFrame, first: tuple[int, int], last: tuple[int, int], ch
     return df.filter((at >= end(first)) & (at <= end(last)))
 
 
-def running(df: DataFrame, keys: list[str], order: list[str], sums: dict[str, str]) -> DataFrame:
+def running(df: DataFrame, keys: list[str], order: list[str], sums: dict[str, str], rows: int | None = None) -> DataFrame:
     """Adds i (from 1) and running sums (new column -> column) within keys by `order`, which must be total.
 
     Rows are dealt to ranges of (keys, order); a range numbers and sums its own rows, and the sums of the ranges before it are added:
-    a key that holds most rows is spread over as many tasks as any other."""
-    spread = materialize(df.repartitionByRange(*keys, *order).withColumn("__p", F.spark_partition_id()), "ranges")
+    a key that holds most rows is spread over as many tasks as any other.  rows: how many there are, where that is known; ranges and tasks then
+    have a bounded number of them."""
+    n = [] if rows is None else [tasks_of(df.sparkSession, rows)]
+    spread = materialize(df.repartitionByRange(*n, *keys, *order).withColumn("__p", F.spark_partition_id()), "ranges")
     inside = Window.partitionBy(*keys, "__p").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     parts = spread.groupBy(*keys, "__p").agg(F.count("*").alias("__n"), *[F.sum(c).alias(f"__{new}") for new, c in sums.items()])
     # (without keys: one window over a row per range)
     before = Window.partitionBy(*keys).orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
     names = ["__n", *(f"__{new}" for new in sums)]
     offsets = parts.select(*keys, "__p", *[F.coalesce(F.sum(x).over(before), F.lit(0)).alias(x) for x in names])
-    own = spread.withColumn("i", F.count("*").over(inside))
+    own = (spread.repartition(*n, *keys, "__p") if n else spread).withColumn("i", F.count("*").over(inside))
     for new, c in sums.items():
         own = own.withColumn(new, F.sum(c).over(inside))
     joined = own.join(offsets, [*keys, "__p"]).withColumn("i", F.col("i") + F.col("__n"))
