@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.operators.sequence import running
+from tessera.operators.sequence import running, tasks_of
 from tessera.store import materialize
 
 
@@ -187,9 +187,14 @@ def recording_report(units: DataFrame, key: list[str], speaker: Column, passed:
 def link_report(ref: DataFrame, cand: DataFrame, words: DataFrame, key: list[str], target: str) -> DataFrame:
     """ref, cand: key, target; words: key.  shared, precision and recall in thousandths (0 where there is nothing), how many words have the same set
     of targets on both sides, share at least one, and have any in ref.  One row."""
-    a, b = ref.select(*key, target).distinct().withColumn("r", F.lit(1)), cand.select(*key, target).distinct().withColumn("c", F.lit(1))
-    per = a.join(b, [*key, target], "full").groupBy(*key).agg(F.count("r").alias("r"), F.count("c").alias("c"), F.count(F.when(F.col("r").isNotNull() & F.col("c").isNotNull(), 1)).alias("both"))
-    each = words.select(*key).distinct().join(per, key, "left").na.fill(0, ["r", "c", "both"])
+    # one table of marks (1: ref, 2: cand, 0: a word alone), dealt by key once in tasks of bounded rows; null targets equal none, null keys no key
+    none = F.lit(None).cast(ref.schema[target].dataType).alias(target)
+    side = lambda df, m: df.filter(F.array_position(F.array(*[F.col(k).isNull() for k in key]), True) == 0).select(*key, target, F.lit(m).alias("__m"))
+    rows = words.select(*key, none, F.lit(0).alias("__m")).unionByName(side(ref, 1)).unionByName(side(cand, 2))
+    rows = rows.repartition(tasks_of(rows.sparkSession, rows.count()), *key).withColumn("__n", F.when(F.col(target).isNull(), F.col("__m")).otherwise(-1))
+    met = rows.groupBy(*key, target, "__n").agg(F.bit_or("__m").alias("m"))
+    n = lambda m: F.count_if(F.col("m").bitwiseAND(m) == m)
+    each = met.groupBy(*key).agg(n(1).alias("r"), n(2).alias("c"), n(3).alias("both"), F.bool_or(F.col("__n") == 0).alias("__word")).filter("__word")
     total = each.agg(F.sum("both").alias("shared"), F.sum("c").alias("n_cand"), F.sum("r").alias("n_ref"), F.count_if((F.col("r") == F.col("both")) & (F.col("c") == F.col("both"))).alias("same_set"), F.count_if(F.col("both") > 0).alias("any_shared"), F.count_if(F.col("r") > 0).alias("with_ref"))
     part = lambda n: F.when(F.col(n) > 0, F.floor(1000 * F.col("shared") / F.col(n))).otherwise(0).cast("long")
     return total.select("shared", part("n_cand").alias("precision"), part("n_ref").alias("recall"), "same_set", "any_shared", "with_ref")
