@@ -147,6 +147,7 @@ def compact(df: DataFrame, keys: list[str], dict_cols: list[str], order: list[st
         kept = F.when(~F.col(c).eqNullSafe(rule.cast(df.schema[c].dataType)), F.struct(F.col(c).alias("value")))
         made = made.withColumn(f"__kept_{c}", kept)
     made = made.drop(*(derived or {}))
+    dicts = materialize(dicts, "codes") if dicts is not None else None
     if derived:
         made = materialize(made, "derived")
         have = made.agg(*[F.count(f"__kept_{c}").alias(c) for c in derived]).first()
@@ -156,9 +157,11 @@ def compact(df: DataFrame, keys: list[str], dict_cols: list[str], order: list[st
     if chunk_rows:
         own = {c: f"__own_{c}" for c in coded.columns}  # a column of the rows may be named i
         by = [own[c] for c in [*order, *[c for c in coded.columns if c not in keys and c not in order and not c.startswith("__kept_")]]]
-        numbered = running(coded.withColumnsRenamed(own), [own[k] for k in keys], by, {})
+        n = made.count()
+        numbered = running(coded.withColumnsRenamed(own), [own[k] for k in keys], by, {}, rows=n)
         coded = numbered.withColumn("chunk", F.floor((F.col("i") - 1) / chunk_rows).cast("long")).drop("i").withColumnsRenamed({o: c for c, o in own.items()})
         whole.append("chunk")
+        coded = coded.repartition(tasks_of(df.sparkSession, n), *whole)  # (codes shrink so well that tasks cut by size hold too many rows)
     rest = [c for c in coded.columns if c not in whole and c not in order]
     return coded.groupBy(*whole).agg(F.array_sort(F.collect_list(F.struct(*order, *rest))).alias("rows")), dicts
 
