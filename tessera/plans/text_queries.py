@@ -275,9 +275,10 @@ def unbracketed_words(t, spark):
     """Every seventh word from the fourth on stands in round brackets and two neighbours of eleven in square ones: they go, and the
     others keep their numbers.  Brackets of the texts themselves are taken out first."""
     w = F.filter(F.split(F.regexp_replace("content", r"[()\[\]]", " "), " "), lambda x: x != "")
-    last = F.size(w) - 1
+    lines = _segs(t).select("doc_id", "seq", w.alias("w"))
+    last = F.size("w") - 1  # (of the column: the split itself would be made anew for the words that ask)
     wrap = lambda x, i: F.when(i % 7 == 3, F.concat(F.lit("("), x, F.lit(")"))).when((i % 11 == 4) & ((i + 1) % 7 != 3) & (i < last), F.concat(F.lit("["), x)).when((i % 11 == 5) & ((i - 1) % 7 != 3), F.concat(x, F.lit("]"))).otherwise(x)
-    marked = _segs(t).withColumn("content", F.array_join(F.transform(w, wrap), " "))
+    marked = lines.select("doc_id", "seq", F.array_join(F.transform("w", wrap), " ").alias("content"))
     return co.numbered_words(marked).select("doc_id", "seq", F.col("word_index").cast("long").alias("word_index"), "word")
 
 

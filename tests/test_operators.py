@@ -1,6 +1,7 @@
 """Invariants and small cases of the operators that no table query shows."""
 
 import random
+import re
 
 from pyspark.sql import functions as F
 
@@ -10,6 +11,7 @@ from tessera.operators import corpus as co
 from tessera.operators import reading
 from tessera.operators import reports as rp
 from tessera.operators import sequence as sq
+from tessera.plans.catalogue import QUERIES
 from tessera.sources import readers as rd
 from tessera.sources import sinks
 from tessera.streaming import events as st
@@ -211,6 +213,26 @@ def test_numbers_over_brackets(spark):
     assert got == [(1, 0, "a"), (1, 3, "d"), (2, 0, "[whole"), (2, 1, "line"), (2, 2, "kept]"), (2, 3, "x"), (3, 0, "x"), (3, 3, "y(z)"), (4, 0, "(open"), (4, 1, "a"), (5, 1, "a")]
 
 
+def test_brackets_by_plain_loops(spark):
+    g = random.Random(29)
+    lines = ["".join(g.choice("ab(()[]])  \x01\x02\x03\t\nλ$\\-") for _ in range(g.randrange(0, 30))) for _ in range(2000)] + [None, ""]
+    want = []
+    for n, line in enumerate(x or "" for x in lines):
+        first, bare, at = line.lstrip(" ").startswith("["), "", 0
+        for m in re.finditer(r"\([^)]*\)|\[[^\]]*\]", line):
+            bare, at, first = bare + line[at : m.start()] + (m[0] if first else re.sub("[^ ]", "-", m[0])), m.end(), False
+        kept = [x for x in (bare + line[at:]).split(" ") if x]
+        want += [(n, i, w) for i, (w, k) in enumerate(zip([x for x in line.split(" ") if x], kept, strict=True)) if re.search("[abλ]", k)]
+    segs = spark.createDataFrame(list(enumerate(lines)), "doc_id int, content string").withColumn("seq", F.lit(0))
+    assert sorted((r.doc_id, r.word_index, r.word) for r in co.numbered_words(segs).collect()) == sorted(want)
+
+
+def test_lines_are_split_once(spark):
+    """A split within the loop over a line's words is made anew for these words: its time grows with the square of the line."""
+    got = QUERIES["unbracketed_words"](spark, "/root/testdata/sf0.001")
+    assert _plan(got).count(r"[()\[\]]") == 1
+
+
 def test_redirects_and_circles(spark):
     rows = [(f"p{k}", f"#REDIRECT [[p{k - 1}]]") for k in range(1, 300)] + [("p0", "text"), ("x", "#redirect [[y]]"), ("y", "#REDIRECT [[x]]"), ("z", "#REDIRECT [[x]]"), ("out", "#REDIRECT [[nowhere]]")]
     got = {r.page: r.target for r in rd.resolve_redirects(spark.createDataFrame(rows, "name string, body string"), "name", "body", doublings=11).collect()}
