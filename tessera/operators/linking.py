@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.alignment import _by_group, _spread
 from tessera.store import materialize
 
 
@@ -184,13 +188,88 @@ def _rare_first(rows: DataFrame, counts: DataFrame, keys: list[str], row: list[s
     return in_order.withColumn("__k", F.greatest(F.lit(0), F.least(F.col("n"), F.col("n") - shared + 1)).cast("int")).select(*keys, *row, "n", F.explode(F.slice("x", F.lit(1), F.col("__k"))["word"]).alias("word"))
 
 
-def pair_similar(left: DataFrame, right: DataFrame, keys: list[str], own: int = 600, least: int = 500) -> DataFrame:
-    """left, right: num, words (arrays).  The right row of the same number if their similarity (2 x shared distinct words over all,
+def pair_similar(left: DataFrame, right: DataFrame, keys: list[str], own: int = 600, least: int = 500, whole: int = 1 << 21) -> DataFrame:
+    """left, right: num (whole numbers), words (arrays).  The right row of the same number if their similarity (2 x shared distinct words over all,
     in thousandths) is at least `own`; else the most similar one; if that has less than `own`, two rows of adjacent numbers joined may be more
     similar (joined: the first of them); `least` or more is needed.  Ties: single rows first, then the smaller number.
 
-    Rows meet by their rarest words alone, as many as the least similarity asks for and only where sizes can be so alike; words that all have make no pairs."""
-    bound = max(1, min(own, least))
+    Keys of up to `whole` words of both sides are done in one task's pass, after one shuffle of the rows (`_paired`); longer ones by joins over
+    all tasks, with the same result."""
+    kinds = {"l": left.schema["num"].dataType, "r": right.schema["num"].dataType}
+    side = lambda df, n: df.filter(F.col("num").isNotNull() & F.col("words").isNotNull()).select(*keys, F.lit(n).cast("byte").alias("side"), "num", F.array_distinct(F.array_compact("words")).alias("words"))
+    a, b = side(left, 0), side(right, 1)
+    sizes = left.select(*keys, "words").unionByName(right.select(*keys, "words")).groupBy(*keys).agg(F.sum(F.size("words").cast("long")).alias("n"))
+    long = materialize(sizes.filter(F.col("n") > whole).select(*keys), "long")
+    if not long.limit(1).count():
+        return _pair_short(a, b, keys, own, least, kinds)
+    part = lambda how: [df.join(F.broadcast(long), keys, how) for df in (a, b)]  # a row per key of over `whole` words
+    return _pair_short(*part("left_anti"), keys, own, least, kinds).unionByName(_pair_long(*part("left_semi"), keys, own, least))
+
+
+def _pair_short(a: DataFrame, b: DataFrame, keys: list[str], own: int, least: int, kinds: dict) -> DataFrame:
+    rows = a.withColumn("num", F.col("num").cast("long")).unionByName(b.withColumn("num", F.col("num").cast("long")))
+    got = _by_group(rows, keys, ["side", "num"], lambda x: _paired(x, own, least), "l long, r long, score long, joined boolean", arrow=True)
+    return got.select(*keys, *[F.col(c).cast(kind).alias(c) for c, kind in kinds.items()], "score", "joined")
+
+
+def _paired(x: dict[str, np.ndarray], own: int, least: int, cells: int = 1 << 22) -> dict[str, np.ndarray]:
+    """Rows of whole keys (g, side, num in order, words, each once) -> the best partner of each row of side 0: `pair_similar`.  Shared words are counted
+    in blocks of rows whose partners and common words are `cells` at most (or of one row)."""
+    g, num = x["g"], x["num"]
+    code = pc.dictionary_encode(x["words"].flatten()).indices.to_numpy().astype(np.int64)
+    size = pc.list_value_length(x["words"]).to_numpy().astype(np.int64)
+    start = np.cumsum(size) - size
+    mine, single = np.flatnonzero(x["side"] == 0), np.flatnonzero(x["side"] == 1)
+    two = single[:-1][(g[single[1:]] == g[single[:-1]]) & (num[single[1:]] == num[single[:-1]] + 1)]
+    # the other side's rows, then two of them joined, group by group; every word of a group with its rows
+    row, joined = np.concatenate([single, two]), np.arange(len(single) + len(two)) >= len(single)
+    order = np.argsort(g[row], kind="stable")
+    row, joined = row[order], joined[order]
+    wide, n = int(code.max(initial=0)) + 1, max(1, len(row))
+    of, at = _spread(start[row], size[row])
+    pair = np.flatnonzero(joined)
+    more, next_at = _spread(start[row[pair] + 1], size[row[pair] + 1])
+    of, at = np.concatenate([of, pair[more]]), np.concatenate([at, next_at])
+    word, of = np.divmod(np.unique((g[row[of]] * wide + code[at]) * n + of), n)
+    theirs = np.bincount(of, minlength=len(row))
+    # what each row of side 0 meets: the rows of its group, and each of its words' rows
+    own_of, own_at = _spread(start[mine], size[mine])
+    asked = g[mine[own_of]] * wide + code[own_at]
+    first = np.searchsorted(word, asked)
+    shares = np.searchsorted(word, asked, "right") - first
+    r0 = np.searchsorted(g[row], g[mine])
+    room = np.searchsorted(g[row], g[mine], "right") - r0
+    block = np.cumsum(room + np.bincount(own_of, weights=shares, minlength=len(mine)).astype(np.int64)) // cells
+    edges = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), len(mine)]
+    made = []
+    for lo, hi in zip(edges, edges[1:], strict=False):
+        e0, e1 = np.searchsorted(own_of, [lo, hi])
+        base = np.cumsum(room[lo:hi]) - room[lo:hi] - r0[lo:hi]
+        e, met = _spread(first[e0:e1], shares[e0:e1])
+        shared = np.bincount(base[own_of[e0:e1][e] - lo] + of[met], minlength=int(room[lo:hi].sum()))
+        hit = np.flatnonzero(shared)
+        a = np.repeat(np.arange(hi - lo), room[lo:hi])[hit]
+        b = hit - base[a]
+        score = 2000 * shared[hit] // (size[mine[lo:hi]][a] + theirs[b])
+        same = ~joined[b] & (num[mine[lo:hi]][a] == num[row[b]]) & (score >= own)
+        rank = np.where(same, 0, np.where(~joined[b] & (score >= own), 1, 2))
+        keep = (score >= least) | same
+        made.append(_first_of(*(v[keep] for v in (g[mine[lo:hi]][a], num[mine[lo:hi]][a], rank, -score, joined[b], num[row[b]]))))
+    of_g, l, _, score, two_of, r = _first_of(*map(np.concatenate, zip(*made, strict=True)))
+    return {"g": of_g, "l": l, "r": r, "score": -score, "joined": two_of}
+
+
+def _first_of(g: np.ndarray, l: np.ndarray, *rest: np.ndarray) -> list[np.ndarray]:
+    """The first row of each g and l in the order of the rest."""
+    order = np.lexsort((*rest[::-1], l, g))
+    g, l = g[order], l[order]
+    new = np.flatnonzero(np.concatenate([[True], (g[1:] != g[:-1]) | (l[1:] != l[:-1])])[: len(g)])
+    return [g[new], l[new], *(v[order][new] for v in rest)]
+
+
+def _pair_long(left: DataFrame, right: DataFrame, keys: list[str], own: int, least: int) -> DataFrame:
+    """Rows meet by their rarest words alone, as many as the least similarity asks for and only where sizes can be so alike; words that all have make no pairs."""
+    bound = max(0, min(own, least))
     size = lambda df, n: df.select(*keys, F.col("num").alias(n), F.array_distinct("words").alias("w")).withColumn("n", F.size("w"))
     w = Window.partitionBy(*keys).orderBy("num")
     two = right.withColumn("__n", F.lead("num").over(w)).withColumn("__w", F.lead("words").over(w)).filter("__n = num + 1").select(*keys, "num", F.concat("words", "__w").alias("words"))

@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from tessera.operators import alignment as al
@@ -115,6 +117,41 @@ def test_pairs_by_plain_loops(spark):
         assert got == pairs_by_hand(left, right, own, least), (own, least)
 
 
+def test_pairs_of_short_and_long_keys(spark):
+    """One pass over whole keys and joins over all tasks find the same, also with nulls, empty rows and keys of two columns."""
+    g = random.Random(30)
+    words = [f"w{i}" for i in range(30)]
+    side = lambda: [((k, "ab"[k % 2]), n, [g.choice(words) for _ in range(g.randrange(0, 12))]) for k in range(12) for n in range(9) if g.random() < 0.8]
+    left, right = side(), side()
+    odd = [((None, "a"), 0, ["w1"]), ((1, None), 0, ["w1"]), ((1, "b"), None, ["w1"]), ((1, "b"), 20, None), ((1, "b"), 21, []), ((99, "b"), 0, ["w1"])]
+    df = lambda rows: spark.createDataFrame([(*k, n, w) for k, n, w in rows + odd], "k int, k2 string, num int, words array<string>").repartition(5)
+    plain = [r for r in odd if None not in r[0] and r[1] is not None and r[2] is not None]
+    for own, least in ((600, 500), (60, 50), (0, 0)):
+        want = sorted((*k, *rest) for k, *rest in pairs_by_hand(left + plain, right + plain, own, least))
+        for whole in (0, 40, 1 << 21):
+            got = li.pair_similar(df(left), df(right), ["k", "k2"], own, least, whole)
+            assert sorted(map(tuple, got.select("k", "k2", "l", "r", "score", "joined").collect())) == want, (own, least, whole)
+        assert [got.schema[c].dataType.simpleString() for c in ("l", "r", "score", "joined")] == ["int", "int", "bigint", "boolean"]
+
+
+def test_pairs_by_blocks():
+    """Rows of one key, counted in blocks of any size."""
+    g = random.Random(31)
+    sets = [[sorted({g.choice("abcdefghijkl") for _ in range(6)}) for _ in range(30)] for _ in range(2)]
+    x = {"g": np.repeat([0, 1], 60), "side": np.tile(np.repeat([0, 1], 30), 2), "num": np.tile(np.arange(30), 4), "words": pa.array([*sets[0], *sets[1], *sets[1], *sets[0]])}
+    want = pairs_by_hand(*[[(k, n, w) for k in (0, 1) for n, w in enumerate(sets[side ^ k])] for side in (0, 1)], 600, 500)
+    for cells in (1, 100, 1 << 22):
+        got = li._paired(x, 600, 500, cells)
+        assert sorted(zip(*(got[c].tolist() for c in ("g", "l", "r", "score", "joined")), strict=True)) == want
+
+
+def test_pairs_are_not_shuffled(spark):
+    """Rows of both sides are dealt by key once; neither pairs nor words are dealt again."""
+    df = spark.createDataFrame([(k, n, ["the", f"w{n}"]) for k in range(3) for n in range(4)], "k int, num int, words array<string>")
+    got = li.pair_similar(df, df, ["k"], 60, 50)
+    assert got._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+
+
 def test_common_words_make_no_pairs(spark):
     """Words that every row has are no reason to meet: candidates grow with the rows, not with their square."""
     rows = [(1, n, ["the", "and", "of", "a"] + [f"r{n}x{i}" for i in range(12)]) for n in range(400)]
