@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructType
+from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
 from tessera.functions.markup import keyed_paragraphs, styled_runs
 from tessera.functions.text import clean_wiki
-from tessera.operators.linking import overlapping
-from tessera.operators.sequence import next_of
 from tessera.store import materialize
 
 
@@ -188,21 +190,135 @@ def parallel_files(spark: SparkSession, columns: dict[str, str]) -> DataFrame:
     return out
 
 
+#: Lines of a bucket of column files, where verses aren't longer.
+_BUCKET = 1 << 16
+#: Files that Spark reads whole, whatever the size of its pieces.
+_WHOLE = (".gz", ".deflate", ".snappy", ".lz4", ".zst")
+_PACKED = "bucket long, kind int, first long, size int, said binary"
+
+
+def _squeezed(of: np.ndarray, kind: int, first: np.ndarray, said: pa.Array) -> pa.RecordBatch:
+    """Rows of _PACKED: texts of many lines, compressed as one each (`_loosened`)."""
+    said = [x.encode() for x in said.to_pylist()]
+    cols = of, np.full(len(said), kind, np.int32), first, np.array([len(x) for x in said], np.int32)
+    return pa.RecordBatch.from_arrays([*map(pa.array, cols), pa.array([pa.compress(x, "zstd", asbytes=True) for x in said], pa.binary())], names=["bucket", "kind", "first", "size", "said"])
+
+
+def _loosened(size: int, said: bytes) -> str:
+    return pa.decompress(said, size, "zstd", asbytes=True).decode()
+
+
+def _pieces(spark: SparkSession, path: str) -> tuple[DataFrame, dict[int, tuple[int, int | None]]]:
+    """The lines of text files that are one text in the order of their names: piece, at, value; and for every piece how many lines come before it, and the
+    `at` of its first line.  Lines are written once so that both passes see the same pieces; compressed files are pieces as they are, whose first
+    line is the one that a task meets first (None)."""
+    raw = spark.read.text(path)
+    whole = all(x.endswith(_WHOLE) for x in raw.inputFiles())
+    piece = F.xxhash64("_metadata.file_path", "_metadata.file_block_start").alias("piece")
+    names = raw.select(piece, F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), "value")
+    if whole:
+        lines, first = names.select("piece", F.monotonically_increasing_id().alias("at"), "value"), F.lit(None).cast("long")
+    else:
+        names = materialize(names, "lines")
+        lines, first = names.select("piece", F.col("_metadata.row_index").alias("at"), "value"), F.min("_metadata.row_index")
+    found = names.groupBy("piece", "file", "start").agg(F.count("*").alias("n"), first.alias("first")).collect()  # a row per piece
+    out, before = {}, 0
+    for r in sorted(found, key=lambda r: (r.file, r.start)):
+        out[r.piece] = before, r.first
+        before += r.n
+    if len(out) < len(found):
+        raise RuntimeError("two pieces of the files have one number")
+    return lines, out
+
+
+def _packed(spark: SparkSession, path: str, kind: int, edges: np.ndarray) -> DataFrame:
+    """The lines of a column's files, those that follow each other within a bucket as one row: as _PACKED has it.  Bucket k begins at line edges[k]."""
+    lines, pieces = _pieces(spark, path)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        firsts: dict[int, int] = {}
+        for b in batches:
+            piece, at = (b.column(k).to_numpy() for k in (0, 1))
+            line = np.empty(len(at), np.int64)
+            ends = [*(np.flatnonzero(np.diff(piece)) + 1).tolist(), len(piece)]
+            for lo, hi in zip([0, *ends], ends, strict=False):
+                if lo < hi:
+                    before, first = pieces[int(piece[lo])]
+                    first = firsts.setdefault(int(piece[lo]), int(at[lo])) if first is None else first
+                    line[lo:hi] = at[lo:hi] - first + before + 1
+            of = np.searchsorted(edges, line, "right") - 1
+            cut = np.flatnonzero((np.diff(of, prepend=-1) != 0) | (np.diff(line, prepend=-1) != 1))
+            said = pc.binary_join(pa.ListArray.from_arrays(pa.array(np.append(cut, len(line)), pa.int32()), b.column(2)), "\n")
+            yield _squeezed(of[cut], kind, line[cut], said)
+
+    return lines.mapInArrow(run, _PACKED)
+
+
+def _packed_starts(listed: DataFrame, edges: np.ndarray) -> DataFrame:
+    """start, seq and ref of verses, those of a bucket as one row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            of = np.searchsorted(edges, b.column(0).to_numpy(), "right") - 1
+            order = np.argsort(of, kind="stable")
+            rows = pc.binary_join_element_wise(b.column(0).cast(pa.string()), b.column(1).cast(pa.string()), b.column(2), "\t").take(pa.array(order))
+            cut = np.flatnonzero(np.diff(of[order], prepend=-1))
+            said = pc.binary_join(pa.ListArray.from_arrays(pa.array(np.append(cut, len(of)), pa.int32()), rows), "\n")
+            yield _squeezed(of[order][cut], -1, np.zeros(len(cut), np.int64), said)
+
+    return listed.select("start", "seq", "ref").mapInArrow(run, _PACKED)
+
+
+def _verses_of(rows: list[tuple[int, int, str]], names: list[str]) -> pa.RecordBatch | None:
+    """kind, first and said of a bucket's rows -> its verses with words: seq, ref, words."""
+    starts = sorted((int(at), int(seq), ref) for kind, _, said in rows if kind < 0 for at, seq, ref in (x.split("\t", 2) for x in said.split("\n")))
+    runs = [(kind, first, said.split("\n")) for kind, first, said in rows if kind >= 0]
+    if not starts or not runs:
+        return None
+    base = min(first for _, first, _ in runs)
+    n = max(first + len(x) for _, first, x in runs) - base
+    columns: list[list[str | None]] = [[None] * n for _ in names]
+    for kind, first, x in runs:
+        columns[kind][first - base : first - base + len(x)] = x
+    at = np.clip(np.array([*(x[0] for x in starts), base + n], np.int64) - base, 0, n)
+    words = pa.StructArray.from_arrays([pa.array(np.arange(base, base + n)), *(pa.array(c, pa.string()) for c in columns)], names=["line", *names])
+    lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), words)
+    made = pa.RecordBatch.from_arrays([pa.array([x[1] for x in starts], pa.int64()), pa.array([x[2] for x in starts], pa.string()), lists], names=["seq", "ref", "words"])
+    return made.filter(pa.array(np.diff(at) > 0))
+
+
 def column_verses(spark: SparkSession, columns: dict[str, str], starts: str, content: str) -> DataFrame:
     """columns: name -> file with a line per word; starts: a file of "ref<TAB>line", the line (from 1) of each verse's first word.  A verse ends where the
     next one starts, the last one with the files.
 
-    seq (in the order of the starts), ref, content (the words of the column `content`, joined by blanks) and words: array<struct<line, columns>>.  Words meet
-    their verses by buckets of the line axis, so that no file passes one task; a verse's words become one row.  A verse without words, or words before
-    the first verse, are left out."""
-    words = materialize(parallel_files(spark, columns), "words")
-    total = words.agg(F.coalesce(F.max("line"), F.lit(0))).first()[0]
+    seq (in the order of the starts), ref, content (the words of the column `content`, joined by blanks) and words: array<struct<line, columns>>.  The line
+    axis is cut into buckets where verses begin; the lines of a bucket are shuffled as compressed texts of many lines, and its verses are made in one task, so that no file
+    passes one task and no word is a row of its own in a shuffle; a verse's words become one row.  A verse without words, or words before the first
+    verse, are left out."""
     parts = F.split("value", "\t")
-    listed = numbered_lines(spark, starts, True).select(F.col("line").alias("seq"), F.trim(parts[0]).alias("ref"), F.get(parts, F.lit(1)).cast("long").alias("start")).filter("start IS NOT NULL").withColumn("__k", F.lit(0))
-    spans = next_of(listed, ["__k"], ["start", "seq"], "start", "__next").withColumn("end", F.coalesce(F.col("__next") - 1, F.lit(total))).select("seq", "ref", "start", "end")
-    met = overlapping(words.withColumn("start", F.col("line")).withColumn("end", F.col("line")), spans, [])
-    rows = met.groupBy("seq", "ref").agg(F.array_sort(F.collect_list(F.struct("line", *columns))).alias("words"))
-    return rows.select("seq", "ref", F.array_join(F.col(f"words.{content}"), " ").alias("content"), "words")
+    listed = numbered_lines(spark, starts, True).select(F.col("line").alias("seq"), F.trim(parts[0]).alias("ref"), F.get(parts, F.lit(1)).cast("long").alias("start")).filter("start IS NOT NULL")
+    first = listed.groupBy(F.floor(F.col("start") / _BUCKET)).agg(F.min("start").alias("first")).collect()  # a row per bucket
+    edges = np.array([-(1 << 62), *sorted(r["first"] for r in first)[1:]], np.int64)
+    names = list(columns)
+    rows = reduce(DataFrame.unionByName, (_packed(spark, path, k, edges) for k, path in enumerate(columns.values())), _packed_starts(listed, edges))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, of = [], None
+        for b in batches:
+            for bucket, kind, line, size, said in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if bucket != of:
+                    if (made := _verses_of(held, names)) is not None:
+                        yield made
+                    held, of = [], bucket
+                held.append((kind, line, _loosened(size, said)))
+        if (made := _verses_of(held, names)) is not None:
+            yield made
+
+    tasks = -(-len(edges) // 64)  # of about 2^22 lines at most
+    n = [tasks] if tasks > int(spark.conf.get("spark.sql.shuffle.partitions")) else []
+    word = StructType([StructField("line", LongType()), *(StructField(c, StringType()) for c in names)])
+    made = rows.repartition(*n, "bucket").sortWithinPartitions("bucket").mapInArrow(run, StructType([StructField("seq", LongType()), StructField("ref", StringType()), StructField("words", ArrayType(word))]))
+    return made.select("seq", "ref", F.array_join(F.col(f"words.{content}"), " ").alias("content"), "words")
 
 
 def wiki_lines(pages: DataFrame) -> DataFrame:

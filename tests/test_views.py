@@ -133,3 +133,35 @@ def test_readings_of_the_same_places_are_met_once(spark):
     want = rd.select_verses(rd.parse_places(readings, ["id", "text"], "refs"), ["id"], verses, "text")
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
     assert {r.id for r in got.collect()} == {1, 2, 7}
+
+
+def test_column_files_in_buckets(spark, tmp_path, monkeypatch):
+    """Verses longer than a bucket, empty ones, words before the first verse and after the shorter file's end; plain and compressed files, one row of a shuffle for
+    many lines."""
+    import gzip
+    import random
+
+    from tessera.sources import readers as rd
+
+    monkeypatch.setattr(rd, "_BUCKET", 8)
+    g = random.Random(7)
+    n = 300
+    words, sizes = [f"w{k}" if k % 11 else "" for k in range(1, n + 1)], [str(k) for k in range(1, n - 20)]
+    starts = sorted([4, 4, 90, *g.sample(range(5, 60), 20), *g.sample(range(150, n), 30), n + 50])
+    want = []
+    for k, at in enumerate(starts):
+        lines = range(at, min([*starts[k + 1 :], n + 1][0], n + 1))
+        if len(lines):
+            want.append((k + 1, f"v{k}", " ".join(words[i - 1] for i in lines), [(i, words[i - 1], sizes[i - 1] if i <= len(sizes) else None) for i in lines]))
+    for made in ("plain", "gz"):
+        for name, lines in (("w", words), ("s", sizes), ("v", [f"v{k}\t{at}" for k, at in enumerate(starts)] + ["none"])):
+            (tmp_path / made / name).mkdir(parents=True)
+            for k in range(0, len(lines), 70):
+                text = "".join(f"{x}\n" for x in lines[k : k + 70]).encode()
+                at = tmp_path / made / name / f"part-{k:05d}.txt"
+                at.write_bytes(text) if made == "plain" else at.with_suffix(".txt.gz").write_bytes(gzip.compress(text))
+        at = lambda name: f"file://{tmp_path}/{made}/{name}"  # noqa: B023, E731
+        df = rd.column_verses(spark, {"word": at("w"), "size": at("s")}, at("v"), "word")
+        assert df._jdf.queryExecution().executedPlan().toString().count("REPARTITION_BY_COL") == 1 and "collect_list" not in df._jdf.queryExecution().optimizedPlan().toString()
+        assert sorted((r.seq, r.ref, r.content, [tuple(x) for x in r.words]) for r in df.collect()) == want
+        assert df.dtypes[-1] == ("words", "array<struct<line:bigint,word:string,size:string>>")
