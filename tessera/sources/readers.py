@@ -214,14 +214,17 @@ def _pieces(spark: SparkSession, path: str) -> tuple[DataFrame, dict[int, tuple[
     line is the one that a task meets first (None)."""
     raw = spark.read.text(path)
     whole = all(x.endswith(_WHOLE) for x in raw.inputFiles())
-    piece = F.xxhash64("_metadata.file_path", "_metadata.file_block_start").alias("piece")
-    names = raw.select(piece, F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), "value")
+    # (functions, as columns of _metadata would be copied into every line's row)
+    file, start = F.input_file_name(), F.input_file_block_start()
+    piece = lambda file, start: F.xxhash64(file, start).alias("piece")
     if whole:
-        lines, first = names.select("piece", F.monotonically_increasing_id().alias("at"), "value"), F.lit(None).cast("long")
+        lines = raw.select(piece(file, start), F.monotonically_increasing_id().alias("at"), "value")
+        found = raw.select(file.alias("file"), start.alias("start")).groupBy("file", "start").agg(F.count("*").alias("n"), F.lit(None).cast("long").alias("first"))
     else:
-        names = materialize(names, "lines")
-        lines, first = names.select("piece", F.col("_metadata.row_index").alias("at"), "value"), F.min("_metadata.row_index")
-    found = names.groupBy("piece", "file", "start").agg(F.count("*").alias("n"), first.alias("first")).collect()  # a row per piece
+        raw = materialize(raw.select(file.alias("file"), start.alias("start"), "value"), "lines")
+        lines = raw.select(piece("file", "start"), F.col("_metadata.row_index").alias("at"), "value")
+        found = raw.groupBy("file", "start").agg(F.count("*").alias("n"), F.min("_metadata.row_index").alias("first"))
+    found = found.select(piece("file", "start"), "file", "start", "n", "first").collect()  # a row per piece
     out, before = {}, 0
     for r in sorted(found, key=lambda r: (r.file, r.start)):
         out[r.piece] = before, r.first
